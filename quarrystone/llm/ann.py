@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import stored, table
 
-LINES, BLOCK, QUERIES, WIDEN, CERTAINTY = 64, 16384, 1024, 1.12, 1.3
+LINES, BLOCK, QUERIES, WIDEN, CERTAINTY = 64, 16384, 1024, 1.12, 1.2
 
 
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
@@ -50,7 +50,9 @@ class Arrays:
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
         rng = np.random.default_rng(x.shape[1])
         self.lines = rng.normal(size=(x.shape[1], lines))
-        p = ((self.x / self.norm[:, None]) @ self.lines).T
+        unit = self.x / self.norm[:, None]
+        self.near = unit.astype(np.float32)
+        p = (unit @ self.lines).T
         self.order = np.argsort(p, axis=1, kind="stable")
         self.gap = 4 * float(np.abs(p).max()) + 64
         self.base = np.arange(lines) * self.gap
@@ -70,7 +72,8 @@ class Arrays:
         counts = np.zeros(n, np.int64)
         fresh = self.ids != query_id
         left = int(fresh.sum())
-        found, cos = np.zeros(0, np.int64), np.zeros(0)
+        found, cos, verified = np.zeros(0, np.int64), np.zeros(0), 0
+        unit = (q / norm).astype(np.float32)
         h, low, high = 0.25, None, None
         edges = self.base - self.gap / 2, self.base + self.gap / 2
         while left:
@@ -86,19 +89,20 @@ class Arrays:
             if len(new):
                 fresh[new] = False
                 left -= len(new)
+                verified += len(new)
+                if len(found) == k:  # single precision rules out what can't come among the k best
+                    new = new[self.near[new] @ unit >= cos[-1] - 1e-4]
                 c = (self.x[new] * q).sum(axis=1) / (self.norm[new] * norm)
                 found, cos = np.concatenate([found, new]), np.concatenate([cos, c])
                 best = np.lexsort((found, -cos))[:k]
-                kept = found[best], cos[best]
-            if len(found) >= k:
-                away = math.sqrt(max(0.0, 2 - 2 * float(kept[1][-1])))
+                found, cos = found[best], cos[best]
+            if len(found) == k:
+                away = math.sqrt(max(0.0, 2 - 2 * float(cos[-1])))
                 p = math.erf(h / (away * math.sqrt(2))) if away > 0 else 1.0
                 if lines * p - certainty * math.sqrt(lines * p * (1 - p)) >= need:
                     break
             h *= WIDEN
-        if not len(found):
-            return found, cos, 0
-        return kept[0], kept[1], len(found)
+        return found, cos, verified
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -171,3 +171,15 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id: str = "doc_id", text: st
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return remove_spans(docs, duplicate_spans(docs), keep_text=False)
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+k AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS seed FROM s),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY seed) < doc_id AS known FROM k),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM f WHERE known) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, j: gone IS NULL OR NOT list_contains(gone, j)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

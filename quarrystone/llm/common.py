@@ -53,7 +53,7 @@ def text_blocks(df: DataFrame, text: str, megabytes: int = 8) -> int:
     return max(8, -(-size // (megabytes << 20)))
 
 
-def pieces(batches, column: str, max_bytes: int = 2 << 20, max_rows: int = 60_000):
+def pieces(batches, column: str, max_bytes: int = (2 << 20) - 1024, max_rows: int = 60_000):
     """Arrow batches cut into runs of rows with about ``max_bytes`` of text; a longer text stands alone."""
     for batch in batches:
         n = batch.num_rows

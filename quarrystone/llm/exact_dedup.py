@@ -19,45 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.bloom import MAX_BITS, asked, filter_bits, twice_filter
 from quarrystone.llm.common import SPACE, stored, table
 
-MAX_BITS = 1 << 25
-
-
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def _places(h: Column, bits: int) -> tuple[Column, Column]:
-    """The filter's 64-bit word of a hash, and its two bits there."""
-    return F.pmod(h, F.lit(bits // 64)), _bit(F.shiftrightunsigned(h, 52)).bitwiseOR(_bit(F.shiftrightunsigned(h, 58)))
-
-
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, 1 << max(10, (16 * max(1, rows) - 1).bit_length()))
-
-
-def repeated_filter(hashes: DataFrame, h: str, bits: int) -> DataFrame:
-    """Pass 1: (_x_word, _x_bits) of the bits that two rows or more set. At most ``bits / 64`` rows."""
-    word = F.pmod(F.col(h), F.lit(bits // 64)).alias("_x_word")
-    at = [F.shiftrightunsigned(F.col(h), n).bitwiseAND(F.lit(63)).cast("int") for n in (52, 58)]
-    set_by = hashes.select(word, F.explode(F.array_distinct(F.array(*at))).alias("_x_at")).groupBy("_x_word", "_x_at").count()
-    return set_by.where("count > 1").groupBy("_x_word").agg(F.bit_or(_bit(F.col("_x_at"))).alias("_x_bits"))
-
-
-def possibly_repeated(df: DataFrame, h: Column, repeated: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: ``df`` with ``_x_again``, false for rows whose hash no other row has. The filter's size is bounded, so it is broadcast."""
-    word, mask = _places(h, bits)
-    with_places = df.withColumns({"_x_word": word, "_x_mask": mask})
-    found = with_places.join(F.broadcast(repeated), "_x_word", "left")
-    again = F.coalesce(F.col("_x_bits").bitwiseAND(F.col("_x_mask")) == F.col("_x_mask"), F.lit(False))
-    return found.withColumn("_x_again", again).drop("_x_word", "_x_mask", "_x_bits")
-
-
 def _hashed(docs: DataFrame, id: str, text: str) -> DataFrame:
     norm = normalised(F.col(text))
     return docs.select(
@@ -68,24 +36,32 @@ def _hashed(docs: DataFrame, id: str, text: str) -> DataFrame:
     )
 
 
-def _winners(again: DataFrame) -> DataFrame:
+def _decided(again: DataFrame, rows: int) -> DataFrame:
+    """``again`` with its group's winner. Groups of over a thousandth of all rows, a thousand at most, are broadcast, so
+    that no hot group's rows meet in one task; the others are joined by their digest."""
     best = F.struct(-F.col("n"), F.col("id").isNull(), F.col("id"))
-    return again.groupBy("sha").agg(
+    groups = again.groupBy("sha").agg(
         F.min_by("id", best).alias("keep_id"), F.max("n").alias("keep_n"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = stored(groups, "dedup-groups")
+    hot = F.col("group_size") * 1000 > rows
+    marked = again.join(F.broadcast(groups.where(hot)), "sha", "left")
+    rest = marked.where("keep_n is null").select(again.columns).join(groups.where(~hot), "sha")
+    return marked.where("keep_n is not null").unionByName(rest)
 
 
 def duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every row."""
     hashed = stored(_hashed(docs, id, text), "dedup-hashes")
-    bits = filter_bits(hashed.count(), max_bits)
-    marked = possibly_repeated(hashed, F.col("h"), repeated_filter(hashed, "h", bits), bits)
+    rows = hashed.count()
+    bits = filter_bits(rows, max_bits)
+    marked = asked(hashed, F.col("h"), twice_filter(hashed, "h", bits), bits)
     unique = marked.where("not _x_again").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
     again = marked.where("_x_again")
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
-    decided = again.join(_winners(again), "sha").select("id", "keep_id", "group_size", kept.alias("kept"), "sha")
+    decided = _decided(again, rows).select("id", "keep_id", "group_size", kept.alias("kept"), "sha")
     return unique.unionByName(decided).select(
         F.col("id").alias(id), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
     )
@@ -95,13 +71,14 @@ def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text
     """The rows of ``docs`` that stay, with their columns. Unique texts pass straight through; only possibly repeated rows
     shuffle, as digests first, and then with their text to meet the decision."""
     hashed = stored(_hashed(docs, id, text), "dedup-hashes")
-    bits = filter_bits(hashed.count(), max_bits)
-    repeated = stored(repeated_filter(hashed, "h", bits), "dedup-filter")
-    again = possibly_repeated(hashed, F.col("h"), repeated, bits).where("_x_again")
-    decided = again.join(_winners(again), "sha")
+    rows = hashed.count()
+    bits = filter_bits(rows, max_bits)
+    repeated = stored(twice_filter(hashed, "h", bits), "dedup-filter")
+    again = asked(hashed, F.col("h"), repeated, bits).where("_x_again")
+    decided = _decided(again, rows)
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
     losers = decided.where(~kept).select(F.struct("id", "n").alias("_x_row")).distinct()
-    marked = possibly_repeated(docs, F.xxhash64(normalised(F.col(text))), repeated, bits)
+    marked = asked(docs, F.xxhash64(normalised(F.col(text))), repeated, bits)
     own = F.struct(F.col(id).alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"))
     stays = marked.where("_x_again").withColumn("_x_row", own)
     stays = stays.join(losers, stays["_x_row"].eqNullSafe(losers["_x_row"]), "left_anti").select(docs.columns)

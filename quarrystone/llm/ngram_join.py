@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.bloom import only_possible
 from quarrystone.llm.common import pieces, shared_dir, stored, table, text_blocks
 from quarrystone.llm.words import U, Words, blob, mix, shingle_sets, unblob
 from quarrystone.operators.components import connected_components
@@ -242,7 +243,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id: str, text: str, k: int, num: int, den: int, chunk: int = CHUNK):
         self.k, self.num, self.den, self.chunk = k, num, den, chunk
         self.spark = docs.sparkSession
-        self.blocks = text_blocks(docs, text)
+        self.blocks = text_blocks(docs, text, 24)
         self.rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text).alias("text"))
         table_ = stored(class_table(self.rows, k), "join-classes")
         reps = table_.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
@@ -267,7 +268,8 @@ class JaccardJoin:
 
     def _search(self, dealt: DataFrame, all_links: bool) -> DataFrame:
         """dealt: (doc, label, cell)."""
-        texts = self.rows.join(dealt.hint("shuffle_hash"), "doc")
+        dealt = stored(dealt, "join-dealt")
+        texts = only_possible(self.rows, "doc", dealt).join(dealt.hint("shuffle_hash"), "doc")
         total = dealt.agg(F.sum("n").alias("n")).first()["n"] or 0
         return search_chunks(texts, max(8, int(total) // (self.chunk // 2)), self.k, self.num, self.den, all_links)
 

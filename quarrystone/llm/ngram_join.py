@@ -37,7 +37,7 @@ from quarrystone.operators.components import connected_components
 
 _NULL_ID = np.iinfo(np.int64).max
 #: Shingles a task should hold at most, and pivots of a neighbourhood that is dealt out.
-CHUNK, PIVOTS = 1_000_000, 64
+CHUNK, PIVOTS = 400_000, 64
 
 
 def _least(n, num: int, den: int):

@@ -75,20 +75,32 @@ def _read_head(f) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(ids, pa.int64(), mask=gone), np.frombuffer(rest, "<u8", n, 9 * n).astype(np.int64), sizes
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """In two bytes an id where all fit."""
+    return ids.astype("<u2") if ids.max(initial=0) <= 0xFFFF else ids.astype("<u4")
+
+
+def _plain_ids(held: bytes, n: int) -> np.ndarray:
+    """The first byte is an id's size."""
+    raw = pa.decompress(held[1:], n * held[0], codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{held[0]}")
+
+
 def tokenise_ranges(docs: DataFrame, id: str, text: str, tokenizer: str, end: int, folder: str) -> DataFrame:
     """Plain ids of ascending ranges of documents, a file each; the manifest has (part, uri, n_docs, n_ids)."""
 
     def run(batches):
         encode = batch_tokenizer(tokenizer, end, keep_space=True).encode
-        docs_, lengths, held = [], [], []
+        docs_, lengths, parts = [], [], []
         for batch in pieces(batches, "text"):
             ids, at = encode(batch.column(1))
-            docs_.append(batch.column(0)), lengths.append(np.diff(at)), held.append(ids)
+            docs_.append(batch.column(0)), lengths.append(np.diff(at)), parts.append(_narrow(ids))
         if docs_:
-            doc_ids, n, ids = pa.concat_arrays(docs_), np.concatenate(lengths), np.concatenate(held).astype("<u4")
+            doc_ids, n, ids = pa.concat_arrays(docs_), np.concatenate(lengths), np.concatenate(parts)
             seen, counts = np.unique(ids, return_counts=True)
             foot = np.stack([seen.astype("<i8"), counts.astype("<i8")]).tobytes()
-            uri = write_file(folder, "plain", ".u32", [*_head(doc_ids, n, len(ids), len(foot), 0), ids.tobytes(), foot])
+            held = bytes([ids.itemsize]) + pa.compress(ids.tobytes(), codec="zstd", asbytes=True)
+            uri = write_file(folder, "plain", ".ids", [*_head(doc_ids, n, len(ids), len(foot), len(held)), held, foot])
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "uri": [uri], "n_docs": [len(n)], "n_ids": [len(ids)]}, MANIFEST)
 
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -109,7 +121,7 @@ def frequency_ranks(plain: DataFrame) -> np.ndarray:
             for uri in batch.column(0).to_pylist():
                 with open_file(uri) as f:
                     _, _, sizes = _read_head(f)
-                    foot = np.frombuffer(f.read_at(int(sizes[2]), 40 + 17 * int(sizes[0]) + 4 * int(sizes[1])), "<i8").reshape(2, -1)
+                    foot = np.frombuffer(f.read_at(int(sizes[2]), 40 + 17 * int(sizes[0]) + int(sizes[3])), "<i8").reshape(2, -1)
                 yield pa.RecordBatch.from_pydict({"id": foot[0], "n": foot[1]})
 
     counts = plain.select("uri").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -128,7 +140,7 @@ def encode_files(plain: DataFrame, ranks_uri: str, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with open_file(row["uri"]) as f:
                     doc_ids, lengths, sizes = _read_head(f)
-                    ids = np.frombuffer(f.read_at(4 * int(sizes[1]), 40 + 17 * int(sizes[0])), "<u4")
+                    ids = _plain_ids(f.read_at(int(sizes[3]), 40 + 17 * int(sizes[0])), int(sizes[1]))
                 control, data = encode_ranks(rank[ids])
                 head = _head(doc_ids, lengths, len(ids), len(control), len(data))
                 row["uri"] = write_file(folder, f"ids-{row['part']:06d}", ".qsids", [*head, control.tobytes(), data.tobytes()])

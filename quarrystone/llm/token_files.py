@@ -114,15 +114,21 @@ def _dealt(manifest: DataFrame) -> DataFrame:
 
 
 def frequency_ranks(plain: DataFrame) -> np.ndarray:
-    """Ids by falling frequency. Counts are summed by Spark; what comes back is no larger than the vocabulary."""
+    """Ids by falling frequency. A task adds up the counts of its files; what comes back is no larger than the vocabulary."""
 
     def run(batches):
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with open_file(uri) as f:
                     _, _, sizes = _read_head(f)
-                    foot = np.frombuffer(f.read_at(int(sizes[2]), 40 + 17 * int(sizes[0]) + int(sizes[3])), "<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_pydict({"id": foot[0], "n": foot[1]})
+                    seen, n = np.frombuffer(f.read_at(int(sizes[2]), 40 + 17 * int(sizes[0]) + int(sizes[3])), "<i8").reshape(2, -1)
+                if len(seen):
+                    total = np.concatenate([total, np.zeros(max(0, int(seen[-1]) + 1 - len(total)), np.int64)])
+                    total[seen] += n
+        ids = np.flatnonzero(total)
+        if len(ids):
+            yield pa.RecordBatch.from_pydict({"id": ids, "n": total[ids]})
 
     counts = plain.select("uri").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()], np.uint32)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +56,26 @@ def text_blocks(df: DataFrame, text: str, megabytes: int = 8) -> int:
     return max(8, -(-size // (megabytes << 20)))
 
 
+def release() -> None:
+    """Gives freed memory of a worker back to the system, where the C library can: workers live from task to task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_held: dict[tuple, object] = {}
+
+
+def worker_own(key: tuple, make):
+    """An object that a worker keeps from task to task: one at most, the last asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def pieces(batches, column: str, max_bytes: int = (2 << 20) - 1024, max_rows: int = 60_000):
     """Arrow batches cut into runs of rows with about ``max_bytes`` of text; a longer text stands alone."""
+    release()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -62,8 +83,6 @@ def pieces(batches, column: str, max_bytes: int = (2 << 20) - 1024, max_rows: in
         col = batch.column(batch.schema.get_field_index(column))
         if not pa.types.is_large_string(col.type):
             col = col.cast(pa.large_string())
-        import numpy as np
-
         at = np.frombuffer(col.buffers()[1], np.int64, n + 1, col.offset * 8)
         low = 0
         while low < n:
@@ -71,6 +90,7 @@ def pieces(batches, column: str, max_bytes: int = (2 << 20) - 1024, max_rows: in
             high = min(max(high, low + 1), n, low + max_rows)
             yield batch.slice(low, high - low)
             low = high
+    release()
 
 
 def binary_array(blobs) -> pa.Array:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, table
+from quarrystone.llm.common import pieces, table, worker_own
 
 LENGTH, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 16, 8
 PER_LANG, STEPS, BATCH, SEED = 400, 260, 96, 7
@@ -157,9 +157,6 @@ class Network:
         return np.add.reduceat(prob, first, axis=0) / np.maximum(size, 1)[:, None]
 
 
-_networks: dict[bytes, Network] = {}
-
-
 def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (all columns) with _lang and _score."""
     columns = docs.columns
@@ -170,11 +167,7 @@ def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str
     def run(batches):
         network = None
         if model is not None:
-            key = model["out"].tobytes()
-            if key not in _networks:
-                _networks.clear()
-                _networks[key] = Network(model)
-            network = _networks[key]
+            network = worker_own(("network", model["out"].tobytes()), lambda: Network(model))
         for batch in pieces(batches, text, 1 << 20):
             n = batch.num_rows
             known = batch.column(n_columns).to_numpy(zero_copy_only=False).astype(bool)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.bloom import only_possible
-from quarrystone.llm.common import pieces, shared_dir, stored, table, text_blocks
+from quarrystone.llm.common import pieces, release, shared_dir, stored, table, text_blocks
 from quarrystone.llm.words import U, Words, blob, mix, shingle_sets, unblob
 from quarrystone.operators.components import connected_components
 
@@ -76,6 +76,7 @@ BLOCKED = "block int, part binary"
 
 
 def _gathered(batches, n: int) -> list[np.ndarray]:
+    release()
     parts = [unblob(value) for batch in batches for value in batch.column(1).to_pylist()]
     return [np.concatenate([p[i] for p in parts]) for i in range(n)] if parts else []
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, table, text_blocks
+from quarrystone.llm.common import pieces, release, table, text_blocks
 from quarrystone.llm.words import U, Words, blob, mix, sliding_min, unblob
 
 WINDOW, ANCHOR = 50, 8
@@ -114,6 +114,7 @@ def parse_blocks(sent: DataFrame, blocks: int, window: int) -> DataFrame:
     """Each block's seeds parsed against the block; spans that came parsed pass through."""
 
     def run(batches):
+        release()
         docs_, places, seeds = [], [], []
         for batch in batches:
             for runs, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):

@@ -13,20 +13,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from quarrystone.llm.common import worker_own
 from quarrystone.llm.words import Words
 
 #: Distinct cuts that a worker keeps, about 60 bytes each; past it the worker starts anew.
-_CACHED_UNITS = 2_000_000
+_CACHED_UNITS = 1_000_000
 _RECENT = 100_000
-_workers: dict[tuple, BatchTokenizer] = {}
 
 
 def batch_tokenizer(path: str, end: int | None, keep_space: bool) -> BatchTokenizer:
     """The worker's own, kept from task to task."""
-    key = path, end, keep_space
-    if key not in _workers:
-        _workers[key] = BatchTokenizer(path, end, keep_space)
-    return _workers[key]
+    return worker_own(("tokens", path, end, keep_space), lambda: BatchTokenizer(path, end, keep_space))
 
 
 def _odd_space(data: np.ndarray) -> np.ndarray:

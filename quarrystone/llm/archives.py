@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import scratch_path, stored, table
+from quarrystone.llm.common import scratch_path, small_batches, stored, table
 from quarrystone.llm.files import open_file, write_file
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -102,6 +102,7 @@ def members(f) -> dict[str, tuple[int, int]]:
 
 def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes the archives; the manifest has (uri, records)."""
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("page"), F.col(url).cast("string").alias("url"), body.alias("html"))
     digests = stored(rows.select("page", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")), "archive-digests")

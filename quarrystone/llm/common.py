@@ -56,6 +56,14 @@ def text_blocks(df: DataFrame, text: str, megabytes: int = 8) -> int:
     return max(8, -(-size // (megabytes << 20)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows for this session: rows with whole texts are large, and executors hold a batch per task
+    on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def release() -> None:
     """Gives freed memory of a worker back to the system, where the C library can: workers live from task to task."""
     with contextlib.suppress(OSError, AttributeError):
@@ -73,7 +81,7 @@ def worker_own(key: tuple, make):
     return _held[key]
 
 
-def pieces(batches, column: str, max_bytes: int = (2 << 20) - 1024, max_rows: int = 60_000):
+def pieces(batches, column: str, max_bytes: int = (1 << 20) - 1024, max_rows: int = 60_000):
     """Arrow batches cut into runs of rows with about ``max_bytes`` of text; a longer text stands alone."""
     release()
     for batch in batches:

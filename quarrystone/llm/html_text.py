@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, table
+from quarrystone.llm.common import pieces, small_batches, table
 from quarrystone.llm.html_blocks import leaf_blocks
 from quarrystone.llm.words import U, Words
 
@@ -207,6 +207,7 @@ def main_texts(htmls: list[str | None], p: dict) -> list[str]:
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, p: dict | None = None) -> DataFrame:
     """The ``keep`` columns (all but ``html`` if None) with text and n_chars."""
     keep = [c for c in pages.columns if c != html] if keep is None else keep
+    small_batches(pages.sparkSession)
     held = p or model()
     rows = pages.select(*keep, F.col(html).alias("_html"))
     schema = pages.select(*keep, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, table, worker_own
+from quarrystone.llm.common import pieces, small_batches, table, worker_own
 
 LENGTH, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 16, 8
 PER_LANG, STEPS, BATCH, SEED = 400, 260, 96, 7
@@ -159,6 +159,7 @@ class Network:
 
 def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (all columns) with _lang and _score."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     named = docs.withColumns({"_lang": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str
         network = None
         if model is not None:
             network = worker_own(("network", model["out"].tobytes()), lambda: Network(model))
-        for batch in pieces(batches, text, 1 << 20):
+        for batch in pieces(batches, text):
             n = batch.num_rows
             known = batch.column(n_columns).to_numpy(zero_copy_only=False).astype(bool)
             lang, score = np.full(n, UNDETERMINED, object), np.zeros(n)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.bloom import only_possible
-from quarrystone.llm.common import pieces, release, shared_dir, stored, table, text_blocks
+from quarrystone.llm.common import pieces, release, shared_dir, small_batches, stored, table, text_blocks
 from quarrystone.llm.words import U, Words, blob, mix, shingle_sets, unblob
 from quarrystone.operators.components import connected_components
 
@@ -244,6 +244,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id: str, text: str, k: int, num: int, den: int, chunk: int = CHUNK):
         self.k, self.num, self.den, self.chunk = k, num, den, chunk
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.blocks = text_blocks(docs, text, 24)
         self.rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text).alias("text"))
         table_ = stored(class_table(self.rows, k), "join-classes")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, table
+from quarrystone.llm.common import pieces, small_batches, table
 from quarrystone.llm.tokens import batch_tokenizer
 from quarrystone.llm.words import U, mix
 
@@ -61,6 +61,7 @@ def first_fit_decreasing(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def cut_tokens(docs: DataFrame, id: str, text: str, groups: int, tokenizer: str, end: int, capacity: int, keep_ids: bool) -> DataFrame:
     """One row a cut: id, start, length, ids_crc32, doc_tokens, group (and ids)."""
+    small_batches(docs.sparkSession)
     fields = [("doc", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("group", "long")]
     fields += [("ids", "array<int>")] * keep_ids
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, release, table, text_blocks
+from quarrystone.llm.common import pieces, release, small_batches, table, text_blocks
 from quarrystone.llm.words import U, Words, blob, mix, sliding_min, unblob
 
 WINDOW, ANCHOR = 50, 8
@@ -71,7 +71,7 @@ def send_seeds(docs: DataFrame, blocks: int, window: int, anchor: int) -> DataFr
     """Per task: rows of (block, runs) to be parsed in their block, and rows of (block, spans) parsed here already."""
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             w = Words(batch.column(1))
             h = w.hashes()
@@ -135,6 +135,7 @@ def parse_blocks(sent: DataFrame, blocks: int, window: int) -> DataFrame:
 
 def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Factors: (doc, start, length, source_doc, source_start), in words; those of one document may overlap."""
+    small_batches(docs.sparkSession)
     blocks = text_blocks(docs, text)
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     return parse_blocks(send_seeds(rows, blocks, window, anchor), blocks, window)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, scratch_path, stored, table, text_blocks
+from quarrystone.llm.common import pieces, scratch_path, small_batches, stored, table, text_blocks
 from quarrystone.llm.files import delete_file, open_file, write_file
 from quarrystone.llm.tokens import batch_tokenizer
 
@@ -103,6 +103,7 @@ def tokenise_ranges(docs: DataFrame, id: str, text: str, tokenizer: str, end: in
             uri = write_file(folder, "plain", ".ids", [*_head(doc_ids, n, len(ids), len(foot), len(held)), held, foot])
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "uri": [uri], "n_docs": [len(n)], "n_ids": [len(ids)]}, MANIFEST)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     ranged = rows.repartitionByRange(text_blocks(docs, text, 16), F.col("doc").asc_nulls_first())
     return ranged.sortWithinPartitions(F.col("doc").asc_nulls_first(), "text").mapInArrow(run, "part int, uri string, n_docs long, n_ids long")

@@ -30,7 +30,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, U), np.full(size, _inverse(base), U)
         up[0] = down[0] = 1
         got = np.cumprod(up), np.cumprod(down)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[int(base)] = got
     return got
 

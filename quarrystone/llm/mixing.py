@@ -92,7 +92,8 @@ def source_cuts(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
     taken = inside.where(2 * F.col("upto") - F.col("size") <= 2 * F.col("left"))
     cuts = taken.groupBy("cut_source").agg(F.max(F.struct("key", F.col("id").isNull(), "id")).alias("cut"))
     known = targets.join(crossed, targets["source"].eqNullSafe(crossed["cut_source"]), "left").drop("cut_source", "before")
-    return known.join(cuts, known["source"].eqNullSafe(cuts["cut_source"]), "left").drop("cut_source", "left")
+    known = known.join(cuts, known["source"].eqNullSafe(cuts["cut_source"]), "left").drop("cut_source", "left")
+    return stored(known, "mix-cuts")  # one row a source: as a table of known size it is broadcast where it is small
 
 
 def copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ Blocks: all documents cannot be one block, and parsing each against each block w
 to blocks by content: by the least hash of the ``anchor``-word runs in them (its minimiser). Equal seeds have equal
 minimisers and meet in one block; neighbouring seeds mostly share theirs, so a block gets runs, eight bytes a word.
 Before that a task parses its own rows against each other, which settles copies inside the task: of a passage that is
-everywhere each task sends one occurrence, however many rows hold it.
+everywhere each task sends the occurrences in one document, however many rows hold it.
 
 Fingerprints have 64 bits beside the minimiser; a chance match of both is taken for equality.
 
@@ -86,7 +86,7 @@ def send_seeds(docs: DataFrame, blocks: int, window: int, anchor: int) -> DataFr
             source, known = first_occurrences(seeds, docs_)
             if known.any():
                 yield _sent(int(docs_[known][0] % blocks), None, blob(*factors(docs_, places, source, known, window).values()))
-            own = np.flatnonzero(source == np.arange(len(seeds)))
+            own = np.flatnonzero(~known)  # a document that repeats itself sends each occurrence
             if not len(own):
                 continue
             seeds, docs_, places, block = seeds[own], docs_[own], places[own], (mix(least[own].copy()) % U(blocks)).astype(np.int32)

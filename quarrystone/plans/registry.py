@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarrystone.functions.dialect import Check, Spark
+from quarrystone.plans import graphs
+from quarrystone.plans.bases import with_bases
+from quarrystone.plans.statements import STATEMENTS
+from quarrystone.sources.tables import register
+
+
+def statement(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    d = Spark()
+    return spark.sql(with_bases(d, STATEMENTS[name](d)))
+
 
 def queries() -> dict:
-    return {}
+    return {name: partial(statement, name) for name in STATEMENTS} | graphs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    d = Check()
+    return {name: with_bases(d, text(d)) for name, text in STATEMENTS.items()} | {k: with_bases(d, v) for k, v in graphs.SQL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statement("g6_similar_pairs", spark, sf_dir)

@@ -1,4 +1,89 @@
-"""Queries by operators beyond one SQL statement."""
+"""Queries by operators beyond one SQL statement, on bounded networks of the engine's tables."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrystone.functions.dialect import Spark
+from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
+from quarrystone.operators import centrality, topology
+from quarrystone.operators.components import connected_components
+from quarrystone.operators.scratch import shared_folder
+from quarrystone.operators.upsert import upsert
+from quarrystone.plans.bases import with_bases
+from quarrystone.sources.tables import register
+
+
+def _sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    register(spark, sf_dir)
+    return spark.sql(with_bases(Spark(), body))
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs, written once: every operator below reads them more than once."""
+    path = f"{shared_folder(spark)}/links-{abs(hash((sf_dir, id(spark))))}"
+    _sql(spark, sf_dir, "SELECT * FROM links").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def s9_upsert(spark, sf_dir):
+    old = _sql(spark, sf_dir, "SELECT v1, v2, similarity, dist FROM queue WHERE dist <= 3")
+    new = _sql(spark, sf_dir, "SELECT v1, v2, similarity * 0.9 AS similarity, dist + 1 AS dist FROM queue WHERE dist >= 2")
+    return upsert(old, new, ["v1", "v2"], {"similarity": "greatest", "dist": "least"}).withColumn("similarity", F.round("similarity", 6))
+
+
+def x2_osa_distance(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT v1, v2 FROM queue").withColumn("dist", osa("v1", "v2"))
+
+
+def x3_hamming_columns(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT v1, v2 FROM queue").withColumn("dist", extended_hamming(F.col("v1"), F.col("v2")).cast("long"))
+
+
+def x29_token_positions(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "SELECT doc_id, text FROM docs").select("doc_id", F.explode(token_positions("text")).alias("t"))
+    return rows.select("doc_id", "t.*")
+
+
+def g8_h0_persistence(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    return topology.h0_persistence(links, spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 500").count())
+
+
+def g10_betti_curve(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    vertices = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 500").count()
+    return topology.betti_curve(links, vertices, [round(0.2 + 0.05 * i, 2) for i in range(16)])
+
+
+def g15_connected_components(spark, sf_dir):
+    return connected_components(_links(spark, sf_dir), shared_folder(spark))
+
+
+def g17_path_metrics(spark, sf_dir):
+    return centrality.path_metrics(_links(spark, sf_dir))
+
+
+def g18_pagerank(spark, sf_dir):
+    return centrality.pagerank(_links(spark, sf_dir))
+
+
+def g18_clustering(spark, sf_dir):
+    found = centrality.clustering(_links(spark, sf_dir))
+    return found.select("node", F.round("clustering", 6).alias("clustering"))
+
+
+def g19_label_propagation(spark, sf_dir):
+    return centrality.label_propagation(_links(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation)}
+
+SQL = {
+    "s9_upsert": "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, round(greatest(a.similarity, b.similarity), 6) AS similarity, least(a.dist, b.dist) AS dist FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * CAST(0.9 AS DOUBLE) AS similarity, dist + 1 AS dist FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",
+    "x3_hamming_columns": "SELECT v1, v2, CAST(len(list_filter(generate_series(1, least(length(v1), length(v2))), lambda i: substr(v1, i, 1) <> substr(v2, i, 1))) + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
+    "g15_connected_components": "WITH RECURSIVE e AS (SELECT u, v FROM links UNION SELECT v, u FROM links), r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u) SELECT node, min(reached) AS component FROM r GROUP BY node",
+    "g18_clustering": "SELECT k.u AS node, round(CASE WHEN k.n > 1 THEN 2.0 * coalesce(t.n, 0) / CAST(k.n * (k.n - 1) AS DOUBLE) ELSE 0 END, 6) AS clustering FROM (SELECT u, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u) k LEFT JOIN (SELECT node, count(*) AS n FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM links x JOIN links y ON x.v = y.u JOIN links z ON z.u = x.u AND z.v = y.v) c GROUP BY node) t ON k.u = t.node",
+    "g10_betti_curve": "WITH RECURSIVE grid AS (SELECT round(0.2 + i * CAST(0.05 AS DOUBLE), 2) AS threshold FROM (SELECT unnest(generate_series(0, 15)) AS i) g), e AS (SELECT threshold, u, v FROM links JOIN grid ON w >= threshold UNION SELECT threshold, v, u FROM links JOIN grid ON w >= threshold), n AS (SELECT threshold, doc_id AS node FROM documents, grid WHERE doc_id < 500), r AS (SELECT threshold, node, node AS reached FROM n UNION SELECT r.threshold, r.node, e.v FROM r JOIN e ON r.reached = e.u AND r.threshold = e.threshold), c AS (SELECT threshold, count(DISTINCT m) AS b FROM (SELECT threshold, node, min(reached) AS m FROM r GROUP BY threshold, node) x GROUP BY threshold), k AS (SELECT grid.threshold, count(w) AS n FROM grid LEFT JOIN links ON w >= grid.threshold GROUP BY grid.threshold) SELECT k.threshold, c.b AS betti_0, k.n - (SELECT count(*) FROM documents WHERE doc_id < 500) + c.b AS betti_1, k.n AS num_edges FROM k JOIN c ON k.threshold = c.threshold",
+}

@@ -40,25 +40,25 @@ BASES = {
         CROSS JOIN (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM loaded) c) z""",
     "pairs": lambda d: """SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, round(sum(a.w * b.w), 6) AS cosine_similarity
         FROM tfidf a JOIN tfidf b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING round(sum(a.w * b.w), 6) >= 0.1""",
-    "aliases": lambda d: f"""SELECT DISTINCT {_person('c_name')} AS canonical_name, upper({_person('c_name')}) AS alias_name, CAST(1.0 AS DOUBLE) AS confidence_score, 'manual' AS disambiguation_method FROM customer WHERE c_custkey % 3 = 0
-        UNION ALL SELECT DISTINCT {_person('c_name')}, substr({_person('c_name')}, 1, 1) || '. ' || substr({_person('c_name')}, 5), CAST(0.9 AS DOUBLE), 'auto' FROM customer WHERE c_custkey % 5 = 0""",
-    "exclusions": lambda d: f"SELECT DISTINCT {_person('c_name')} AS entity_name, 'not_a_person' AS exclusion_reason FROM customer WHERE c_custkey % 11 = 0",
+    "aliases": lambda d: f"""SELECT DISTINCT {_person('c_name')} AS canonical_name, upper({_person('c_name')}) AS alias_name, CAST(1.0 AS DOUBLE) AS confidence_score, 'manual' AS disambiguation_method FROM customer WHERE c_acctbal > 6000
+        UNION ALL SELECT DISTINCT {_person('c_name')}, substr({_person('c_name')}, 1, 1) || '. ' || substr({_person('c_name')}, 5), CAST(0.9 AS DOUBLE), 'auto' FROM customer WHERE c_acctbal < 1000""",
+    "exclusions": lambda d: f"SELECT DISTINCT {_person('c_name')} AS entity_name, 'not_a_person' AS exclusion_reason FROM customer WHERE c_acctbal BETWEEN 3000 AND 3500",
     "canonical": lambda d: """SELECT DISTINCT m.file_path, coalesce(a.canonical_name, m.name_string) AS canonical_name FROM mentions m
         LEFT JOIN (SELECT lower(alias_name) AS k, min(canonical_name) AS canonical_name FROM aliases GROUP BY lower(alias_name)) a ON lower(m.name_string) = a.k
         LEFT ANTI JOIN exclusions e ON m.name_string = e.entity_name""",
     "cooccurrence": lambda d: """SELECT a.canonical_name AS person_1, b.canonical_name AS person_2, count(DISTINCT a.file_path) AS shared
         FROM canonical a JOIN canonical b ON a.file_path = b.file_path AND a.canonical_name < b.canonical_name GROUP BY 1, 2 HAVING count(DISTINCT a.file_path) >= 2""",
-    "persons": lambda d: f"SELECT c_custkey AS id, {_person('c_name')} AS name, 'person' AS kind FROM customer WHERE c_custkey < 300",
-    "entities": lambda d: "SELECT CAST(id AS BIGINT) AS entity_id, name, kind FROM persons UNION ALL SELECT CAST(100000 + s_suppkey AS BIGINT), 'Company ' || CAST(s_suppkey AS STRING), 'company' FROM supplier WHERE s_suppkey < 60",
-    "relations": lambda d: """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, CAST(100000 + l_suppkey AS BIGINT) AS tgt, CASE WHEN l_returnflag = 'R' THEN 'associate' WHEN l_linestatus = 'O' THEN 'founder' ELSE 'executive' END AS type,
-        CASE WHEN l_quantity > 25 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 300 AND l_suppkey < 60""",
+    "persons": lambda d: f"SELECT c_custkey AS id, {_person('c_name')} AS name, 'person' AS kind FROM customer",
+    "entities": lambda d: "SELECT CAST(id AS BIGINT) AS entity_id, name, kind FROM persons UNION ALL SELECT CAST(1000000000 + s_suppkey AS BIGINT), 'Company ' || CAST(s_suppkey AS STRING), 'company' FROM supplier",
+    "relations": lambda d: """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, CAST(1000000000 + l_suppkey AS BIGINT) AS tgt, CASE WHEN l_returnflag = 'R' THEN 'associate' WHEN l_linestatus = 'O' THEN 'founder' ELSE 'executive' END AS type,
+        CASE WHEN l_quantity >= 50 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48""",
     "edges": lambda d: "SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS weight FROM relations GROUP BY 1, 2",
     "sides": lambda d: "SELECT u, v, weight FROM edges UNION ALL SELECT v, u, weight FROM edges",
     "queue": lambda d: """SELECT a.name AS v1, b.name AS v2, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist, round(1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE), 6) AS similarity
-        FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 2) = substr(b.name, 1, 2) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 5""",
+        FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 5""",
     "features": lambda d: "SELECT doc_id_1 * 100000 + doc_id_2 AS feature, 1.0 - cosine_similarity AS persistence FROM pairs WHERE cosine_similarity >= 0.3",
     "members": lambda d: "SELECT CAST(vec_id AS BIGINT) AS node, CAST(label AS BIGINT) AS community FROM embeddings",
-    "links": lambda d: "SELECT doc_id_1 AS u, doc_id_2 AS v, cosine_similarity AS w FROM pairs WHERE doc_id_2 < 500 AND cosine_similarity >= 0.2",
+    "links": lambda d: "SELECT doc_id_1 AS u, doc_id_2 AS v, cosine_similarity AS w FROM pairs WHERE cosine_similarity >= 0.3",
 }
 
 

@@ -1,4 +1,4 @@
-"""Queries by operators beyond one SQL statement, on bounded networks of the engine's tables."""
+"""Queries by operators beyond one SQL statement, on the engine's networks."""
 
 from __future__ import annotations
 
@@ -48,13 +48,13 @@ def x29_token_positions(spark, sf_dir):
 
 def g8_h0_persistence(spark, sf_dir):
     links = _links(spark, sf_dir)
-    return topology.h0_persistence(links, spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 500").count())
+    return topology.h0_persistence(links, spark.read.parquet(f"{sf_dir}/documents.parquet").count())
 
 
 def g10_betti_curve(spark, sf_dir):
     links = _links(spark, sf_dir)
-    vertices = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 500").count()
-    return topology.betti_curve(links, vertices, [round(0.2 + 0.05 * i, 2) for i in range(16)])
+    vertices = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    return topology.betti_curve(links, vertices, [round(0.3 + 0.05 * i, 2) for i in range(14)])
 
 
 def g15_connected_components(spark, sf_dir):
@@ -85,5 +85,5 @@ SQL = {
     "x3_hamming_columns": "SELECT v1, v2, CAST(len(list_filter(generate_series(1, least(length(v1), length(v2))), lambda i: substr(v1, i, 1) <> substr(v2, i, 1))) + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
     "g15_connected_components": "WITH RECURSIVE e AS (SELECT u, v FROM links UNION SELECT v, u FROM links), r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u) SELECT node, min(reached) AS component FROM r GROUP BY node",
     "g18_clustering": "SELECT k.u AS node, round(CASE WHEN k.n > 1 THEN 2.0 * coalesce(t.n, 0) / CAST(k.n * (k.n - 1) AS DOUBLE) ELSE 0 END, 6) AS clustering FROM (SELECT u, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u) k LEFT JOIN (SELECT node, count(*) AS n FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM links x JOIN links y ON x.v = y.u JOIN links z ON z.u = x.u AND z.v = y.v) c GROUP BY node) t ON k.u = t.node",
-    "g10_betti_curve": "WITH RECURSIVE grid AS (SELECT round(0.2 + i * CAST(0.05 AS DOUBLE), 2) AS threshold FROM (SELECT unnest(generate_series(0, 15)) AS i) g), e AS (SELECT threshold, u, v FROM links JOIN grid ON w >= threshold UNION SELECT threshold, v, u FROM links JOIN grid ON w >= threshold), n AS (SELECT threshold, doc_id AS node FROM documents, grid WHERE doc_id < 500), r AS (SELECT threshold, node, node AS reached FROM n UNION SELECT r.threshold, r.node, e.v FROM r JOIN e ON r.reached = e.u AND r.threshold = e.threshold), c AS (SELECT threshold, count(DISTINCT m) AS b FROM (SELECT threshold, node, min(reached) AS m FROM r GROUP BY threshold, node) x GROUP BY threshold), k AS (SELECT grid.threshold, count(w) AS n FROM grid LEFT JOIN links ON w >= grid.threshold GROUP BY grid.threshold) SELECT k.threshold, c.b AS betti_0, k.n - (SELECT count(*) FROM documents WHERE doc_id < 500) + c.b AS betti_1, k.n AS num_edges FROM k JOIN c ON k.threshold = c.threshold",
+    "g10_betti_curve": "WITH RECURSIVE grid AS (SELECT round(0.3 + i * CAST(0.05 AS DOUBLE), 2) AS threshold FROM (SELECT unnest(generate_series(0, 13)) AS i) g), e AS (SELECT threshold, u, v FROM links JOIN grid ON w >= threshold UNION SELECT threshold, v, u FROM links JOIN grid ON w >= threshold), n AS (SELECT threshold, doc_id AS node FROM documents, grid), r AS (SELECT threshold, node, node AS reached FROM n UNION SELECT r.threshold, r.node, e.v FROM r JOIN e ON r.reached = e.u AND r.threshold = e.threshold), c AS (SELECT threshold, count(DISTINCT m) AS b FROM (SELECT threshold, node, min(reached) AS m FROM r GROUP BY threshold, node) x GROUP BY threshold), k AS (SELECT grid.threshold, count(w) AS n FROM grid LEFT JOIN links ON w >= grid.threshold GROUP BY grid.threshold) SELECT k.threshold, c.b AS betti_0, k.n - (SELECT count(*) FROM documents) + c.b AS betti_1, k.n AS num_edges FROM k JOIN c ON k.threshold = c.threshold",
 }

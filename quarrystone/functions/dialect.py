@@ -76,6 +76,12 @@ class Spark:
     def json(self, x, key):
         return f"get_json_object({x}, '$.{key}')"
 
+    def array(self, items):
+        return f"array({', '.join(items)})"
+
+    def most(self, xs):
+        return f"array_max({xs})"
+
 
 class Check(Spark):
     def lit(self, p):
@@ -149,3 +155,9 @@ class Check(Spark):
 
     def json(self, x, key):
         return f"json_extract_string({x}, '$.{key}')"
+
+    def array(self, items):
+        return f"[{', '.join(items)}]"
+
+    def most(self, xs):
+        return f"list_max({xs})"

@@ -49,6 +49,10 @@ BASES = {
     "cooccurrence": lambda d: """SELECT a.canonical_name AS person_1, b.canonical_name AS person_2, count(DISTINCT a.file_path) AS shared
         FROM canonical a JOIN canonical b ON a.file_path = b.file_path AND a.canonical_name < b.canonical_name GROUP BY 1, 2 HAVING count(DISTINCT a.file_path) >= 2""",
     "persons": lambda d: f"SELECT c_custkey AS id, {_person('c_name')} AS name, 'person' AS kind FROM customer",
+    "variants": lambda d: """SELECT id, CASE k WHEN 0 THEN name WHEN 1 THEN 'Dr. ' || name WHEN 2 THEN name || '''s' WHEN 3 THEN substr(name, 1, 1) || '. ' || substr(name, 5) WHEN 4 THEN name || ' Sent CC' WHEN 5 THEN substr(name, 1, 1) || '. Q. ' || substr(name, 5)
+        WHEN 6 THEN replace(name, 'e', 'rn') ELSE upper(name) || ' Esq.' END AS variant FROM persons CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS f(k)) g""",
+    "noise": lambda d: """SELECT CASE p_partkey % 10 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN '@' || p_brand WHEN 2 THEN 'ANNEXED SCHEDULE' WHEN 3 THEN 'DOC' || CAST(p_partkey AS STRING) WHEN 4 THEN 'Page ' || CAST(p_size AS STRING) WHEN 5 THEN '1/' || CAST(p_size AS STRING) || '/1999'
+        WHEN 6 THEN 'Volume ' || CAST(p_size AS STRING) WHEN 7 THEN CAST(p_size AS STRING) || 'th' WHEN 8 THEN 'Exhibit ' || substr(p_brand, 1, 1) ELSE CASE WHEN p_size % 2 = 0 THEN ' ' ELSE p_name END END AS s FROM part""",
     "entities": lambda d: "SELECT CAST(id AS BIGINT) AS entity_id, name, kind FROM persons UNION ALL SELECT CAST(1000000000 + s_suppkey AS BIGINT), 'Company ' || CAST(s_suppkey AS STRING), 'company' FROM supplier",
     "relations": lambda d: """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, CAST(1000000000 + l_suppkey AS BIGINT) AS tgt, CASE WHEN l_returnflag = 'R' THEN 'associate' WHEN l_linestatus = 'O' THEN 'founder' ELSE 'executive' END AS type,
         CASE WHEN l_quantity >= 50 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48""",

@@ -7,11 +7,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.functions.dialect import Check, Spark
-from quarrystone.plans import graphs
+from quarrystone.plans import graphs, resolution
 from quarrystone.plans.bases import with_bases
-from quarrystone.plans.statements import STATEMENTS
+from quarrystone.plans import statements
 from quarrystone.sources.tables import register
 
+STATEMENTS = statements.STATEMENTS | resolution.STATEMENTS
+
 
 def statement(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir)

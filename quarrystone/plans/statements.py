@@ -91,20 +91,11 @@ STATEMENTS = {
     "x1_levenshtein": lambda d: "SELECT v1, v2, CAST(levenshtein(v1, v2) AS BIGINT) AS dist FROM queue",
     "x3_extended_hamming": lambda d: f"SELECT v1, v2, CAST({d.size(d.keep(d.seq(1, 'least(length(v1), length(v2))'), 'i', 'substr(v1, CAST(i AS INT), 1) <> substr(v2, CAST(i AS INT), 1)'))} + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
     "x4_edit_similarity": lambda d: "SELECT v1, v2, similarity FROM queue",
-    "x7_normalised_name": lambda d: f"SELECT DISTINCT name, trim({d.rx_rep(d.rx_rep('lower(name)', '\\b(dr|mr|mrs|ms|prof)[.]? ', ''), '[.]', '')}) AS plain FROM (SELECT 'Dr. ' || name AS name FROM persons UNION ALL SELECT alias_name FROM aliases) t",
-    "x8_initials_pattern": lambda d: f"SELECT DISTINCT alias_name, CASE WHEN {d.rx('alias_name', '^[A-Z][.] ')} THEN substr(alias_name, 1, 1) || ' ' || substr(alias_name, 4, 1) END AS pattern FROM aliases",
-    "x10_ocr_variants": lambda d: f"SELECT word, replace(word, 'rn', 'm') AS a, replace(word, 'm', 'rn') AS b, replace(word, 'cl', 'd') AS c FROM dictionary",
-    "x11_auto_exclusion": lambda d: f"SELECT s, CASE WHEN {d.rx('s', '^[0-9]+$')} THEN 'all_digits' WHEN {d.rx('s', '@')} THEN 'email' WHEN {d.rx('s', '^[0-9]+(st|nd|rd|th)$')} THEN 'ordinal_number' WHEN {d.rx('s', '(?i)^page [0-9]+')} THEN 'page_number' END AS reason FROM (SELECT CAST(p_size AS STRING) || CASE p_size % 3 WHEN 0 THEN 'th' WHEN 1 THEN '' ELSE '@x' END AS s FROM part UNION ALL SELECT 'Page ' || CAST(p_size AS STRING) FROM part) t",
-    "x12_artifact_suffixes": lambda d: "SELECT name, CASE WHEN right(n2, 3) = ' CC' THEN left(n2, length(n2) - 3) ELSE n2 END AS plain FROM (SELECT name, CASE WHEN right(name, 5) = ' Sent' THEN left(name, length(name) - 5) ELSE name END AS n2 FROM (SELECT name || CASE id % 3 WHEN 0 THEN ' Sent' WHEN 1 THEN ' CC' ELSE ' CC Sent' END AS name FROM persons) a) b",
     "x13_canonical_names": lambda d: "SELECT file_path, canonical_name FROM canonical",
     "x14_text_corrections": lambda d: "SELECT doc_id, md5(replace(replace(text, 'the', 'THE'), 'of', 'OF')) AS digest FROM docs",
     "x15_clean_name": lambda d: f"SELECT c_name, trim({d.rx_rep(d.rx_rep('c_name', '[^A-Za-z .-]', ' '), ' +', ' ')}) AS plain FROM customer",
     "x16_valid_names": lambda d: f"SELECT DISTINCT name_string FROM names WHERE length(name_string) BETWEEN 3 AND 50 AND NOT {d.rx('name_string', '[0-9]')} AND lower(name_string) NOT IN ('this', 'that', 'with', 'from')",
     "x17_valid_locations": lambda d: f"SELECT DISTINCT location_string FROM places WHERE length(location_string) > 2 AND {d.rx('location_string', '^[A-Za-z ]+$')}",
-    "x19_ocr_pattern": lambda d: f"SELECT a.word AS word, b.word AS correction, CASE WHEN a.word LIKE '%i%' AND replace(a.word, 'i', 'l') = b.word THEN 'i->l' WHEN replace(a.word, 'e', 'c') = b.word THEN 'e->c' END AS pattern FROM dictionary a JOIN dictionary b ON length(a.word) = length(b.word) AND substr(a.word, 1, 2) = substr(b.word, 1, 2) AND levenshtein(a.word, b.word) = 1",
-    "x20_boundary_prefix_suffix": lambda d: "SELECT a.word AS word, b.word AS correction, 'suffix:' || substr(a.word, length(b.word) + 1) || '->' AS pattern FROM dictionary a JOIN dictionary b ON substr(a.word, 1, length(a.word) - 1) = b.word UNION ALL SELECT a.word, b.word, 'prefix:' || substr(a.word, 1, 1) || '->' FROM dictionary a JOIN dictionary b ON substr(a.word, 2) = b.word",
-    "x21_correction_confidence": lambda d: "SELECT v1, v2, CASE WHEN dist = 1 THEN 'HIGH' WHEN dist <= 2 THEN 'HIGH' WHEN dist <= 4 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM queue",
-    "x22_token_flags": lambda d: f"SELECT w, {d.rx('w', '^[0-9]')} AS number_like, {d.rx('w', '^[ivxlcdm]+$')} AS roman, length(w) <= 2 AND w NOT IN ('a', 'i', 'of', 'to', 'in', 'is', 'it', 'on', 'at', 'by') AS fragment FROM (SELECT DISTINCT word AS w FROM words) t",
     "x24_foreign_words": lambda d: "SELECT word, lang FROM (SELECT s.word, f.lang, row_number() OVER (PARTITION BY s.word ORDER BY f.n DESC, f.lang) AS rn FROM (SELECT DISTINCT word FROM spelling) s JOIN (SELECT word, lang, count(*) AS n FROM words WHERE lang <> 'en' GROUP BY word, lang) f ON s.word = f.word) t WHERE rn = 1",
     "x25_foreign_confidence": lambda d: "SELECT word, CASE WHEN n >= 10 THEN 'HIGH' WHEN n >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT word, count(*) AS n FROM words WHERE lang <> 'en' GROUP BY word) t",
     "x27_spell_corrections": lambda d: f"""SELECT word, correction FROM (SELECT s.word, x.word AS correction, row_number() OVER (PARTITION BY s.word ORDER BY levenshtein(s.word, x.word), x.freq DESC, x.word) AS rn FROM (SELECT DISTINCT s.word, x.word AS cand, x.freq FROM
@@ -142,7 +133,6 @@ STATEMENTS = {
     "g4_term_cooccurrence": lambda d: "SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM (SELECT t.* FROM tdm t JOIN (SELECT term FROM tdm GROUP BY term ORDER BY count(*) DESC, term LIMIT 40) k ON t.term = k.term) a JOIN (SELECT t.* FROM tdm t JOIN (SELECT term FROM tdm GROUP BY term ORDER BY count(*) DESC, term LIMIT 40) k ON t.term = k.term) b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2",
     "g5_tfidf": lambda d: "SELECT doc_id, term, round(w, 6) AS w FROM tfidf",
     "g6_similar_pairs": lambda d: "SELECT * FROM pairs",
-    "g7_entity_weighted_similarity": lambda d: "SELECT p.doc_id_1, p.doc_id_2, round(CAST(0.7 AS DOUBLE) * p.cosine_similarity + CAST(CASE WHEN d1.source = d2.source THEN 0.3 ELSE 0 END AS DOUBLE), 8) AS similarity FROM pairs p JOIN documents d1 ON p.doc_id_1 = d1.doc_id JOIN documents d2 ON p.doc_id_2 = d2.doc_id",
     "g11_significant_features": lambda d: "SELECT feature, persistence >= p90 AS top, persistence >= q3 + 1.5 * (q3 - q1) AS outlier FROM features CROSS JOIN (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY persistence) AS p90, percentile_cont(0.75) WITHIN GROUP (ORDER BY persistence) AS q3, percentile_cont(0.25) WITHIN GROUP (ORDER BY persistence) AS q1 FROM features) s",
     "g12_persistent_features": lambda d: "SELECT feature, persistence, CAST(row_number() OVER (ORDER BY persistence DESC, feature) AS BIGINT) AS rank FROM features ORDER BY persistence DESC, feature LIMIT 20",
     "g16_degree_centrality": lambda d: "SELECT n.entity_id, coalesce(x.degree, 0) AS degree, round(coalesce(x.degree, 0) / CAST(c.n - 1 AS DOUBLE), 6) AS centrality FROM entities n LEFT JOIN (SELECT u, count(*) AS degree FROM sides GROUP BY u) x ON n.entity_id = x.u CROSS JOIN (SELECT count(*) AS n FROM entities) c",

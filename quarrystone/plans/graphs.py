@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.dialect import Spark
+from quarrystone.functions import names
 from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
-from quarrystone.operators import centrality, topology
+from quarrystone.functions.openers import opener
+from quarrystone.functions.phonetic import codes, likeness
+from quarrystone.operators import centrality, cycles, thresholds, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import shared_folder
 from quarrystone.operators.upsert import upsert
@@ -78,7 +81,44 @@ def g19_label_propagation(spark, sf_dir):
     return centrality.label_propagation(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation)}
+def x5_phonetic_codes(spark, sf_dir):
+    """(variant, first, second): codes of each form of a name, joined by a space."""
+    d = Spark()
+    rows = _sql(spark, sf_dir, f"SELECT DISTINCT variant, {names.normalised(d, 'variant')} AS plain FROM variants")
+    return rows.withColumn("c", codes("plain")).select("variant", F.array_join("c.first", " ").alias("first"), F.array_join("c.second", " ").alias("second"))
+
+
+def e5_phonetic_candidates(spark, sf_dir):
+    """(v1, v2, score): pairs of different normalised names with a token code in common, in either coding, and a likeness of at least 0.5.
+
+    Names are distinct before they are paired, and a pair is met once by the hash of its ends, however many codes it shares."""
+    d = Spark()
+    rows = _sql(spark, sf_dir, f"SELECT DISTINCT {names.normalised(d, 'name')} AS plain FROM persons").withColumn("c", codes("plain"))
+    coded = rows.select("plain", F.col("c.first").alias("first"), F.explode(F.array_distinct(F.array(F.array_join("c.first", " "), F.array_join("c.second", " ")))).alias("code")).where("code <> ''")
+    a, b = coded.alias("a"), coded.alias("b")
+    pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.plain") < F.col("b.plain")))
+    scored = pairs.select(F.col("a.plain").alias("v1"), F.col("b.plain").alias("v2"), likeness(F.col("a.first"), F.col("b.first")).alias("score"))
+    return scored.where("score >= 0.5").dropDuplicates(["v1", "v2"])
+
+
+def x32_openers(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT doc_id, text FROM docs").select("doc_id", opener(F.trim("text")).alias("opener"))
+
+
+def g9_h1_persistence(spark, sf_dir):
+    return cycles.h1_persistence(_links(spark, sf_dir).where("w >= 0.5"), shared_folder(spark))
+
+
+def g13_threshold_vote(spark, sf_dir):
+    vertices = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    return thresholds.candidates(_links(spark, sf_dir), vertices, shared_folder(spark), n=20)
+
+
+def g18_eigenvector(spark, sf_dir):
+    return centrality.eigenvector(_links(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, e5_phonetic_candidates, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation)}
 
 SQL = {
     "s9_upsert": "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, round(greatest(a.similarity, b.similarity), 6) AS similarity, least(a.dist, b.dist) AS dist FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * CAST(0.9 AS DOUBLE) AS similarity, dist + 1 AS dist FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",

@@ -32,3 +32,11 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statement("g6_similar_pairs", spark, sf_dir)
+
+
+def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (u, v, w) and the documents they join (node, path)."""
+    register(spark, sf_dir)
+    d = Spark()
+    edges = spark.sql(with_bases(d, "SELECT u, v, w FROM links"))
+    return edges, spark.sql(with_bases(d, "SELECT doc_id AS node, path FROM docs"))

@@ -8,6 +8,14 @@ from quarrystone.functions import spelling as S
 GRID = "SELECT i AS step, round(0.3 + i * CAST(0.05 AS DOUBLE), 2) AS threshold"
 CORRECTIONS = "VALUES ('map', 'Land A', 'Land Alpha'), ('map', 'Land B', 'Land Beta'), ('drop', 'Land C', NULL), ('drop', 'Land D', NULL), ('place', 'Land E', 'One Land E Plaza')"
 REPLACED = [("teh", "the"), ("recieve", "receive"), ("the", "THE"), ("and", "AND")]
+# Five families of written dates; they overlap, and every occurrence of each is kept.
+DATE_FAMILIES = [
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?", "numeric with time"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", "numeric"),
+    (r"[0-9]{1,2} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{4}", "day month year"),
+    (r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{1,2}, [0-9]{4}", "month day year"),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}", "iso"),
+]
 DESCRIPTIONS = [("document_quality", "errors and scores of each document"), ("document_entities", "names and verbs of each document"), ("person_cooccurrence", "persons who share documents"), ("location_summary", "places by documents")]
 
 
@@ -56,6 +64,12 @@ def _corrected(d) -> str:
     return text
 
 
+def _dated_notes(d) -> str:
+    day, year, month = "CAST(day(o_orderdate) AS STRING)", "CAST(year(o_orderdate) AS STRING)", "CAST(month(o_orderdate) AS STRING)"
+    name = "CASE month(o_orderdate) " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate("January February March April May June July August September October November December".split(), 1)) + " END"
+    return f"(SELECT o_orderkey, {month} || '/' || {day} || '/' || {year} || ' 9:05, ' || {day} || ' ' || {name} || ' ' || {year} || '; ' || {name} || ' ' || {day} || ', ' || {year} || ' = ' || {year} || '-' || lpad({month}, 2, '0') || '-' || lpad({day}, 2, '0') || 'T10:00' AS note FROM orders)"
+
+
 def _word_pairs() -> str:
     return "(SELECT a.word AS a, b.word AS b FROM dictionary a JOIN dictionary b ON a.word <> b.word AND substr(a.word, 2, 2) = substr(b.word, 2, 2) AND abs(length(a.word) - length(b.word)) <= 2 UNION ALL SELECT replace(word, 'l', '1'), word FROM dictionary WHERE contains(word, 'l'))"
 
@@ -78,6 +92,8 @@ STATEMENTS = {
         FROM (SELECT w, {S.date_or_number(d, 'w')} AS dated, {S.page_or_roman(d, 'w')} AS paged FROM (SELECT DISTINCT lower(w) AS w FROM (SELECT {d.each(d.rx_all('text', '[A-Za-z0-9]+'))} AS w FROM docs) t) u) v""",
     "x23_foreign_looking_words": lambda d: f"SELECT w, {S.looks_foreign(d, 'w')} AS foreign_looking FROM (SELECT DISTINCT word AS w FROM words) t",
     "x26_translations": lambda d: "SELECT s.word, t.en FROM (SELECT DISTINCT word FROM spelling) s LEFT JOIN (SELECT word, min(lang) || ':' || word AS en FROM words WHERE lang <> 'en' GROUP BY word) t ON s.word = t.word",
+    # dates
+    "d1_date_families": lambda d: " UNION ALL ".join(f"SELECT o_orderkey, '{family}' AS family, {d.each(d.rx_all('note', pattern))} AS date_string FROM {_dated_notes(d)} n" for pattern, family in DATE_FAMILIES),
     # resolution
     "e6_initials_candidates": lambda d: f"""SELECT DISTINCT a.variant AS v1, b.variant AS v2, CAST(0.9 AS DOUBLE) AS score FROM (SELECT variant, {d.at('toks', 1)} AS f, {d.at('toks', d.size('toks'))} AS l FROM {_forms(d)} x WHERE {d.size('toks')} = 2) a
         JOIN (SELECT variant, {d.at('toks', 1)} AS f, {d.at('toks', d.size('toks'))} AS l FROM {_forms(d)} y WHERE {d.size('toks')} = 2) b ON a.l = b.l AND a.f = substr(b.f, 1, 1) AND length(b.f) > 1""",

@@ -55,7 +55,7 @@ BASES = {
         WHEN 6 THEN 'Volume ' || CAST(p_size AS STRING) WHEN 7 THEN CAST(p_size AS STRING) || 'th' WHEN 8 THEN 'Exhibit ' || substr(p_brand, 1, 1) ELSE CASE WHEN p_size % 2 = 0 THEN ' ' ELSE p_name END END AS s FROM part""",
     "entities": lambda d: "SELECT CAST(id AS BIGINT) AS entity_id, name, kind FROM persons UNION ALL SELECT CAST(1000000000 + s_suppkey AS BIGINT), 'Company ' || CAST(s_suppkey AS STRING), 'company' FROM supplier",
     "relations": lambda d: """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, CAST(1000000000 + l_suppkey AS BIGINT) AS tgt, CASE WHEN l_returnflag = 'R' THEN 'associate' WHEN l_linestatus = 'O' THEN 'founder' ELSE 'executive' END AS type,
-        CASE WHEN l_quantity >= 50 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48""",
+        CASE WHEN l_quantity >= 50 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "edges": lambda d: "SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS weight FROM relations GROUP BY 1, 2",
     "sides": lambda d: "SELECT u, v, weight FROM edges UNION ALL SELECT v, u, weight FROM edges",
     "queue": lambda d: """SELECT a.name AS v1, b.name AS v2, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist, round(1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE), 6) AS similarity

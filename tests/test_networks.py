@@ -1,8 +1,10 @@
 """Thresholds, cycles, phonetics, openers, files and the table store, against values by hand or brute force."""
 
+import os
 import random
 import xml.dom.minidom
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes, double_metaphone, likeness
 from quarrystone.operators import centrality, cycles, thresholds
 from quarrystone.operators.scratch import shared_folder
+from quarrystone.plans import registry
 from quarrystone.sources import graph_files, pdf, store
 
 
@@ -150,3 +153,18 @@ def test_command_line(capsys):
 
     main(["list"])
     assert "g6_similar_pairs" in capsys.readouterr().out.split()
+
+
+def test_relations_of_all_line_items(spark):
+    """Against a loop over the raw tables: each order joins its customer to the supplier of each of its line items, of any quantity."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    customer = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    kinds = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        if r.l_orderkey in customer:
+            kind = "associate" if r.l_returnflag == "R" else "founder" if r.l_linestatus == "O" else "executive"
+            kinds[customer[r.l_orderkey], 1_000_000_000 + r.l_suppkey].add((kind, r.l_quantity >= 50))
+    found = registry.queries()["g25_entity_graph"](spark, sf).collect()
+    assert {(r.u, r.v): (r.weight, r.types) for r in found} == {k: (len(s), ",".join(sorted({t for t, _ in s}))) for k, s in kinds.items()}

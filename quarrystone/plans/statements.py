@@ -4,6 +4,14 @@ from __future__ import annotations
 
 PERIODS = "VALUES (1, 'early', 1992, 1995), (2, 'middle', 1994, 1996), (3, 'late', 1996, 1999)"
 
+
+def _shortened(d) -> str:
+    """``word`` less none, one or two of its letters, a row each; words at most two edits apart have one of these in common."""
+    less = lambda w, i: f"left({w}, CAST(greatest({i} - 1, 0) AS INT)) || substr({w}, CAST({i} AS INT) + 1)"
+    two = less(f"({less('word', 'i')})", "j")
+    return d.each(d.distinct(f"flatten({d.apply(d.seq(0, 'length(word)'), 'i', d.apply(d.seq('i', 'length(word)'), 'j', two))})"))
+
+
 STATEMENTS = {
     # sources and sinks
     "s2_mime_types": lambda d: """SELECT file_name, CASE lower(substring_index_ext) WHEN 'txt' THEN 'text/plain' WHEN 'pdf' THEN 'application/pdf' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime
@@ -98,9 +106,9 @@ STATEMENTS = {
     "x17_valid_locations": lambda d: f"SELECT DISTINCT location_string FROM places WHERE length(location_string) > 2 AND {d.rx('location_string', '^[A-Za-z ]+$')}",
     "x24_foreign_words": lambda d: "SELECT word, lang FROM (SELECT s.word, f.lang, row_number() OVER (PARTITION BY s.word ORDER BY f.n DESC, f.lang) AS rn FROM (SELECT DISTINCT word FROM spelling) s JOIN (SELECT word, lang, count(*) AS n FROM words WHERE lang <> 'en' GROUP BY word, lang) f ON s.word = f.word) t WHERE rn = 1",
     "x25_foreign_confidence": lambda d: "SELECT word, CASE WHEN n >= 10 THEN 'HIGH' WHEN n >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT word, count(*) AS n FROM words WHERE lang <> 'en' GROUP BY word) t",
-    "x27_spell_corrections": lambda d: f"""SELECT word, correction FROM (SELECT s.word, x.word AS correction, row_number() OVER (PARTITION BY s.word ORDER BY levenshtein(s.word, x.word), x.freq DESC, x.word) AS rn FROM (SELECT DISTINCT s.word, x.word AS cand, x.freq FROM
-        (SELECT word, {d.each(d.apply(d.seq(1, 'length(word)'), 'i', 'substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1)'))} AS k FROM (SELECT DISTINCT word FROM spelling WHERE length(word) BETWEEN 4 AND 9) z) s
-        JOIN (SELECT word, freq, {d.each(d.apply(d.seq(1, 'length(word)'), 'i', 'substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1)'))} AS k FROM dictionary) x ON s.k = x.k) s JOIN dictionary x ON x.word = s.cand WHERE levenshtein(s.word, x.word) <= 1) t WHERE rn = 1""",
+    "x27_spell_corrections": lambda d: f"""SELECT word, correction FROM (SELECT word, correction, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, correction), freq DESC, correction) AS rn FROM (SELECT DISTINCT a.word, b.word AS correction, b.freq FROM
+        (SELECT word, {_shortened(d)} AS k FROM (SELECT DISTINCT word FROM spelling WHERE length(word) <= (SELECT max(length(word)) + 2 FROM dictionary)) z) a
+        JOIN (SELECT word, freq, {_shortened(d)} AS k FROM dictionary) b ON a.k = b.k WHERE levenshtein(a.word, b.word) <= 2) s) t WHERE rn = 1""",
     "x28_tokens": lambda d: "SELECT doc_id, count(*) AS tokens, count(DISTINCT word) AS distinct_tokens FROM words GROUP BY doc_id",
     "x30_subfolder_key": lambda d: f"SELECT path, {d.rx_get('path', '^(VOL[0-9]+/IMAGES/[0-9]+)')} AS subfolder FROM docs",
     "x31_file_ids": lambda d: f"SELECT path, CAST({d.rx_get('path', 'DOC([0-9]+)_')} AS BIGINT) AS id, lpad(CAST(CAST(floor((CAST({d.rx_get('path', 'DOC([0-9]+)_')} AS BIGINT) - 1) / 100.0) AS BIGINT) + 1 AS STRING), 5, '0') AS chunk FROM docs",

@@ -14,7 +14,10 @@ from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes, double_metaphone, likeness
 from quarrystone.operators import centrality, cycles, thresholds
 from quarrystone.operators.scratch import shared_folder
+from quarrystone.functions.dialect import Spark
 from quarrystone.plans import registry
+from quarrystone.plans.bases import with_bases
+from quarrystone.plans.statements import STATEMENTS
 from quarrystone.sources import graph_files, pdf, store
 
 
@@ -168,3 +171,32 @@ def test_relations_of_all_line_items(spark):
             kinds[customer[r.l_orderkey], 1_000_000_000 + r.l_suppkey].add((kind, r.l_quantity >= 50))
     found = registry.queries()["g25_entity_graph"](spark, sf).collect()
     assert {(r.u, r.v): (r.weight, r.types) for r in found} == {k: (len(s), ",".join(sorted({t for t, _ in s}))) for k, s in kinds.items()}
+
+
+def test_corrections_by_brute_force(spark, tmp_path):
+    """Misspelt words of any length against every dictionary word; the nearest within two edits, then the most frequent."""
+    known = ["representation", "at", "house", "horse", "cat"]
+    wrong = ["reprsentation", "reprezentaton", "hxrxe", "hous", "zq", "ax", "ct", "unrelatedness", "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, " ".join(known if i else known + wrong), "en", "src0", 1) for i in range(5)] + [(5, "horse", "en", "src0", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").createOrReplaceTempView("documents")
+    found = spark.sql(with_bases(Spark(), STATEMENTS["x27_spell_corrections"](Spark()))).collect()
+
+    def following(row, x, b, i):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = following(row, x, b, i)
+        return row[-1]
+
+    freq = {w: 5 + (w == "horse") for w in known}
+    wanted = {}
+    for w in wrong:
+        near = min((distance(w, k), -freq[k], k) for k in known)
+        if near[0] <= 2:
+            wanted[w] = near[2]
+    assert {r.word: r.correction for r in found} == wanted and {"reprsentation", "reprezentaton", "hxrxe", "zq"} <= set(wanted)

@@ -12,11 +12,14 @@ BLOCK_TAGS = frozenset(
     "summary table tbody td textarea tfoot th thead title tr ul video audio canvas label".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Whose text is not content: skipped with their content.
-RAW_TAGS = "script|style|noscript|template|svg|math|object|iframe|textarea|title"
+#: Whose text is not content: skipped to their end tag or, as browsers do, to the end of the page.
+RAW_TAGS = "script|style|noscript|template|iframe|textarea|title"
+#: Whose start or end tag ends a drawing that was not closed (blocks, and what else the HTML standard lets break out of one).
+_BREAKS_OUT = BLOCK_TAGS - {"title"} | set("b big br code em embed i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<(svg)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:[^<]+|<(?!/svg[\s>]|/?(?:{'|'.join(sorted(_BREAKS_OUT))})[\s/>]))*+(?:</svg\s*>)?"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -61,12 +64,12 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str
             if in_link:
                 linked += low - at
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if tag is None:
-            if m[1]:
+            if m[1] or m[2]:
                 parts.append(" ")
             continue
-        tag, end = tag.lower(), m[2]
+        tag, end = tag.lower(), m[3]
         if tag == "a":
             in_link = 0 if end else 1
         elif tag == "br":
@@ -84,7 +87,7 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str
                     open_.pop()
                 if tag in _CLOSES and open_ and open_[-1][0] in _CLOSES[tag]:
                     open_.pop()
-                open_.append((tag, *_hints(m[4])))
+                open_.append((tag, *_hints(m[5])))
     if at < len(html):
         parts.append(html[at:])
     flush()

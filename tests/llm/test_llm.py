@@ -271,6 +271,19 @@ def test_blocks():
     assert leaf_blocks(None) == [] == leaf_blocks("<p> <br>") and leaf_blocks("1 < 2")[0][1] == "1 < 2"
 
 
+@pytest.mark.parametrize("html,texts", [
+    ("<p>a</p><svg width='1'/><p>b</p><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+    ("<p>a</p><svg><text>no</text><div>b</div><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+    ("<div>a<svg><path d='x'></div><p>b", ["a", "b"]),
+    ("<p>a</p><math/><p>b</p><math><mi>x</mi></math><p>c", ["a", "b", "x", "c"]),
+    ("<p>a</p><object data='f'><p>b</p><p>c", ["a", "b", "c"]),
+    ("<object><p>a</p></object><p>b", ["a", "b"]),
+    ("<svg><title>no</title><svg/><g/></svg>a<script>no", ["a"]),
+])
+def test_blocks_after_unclosed_elements(html, texts):
+    assert [t for _, t, _ in leaf_blocks(html)] == texts
+
+
 def test_html_labeller(spark):
     p = html_text.model()
     pages = labelled_pages(200, seed=77)

@@ -15,29 +15,46 @@ def _kept(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+def _meet(edges: DataFrame, least: DataFrame, on: str, total: int) -> DataFrame:
+    """(u, v, m) of all edges: m is the least neighbour (from ``least``) of the edge's end ``on``, or null.
 
+    Nodes with more than max(1000, total / 2**16) edges are fewer than 2**16; theirs are broadcast, so that no hub's edges
+    meet in one task."""
+    least = least.withColumnRenamed("u", "node")
+    hubs = edges.groupBy(F.col(on).alias("node")).count().where(F.col("count") > max(1000, total >> 16)).select("node")
+    hubs = hubs.join(least, "node", "left").select("node", "m", F.lit(True).alias("hub"))
+    marked = edges.join(F.broadcast(hubs), F.col(on) == F.col("node"), "left").drop("node")
+    rest = marked.where("hub is null").select("u", "v").join(least, F.col(on) == F.col("node"), "left")
+    return marked.where("hub").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    others = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each edge's larger end goes to the least neighbour of the smaller end, if that is smaller still."""
+    return _meet(edges, _least(edges), "v", total).select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node's smaller neighbours, and itself, go to the least of them."""
+    met = _meet(edges, _least(edges), "u", total)
+    others = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.unionByName(met.where("v = m").select("u", "v")).distinct()
 
 
 def connected_components(edges: DataFrame, folder: str, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) of every node with an edge to another; component: the smallest node reachable.
 
     ``folder`` is shared by all executors. Null ends and loops are left out. A hot node's edges are never gathered:
-    minima are partial aggregates and the joins back can be split.
+    minima are partial aggregates, and hubs meet theirs by broadcast.
     """
     u, v = F.col(a), F.col(b)
     edges = _kept(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), folder)
-    before = None
+    before, total = None, edges.count()
     while True:
-        edges = _kept(_small_star(_large_star(edges)), folder)
+        edges = _kept(_small_star(_kept(_large_star(edges, total), folder), total), folder)
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("bit_xor(xxhash64(v, u))").alias("y")).first()
         if row == before or not row["n"]:
             break

@@ -47,8 +47,13 @@ def asked(df: DataFrame, h: Column, held: DataFrame, bits: int) -> DataFrame:
     return found.withColumn("_x_again", again).drop("_x_word", "_x_mask", "_x_bits")
 
 
+def marked_possible(df: DataFrame, key: str, keys: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``df`` with ``_x_again``: whether ``key`` may be among ``keys``' (a stored table)."""
+    bits = min(max_bits, filter_bits(keys.count()))
+    held = once_filter(keys.select(F.xxhash64(key).alias("h")), "h", bits)
+    return asked(df, F.xxhash64(key), held, bits)
+
+
 def only_possible(df: DataFrame, key: str, keys: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be among ``keys``' (a stored table), so that the rest need not shuffle to a join."""
-    bits = filter_bits(keys.count(), max_bits)
-    held = once_filter(keys.select(F.xxhash64(key).alias("h")), "h", bits)
-    return asked(df, F.xxhash64(key), held, bits).where("_x_again").drop("_x_again")
+    return marked_possible(df, key, keys, max_bits).where("_x_again").drop("_x_again")

@@ -57,11 +57,22 @@ def text_blocks(df: DataFrame, text: str, megabytes: int = 8) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a thousand rows for this session: rows with whole texts are large, and executors hold a batch per task
-    on both sides of the pipe."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
+    """Arrow batches of a thousand rows and about two megabytes for this session: rows with whole texts are large, and
+    executors hold a batch per task on both sides of the pipe. Plans are made when results are asked for, so the setting stays."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 2 << 20)):
+        name = "spark.sql.execution.arrow." + name
+        held = str(spark.conf.get(name)).lower().removesuffix("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(name, str(most))
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups`` (one row a key, with its ``size``). Groups of over a thousandth of all rows, a thousand
+    at most, are broadcast, so that no hot group's rows meet in one task; the others are joined by key."""
+    hot = F.col(size) * 1000 > total
+    marked = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    rest = marked.where(F.col(size).isNull()).select(rows.columns).join(groups.where(~hot), key)
+    return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 
 def release() -> None:

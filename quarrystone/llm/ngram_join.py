@@ -1,43 +1,55 @@
 """n-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Documents are sets of word shingles (64-bit hashes); two link when ``den * shared >= num * union``. A document of n
-shingles shares at least ceil(num * n / den) with any partner, and the search finds the partners that reach the required
-number of occurrences T in the inverted lists of its shingles, without ever listing the pairs of a list:
-
-1. Prefixes. With l(n) = 1 + 15 n / 100, linked documents share at least min(l, l') of the shingles among their
-   n - ceil(num n / den) + l(n) smallest hashes. Only these go to inverted lists (dealt out by shingle), and a document
-   goes back into the race only if l(smallest partner) of them are in somebody else's list too. Documents that merely
-   share a passage or common phrases drop out here, whatever the passage's frequency.
-2. Short and long lists. A survivor's shingles are ordered by list length; leaving out its l - 1 longest lists, linked
-   documents still share one of the others, the short lists. Those join survivors into neighbourhoods (components).
-3. DivideSkip in each neighbourhood: the short lists of each document are merged and counted, candidates with T - L
-   occurrences are probed by binary search in the L long lists, and documents reaching T are links. Candidates already
-   connected are not probed again, unless all links are asked for.
-
-Hot groups: identical texts are one class from the start (a partial aggregate). A neighbourhood larger than a task should
-hold is dealt out in chunks, each with the same few pivots; copies meet through the pivots, and only documents that stay
-outside the largest class are then searched in every chunk. No task gets a whole large group; no document is left out.
+shingles shares at least T = ceil(num * n / den) with any partner, and the search finds the partners that reach the
+required number of occurrences in the inverted lists of its shingles, without ever listing the pairs of a list:
+
+1. Which lists to hold where. With l(n) = 1 + 15 n / 100, linked documents share at least min(l, l') of the shingles among
+   their n - ceil(num n / den) + l(n) smallest hashes. Only these go to inverted lists, dealt out by shingle, and a
+   document stays in the race only if l(smallest partner) of them are in another text's list too. Its lists are ordered
+   by length; without its l - 1 longest, linked documents still share one of the others, and these join the survivors
+   into neighbourhoods (components). Documents that merely share a passage or common phrases drop out here.
+2. T-occurrence search in each neighbourhood, over whole sets. A document's lists are divided: the L longest, by the rule
+   of DivideSkip, and the others. The short lists are merged by a heap of their heads; a document that fewer than T - L of
+   them hold is never visited (the heap pops T - L - 1 lists and jumps all of them to the next head), and one that T - L
+   hold is probed by binary search in the long lists. Documents reaching T are links. A list is ordered by what is
+   connected already and then by document, so that, unless all links are asked for, one jump passes a whole connected class.
+
+Hot groups: equal word sequences are one class from the start (a partial aggregate). A shingle that very many documents
+hold is not gathered in its list's task: tasks report shingles they see often, and the documents of those that add up go
+to tasks by document. A neighbourhood larger than a task should hold is dealt out in chunks, each with the same few pivots;
+copies meet through the pivots, and only documents that stay outside the largest class are then searched in every chunk.
+
+Hashes: shingles and word sequences have 64 bits, and equal hashes are taken for equal words.
 
 Edge cases: null text is empty; no words: an empty set, linked with nothing, component = own id; fewer words than a
-shingle: the whole sequence is one shingle; equal rows have the same component; a null id is a document of its own class,
-after all ids, and comes out null; an empty table gives an empty result. Other columns are not read.
+shingle: the whole sequence is one shingle; equal rows have the same component; rows that share an id but not the text
+are documents of their own, with that id; a null id is a document of its own class, after all ids, and comes out null; an
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
+from math import log2
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.bloom import only_possible
-from quarrystone.llm.common import pieces, release, shared_dir, small_batches, stored, table, text_blocks
+from quarrystone.llm.bloom import marked_possible, only_possible
+from quarrystone.llm.common import meet, pieces, release, shared_dir, small_batches, stored, table, text_blocks
 from quarrystone.llm.words import U, Words, blob, mix, shingle_sets, unblob
 from quarrystone.operators.components import connected_components
 
 _NULL_ID = np.iinfo(np.int64).max
 #: Shingles a task should hold at most, and pivots of a neighbourhood that is dealt out.
-CHUNK, PIVOTS = 400_000, 64
+CHUNK, PIVOTS = 100_000, 64
+#: Occurrences from which a task reports a shingle, and from which the tasks' reports make it hot; hot ones kept at most
+#: (others are dealt out like the rest: the figure is one of balance, not of results).
+SEEN, HOT, HOT_KEPT = 32, 2048, 1 << 18
 
 
 def _least(n, num: int, den: int):
@@ -49,17 +61,62 @@ def _extra(n):
     return 1 + 15 * n // 100
 
 
-def class_table(rows: DataFrame, k: int) -> DataFrame:
-    """(doc, n, h1, h2): distinct shingles and a 128-bit hash of the word sequence."""
+class Prefixes:
+    """A batch's texts as sets: ``key`` (hash of the word sequence) and ``n`` by row, and each prefix shingle with its row.
+    Of rows with one word sequence only the first has prefix shingles."""
+
+    def __init__(self, texts: pa.Array, k: int, num: int, den: int):
+        w = Words(texts, lower=True)
+        sets, at = shingle_sets(w, k)
+        self.n = n = np.diff(at)
+        self.key = w.row_hashes(w.hashes())[:, 0].astype(np.int64)
+        once = np.zeros(len(n), bool)
+        once[np.unique(self.key, return_index=True)[1]] = True
+        take = np.where(once & (n > 0), np.minimum(n, n - _least(n, num, den) + _extra(n)), 0)
+        self.row = np.repeat(np.arange(len(n)), take)
+        self.tokens = sets[at[self.row] + np.arange(len(self.row)) - np.repeat(np.cumsum(take) - take, take)]
+
+
+def class_table(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc, raw, key, n) of every row: its id, hash of the text, hash of the word sequence and number of shingles; and, with
+    these null, (token, hits) of the prefix shingles that one task sees often."""
 
     def run(batches):
+        seen: dict[int, int] = {}
         for batch in pieces(batches, "text"):
-            w = Words(batch.column(1), lower=True)
-            _, at = shingle_sets(w, k)
-            h = w.row_hashes(w.hashes()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "n", "h1", "h2"])
-
-    return rows.mapInArrow(run, "doc long, n long, h1 long, h2 long")
+            p = Prefixes(batch.column(2), k, num, den)
+            tokens, counts = np.unique(p.tokens, return_counts=True)
+            again = counts > 1
+            for token, count in zip(tokens[again].tolist(), counts[again].tolist()):
+                seen[token] = seen.get(token, 0) + count
+            if len(seen) > 200_000:
+                seen = {t: c for t, c in seen.items() if c >= SEEN}
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.key), pa.array(p.n, pa.int64()), none, none], names=names)
+        often = {t: c for t, c in seen.items() if c >= SEEN}
+        none = pa.nulls(len(often), pa.int64())
+        tokens = np.array(list(often), U).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens), pa.array(list(often.values()), pa.int64())], names=names)
+
+    names = ["doc", "raw", "key", "n", "token", "hits"]
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def hot_tokens(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot shingles, sorted, and how often each was reported."""
+    found = classes.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= HOT)
+    found = found.orderBy(F.desc("hits"), "token").limit(HOT_KEPT).collect()
+    tokens, hits = np.array([r["token"] for r in found], np.int64).astype(U), np.array([r["hits"] for r in found], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], hits[order]
+
+
+def _hits(hot: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """Reported occurrences of each token, 0 if it is not hot."""
+    if not len(hot[0]):
+        return np.zeros(len(tokens), np.int64)
+    spot = np.minimum(np.searchsorted(hot[0], tokens), len(hot[0]) - 1)
+    return np.where(hot[0][spot] == tokens, hot[1][spot], 0)
 
 
 def _blocked(block: np.ndarray, *arrays: np.ndarray):
@@ -76,234 +133,309 @@ BLOCKED = "block int, part binary"
 
 
 def _gathered(batches, n: int) -> list[np.ndarray]:
+    """A block's arrays, each joined from its parts; the parts go as soon as their array is made."""
     release()
     parts = [unblob(value) for batch in batches for value in batch.column(1).to_pylist()]
-    return [np.concatenate([p[i] for p in parts]) for i in range(n)] if parts else []
+    if not parts:
+        return []
+    out = []
+    for i in range(n):
+        out.append(np.concatenate([p[i] for p in parts]))
+        for p in parts:
+            p[i] = None
+    return out
+
+
+def _block_of(values: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(values.astype(U)) % U(blocks)).astype(np.int32)
 
 
-def send_prefixes(rows: DataFrame, blocks: int, k: int, num: int, den: int) -> DataFrame:
+def send_prefixes(rows: DataFrame, blocks: int, k: int, num: int, den: int, hot: tuple) -> DataFrame:
+    """Prefix shingles (key, n, token) to their list's block; hot ones, with -n, to their document's."""
+
     def run(batches):
         for batch in pieces(batches, "text"):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            w = Words(batch.column(1), lower=True)
-            sets, at = shingle_sets(w, k)
-            h = w.row_hashes(w.hashes())
-            order = np.lexsort((ids, h[:, 1], h[:, 0]))
-            same = np.zeros(len(ids), bool)
-            same[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
-            n = np.diff(at)
-            take = np.where(same | (n == 0), 0, np.minimum(n, n - _least(n, num, den) + _extra(n)))
-            row = np.repeat(np.arange(len(n)), take)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            tokens = sets[at[row] + nth]
-            yield _blocked((mix(tokens.copy()) % U(blocks)).astype(np.int32), ids[row], n[row].astype(np.int32), tokens)
+            p = Prefixes(batch.column(2), k, num, den)
+            key, n = p.key[p.row], p.n[p.row].astype(np.int32)
+            is_hot = _hits(hot, p.tokens) > 0
+            block = np.where(is_hot, _block_of(key, blocks), _block_of(p.tokens, blocks))
+            yield _blocked(block, key, np.where(is_hot, -n, n), p.tokens)
 
     return rows.mapInArrow(run, BLOCKED)
 
 
-def repeated_prefixes(sent: DataFrame, blocks: int) -> DataFrame:
-    """The shingles in two lists or more go back to their documents with their list's length."""
+def repeated_prefixes(sent: DataFrame, blocks: int, hot: tuple) -> DataFrame:
+    """The shingles in two texts' lists or more go back to their documents with their list's length."""
 
     def run(batches):
         got = _gathered(batches, 3)
         if got:
-            docs, n, tokens = got
-            order = np.argsort(tokens)
-            docs, n, tokens = docs[order], n[order], tokens[order]
+            key, n, tokens = got
+            length = _hits(hot, tokens)
+            order = np.lexsort((key, tokens))
+            key, n, tokens, length = key[order], np.abs(n[order]), tokens[order], length[order]
+            del got, order
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (key[1:] != key[:-1])
+            key, n, tokens, length = key[new], n[new], tokens[new], length[new]
             first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-            length = np.repeat(np.diff(np.append(first, len(tokens))), np.diff(np.append(first, len(tokens))))
+            size = np.diff(np.append(first, len(tokens)))
+            length = np.where(length > 0, length, np.repeat(size, size))
             keep = length > 1
-            docs = docs[keep]
-            yield _blocked((mix(docs.astype(U)) % U(blocks)).astype(np.int32), docs, n[keep], tokens[keep], np.minimum(length[keep], 2**31 - 1).astype(np.int32))
+            key = key[keep]
+            yield _blocked(_block_of(key, blocks), key, n[keep], tokens[keep], np.minimum(length[keep], 2**31 - 1).astype(np.int32))
+            release()
 
     return sent.repartition(blocks, "block").mapInArrow(run, BLOCKED)
 
 
 def short_lists(back: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
-    """(doc, token): the short lists of the documents that may have a partner."""
+    """(key, n, token): the short lists of the documents that may have a partner."""
 
     def run(batches):
         got = _gathered(batches, 4)
         if got:
-            docs, n, tokens, length = got
-            order = np.lexsort((tokens, length, docs))
-            docs, n, tokens = docs[order], n[order], tokens[order]
-            first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-            r = np.diff(np.append(first, len(docs)))
+            key, n, tokens, length = got
+            order = np.lexsort((tokens, length, key))
+            key, n, tokens = key[order], n[order], tokens[order]
+            del got, length, order
+            new = np.ones(len(key), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (key[1:] != key[:-1])
+            key, n, tokens = key[new], n[new], tokens[new]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            r = np.diff(np.append(first, len(key)))
             keep = np.maximum(0, r - _extra(_least(n[first].astype(np.int64), num, den)) + 1)
-            nth = np.arange(len(docs)) - np.repeat(first, r)
-            short = nth < np.repeat(keep, r)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[short]), pa.array(tokens[short].astype(np.int64))], names=["doc", "token"])
+            short = np.arange(len(key)) - np.repeat(first, r) < np.repeat(keep, r)
+            yield pa.RecordBatch.from_arrays([pa.array(key[short]), pa.array(n[short], pa.int64()), pa.array(tokens[short].astype(np.int64))], names=["key", "n", "token"])
+            release()
 
-    return back.repartition(blocks, "block").mapInArrow(run, "doc long, token long")
+    return back.repartition(blocks, "block").mapInArrow(run, "key long, n long, token long")
 
 
-def divide_skip(ids: np.ndarray, sets: np.ndarray, at: np.ndarray, num: int, den: int, label: np.ndarray | None = None, all_links: bool = False):
-    """Links among sets given as CSR (hashes sorted in each set): index pairs and their overlaps.
+class TOccurrence:
+    """T-occurrence search over sets that come in ascending size: each is searched for among those before, then joins them.
 
-    Sets are queried in ascending size against those before. ``label``: sets of equal label count as connected.
-    Unless ``all_links``, only links that connect something new are sought, and the rest is implied."""
-    n = np.diff(at)
-    order = np.lexsort((ids, n))
-    place = np.empty(len(n), np.int64)
-    place[order] = np.arange(len(n))
-    values, rank = np.unique(sets, return_inverse=True)
-    owner = place[np.repeat(np.arange(len(n)), n)]
-    shift = max(1, int(len(n)).bit_length())
-    keys = np.sort((rank.astype(np.int64) << shift) | owner)
-    lists = np.searchsorted(keys, np.arange(len(values) + 1, dtype=np.int64) << shift)
-    length = np.diff(lists)
-    parent = list(range(len(n)))
-
-    def root(x: int) -> int:
+    Inverted lists hold ``class << bits | place``, ascending. ``union``, ``root``: what is connected, by place."""
+
+    def __init__(self, sizes: list[int], num: int, den: int, all_links: bool):
+        self.sizes, self.num, self.den, self.all_links = sizes, num, den, all_links
+        self.bits = max(1, len(sizes).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.parent = list(range(len(sizes)))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
+    def union(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+    def key(self, place: int) -> int:
+        return place if self.all_links else self.root(place) << self.bits | place
+
+    def partners(self, q: int, lists: list[list[int]]) -> list[tuple[int, int]]:
+        """(place, overlap) of the sets before ``q`` that link with it, from its inverted lists."""
+        sizes, num, den, bits = self.sizes, self.num, self.den, self.bits
+        size = sizes[q]
+        low = bisect_left(sizes, _least(size, num, den))  # smaller sets can't reach the overlap
+        if low >= q:
+            return []
+        t = -(-num * (size + sizes[low]) // (num + den))
+        if len(lists) < t:
+            return []
+        lists.sort(key=len)
+        skip = min(t - 1, int(t / (0.0085 * log2(max(2, len(lists[-1]))) + 1)))
+        short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
+        least = t - skip
+        heap = [(held[0], j, 0) for j, held in enumerate(short)]
+        heapq.heapify(heap)
+        out = []
+
+        def jump(popped, bound):
+            for _, j, at in popped:
+                at = bisect_left(short[j], bound, at)
+                if at < len(short[j]):
+                    heapq.heappush(heap, (short[j][at], j, at))
+
+        def pop_below(bound):
+            popped = []
+            while heap and heap[0][0] < bound:
+                popped.append(heapq.heappop(heap))
+            return popped
+
+        while len(heap) >= least:
+            key = heap[0][0]
+            place = key & self.mask
+            if not self.all_links and self.root(key >> bits) == self.root(q):
+                bound = ((key >> bits) + 1) << bits
+                jump(pop_below(bound), bound)
+                continue
+            if place < low:
+                bound = key - place + low
+                jump(pop_below(bound), bound)
+                continue
+            popped = pop_below(key + 1)
+            count = len(popped)
+            if count >= least:
+                need = -(-num * (size + sizes[place]) // (num + den))
+                if count + skip >= need:
+                    left = skip
+                    for held in reversed(long):
+                        at = bisect_left(held, key)
+                        count += at < len(held) and held[at] == key
+                        left -= 1
+                        if count + left < need:
+                            break
+                    if count >= need:
+                        out.append((place, count))
+                        self.union(place, q)
+                jump(popped, key + 1)
+            else:
+                while heap and len(popped) < least - 1:
+                    popped.append(heapq.heappop(heap))
+                if not heap:
+                    break
+                jump(popped, heap[0][0])
+        return out
+
+
+def divide_skip(ids: np.ndarray, sets: np.ndarray, at: np.ndarray, num: int, den: int, label: np.ndarray | None = None, all_links: bool = False):
+    """Links among sets given as CSR of distinct hashes: index pairs and their overlaps.
+
+    ``label``: sets of equal label count as connected. Unless ``all_links``, only links that connect something new are
+    sought, and the rest is implied."""
+    n = np.diff(at)
+    order = np.lexsort((ids, n)).tolist()
+    search = TOccurrence(n[order].tolist(), num, den, all_links)
     if label is not None:
         first: dict = {}
-        for q, i in enumerate(order.tolist()):
-            parent[q] = root(first.setdefault(label[i], q))
-    sizes = n[order]
-    mask = (1 << shift) - 1
+        for q, value in enumerate(label[order].tolist()):
+            search.union(first.setdefault(value, q), q)
+    _, rank, count = np.unique(sets, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    lists: list[list[int]] = [[] for _ in range(int(shared.sum()))]
+    held = shared[rank]
+    mine, cut = place[rank[held]].tolist(), np.concatenate([[0], np.cumsum(held)])[at].tolist()
     out = []
-    for q, i in enumerate(order.tolist()):
-        size = int(n[i])
-        if not size or q == 0:
-            continue
-        mine = rank[at[i] : at[i + 1]]
-        mine = mine[length[mine] > 1]
-        low = int(np.searchsorted(sizes, _least(size, num, den)))  # smaller sets can't reach the overlap
-        t = -(-num * (size + int(sizes[low])) // (num + den))
-        if low >= q or len(mine) < t:
-            continue
-        by_length = mine[np.argsort(length[mine], kind="stable")]
-        longest = int(length[by_length[-1]])
-        skip = min(t - 1, int(t / (0.0085 * np.log2(max(2, longest)) + 1)))
-        short, long = by_length[: len(by_length) - skip], by_length[len(by_length) - skip :]
-        a, b = lists[short], lists[short + 1]
-        total = int((b - a).sum())
-        spots = np.arange(total) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
-        merged = keys[spots] & mask
-        merged = merged[(merged < q) & (merged >= low)]
-        if not len(merged):
-            continue
-        merged.sort()
-        starts = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
-        seen, counts = merged[starts], np.diff(np.append(starts, len(merged)))
-        need = -(-num * (size + sizes[seen]) // (num + den))
-        good = counts >= need - skip
-        seen, counts, need = seen[good], counts[good], need[good]
-        probes = long.astype(np.int64) << shift
-        for j in np.argsort(-counts, kind="stable").tolist():
-            c = int(seen[j])
-            if not all_links and root(c) == root(q):
-                continue
-            wanted = probes | c
-            spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            overlap = int(counts[j]) + int((keys[spot] == wanted).sum())
-            if overlap >= need[j]:
-                out.append((int(order[c]), i, overlap))
-                a_, b_ = root(c), root(q)
-                parent[max(a_, b_)] = min(a_, b_)
+    for q, i in enumerate(order):
+        own = [lists[x] for x in mine[cut[i] : cut[i + 1]]]
+        for other, overlap in search.partners(q, [x for x in own if x]):
+            out.append((order[other], i, overlap))
+        key = search.key(q)
+        for x in own:
+            insort(x, key)
     return out
 
 
 def search_chunks(dealt: DataFrame, parts: int, k: int, num: int, den: int, all_links: bool) -> DataFrame:
-    """Links (u, v, shared) found in each task's rows (text, doc, label, cell); rows of one cell are in one task."""
+    """Links (u, v, shared) found in each task's rows (text, key, label, cell); rows of one cell are in one task."""
 
     def run(batches):
-        docs, labels, sets, sizes = [], [], [], []
+        keys, labels, sets, sizes = [], [], [], []
         for batch in pieces(batches, "text"):
-            w = Words(batch.column(0), lower=True)
-            s, at = shingle_sets(w, k)
-            docs.append(batch.column(1).to_numpy()), sets.append(s), sizes.append(np.diff(at))
+            s, at = shingle_sets(Words(batch.column(0), lower=True), k)
+            keys.append(batch.column(1).to_numpy()), sets.append(s), sizes.append(np.diff(at))
             labels.append(batch.column(2).to_numpy())
-        if not docs:
+        if not keys:
             return
-        ids, label, s, n = (np.concatenate(x) for x in (docs, labels, sets, sizes))
-        at = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=at[1:])
-        _, once = np.unique(ids, return_index=True)
-        keep = np.zeros(len(n), bool)
-        keep[once] = True
-        s, ids, label, n = s[np.repeat(keep, n)], ids[keep], label[keep], n[keep]
-        at = np.concatenate([[0], np.cumsum(n)])
-        found = divide_skip(ids, s, at, num, den, label, all_links)
+        key, label, s, n = (np.concatenate(x) for x in (keys, labels, sets, sizes))
+        del keys, labels, sets, sizes
+        once = np.zeros(len(n), bool)
+        once[np.unique(key, return_index=True)[1]] = True
+        s, key, label, n = s[np.repeat(once, n)], key[once], label[once], n[once]
+        found = divide_skip(key, s, np.concatenate([[0], np.cumsum(n)]), num, den, label, all_links)
         if found:
             u, v, shared = (np.array(x, np.int64) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(shared)], names=["u", "v", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[u]), pa.array(key[v]), pa.array(shared)], names=["u", "v", "shared"])
+        release()
 
-    return dealt.select("text", "doc", "label", "cell").repartition(parts, "cell").select("text", "doc", "label").mapInArrow(run, "u long, v long, shared long")
+    return dealt.select("text", "key", "label", "cell").repartition(parts, "cell").select("text", "key", "label").mapInArrow(run, "u long, v long, shared long")
 
 
 class JaccardJoin:
-    """The join's stages on one table; see the module's text. ``classes``: (doc, n, rep) of every row."""
+    """The join's stages on one table; see the module's text. Texts are known by ``key``, the hash of their word sequence.
+
+    ``rows``: (doc, raw, key, n) of every row; ``classes``: (key, rep, raw, copies), the smallest id, one text and the number of
+    rows of each word sequence that has words."""
 
     def __init__(self, docs: DataFrame, id: str, text: str, k: int, num: int, den: int, chunk: int = CHUNK):
         self.k, self.num, self.den, self.chunk = k, num, den, chunk
         self.spark = docs.sparkSession
         small_batches(self.spark)
-        self.blocks = text_blocks(docs, text, 24)
-        self.rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text).alias("text"))
-        table_ = stored(class_table(self.rows, k), "join-classes")
-        reps = table_.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-        self.classes = table_.join(reps, ["h1", "h2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep"))
-        self.reps = self.classes.where("doc = rep and n > 0").groupBy("doc").agg(F.max("n").alias("n"))
+        self.blocks = text_blocks(docs, text, 8)
+        self.texts = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text).alias("raw"), F.col(text).alias("text"))
+        held = stored(class_table(self.texts, k, num, den), "join-rows")
+        self.hot = hot_tokens(held)
+        self.rows = held.where("token is null").select("doc", "raw", "key", "n")
+        classes = self.rows.where("n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.min("raw").alias("raw"), F.count(F.lit(1)).alias("copies"))
+        self.classes = stored(classes, "join-classes")
 
     def neighbourhoods(self) -> DataFrame:
-        """(doc, label, n): class representatives that may have partners, and their neighbourhood."""
-        sent = send_prefixes(self.rows, self.blocks, self.k, self.num, self.den)
-        lists = short_lists(repeated_prefixes(sent, self.blocks), self.blocks, self.num, self.den)
-        pairs = stored(lists.join(self.reps.select("doc"), "doc", "left_semi"), "join-lists")
-        heads = pairs.groupBy("token").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("tail > head")
-        edges = pairs.join(heads, "token").where("doc > head").select("doc", "head").distinct()
-        found = connected_components(edges, shared_dir(self.spark), "doc", "head")
-        return stored(found.select(F.col("node").alias("doc"), F.col("component").alias("hood")).join(self.reps, "doc"), "join-hoods")
+        """(key, hood, n): texts that may have partners, and their neighbourhood."""
+        sent = send_prefixes(self.texts, self.blocks, self.k, self.num, self.den, self.hot)
+        lists = stored(short_lists(repeated_prefixes(sent, self.blocks, self.hot), self.blocks, self.num, self.den), "join-lists")
+        heads = lists.groupBy("token").agg(F.min("key").alias("head"), F.max("key").alias("tail")).where("tail > head")
+        edges = lists.join(heads, "token").where("key > head").select("key", "head").distinct()
+        found = connected_components(edges, shared_dir(self.spark), "key", "head")
+        sizes = lists.groupBy("key").agg(F.max("n").alias("n"))
+        return stored(found.select(F.col("node").alias("key"), F.col("component").alias("hood")).join(sizes, "key"), "join-hoods")
 
     def _chunked(self, hoods: DataFrame) -> DataFrame:
         size = hoods.groupBy("hood").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("members"))
         chunks = F.ceil(F.col("_n") / F.lit(self.chunk)).cast("int")
-        sized = hoods.join(size.select("hood", "members", chunks.alias("chunks")), "hood")
-        return sized.withColumn("mixed", F.xxhash64("doc")).withColumn("chunk", F.pmod("mixed", "chunks").cast("int"))
+        sized = meet(hoods, size.select("hood", "members", chunks.alias("chunks")), "hood", "members", hoods.count())
+        return sized.withColumn("mixed", F.xxhash64("key")).withColumn("chunk", F.pmod("mixed", "chunks").cast("int"))
 
     def _search(self, dealt: DataFrame, all_links: bool) -> DataFrame:
-        """dealt: (doc, label, cell)."""
-        dealt = stored(dealt, "join-dealt")
-        texts = only_possible(self.rows, "doc", dealt).join(dealt.hint("shuffle_hash"), "doc")
+        """dealt: (key, n, label, cell). One text of each word sequence is fetched, wherever and however often it stands."""
+        dealt = stored(dealt.join(self.classes.select("key", "raw"), "key"), "join-dealt")
+        texts = only_possible(self.texts, "raw", dealt).groupBy("raw").agg(F.first("text").alias("text"))
         total = dealt.agg(F.sum("n").alias("n")).first()["n"] or 0
-        return search_chunks(texts, max(8, int(total) // (self.chunk // 2)), self.k, self.num, self.den, all_links)
+        parts = max(8, int(total) // (self.chunk // 2))
+        return search_chunks(texts.join(dealt.hint("shuffle_hash"), "raw"), parts, self.k, self.num, self.den, all_links)
 
     def links(self, all_links: bool = False) -> DataFrame:
-        """(u, v, shared): links between class representatives; enough of them to connect what is connected, or all."""
+        """(u, v, shared): links between texts, by key; enough of them to connect what is connected, or all."""
         hoods = stored(self._chunked(self.neighbourhoods()), "join-chunks")
         every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
         pivot = (F.col("chunks") > 1) & (F.shiftrightunsigned("mixed", 1) % F.col("members") < PIVOTS)
-        home = hoods.select("doc", "n", "hood", "chunk")
-        guests = hoods.where(pivot).select("doc", "n", "hood", every)
-        first = home.unionByName(guests).distinct().select("doc", "n", F.xxhash64("hood", "chunk").alias("cell"), F.col("doc").alias("label"))
+        home = hoods.select("key", "n", "hood", "chunk")
+        guests = hoods.where(pivot).select("key", "n", "hood", every)
+        first = home.unionByName(guests).distinct().select("key", "n", F.xxhash64("hood", "chunk").alias("cell"), F.col("key").alias("label"))
         found = stored(self._search(first, all_links), "join-links")
         large = hoods.where("chunks > 1")
         if large.isEmpty():
             return found.select("u", "v", "shared").distinct()
-        comps = connected_components(found, shared_dir(self.spark)).withColumnRenamed("node", "doc")
-        labelled = stored(large.join(comps, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"), "join-labels")
-        counted = labelled.groupBy("hood", "label").count().groupBy("hood").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-        outside = labelled.join(counted, "hood").where(F.lit(all_links) | (F.col("label") != F.col("most")))
-        searched = outside.groupBy("hood").agg(F.ceil(F.sum("n") / F.lit(self.chunk)).cast("int").alias("groups"))
+        comps = connected_components(found, shared_dir(self.spark)).withColumnRenamed("node", "key")
+        labelled = stored(large.join(comps, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component"), "join-labels")
+        counted = labelled.groupBy("hood", "label").count().groupBy("hood").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("size"))
+        total = labelled.count()
+        outside = meet(labelled, counted, "hood", "size", total).where(F.lit(all_links) | (F.col("label") != F.col("most"))).drop("size")
+        searched = outside.groupBy("hood").agg(F.ceil(F.sum("n") / F.lit(self.chunk)).cast("int").alias("groups"), F.count(F.lit(1)).alias("size"))
         group = F.pmod(F.shiftrightunsigned("mixed", 7), F.col("groups")).cast("int").alias("group")
-        guests = outside.join(searched, "hood").select("doc", "n", "hood", "label", group, every)
+        guests = outside.join(searched, "hood").select("key", "n", "hood", "label", group, every)
         each = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
-        home = labelled.join(searched, "hood").select("doc", "n", "hood", "label", each, "chunk")
-        second = home.unionByName(guests, allowMissingColumns=True).select("doc", "n", "label", F.xxhash64("hood", "chunk", "group").alias("cell")).distinct()
+        home = meet(labelled, searched.withColumn("size", F.col("size") + total), "hood", "size", total).select("key", "n", "hood", "label", each, "chunk")
+        second = home.unionByName(guests, allowMissingColumns=True).select("key", "n", "label", F.xxhash64("hood", "chunk", "group").alias("cell")).distinct()
         more = stored(self._search(second, all_links), "join-more-links")
         return found.unionByName(more).select("u", "v", "shared").distinct()
 
-    def components(self) -> DataFrame:
-        """(doc, n, component) of every row; documents without shingles are their own."""
-        found = connected_components(self.links(), shared_dir(self.spark)).withColumnRenamed("node", "rep")
-        return self.classes.join(found, "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
+    def decided(self) -> DataFrame:
+        """(doc, raw, n, component, winner) of every row; documents without shingles are their own. ``winner``: whether the
+        row is of the word sequence that gives its component the id."""
+        found = connected_components(self.links(), shared_dir(self.spark)).withColumnRenamed("node", "key")
+        linked = found.join(self.classes, "key").select("component", "key", "rep")
+        best = linked.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("best"))
+        least = stored(found.join(best, "component").select("key", F.col("best.rep").alias("smallest"), F.col("best.key").alias("by")), "join-least")
+        groups = self.classes.join(least, "key", "left").select("key", F.coalesce("smallest", "rep").alias("smallest"), F.coalesce("by", "key").alias("by"), "copies")
+        known = meet(self.rows.where("n > 0"), groups, "key", "copies", self.rows.count())
+        known = known.select("doc", "raw", "n", F.col("smallest").alias("component"), (F.col("key") == F.col("by")).alias("winner"))
+        return known.unionByName(self.rows.where("n = 0").select("doc", "raw", "n", F.col("doc").alias("component"), F.lit(True).alias("winner")))
 
 
 def _real(column: str):
@@ -312,22 +444,34 @@ def _real(column: str):
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, chunk: int = CHUNK) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    found = JaccardJoin(docs, id, text, k, num, den, chunk).components()
+    found = JaccardJoin(docs, id, text, k, num, den, chunk).decided()
     return found.select(_real("doc").alias(id), F.col("n").alias("n_shingles"), _real("component").alias("component_id"))
 
 
 def jaccard_links(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """All links (u, v, shared) between class representatives, and (id, n_shingles, representative) of every row."""
+    """All links (u, v, shared) between representatives of different texts, and (id, n_shingles, representative) of every row.
+    A representative is the smallest id with the text; texts whose smallest ids are the same can't be told apart by it."""
     join = JaccardJoin(docs, id, text, k, num, den, chunk)
-    members = join.classes.select(_real("doc").alias(id), F.col("n").alias("n_shingles"), _real("rep").alias("representative"))
-    return join.links(all_links=True), members
+    rep = join.classes.select("key", "rep", "copies")
+    members = meet(join.rows.where("n > 0"), rep, "key", "copies", join.rows.count()).select("doc", "n", "rep")
+    members = members.unionByName(join.rows.where("n = 0").select("doc", "n", F.col("doc").alias("rep")))
+    found = join.links(all_links=True)
+    for end in ("u", "v"):
+        found = found.join(rep.select(F.col("key").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+    links = found.select(_real("rep_u").alias("u"), _real("rep_v").alias("v"), "shared")
+    return links, members.select(_real("doc").alias(id), F.col("n").alias("n_shingles"), _real("rep").alias("representative"))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    found = jaccard_components(docs, id, text, k, num, den).where(~F.col(id).eqNullSafe(F.col("component_id")))
-    gone = found.select(F.col(id).alias("_x_id")).distinct()
-    return docs.join(gone, docs[id] == gone["_x_id"], "left_anti")
+    """The rows of ``docs``, all columns, that have the smallest id of their component and are of the text that gives it.
+    Rows that repeat both stay together; null and empty texts stay. A row is known by its id and a hash of its text, and
+    only rows that a filter of those to go may hold meet them."""
+    found = JaccardJoin(docs, id, text, k, num, den).decided().where((F.col("doc") != F.col("component")) | ~F.col("winner"))
+    gone = stored(found.select(F.xxhash64("doc", "raw").alias("_x_gone")).distinct(), "join-gone")
+    row = F.xxhash64(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)), F.xxhash64(text))
+    marked = marked_possible(docs.withColumn("_x_gone", row), "_x_gone", gone)
+    stays = marked.where("_x_again").join(gone, "_x_gone", "left_anti")
+    return marked.where("not _x_again").select(docs.columns).unionByName(stays.select(docs.columns))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ def _kept(df: DataFrame, folder: str) -> DataFrame:
 def _meet(edges: DataFrame, least: DataFrame, on: str, total: int) -> DataFrame:
     """(u, v, m) of all edges: m is the least neighbour (from ``least``) of the edge's end ``on``, or null.
 
-    Nodes with more than max(1000, total / 2**16) edges are fewer than 2**16; theirs are broadcast, so that no hub's edges
-    meet in one task."""
+    Nodes with more than max(64, total / 2**14) edges are fewer than 2**14 or a 64th of all edges; theirs are broadcast, so
+    that no hub's edges meet in one task."""
     least = least.withColumnRenamed("u", "node")
-    hubs = edges.groupBy(F.col(on).alias("node")).count().where(F.col("count") > max(1000, total >> 16)).select("node")
+    hubs = edges.groupBy(F.col(on).alias("node")).count().where(F.col("count") > max(64, total >> 14)).select("node")
     hubs = hubs.join(least, "node", "left").select("node", "m", F.lit(True).alias("hub"))
     marked = edges.join(F.broadcast(hubs), F.col(on) == F.col("node"), "left").drop("node")
     rest = marked.where("hub is null").select("u", "v").join(least, F.col(on) == F.col("node"), "left")

@@ -185,6 +185,28 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_spans(empty, substring_dedup.duplicate_spans(empty)).count() == 0
 
 
+def test_rows_of_one_id_keep_to_their_own_text(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    shared, near = prose(60), prose(120)
+    held = [(1, shared), (None, prose(70) + " " + shared), (None, "short"), (2, prose(80)), (2, shared + " tail"), (2, "x"), (None, near), (3, near + " one"), (None, near + " two"), (2, near + " three four")]
+    df = spark.createDataFrame(held, "doc_id long, text string")
+    got = {(x.doc_id, x.n_words): x.n_removed for x in substring_dedup.remove_spans(df, substring_dedup.duplicate_spans(df)).collect()}
+    assert got == {(1, 60): 0, (None, 130): 60, (None, 1): 0, (2, 80): 0, (2, 61): 60, (2, 1): 0, (None, 120): 120, (3, 121): 120, (None, 121): 120, (2, 122): 0}
+    found = sorted((x.doc_id or 99, x.n_shingles, x.component_id or 99) for x in ngram_join.jaccard_components(df).collect())
+    assert found == [(1, 56, 1), (2, 1, 2), (2, 57, 1), (2, 76, 2), (2, 118, 2), (3, 117, 2), (99, 1, 99), (99, 116, 2), (99, 117, 2), (99, 126, 99)]
+    kept = sorted((x.doc_id or 99, len(words(x.text))) for x in ngram_join.one_of_each(df).collect())
+    assert kept == [(1, 60), (2, 1), (2, 80), (2, 122), (99, 1), (99, 130)]
+
+
+def test_greedy_factors_take_the_longest_source():
+    seeds = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 5, 6, 7, 1, 2, 3, 4, 5, 6, 8, 3, 4, 9, 1], np.uint64)
+    docs, lengths = np.array([1, 2, 3]), np.array([5, 7, 11])
+    found = substring_dedup.Block(docs, docs, np.zeros(3, np.int64), lengths, seeds).factors(50)
+    got = sorted(zip(*(found[c].tolist() for c in ("doc", "start", "length", "source_doc"))))
+    assert got[:3] == [(2, 0, 53, 1), (3, 0, 55, 2), (3, 7, 52, 1)] and [g[:3] for g in got[3:]] == [(3, 10, 50)]  # one seed: either source
+
+
 @pytest.mark.parametrize("k,num,den,chunk", [(4, 85, 100, 10**6), (5, 80, 100, 2000)])
 def test_ngram_join(docs, empty, k, num, den, chunk):
     sets = {}

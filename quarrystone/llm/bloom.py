@@ -1,7 +1,8 @@
-"""Bloom filters of bounded size as broadcast tables of 64-bit words, in DataFrame functions only.
+"""Bloom filters as tables of 64-bit words, in DataFrame functions only.
 
-A hash sets two bits of one word, so a lookup is one hash join. A filter has 16 bits an entry up to ``MAX_BITS``, which
-is at most 2**19 rows of 16 bytes; past that it lets more through, never less.
+A hash sets two bits of one word, so a lookup is one join. A filter has 16 bits an entry, however many there are. Up to
+``MAX_BITS`` (2**19 rows of 16 bytes) it is broadcast; a larger one is dealt out by word, and what asks it meets it by shuffle,
+so only narrow rows should. Where rows with whole texts ask, the filter is held to ``MAX_BITS`` and lets more through, never less.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 MAX_BITS = 1 << 25
 
 
-def filter_bits(entries: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, 1 << max(10, (16 * max(1, entries) - 1).bit_length()))
+def filter_bits(entries: int) -> int:
+    return 1 << max(10, (16 * max(1, entries) - 1).bit_length())
 
 
 def _bit(at: Column) -> Column:
@@ -39,10 +40,11 @@ def twice_filter(hashes: DataFrame, h: str, bits: int) -> DataFrame:
     return set_by.where("count > 1").groupBy("_x_word").agg(F.bit_or(_bit(F.col("_x_at"))).alias("_x_bits"))
 
 
-def asked(df: DataFrame, h: Column, held: DataFrame, bits: int) -> DataFrame:
-    """``df`` with ``_x_again``: whether the filter may hold the row's hash. The filter's size is bounded, so it is broadcast."""
+def asked(df: DataFrame, h: Column, held: DataFrame, bits: int, broadcast_bits: int = MAX_BITS) -> DataFrame:
+    """``df`` with ``_x_again``: whether the filter may hold the row's hash. It is broadcast up to ``broadcast_bits``."""
     word, mask = places(h, bits)
-    found = df.withColumns({"_x_word": word, "_x_mask": mask}).join(F.broadcast(held), "_x_word", "left")
+    held = F.broadcast(held) if bits <= broadcast_bits else held
+    found = df.withColumns({"_x_word": word, "_x_mask": mask}).join(held, "_x_word", "left")
     again = F.coalesce(F.col("_x_bits").bitwiseAND(F.col("_x_mask")) == F.col("_x_mask"), F.lit(False))
     return found.withColumn("_x_again", again).drop("_x_word", "_x_mask", "_x_bits")
 

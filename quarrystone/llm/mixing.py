@@ -3,16 +3,16 @@
 Targets: each source wants its weight's share of all words; none gets more than ``max_epochs`` times its own words, and
 what is over is shared again by weight (one water level, found exactly on the per-source totals). Whole epochs come
 first. The fraction left is drawn by Efraimidis and Spirakis: each document has the key ``-ln(u) / quality``, with u from
-its id's MD5 digest, and the smallest keys go in until their words, prefix-summed, meet the budget; the document that
-crosses it goes in if that ends nearer. Documents stay whole, so a source ends within half a document of its target.
+its id's MD5 digest, and the smallest keys go in until their words, prefix-summed, meet the budget. Of the document that
+crosses it the mix takes the first words, as many as are left, so a source ends on its target.
 
 The prefix sum never sorts a source in one task: keys fall into 16,384 cells by a monotone map under which no cell holds
 more than (largest quality / smallest) / 16,384 of a source; cell totals are partial aggregates, and only the one cell
 that holds the budget is sorted. Decisions are then a comparison with the source's cut, so texts never shuffle.
 
 Edge cases: null text has 0 words; a null source is a source, after all others; a null id draws like the id ''; rows
-with equal ids have equal keys and go in together by id order; quality null or <= 0 counts as 1; an empty table, or
-texts without words, give targets of 0. Rows come out once each, repeated or not.
+with equal ids have equal keys and, where they cross the budget, share what is left by their sizes, rounded down; quality
+null or <= 0 counts as 1; an empty table, or texts without words, give targets of 0. Columns named ``_x_*`` are not allowed.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ SEED = "mix-1"
 WORD = SPACE.replace("[", "[^") + "+"
 
 
+def order() -> Column:
+    """A row's place in its source's draw."""
+    return F.struct(F.col("key"), F.col("id").isNull().alias("unnamed"), F.col("id"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -47,15 +52,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     cycle = F.array(*[F.lit(int(w)) for w in weights])
     per = per.withColumn("w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
     per = per.withColumn("ratio", F.lit(max_epochs).cast("double") * F.col("source_size") / F.col("w"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    later = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
     per = per.withColumns(
         {
             "rest": F.sum("source_size").over(everything) - max_epochs * F.coalesce(F.sum("source_size").over(earlier), F.lit(0)),
             "rest_w": F.sum("w").over(later),
-            "place": F.row_number().over(order),
+            "place": F.row_number().over(by_ratio),
         }
     )
     fits = F.col("rest") * F.col("w") <= max_epochs * F.col("source_size") * F.col("rest_w")
@@ -72,10 +77,12 @@ def _with_cell(rows: DataFrame) -> DataFrame:
 
 
 def source_cuts(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, lowest, target, epochs, cut_cell, cut): what a row needs to know. sizes: (id, source, size, quality, key)."""
+    """(source, source_size, lowest, target, epochs, cut_cell, cut, part, part_of): what a row needs to know. Rows whose order
+    is ``cut`` have ``part_of`` words, of which ``part`` are taken. sizes: (id, source, size, quality, key)."""
     targets = stored(source_targets(sizes, weights, max_epochs), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
+    left = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5)).cast("long")
+    targets = targets.withColumn("epochs", epochs).withColumn("left", left)
     same = sizes["source"].eqNullSafe(targets["source"])
     celled = _with_cell(sizes.join(targets, same).select(sizes["*"], targets["lowest"], targets["left"]))
     cells = celled.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
@@ -87,24 +94,29 @@ def source_cuts(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
     )
     crossed = stored(crossed, "mix-cells")
     inside = celled.join(crossed, celled["source"].eqNullSafe(crossed["cut_source"]) & (celled["cell"] == crossed["cut_cell"]))
-    within = Window.partitionBy("cut_source").orderBy("key", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.sum("size").over(within) + F.col("before"))
-    taken = inside.where(2 * F.col("upto") - F.col("size") <= 2 * F.col("left"))
-    cuts = taken.groupBy("cut_source").agg(F.max(F.struct("key", F.col("id").isNull(), "id")).alias("cut"))
+    inside = inside.groupBy("cut_source", "left", "before", order().alias("at")).agg(F.sum("size").alias("words"))
+    within = Window.partitionBy("cut_source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("upto", F.sum("words").over(within) + F.col("before")).where(F.col("upto") > F.col("left"))
+    first = inside.groupBy("cut_source").agg(F.min(F.struct("at", (F.col("left") - F.col("upto") + F.col("words")).alias("part"), "words")).alias("first"))
+    cuts = first.select("cut_source", F.col("first.at").alias("cut"), F.col("first.part").alias("part"), F.col("first.words").alias("part_of"))
     known = targets.join(crossed, targets["source"].eqNullSafe(crossed["cut_source"]), "left").drop("cut_source", "before")
     known = known.join(cuts, known["source"].eqNullSafe(cuts["cut_source"]), "left").drop("cut_source", "left")
     return stored(known, "mix-cuts")  # one row a source: as a table of known size it is broadcast where it is small
 
 
-def copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``rows`` (id, source, quality, key, ...) with source_size, target and copies: how often the mix takes each row."""
+def copies(rows: DataFrame, cuts: DataFrame, size: Column) -> DataFrame:
+    """``rows`` (id, source, quality, key, ...) with source_size, target, copies (how often the mix takes the whole row) and
+    part (how many words of it besides); ``size``: the row's words, asked for only at the cut."""
     known = cuts.withColumnRenamed("source", "_source")
     joined = _with_cell(rows.join(known, rows["source"].eqNullSafe(known["_source"])))
-    here = F.col("cell").eqNullSafe(F.col("cut_cell")) & (F.struct("key", F.col("id").isNull(), "id") <= F.col("cut"))
-    drawn = F.coalesce(F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | here, F.lit(False))
+    in_cell = F.col("cell").eqNullSafe(F.col("cut_cell"))
+    drawn = F.coalesce(F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | (in_cell & (order() < F.col("cut"))), F.lit(False))
     drawn = drawn & (F.col("target") > F.col("epochs") * F.col("source_size"))
     n = F.col("epochs") + F.when(drawn, 1).otherwise(0)
-    return joined.withColumn("copies", n).drop("_source", "lowest", "epochs", "cut_cell", "cut", "cell")
+    whole = size * F.col("part")
+    part = (whole - whole % F.col("part_of")) / F.col("part_of")
+    part = F.when(in_cell & (order() == F.col("cut")), part.cast("long")).otherwise(F.lit(0).cast("long"))
+    return joined.withColumns({"copies": n, "part": part}).drop("_source", "lowest", "epochs", "cut_cell", "cut", "cell", "part_of")
 
 
 def sized(docs: DataFrame, quality: DataFrame | None, id: str, source: str, text: str, seed: str = SEED) -> DataFrame:
@@ -124,25 +136,30 @@ def label_quality(labels: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it. Rows meet the cut of their source and, if given, their quality."""
+    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, with all columns. What it takes of a row in
+    part comes as a row of its own with the text's first words, joined by one space. Rows meet the cut of their source and,
+    if given, their quality."""
     cuts = source_cuts(stored(sized(docs, quality, id, source, text), "mix-sizes"))
     rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.struct("*").alias("_x_row"))
     if quality is None:
         rows = rows.withColumn("quality", F.lit(1.0))
     else:
         rows = rows.join(quality, "id", "left").withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0))
-    taken = copies(rows.withColumn("key", key(F.col("id"), F.col("quality"))), cuts).where("copies > 0")
-    each = taken.select("_x_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.select(*[F.col("_x_row").getField(c).alias(c) for c in docs.columns])
+    held = F.col("_x_row").getField(text)
+    taken = copies(rows.withColumn("key", key(F.col("id"), F.col("quality"))), cuts, word_count(held))
+    taken = taken.withColumn("_x_n", F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0)).where("_x_n > 0")
+    each = taken.select("_x_row", "copies", "part", F.explode(F.sequence(F.lit(1).cast("long"), "_x_n")).alias("_x_nth"))
+    words = F.slice(F.regexp_extract_all(held, F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int"))
+    cut = F.when(F.col("_x_nth") > F.col("copies"), F.array_join(words, " ")).otherwise(held)
+    return each.select(*[cut.alias(c) if c == text else F.col("_x_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     quality = label_quality(table(spark, sf_dir, "labels"))
     sizes = stored(sized(table(spark, sf_dir, "documents"), quality, "doc_id", "source", "text"), "mix-sizes")
-    rows = copies(sizes, source_cuts(sizes))
-    return rows.select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    rows = copies(sizes, source_cuts(sizes), F.col("size"))
+    taken = F.col("copies") * F.col("size") + F.col("part")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
 
 
 OP5_SQL = r"""
@@ -169,10 +186,11 @@ t AS (
   FROM o, l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 p AS (
-  SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rem,
-         sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  SELECT d.*, source_size, target, epochs, floor(target - epochs * source_size + 0.5::DOUBLE)::BIGINT AS rem,
+         sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS LAST) AS upto,
+         sum(size) OVER (PARTITION BY d.source, k, doc_id) AS alike
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN rem > 0 AND 2 * upto - size <= 2 * rem THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * epochs + CASE WHEN upto <= rem THEN size WHEN upto - alike >= rem THEN 0 ELSE (size * (rem - (upto - alike))) // alike END)::BIGINT AS taken
 FROM p
 """

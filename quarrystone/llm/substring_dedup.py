@@ -247,7 +247,7 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """Factors: (doc, row, start, length, source_doc, source_start), in words; those of one document may overlap. ``row`` is a
     hash of the text and tells rows of one id apart."""
     small_batches(docs.sparkSession)
-    blocks = text_blocks(docs, text)
+    blocks = text_blocks(docs, text, 4)
     rows = _known_rows(docs, id, text)
     return parse_blocks(send_seeds(rows, blocks, window, anchor, hot_minimisers(rows, window, anchor)), blocks, window)
 

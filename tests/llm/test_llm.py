@@ -69,14 +69,22 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.duplicate_classes(empty).count() == 0 == exact_dedup.drop_exact_duplicates(empty).count()
 
 
-def test_a_full_filter_stays_exact(docs):
-    a = sorted(map(repr, exact_dedup.duplicate_classes(docs, max_bits=64).collect()))
+def test_a_filter_too_large_to_broadcast(docs):
+    a = sorted(map(repr, exact_dedup.duplicate_classes(docs, broadcast_bits=64).collect()))
     assert a == sorted(map(repr, exact_dedup.duplicate_classes(docs).collect()))
+    kept = [sorted(map(repr, exact_dedup.drop_exact_duplicates(docs, broadcast_bits=b).collect())) for b in (64, 1 << 25)]
+    assert kept[0] == kept[1]
+
+
+def test_rows_without_id_go_by_their_own_text(spark):
+    held = [(None, "abcd efgh"), (None, "wxyz 1234"), (5, "abcdefgh "), (5, "abcd"), (6, "a b c d")]
+    df = spark.createDataFrame(held, "doc_id long, text string")
+    assert sorted((r.doc_id or 99, r.text) for r in exact_dedup.drop_exact_duplicates(df).collect()) == [(5, "abcdefgh "), (6, "a b c d"), (99, "wxyz 1234")]
 
 
 def test_mixing(docs, empty, spark):
     sizes = mixing.sized(docs, None, "doc_id", "source", "text")
-    got = mixing.copies(sizes, mixing.source_cuts(sizes)).collect()
+    got = mixing.copies(sizes, mixing.source_cuts(sizes), F.col("size")).collect()
     size = defaultdict(int)
     for _, t, _, s, *_ in rows():
         size[s] += len(words(t))
@@ -90,16 +98,21 @@ def test_mixing(docs, empty, spark):
             break
         capped |= over
     taken = defaultdict(int)
-    largest = max(len(words(t)) for _, t, *_ in rows())
     for r in got:
         target = 3 * size[r.source] if r.source in capped else share[r.source]
-        assert r.target == pytest.approx(target) and r.source_size == size[r.source] and 0 <= r.copies <= 3
-        taken[r.source] += r.copies * r.size
-    assert len(got) == len(rows()) and all(abs(taken[s] - (3 * size[s] if s in capped else share[s])) <= largest / 2 for s in size)
+        assert r.target == pytest.approx(target) and r.source_size == size[r.source] and 0 <= r.copies <= 3 and r.copies * r.size + r.part <= 3 * r.size
+        taken[r.source] += r.copies * r.size + r.part
+    assert len(got) == len(rows()) and all(abs(taken[s] - (3 * size[s] if s in capped else share[s])) <= 1 for s in size)
     quality = spark.createDataFrame([(5, 2.0), (6, None), (7, 0.0)], "id long, quality double")
     mixed = mixing.mix(docs, quality)
     assert mixed.columns == docs.columns and mixed.count() > 0 and sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix(docs, quality).collect()))
     assert mixing.mix(empty).count() == 0
+    assert sum(len(words(r.text)) for r in mixing.mix(docs).collect()) == sum(taken.values())
+    alike = spark.createDataFrame([(1, "a b c d e f g", "x"), (1, "h i j", "x"), (None, "k l", "x"), (None, "k l", "x"), (2, "m " * 40, "y")], "doc_id long, text string, source string")
+    sizes = mixing.sized(alike, None, "doc_id", "source", "text")
+    rows_ = mixing.copies(sizes, mixing.source_cuts(sizes, (1, 1)), F.col("size")).collect()
+    for s in "xy":  # 14 and 40 words: 27 each; rows of equal order share the rest, rounded down
+        assert 25 <= sum(r.copies * r.size + r.part for r in rows_ if r.source == s) <= 27
     silent = spark.createDataFrame([(1, None, None, None, 0, "", ""), (2, "", None, "s", 0, "", "")], SCHEMA)
     assert mixing.mix(silent).count() == 0
 

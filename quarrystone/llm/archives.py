@@ -3,10 +3,13 @@
 An archive is a ZIP file whose members are stored, not compressed: ``archive/data.warc.gz`` (each record its own gzip
 member) and ``indexes/index.cdx`` (page id, type, offset and length in the member, URL, by line). The reader takes the
 end record, the ZIP64 locator and directory where sizes need them, the central directory and the members' local headers
-by range, then the index, then the records by their ranges; nothing is extracted. Archives close at about 32 MB.
+by range, then the index, then the records by their ranges; nothing is extracted. Records go to the archive's stream as they
+are made, and archives close at about 32 MB; the reader gives its rows on by a few megabytes. So a task holds a record, an
+index and a batch, not an archive.
 
 Deduplication: of payloads equal by SHA-256 and at least ``least`` bytes long, the record of the smallest page id is a
-response and the others revisit it. Winners are a partial aggregate; rows meet them by id, so no group is gathered.
+response and the others revisit it. Winners are a partial aggregate, large groups meet theirs by broadcast, and only pages
+that a filter of the revisits may hold shuffle with their html.
 
 Edge cases: null html is an empty payload; smaller payloads are all responses; a repeated page id with an equal payload is
 no revisit of itself; a null page id is written as an empty id, after all others, and comes back null; null URLs come back
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zipfile
 import zlib
 from io import BytesIO
@@ -25,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import scratch_path, small_batches, stored, table
-from quarrystone.llm.files import open_file, write_file
+from quarrystone.llm.bloom import marked_possible
+from quarrystone.llm.common import meet, pieces, scratch_path, small_batches, stored, table
+from quarrystone.llm.files import open_file, place
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ROLL = 32 << 20
@@ -59,6 +64,32 @@ def packed(members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+class Archive:
+    """An archive as it is written: records go straight to the file, the index follows them."""
+
+    def __init__(self, folder: str):
+        system, path = place(folder)
+        system.create_dir(path, recursive=True)
+        name = f"pages-{uuid.uuid4().hex[:12]}.wacz"
+        self.uri, self.out = f"{folder}/{name}", system.open_output_stream(f"{path}/{name}")
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
+        self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+        self.index, self.size = [], 0
+
+    def add(self, page: str, kind: str, url: str | None, record: bytes) -> None:
+        self.data.write(record)
+        self.index.append(f"{page} {kind} {self.size} {len(record)} {(url or '-').split(chr(10))[0]}\n")
+        self.size += len(record)
+
+    def close(self) -> pa.RecordBatch:
+        """The manifest's row."""
+        self.data.close()
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(self.index))
+        self.zip.close()
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"uri": [self.uri], "records": pa.array([len(self.index)], pa.int64())})
+
+
 def members(f) -> dict[str, tuple[int, int]]:
     """Offset and size of the stored members of a ZIP file opened for ranges, from its directories alone."""
     size = f.size()
@@ -106,36 +137,34 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("page"), F.col(url).cast("string").alias("url"), body.alias("html"))
     digests = stored(rows.select("page", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")), "archive-digests")
-    groups = digests.where(F.col("size") >= least).groupBy("digest").agg(F.min("page").alias("refers"), F.count(F.lit(1)).alias("n"))
-    revisits = digests.join(groups.where("n > 1"), "digest").where("page <> refers").select("page", "digest", "refers").distinct()
-    revisits = stored(revisits, "archive-revisits")
-    own = rows.withColumn("digest", F.sha2("html", 256))
-    joined = own.join(revisits.withColumnRenamed("page", "_page"), (F.col("page") == F.col("_page")) & (own["digest"] == revisits["digest"]), "left")
+    large = digests.where(F.col("size") >= least).select("page", "digest")
+    groups = large.groupBy("digest").agg(F.min("page").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    revisits = meet(large, stored(groups, "archive-groups"), "digest", "n", digests.count()).where("page <> refers")
+    revisits = stored(revisits.select(F.struct("page", "digest").alias("row"), "refers").distinct(), "archive-revisits")
+    own = rows.withColumn("digest", F.sha2("html", 256)).withColumn("row", F.struct("page", "digest"))
+    marked = marked_possible(own, "row", revisits)
+    columns = ["page", "url", "html", "digest", "refers"]
+    joined = marked.where("_x_again").join(revisits, "row", "left").select(columns)
+    joined = marked.where("not _x_again").withColumn("refers", F.lit(None).cast("long")).select(columns).unionByName(joined)
 
     def text(n: int) -> str:
         return "" if n == _NULL_ID else str(n)
 
     def run(batches):
-        data, index, size, n = [], [], 0, 0
-
-        def close():
-            uri = write_file(folder, "pages", ".wacz", [packed({DATA: b"".join(data), INDEX: "".join(index).encode()})])
-            return pa.RecordBatch.from_pydict({"uri": [uri], "records": pa.array([n], pa.int64())})
-
-        for batch in batches:
+        archive = None
+        for batch in pieces(batches, "html"):
             for page, link, held, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+                archive = archive or Archive(folder)
                 kind = "response" if refers is None else "revisit"
                 record = _gzip(_record(kind, text(page), link, held.encode(), digest, text(refers) if refers is not None else "", date))
-                index.append(f"{text(page)} {kind} {size} {len(record)} {(link or '-').split(chr(10))[0]}\n")
-                data.append(record)
-                size, n = size + len(record), n + 1
-                if size >= ROLL:
-                    yield close()
-                    data, index, size, n = [], [], 0, 0
-        if n:
-            yield close()
+                archive.add(text(page), kind, link, record)
+                if archive.size >= ROLL:
+                    yield archive.close()
+                    archive = None
+        if archive is not None:
+            yield archive.close()
 
-    return stored(joined.select("page", "url", "html", own["digest"], "refers").mapInArrow(run, "uri string, records long"), "archive-manifest")
+    return stored(joined.mapInArrow(run, "uri string, records long"), "archive-manifest")
 
 
 def parse_record(data: bytes) -> dict:
@@ -156,28 +185,45 @@ def read_archives(manifest: DataFrame, payloads: bool = True, window: int = 4 <<
         held = (value or "")[len("<urn:page:") : -1]
         return int(held) if held else None
 
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html"][: 6 + payloads]
+
+    def made(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=names)
+
+    def entries(f, at: int, size: int):
+        """Offset and length of each record, by the index, a window of it at a time."""
+        rest, stop = b"", at + size
+        while at < stop:
+            part = f.read_at(min(window, stop - at), at)
+            at += len(part)
+            *lines, rest = (rest + part).split(b"\n")
+            for line in lines:
+                _, _, offset, length, _ = line.split(b" ", 4)
+                yield int(offset), int(length)
+
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with open_file(uri) as f:
                     found = members(f)
                     base, _ = found[DATA]
-                    at, size = found[INDEX]
-                    entries = [line.split(" ", 4) for line in f.read_at(size, at).decode().split("\n")[:-1]]
-                    out, low, held = [], 0, b""
-                    for _, _, offset, length, _ in entries:
-                        offset, length = int(offset), int(length)
+                    out, gathered, low, held = [], 0, 0, b""
+                    for offset, length in entries(f, *found[INDEX]):
                         if offset + length > low + len(held):
                             low, held = offset, f.read_at(max(window, length), base + offset)
                         record = parse_record(zlib.decompress(held[offset - low : offset - low + length], 31))
-                        names, payload = record["fields"], record["payload"]
-                        revisit = names["WARC-Type"] == "revisit"
-                        digest = names["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
-                        row = [page(names["WARC-Record-ID"]), names.get("WARC-Target-URI"), names["WARC-Type"], page(names.get("WARC-Refers-To")) if revisit else None, record["payload_bytes"] if revisit else len(payload), digest]
+                        fields_, payload = record["fields"], record["payload"]
+                        revisit = fields_["WARC-Type"] == "revisit"
+                        digest = fields_["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
+                        row = [page(fields_["WARC-Record-ID"]), fields_.get("WARC-Target-URI"), fields_["WARC-Type"], page(fields_.get("WARC-Refers-To")) if revisit else None, record["payload_bytes"] if revisit else len(payload), digest]
                         out.append(row + [None if revisit else payload.decode()] if payloads else row)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html"][: 6 + payloads]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=names)
+                        gathered += 200 + len(payload) * payloads
+                        if gathered >= window:
+                            yield made(out)
+                            out, gathered = [], 0
+                    if out:
+                        yield made(out)
 
     return manifest.select("uri").repartitionByRange(max(8, manifest.count()), "uri").mapInArrow(run, fields)
 

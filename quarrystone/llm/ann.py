@@ -7,12 +7,15 @@ reach half the lines is verified: its exact cosine, in double precision on the o
 vector as near as its k-th best would, with the probability given by ``certainty``, have been verified already, or once
 all are. The stop rule uses only distances found, so windows fit the data, and no count of candidates is capped.
 
-Scale: vectors lie in blocks of about 16,384 at most, queries in blocks of 1,024; each pair of blocks is a task's cell with its
-own arrays, and each query's k best of every block are merged. That is a stated query set against all rows, in blocks.
+Scale: vectors lie in blocks of about 8,192. A task gets one block, builds its arrays once, and then reads the queries one
+after the other, as a stream; each query's k best of every block are merged. Past 65,536 queries they come in groups, a task
+for each block and group, where building the arrays is a small part of the work. That is a stated query set against all rows.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, and such queries
 have no rows; vectors of another dimension than the query's are no candidates; rows with the query's own id are not
-candidates; equal vectors score equal and come by smaller id; fewer than k candidates: all; a null id takes no part.
+candidates, so of a repeated id no row is one for another; queries of one id are one query, as near to a row as the nearest
+of them; rows of one id come once, with their best score; equal vectors score equal and come by smaller id; fewer than k
+candidates: all; a null id takes no part; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import stored, table
 
-LINES, BLOCK, QUERIES, WIDEN, CERTAINTY = 64, 16384, 1024, 1.12, 1.2
+LINES, BLOCK, QUERIES, WIDEN, CERTAINTY = 64, 8192, 65536, 1.12, 1.2
 
 
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
@@ -116,30 +119,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_i
 
     homes = rows.select("vec", "x", block.alias("block"), every(groups).alias("group"), F.lit(False).alias("asked"))
     guests = asked.select("vec", "x", every(blocks).alias("block"), group.alias("group"), F.lit(True).alias("asked"))
-    cell = (F.col("block") * groups + F.col("group")).cast("long")
-    dealt = homes.unionByName(guests).select("vec", "x", "asked", cell.alias("cell"), F.size("x").alias("dim"))
+    cell = (F.col("block") * groups + F.col("group")).cast("int").alias("cell")
+    dealt = homes.unionByName(guests).select("vec", "x", "asked", cell, F.size("x").alias("dim"))
 
     def run(batches):
-        held = [(b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(4).to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        ids, asked_, cell_, dim = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
-        flat = np.concatenate([h[1].flatten().to_numpy(zero_copy_only=False) for h in held])
-        at = np.cumsum(dim) - dim
-        for key in np.unique(np.stack([cell_, dim]), axis=1).T:
-            mine = (cell_ == key[0]) & (dim == key[1])
-            data, query = np.flatnonzero(mine & ~asked_), np.flatnonzero(mine & asked_)
-            if not len(data) or not len(query):
+        """Rows come by cell and dimension, vectors before queries."""
+        of, index, data = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            index = Arrays(ids[data], flat[at[data][:, None] + np.arange(key[1])])
-            out: list[list] = [[], [], []]
-            for i in query:
-                places, cos, _ = index.search(int(ids[i]), flat[at[i] : at[i] + key[1]], k)
-                out[0].append(np.full(len(places), ids[i])), out[1].append(index.ids[places]), out[2].append(cos)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
-
-    cells = blocks * groups
-    found = dealt.repartition(max(8, cells), "cell").mapInArrow(run, "query_id long, vec_id long, score double")
+            ids, asks, cells, dims = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            at = np.cumsum(dims) - dims
+            kind = np.stack([cells, dims, asks.astype(dims.dtype)], axis=1)
+            cut = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]).any(axis=1)))
+            for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
+                x = flat[at[low] : at[high - 1] + dims[low]].reshape(high - low, dims[low])
+                if of != (cells[low], dims[low]):
+                    of, index, data = (cells[low], dims[low]), None, []
+                if not asks[low]:
+                    data.append((ids[low:high], x))
+                    continue
+                if data:
+                    index, data = Arrays(*(np.concatenate(part) for part in zip(*data))), []
+                if index is None:
+                    continue
+                out: list[list] = [[], [], []]
+                for query_id, q in zip(ids[low:high].tolist(), x):
+                    places, cos, _ = index.search(query_id, q, k)
+                    out[0].append(np.full(len(places), query_id)), out[1].append(index.ids[places]), out[2].append(cos)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in out], names=["query_id", "vec_id", "score"])
+
+    placed = dealt.repartitionById(blocks * groups, "cell").sortWithinPartitions("cell", "dim", "asked")
+    found = placed.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

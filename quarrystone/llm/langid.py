@@ -6,7 +6,8 @@ their bytes, so every byte of every text counts. For application the convolution
 filter's response is a sum of one or two table rows, so a batch of windows is gathers, additions and one maximum.
 
 Training reads only ``text`` and non-null ``lang`` of rows whose crc32(id) mod 5 is not 0, from a sample bounded by
-``per_lang`` rows a language (chosen by a hash of the id) and 2,048 characters a row; prediction reads only the text.
+``per_lang`` rows a language (chosen by a hash of the id) and 2,048 characters a row, of every language there is; prediction
+reads only the text.
 
 Edge cases: null text, empty text and text without a letter are ``und`` with score 0; a null id counts as the id '' for
 the split; a long text is a long row of windows; equal rows have equal results; ties go to the language first in order;
@@ -34,13 +35,12 @@ def held_out(id: Column) -> Column:
 def training_sample(docs: DataFrame, id: str, text: str, lang: str, per_lang: int) -> list[tuple[str, str]]:
     """At most ``per_lang`` (lang, passage) a language; the passage starts anywhere in the text."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(id)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not counts:
-        return []
+    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("of"))
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(id)), F.lit(1 << 30))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int(1.5 * per_lang / n * (1 << 30)) + 1))]), F.col(lang))
+    rate = F.lit(1.5 * per_lang * (1 << 30)) / F.col("of")
     begin = F.pmod(F.xxhash64(F.col(id), F.lit(SEED)), F.greatest(F.lit(1), F.length(text) - 2048)).cast("int") + 1
-    some = rows.where(draw < rate).select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).substr(begin, F.lit(2048)).alias("passage"))
+    some = rows.select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text"), begin.alias("begin"))
+    some = some.join(counts, "lang").where(F.col("draw") <= rate).select("lang", "draw", F.col("text").substr(F.col("begin"), F.lit(2048)).alias("passage"))
     order = Window.partitionBy("lang").orderBy("draw", "passage")
     some = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
     return sorted((r["lang"], r["passage"]) for r in some.select("lang", "passage").collect())
@@ -157,13 +157,20 @@ class Network:
         return np.add.reduceat(prob, first, axis=0) / np.maximum(size, 1)[:, None]
 
 
-def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` (all columns) with _lang and _score."""
+def _unused(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
+def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """``docs`` (all columns) with ``lang`` and ``score``; columns that have these names already are replaced."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(lang, score)
     columns = docs.columns
-    named = docs.withColumns({"_lang": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
+    named = docs.withColumns({lang: F.lit(None).cast("string"), score: F.lit(None).cast("double")})
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    where = columns.index(text)
+    where, n_columns = columns.index(text), len(columns)
 
     def run(batches):
         network = None
@@ -172,7 +179,7 @@ def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str
         for batch in pieces(batches, text):
             n = batch.num_rows
             known = batch.column(n_columns).to_numpy(zero_copy_only=False).astype(bool)
-            lang, score = np.full(n, UNDETERMINED, object), np.zeros(n)
+            langs, scores = np.full(n, UNDETERMINED, object), np.zeros(n)
             rows = np.flatnonzero(known)
             if network is not None and len(rows):
                 held = batch.column(where).take(pa.array(rows)).cast(pa.large_string())
@@ -180,21 +187,23 @@ def identify(docs: DataFrame, model: dict | None, id: str = "doc_id", text: str
                 data = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]]
                 prob = network.texts(data, at - at[0])
                 best = prob.argmax(axis=1)
-                lang[rows] = np.array(network.langs, object)[best]
-                score[rows] = np.clip(prob[np.arange(len(rows)), best], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.array(lang, pa.string()), pa.array(score)], names=[*columns, "_lang", "_score"])
+                langs[rows] = np.array(network.langs, object)[best]
+                scores[rows] = np.clip(prob[np.arange(len(rows)), best], 0, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.array(langs, pa.string()), pa.array(scores)], names=[*columns, lang, score])
 
-    n_columns = len(columns)
-    return docs.withColumn("_lettered", lettered).mapInArrow(run, named.schema)
+    return docs.withColumn(_unused(columns, "_lettered"), lettered).mapInArrow(run, named.schema)
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> dict | None:
     return train(training_sample(docs, id, text, lang, per_lang))
 
 
-def keep_identified(docs: DataFrame, model: dict | None, least: float = 0.0) -> DataFrame:
-    """The rows whose language the network can tell: a letter at least, and a score of ``least`` or more."""
-    return identify(docs, model).where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select(docs.columns)
+def keep_identified(docs: DataFrame, model: dict | None, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns of any name, whose language the network can tell: a letter at least, and a score of
+    ``least`` or more. Null text, empty text and texts without a letter go; without a model all go; rows may repeat."""
+    lang, score = _unused(docs.columns, "_lang"), _unused(docs.columns, "_score")
+    found = identify(docs, model, text=text, lang=lang, score=score)
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(docs.columns)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -268,6 +268,9 @@ def test_nearest(spark):
         hit, total = hit + len({i for _, i in best} & {i for i, _ in got[q]}), total + len(best)
         assert all(abs(s - float(u @ unit[i])) < 1e-12 for i, s in got[q]) and len(got[q]) == len(best)
     assert hit >= 0.9 * total and set(got) == set(unit)
+    twice = df.where("vec_id < 300").unionByName(df.where("vec_id = 9").withColumn("embedding", F.transform("embedding", lambda v: -v)))
+    again = [(g.query_id, g.rank, g.vec_id) for g in ann.nearest(twice, twice.where("vec_id in (9, 10)")).collect()]
+    assert len(set(again)) == 10 and all(q != i for q, _, i in again) and {(q, n) for q, n, _ in again} == {(q, n) for q in (9, 10) for n in range(1, 6)}
     assert [i for i, _ in got[11][:2]] == [3, 7] and ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -350,8 +353,13 @@ def test_language_id(docs, empty, spark):
     assert sum(x._lang == x.lang for x in tested) >= 0.95 * len(tested) > 50
     by = {x.doc_id: x for x in got}
     assert [by[i]._lang for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"] and all(0 <= x._score <= 1 for x in got)
-    kept = langid.keep_identified(df, model)
-    assert kept.columns == df.columns and kept.count() == len(held) - 3
+    for named in (df, df.withColumnsRenamed({"cell": "_lang", "size": "_score", "block": "_lettered"})):
+        kept = langid.keep_identified(named, model)
+        assert kept.columns == named.columns and kept.count() == len(held) - 3
+    clashing = langid.identify(df.withColumnRenamed("cell", "_LANG"), model)
+    assert clashing.columns == [*[c for c in df.columns if c != "cell"], "_lang", "_score"]
+    few = [(i, f"{chr(0x4e00 + i // 3)} {chr(0x4e00 + i // 3)}", f"l{i // 3}", "s", 0, "c", "s") for i in range(1200)]
+    assert len({x for x, _ in langid.training_sample(spark.createDataFrame(few, SCHEMA), "doc_id", "text", "lang", 5)}) > 390
     assert langid.fit(empty) is None and langid.identify(docs, None).where("_lang <> 'und'").count() == 0 == langid.identify(empty, model).count()
 
 

@@ -12,15 +12,18 @@ BLOCK_TAGS = frozenset(
     "summary table tbody td textarea tfoot th thead title tr ul video audio canvas label".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Whose text is not content: skipped to their end tag or, as browsers do, to the end of the page.
+#: Whose text is not content: skipped to their end tag or, as browsers do, to the end of the page (but for ones closed by "/>").
 RAW_TAGS = "script|style|noscript|template|iframe|textarea|title"
-#: Whose start or end tag ends a drawing that was not closed (blocks, and what else the HTML standard lets break out of one).
-_BREAKS_OUT = BLOCK_TAGS - {"title"} | set("b big br code em embed i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+#: Parts of drawings and formulas that stand apart, though they are not blocks.
+_APART = frozenset("br svg g text tspan math mtr mtd object".split())
 
+# Attributes as the HTML standard reads them: a quote opens a value only after "=", and nowhere else. A quote that is never
+# closed, and a tag that is never, end nothing early: the former is a character, the latter runs to the end of the page.
+# Every branch consumes what it has looked at, but for the last quote of either kind, so time is linear.
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(?:>|\Z)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    rf"|<(svg)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:[^<]+|<(?!/svg[\s>]|/?(?:{'|'.join(sorted(_BREAKS_OUT))})[\s/>]))*+(?:</svg\s*>)?"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW_TAGS})(?=[\s/>]){_ATTRIBUTES}(?<!/>).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(/?)([a-z][^\s/>]*+)({_ATTRIBUTES})|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _HINT = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -64,15 +67,15 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str
             if in_link:
                 linked += low - at
         at = m.end()
-        tag = m[4]
+        tag = m[3]
         if tag is None:
-            if m[1] or m[2]:
+            if m[1]:
                 parts.append(" ")
             continue
-        tag, end = tag.lower(), m[3]
+        tag, end = tag.lower(), m[2]
         if tag == "a":
             in_link = 0 if end else 1
-        elif tag == "br":
+        elif tag in _APART:
             parts.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
@@ -87,7 +90,7 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str
                     open_.pop()
                 if tag in _CLOSES and open_ and open_[-1][0] in _CLOSES[tag]:
                     open_.pop()
-                open_.append((tag, *_hints(m[5])))
+                open_.append((tag, *_hints(m[4])))
     if at < len(html):
         parts.append(html[at:])
     flush()

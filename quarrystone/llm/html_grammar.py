@@ -87,6 +87,14 @@ class Page:
         return text
 
     def body_text(self) -> str:
+        kind = self.r.random()
+        if kind < 0.25:
+            return self.keep(self.sentence(1, 4))
+        if kind < 0.33:  # lists run together, and text full of signs
+            words = [self.word() for _ in range(self.r.randint(2, 30))]
+            if kind < 0.28:
+                return self.keep(self.r.choice([" | ", " · ", ", ", " > "]).join(words))
+            return self.keep(" ".join(w + self.r.choice(["", *"%$#*~^="]) * self.r.randint(1, 4) for w in words))
         return self.keep(" ".join(self.sentence() for _ in range(self.r.choice([1, 1, 2, 3, 5, 9]))))
 
     def part(self) -> str:
@@ -119,10 +127,14 @@ class Page:
         n = r.choice([0, 1, 1, 1, 2, 2, 3, 4, 6, 10, 18])
         for _ in range(n):
             inner.append(self.part())
+            if r.random() < 0.04:
+                inner.append(f"<p>{self.keep(self.sentence(1, 4))}</p>" * r.choice([2, 3, 6, 12, 25]))
             if r.random() < 0.07:
                 inner.append(self.boiler(r.choice(["ad", "ad", "side", "share", "form", "notice"])))
         if r.random() < 0.08:
             inner.append(self.boiler("comments"))
+        while r.random() < 0.25:
+            inner.append(f"<p>{self.keep(self.sentence(1, 4))}</p>")
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         out = f"<{tag}{self.attributes('main', 0.3 if tag in ('article', 'main') else 0.9)}>{''.join(inner)}</{tag}>"
         return f'<div{self.attributes("main", 0.5)}>{out}</div>' if r.random() < 0.2 else out

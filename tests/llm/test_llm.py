@@ -310,18 +310,48 @@ def test_blocks():
 
 
 @pytest.mark.parametrize("html,texts", [
-    ("<p>a</p><svg width='1'/><p>b</p><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
-    ("<p>a</p><svg><text>no</text><div>b</div><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+    ("<p>a</p><svg width='1'/><p>b</p><svg><text>x</text><text>y</text></svg><p>c", ["a", "b", "x y", "c"]),
+    ("<p>a</p><svg><text>x</text><div>b</div><svg><text>y</text></svg><p>c", ["a", "x", "b", "y", "c"]),
     ("<div>a<svg><path d='x'></div><p>b", ["a", "b"]),
     ("<p>a</p><math/><p>b</p><math><mi>x</mi></math><p>c", ["a", "b", "x", "c"]),
     ("<p>a</p><object data='f'><p>b</p><p>c", ["a", "b", "c"]),
     ("<object><p>a</p></object><p>b", ["a", "b"]),
-    ("<svg><title>no</title><svg/><g/></svg>a<script>no", ["a"]),
+    ("<svg><title>no</title><style/><svg/><g/></svg>a<script>no", ["a"]),
+    ("<div><p title=it's>Lost text here</p><p>You don't see me</p><p>after</p></div>", ["Lost text here", "You don't see me", "after"]),
+    ("<p a='1>2' b = \"it's\" c=d'e>x</p f='>'>y<!-->z<!-- no --!>w", ["x", "yzw"]),
+    ("<p>a<b title='never closed>b</b><p>c", ["ab", "c"]),
+    ("<style>no</style foo>a</ b>c<br", ["ac"]),
 ])
 def test_blocks_after_unclosed_elements(html, texts):
     assert [t for _, t, _ in leaf_blocks(html)] == texts
 
 
+@pytest.mark.parametrize("part", ["<p a='", '<p a="', "<p>it's a='q ", "<script>", "<!--", "=y ", "<", "</", "<!", "<svg", "<p = ", "<p a='x' b=\"it's\">don't</p>"])
+def test_pages_full_of_quotes_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    leaf_blocks("<div a='x" + part * (5_000_000 // len(part)))
+    leaf_blocks(part * (5_000_000 // len(part)))
+    assert time.process_time() - began < 20
+
+
+def test_pages_of_the_small_table(spark):
+    """The small table's pages mark their articles, so labels and text can be had without the network."""
+    import os
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    got = {r.page_id: r for r in html_text.extract(spark.read.parquet(path)).collect()}
+    wrong = 0
+    for r in spark.read.parquet(path).collect():
+        want = "\n\n".join(t for held, t, _ in leaf_blocks(r.html) if any(e[0] == "article" for e in held))
+        wrong += got[r.page_id].text != want
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
+    assert wrong <= 2 and len(got) == 250
+
+
 def test_html_labeller(spark):
     p = html_text.model()
     pages = labelled_pages(200, seed=77)
@@ -338,6 +368,8 @@ def test_html_labeller(spark):
     assert len(got) == 4 and {r.text for r in got if r.page_id != 1} == {""}
     assert all(r.text == "A title\n\n" + "\n\n".join(f"{'word text here ' * 9}number {i}." for i in range(4)) and r.n_chars == len(r.text) for r in got if r.page_id == 1)
     assert html_text.extract(df.limit(0)).count() == 0
+    clashing = html_text.extract(df.withColumnsRenamed({"_x": "text", "labels": "_html"}).withColumnRenamed("url", "N_chars"))
+    assert clashing.columns == ["page_id", "_html", "text", "n_chars"] and clashing.count() == 4
 
 
 def test_language_id(docs, empty, spark):

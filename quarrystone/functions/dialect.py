@@ -82,6 +82,21 @@ class Spark:
     def most(self, xs):
         return f"array_max({xs})"
 
+    def rx_groups(self, x, p, g=1):
+        return f"regexp_extract_all({x}, {self.lit(p)}, {g})"
+
+    def cat(self, arrays):
+        return f"concat({', '.join(arrays)})"
+
+    def sorted_list(self, x):
+        return f"sort_array(collect_list({x}))"
+
+    def strings(self):
+        return "CAST(array() AS ARRAY<STRING>)"
+
+    def any_case(self, x, word, to):
+        return f"regexp_replace({x}, '(?i)' || {word}, {to})"
+
 
 class Check(Spark):
     def lit(self, p):
@@ -161,3 +176,18 @@ class Check(Spark):
 
     def most(self, xs):
         return f"list_max({xs})"
+
+    def rx_groups(self, x, p, g=1):
+        return f"regexp_extract_all({x}, '{p}', {g})"
+
+    def cat(self, arrays):
+        return f"flatten([{', '.join(arrays)}])"
+
+    def sorted_list(self, x):
+        return f"list_sort(list({x}))"
+
+    def strings(self):
+        return "[]::VARCHAR[]"
+
+    def any_case(self, x, word, to):
+        return f"regexp_replace({x}, '(?i)' || {word}, {to}, 'g')"

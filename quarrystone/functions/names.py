@@ -19,7 +19,7 @@ ARTIFACTS = "mailto sent cc to from subject re fwd partner counsel associate par
 OCR_PAIRS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("nn", "m"), ("li", "h"), ("1", "l"), ("0", "O"), ("5", "S")]
 EXCLUDED = [
     (r"^[0-9]+$", "all_digits"),
-    (r"^@", "email_address"),
+    (r"@", "email_address"),
     (r"^[A-Z\s]{10,}$", "all_caps_long"),
     (r"^DOC[0-9]+", "document_id"),  # the corpus's own prefix
     (r"^(Page|PAGE)\s*[0-9]+", "page_number"),
@@ -29,6 +29,20 @@ EXCLUDED = [
     (r"^(Exhibit|EXHIBIT)\s*[A-Z0-9]", "exhibit_ref"),
     (r"^\s*$", "empty_string"),
 ]
+# Words that no name is or begins with: a general list, of header fields, letters' phrases, months, days and function words.
+# A corpus's own list can be given in its place.
+STOP_WORDS = (
+    "to from date subject re cc bcc dear sincerely regards best thanks thank page pages document file exhibit attachment "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september "
+    "october november december the a an and or but if then this that these those there here he she it they we you i his her "
+    "their our your my is are was were be been being have has had do does did will would can could should of in on at by for "
+    "with as not no yes so what which who when where why how all any both each more most other some such only own same than too very"
+).split()
+# Fixed values.
+PLACE_STOP_WORDS = ["Esq", "LLC", "P.C.", "Inc", "Corp", "Ltd", "INTL", "iPhone", "Assistant United States", "Conn", "Conn."]
+PLACE_CODES = "NY US UK CA FL TX DC".split()
+#: A word with a letter beyond A-Z, a digit or a low line; blanked before names are sought, so that bounds of words are plain.
+MIXED_WORD = r"[\p{L}\p{N}_]*([\p{N}_]|[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}])[\p{L}\p{N}_]*"
 
 
 def quoted(words) -> str:
@@ -99,3 +113,45 @@ def swapped_once(d, a: str, b: str) -> str:
     """One edit or one swap of neighbours apart; both of two letters or more."""
     swap = f"substr({a}, 1, CAST(i AS INT) - 1) || substr({a}, CAST(i AS INT) + 1, 1) || substr({a}, CAST(i AS INT), 1) || substr({a}, CAST(i AS INT) + 2) = {b}"
     return f"(levenshtein({a}, {b}) = 1 OR (length({a}) = length({b}) AND levenshtein({a}, {b}) = 2 AND {d.size(d.keep(d.seq(1, f'length({a}) - 1'), 'i', swap))} > 0))"
+
+
+def valid_name(d, x: str, stop_words=STOP_WORDS) -> str:
+    """Whether a candidate may be a name: not an initial, a code, a number (but for numbered Jane Does) or a stop word, and
+    not begun by one. Colons at the end, then apostrophes and s, are left out of account."""
+    c = d.rx_rep(d.rx_rep(x, ":+$", ""), r"[\x27s]+$", "")
+    first = d.rx_get(f"lower({c})", r"^(\S*)")
+    return f"""(length({x}) > 1 AND NOT (length({c}) <= 2 AND contains({c}, '.')) AND NOT (length({c}) = 2 AND {d.rx(c, '^([A-Z]{2}|[0-9]{2})$')})
+        AND NOT ({d.rx(c, '[0-9]')} AND left({c}, 8) <> 'Jane Doe') AND NOT {d.rx(c, r"[^a-zA-Z0-9\s.\x27-]")} AND {first} NOT IN ({quoted(stop_words)}))"""
+
+
+def found_names(d, x: str) -> str:
+    """Candidates in a text, as an array: runs of capitalised words, runs of words in capitals, and the one or two words after
+    by, from, to, what or both. ``x``: the text without mixed words."""
+    after = r"(?i)(?:by|from|to|what|both)\s+"
+    return d.cat([
+        d.rx_all(x, r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"), d.rx_all(x, r"\b[A-Z]{2,}(?: [A-Z]{2,})*\b"), d.rx_groups(x, after + r"([a-z]+)\b"),
+        d.rx_groups(x, after + r"([a-z]+)\s+(?:[a-z]+)\b"), d.rx_groups(x, after + r"(?:[a-z]+)\s+([a-z]+)\b"),
+    ])
+
+
+def valid_place(d, x: str) -> str:
+    """Whether a place may be one: no suffix or code word, no number but a postal code or an ordinal, two letters only of a
+    known code, and a letter or space first."""
+    return f"""(length({x}) > 1 AND {x} NOT IN ({quoted(PLACE_STOP_WORDS)}) AND NOT ({d.rx(x, '[0-9]')} AND NOT {d.rx(x, r'^[A-Za-z\s]+[0-9]{5}$')} AND NOT {d.rx(x, r'\b[0-9]+(st|nd|rd|th|ST|ND|RD|TH)\b')})
+        AND NOT (length({x}) = 2 AND upper({x}) NOT IN ({quoted(PLACE_CODES)})) AND NOT {d.rx(x, r'^[^a-zA-Z\s]')})"""
+
+
+def clean_name(d, x: str) -> str:
+    return f"trim({d.rx_rep(d.rx_rep(d.rx_rep(f'trim({x})', r'[\x00-\x1F\x7F]', ''), r'[^\p{L}\p{N}_\s.\x27-]', ''), r'\s+', ' ')})"
+
+
+def clean_place(d, x: str) -> str:
+    """As a name, with commas in place of apostrophes; of several words, single characters go."""
+    plain = f"trim({d.rx_rep(d.rx_rep(d.rx_rep(f'trim({x})', r'[\x00-\x1F\x7F]', ''), r'[^\p{L}\p{N}_\s.,-]', ''), r'\s+', ' ')})"
+    return f"CASE WHEN contains({plain}, ' ') THEN {d.join(d.keep(d.split(plain, ' '), 'w', 'length(w) > 1'), ' ')} ELSE {plain} END"
+
+
+def without_suffix(d, x: str) -> str:
+    """The name without one artifact suffix and one possessive ending."""
+    y = d.rx_rep(x, f"(?i) ({'|'.join(ARTIFACTS)})$", "")
+    return f"CASE WHEN {d.rx(y, r'[\x27\x{2019}]s$')} THEN left({y}, length({y}) - 2) WHEN {d.rx(y, r's?[\x27\x{2019}]$')} THEN left({y}, length({y}) - 1) ELSE {y} END"

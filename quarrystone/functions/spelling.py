@@ -6,8 +6,17 @@ from quarrystone.functions.names import quoted, swapped_once
 
 # Fixed values.
 STATE_CODES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc pr vi gu as mp".split()
+COUNTRY_CODES = (
+    "us gb uk ca au nz fr de it es pt nl be ch at se no dk fi ie pl cz hu ro bg gr hr si sk lt lv ee cy mt lu is mx br ar cl co "
+    "pe ve ec uy py bo cr pa gt hn sv ni do cu jm tt bs bb bz cn jp kr in pk bd ph vn th my sg id mm kh la np lk af ir iq sa ae "
+    "kw qa bh om ye jo lb sy il ps tr eg za ng ke gh et tz ug dz sd ma ao mz mg cm ci ne bf ml mw zm zw bw na sn rw so ru ua by "
+    "kz uz tm kg tj az ge am md"
+).split()
 ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx xxi xxii xxiii xxiv xxv xxx xl l lx lxx lxxx xc c cc ccc cd d dc dcc dccc cm m".split()
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec january february march april june july august september october november december".split()
+# Not fixed: general abbreviations; a corpus's own list can be given in their place.
+ABBREVIATIONS = "fbi cia nsa usa un eu nato esq atty vs misc supp app cir dist inc corp ltd llc dept govt asst mgr tel fax ext no vol ed eds etc ie eg est pst gmt am pm pdf url http www".split()
+# Fixed values, as above.
 SHORT_WORDS = "am an as at be by do go he hi if in is it me my no of oh ok on or so to up us we".split()
 COMMON_CORRECTIONS = "teh hte adn nad fo taht thsi waht recieved occured".split()
 BIGRAMS = [("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv")]
@@ -82,3 +91,30 @@ def fragment(w: str) -> str:
 def looks_foreign(d, w: str) -> str:
     clusters = d.size(d.rx_all(w, "[bcdfghjklmnpqrstvwxyz]{3,}"))
     return f"(length({w}) > 3 AND NOT {d.rx(w, ENGLISH_PARTS)} AND ({d.rx(w, FOREIGN_PARTS)} OR {clusters} >= 2))"
+
+
+def ladder_score(dist: str) -> str:
+    """100 for a word of the dictionary, ten less than 50 for each edit to the nearest one within three."""
+    return f"CASE WHEN {dist} = 0 THEN 100 WHEN {dist} <= 3 THEN 50 - 10 * {dist} END"
+
+
+def ladder_level(score: str) -> str:
+    return f"CASE WHEN {score} = 100 THEN 'HIGH' WHEN {score} >= 40 THEN 'MEDIUM' WHEN {score} IS NOT NULL THEN 'LOW' END"
+
+
+def shortened(d, word: str) -> str:
+    """``word`` less none, one or two of its letters, an array; words at most two edits apart have one of these in common."""
+    less = lambda w, i: f"left({w}, CAST(greatest({i} - 1, 0) AS INT)) || substr({w}, CAST({i} AS INT) + 1)"
+    two = less(f"({less(word, 'i')})", "j")
+    return d.distinct(f"flatten({d.apply(d.seq(0, f'length({word})'), 'i', d.apply(d.seq('i', f'length({word})'), 'j', two))})")
+
+
+def nearest(d, words: str, lexicon: str, keep: str = "") -> str:
+    """(word, {keep}correction, dist, freq): for each of ``words`` the words of ``lexicon`` (word, freq{, keep}) at most two
+    edits away, the nearest first, then the most frequent; ``keep``: a column by which each word has one of its own."""
+    extra = f"b.{keep} AS {keep}, " if keep else ""
+    carry = f"{keep}, " if keep else ""
+    return f"""SELECT word, {carry}correction, dist, freq FROM (SELECT *, row_number() OVER (PARTITION BY {carry}word ORDER BY dist, freq DESC, correction) AS rn FROM (
+        SELECT DISTINCT a.word, {extra}b.word AS correction, b.freq, CAST(levenshtein(a.word, b.word) AS BIGINT) AS dist FROM
+        (SELECT word, {d.each(shortened(d, 'word'))} AS k FROM (SELECT word FROM {words} WHERE length(word) <= (SELECT max(length(word)) + 2 FROM {lexicon})) z) a
+        JOIN (SELECT word, freq, {carry}{d.each(shortened(d, 'word'))} AS k FROM {lexicon}) b ON a.k = b.k WHERE levenshtein(a.word, b.word) <= 2) s) t WHERE rn = 1"""

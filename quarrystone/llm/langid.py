@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, small_batches, table, worker_own
+from quarrystone.llm.common import pieces, small_batches, stored, table, worker_own
 
 LENGTH, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 16, 8
 PER_LANG, STEPS, BATCH, SEED = 400, 260, 96, 7
+#: Languages up to which their counts are broadcast; more of them meet the rows by shuffle.
+BROADCAST = 1 << 18
 UNDETERMINED = "und"
 
 
@@ -35,7 +37,8 @@ def held_out(id: Column) -> Column:
 def training_sample(docs: DataFrame, id: str, text: str, lang: str, per_lang: int) -> list[tuple[str, str]]:
     """At most ``per_lang`` (lang, passage) a language; the passage starts anywhere in the text."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(id)))
-    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("of"))
+    counts = stored(rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("of")), "language-counts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST else counts
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(id)), F.lit(1 << 30))
     rate = F.lit(1.5 * per_lang * (1 << 30)) / F.col("of")
     begin = F.pmod(F.xxhash64(F.col(id), F.lit(SEED)), F.greatest(F.lit(1), F.length(text) - 2048)).cast("int") + 1

@@ -46,7 +46,7 @@ def cycles(rows: list[tuple[int, int, float]]) -> list[tuple[float, float]]:
     return [(length[i], died.get(i, 1.0)) for i in born if died.get(i, 1.0) > length[i]]
 
 
-def h1_persistence(edges: DataFrame, folder: str, max_edges: int = 20_000) -> DataFrame:
+def h1_persistence(edges: DataFrame, folder: str, max_edges: int = 200_000) -> DataFrame:
     """(birth, death, persistence) of every cycle that lives some time, as distances.
 
     Components are independent below distance 1, where all of them meet, so each is a task's group. One of more than

@@ -20,3 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, to be deleted with all it holds when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path

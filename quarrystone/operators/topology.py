@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,14 +40,15 @@ def _reduced(batches):
 
 def spanning_forest(edges: DataFrame, fan_in: int = 8) -> DataFrame:
     """(u, v, w) of the maximum spanning forest. The forest of a union is the forest of the parts' forests, so parts are
-    reduced apart and merged as a tree; no step holds more edges than ``fan_in`` forests, each below the vertex count."""
-    rows = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w")).where("u <> v")
+    reduced in tasks of their own, and their forests are dealt out anew and merged as a tree: each level has a ``fan_in``-th of
+    the tasks before it, and no task is sent more than about ``fan_in`` forests, each below the vertex count."""
+    rows = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w")).where("u <> v AND w IS NOT NULL")
     parts = rows.rdd.getNumPartitions()
     schema = "u long, v long, w double"
     rows = rows.mapInPandas(_reduced, schema)
     while parts > 1:
         parts = -(-parts // fan_in)
-        rows = rows.coalesce(parts).mapInPandas(_reduced, schema)
+        rows = rows.repartition(parts).mapInPandas(_reduced, schema)
     return rows
 
 
@@ -61,12 +62,17 @@ def h0_persistence(edges: DataFrame, vertices: int) -> DataFrame:
 
 
 def betti_curve(edges: DataFrame, vertices: int, thresholds: list[float]) -> DataFrame:
-    """(threshold, betti_0, betti_1, num_edges): components and independent cycles of the graph of edges at each threshold."""
+    """(threshold, betti_0, betti_1, num_edges): components and independent cycles of the graph of edges at each threshold.
+
+    Every edge is counted once, at the highest threshold it reaches; the few counts are then summed from above."""
     spark = edges.sparkSession
-    grid = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    grid = sorted(float(t) for t in thresholds)
+    step = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col("w"))) - 1
     forest = spanning_forest(edges).select("w", F.lit(1).alias("f"))
     every = edges.select(F.col("w").cast("double").alias("w"), F.lit(0).alias("f"))
-    counted = grid.join(every.unionByName(forest), F.col("w") >= F.col("threshold"), "left").groupBy("threshold")
-    counts = counted.agg(F.count(F.when(F.col("f") == 0, 1)).alias("num_edges"), F.count(F.when(F.col("f") == 1, 1)).alias("k"))
+    counted = every.unionByName(forest).groupBy(step.alias("step")).agg(F.count(F.when(F.col("f") == 0, 1)).alias("n"), F.count(F.when(F.col("f") == 1, 1)).alias("k"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(grid)], "step int, threshold double").join(counted, "step", "left")
+    above = Window.partitionBy().orderBy(F.desc("step"))  # over the grid's rows
+    summed = rows.select("threshold", F.sum(F.coalesce("n", F.lit(0))).over(above).alias("num_edges"), F.sum(F.coalesce("k", F.lit(0))).over(above).alias("k"))
     beta0 = F.lit(vertices) - F.col("k")
-    return counts.select("threshold", beta0.alias("betti_0"), (F.col("num_edges") - F.col("k")).alias("betti_1"), "num_edges")
+    return summed.select("threshold", beta0.alias("betti_0"), (F.col("num_edges") - F.col("k")).alias("betti_1"), "num_edges")

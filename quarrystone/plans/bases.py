@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from quarrystone.functions import names as N
+from quarrystone.functions import spelling as S
+
 
 def _person(name: str) -> str:
     """A two-word name out of a numbered one: digits become letters."""
@@ -20,16 +23,46 @@ BASES = {
     "words": lambda d: "SELECT doc_id, path, lang, lower(word) AS word FROM tokens WHERE length(word) > 1",
     "nouns": lambda d: f"SELECT doc_id, path, lower(word) AS term FROM tokens WHERE {d.rx('word', '^[A-Z][a-z]+$')}",
     "verbs": lambda d: f"SELECT doc_id, path, lower(word) AS term FROM tokens WHERE {d.rx('lower(word)', '^[a-z]+(ed|ing|s|es)$')}",
-    "names": lambda d: f"SELECT DISTINCT path AS file_path, word AS name_string, CAST(1 AS BIGINT) AS occurrence_count FROM tokens WHERE {d.rx('word', '^[A-Z][a-z]{3,}$')}",
+    "captions": lambda d: f"""SELECT path AS file_path, 'PHOTOGRAPHER ' || {_person('c_name')} || chr(10) || repeat('  Location ' || place || chr(10), CAST(1 + c_custkey % 3 AS INT)) || 'LOCATION -' AS text
+        FROM (SELECT *, CASE WHEN c_custkey % 13 = 0 THEN 'LLC' WHEN c_custkey % 17 = 0 THEN '4th Row' WHEN c_custkey % 19 = 0 THEN 'Land 7' ELSE 'Land ' || {d.title("translate(substr(n_name, 8), '0123456789', 'abcdefghij')")} END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey) c JOIN docs ON doc_id = c_custkey % 200""",
+    "lines": lambda d: f"SELECT file_path, trim(line) AS line FROM (SELECT file_path, {d.each(d.split('text', chr(92) + 'n'))} AS line FROM captions UNION ALL SELECT path, {d.each(d.split('text', chr(92) + 'n'))} FROM docs WHERE contains(upper(text), 'LOCATION') OR contains(upper(text), 'PHOTOGRAPHER')) t",
+    "names": lambda d: f"""SELECT file_path, name_string, max(n) AS occurrence_count FROM (
+        SELECT DISTINCT file_path, name_string, CAST(1 AS BIGINT) AS n FROM (SELECT path AS file_path, {d.each(N.found_names(d, 'plain'))} AS name_string FROM (SELECT path, {d.rx_rep('text', N.MIXED_WORD, '#')} AS plain FROM docs) p) f
+        UNION ALL SELECT file_path, trim(substr(line, 13)), count(*) FROM lines WHERE upper(left(line, 12)) = 'PHOTOGRAPHER' GROUP BY 1, 2) c WHERE {N.valid_name(d, 'name_string')} GROUP BY file_path, name_string""",
     "mentions": lambda d: f"""SELECT DISTINCT 'W' || CAST(CAST(floor({d.days('o_orderdate')} / 7.0) AS BIGINT) AS STRING) || '-' || substr(o_orderpriority, 1, 1) AS file_path, {_person('c_name')} AS name_string
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "places": lambda d: f"""SELECT 'C' || CAST(c_custkey AS STRING) AS file_path, 'Land ' || {d.title("translate(substr(n_name, 8), '0123456789', 'abcdefghij')")} AS location_string, CAST(1 + c_custkey % 3 AS BIGINT) AS occurrence_count
-        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "dates": lambda d: f"""SELECT 'C' || CAST(o_custkey AS STRING) AS file_path, {d.date_text('o_orderdate')} AS date_string, count(*) AS occurrence_count FROM orders GROUP BY 1, 2""",
+    "places": lambda d: f"""SELECT file_path, location_string, count(*) AS occurrence_count FROM (SELECT file_path, trim(substr(line, 9)) AS location_string FROM lines WHERE upper(left(line, 8)) = 'LOCATION') l
+        WHERE location_string <> '-' AND {N.valid_place(d, 'location_string')} GROUP BY file_path, location_string""",
+    "dates": lambda d: f"""SELECT path AS file_path, {d.date_text('o_orderdate')} AS date_string, count(*) AS occurrence_count FROM orders JOIN docs ON doc_id = o_custkey % 200 GROUP BY 1, 2""",
     "dictionary": lambda d: "SELECT word, count(DISTINCT doc_id) AS freq FROM words WHERE lang = 'en' GROUP BY word HAVING count(DISTINCT doc_id) >= 5",
-    "spelling": lambda d: """SELECT w.word, w.path AS file_path, w.doc_id, count(*) AS occurrences, length(w.word) <= 3 AS is_abbreviation, length(w.word) > 14 AS is_ocr_fragment,
-        CASE WHEN length(w.word) % 3 = 0 THEN 'HIGH' WHEN length(w.word) % 3 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
-        FROM words w LEFT ANTI JOIN dictionary x ON w.word = x.word WHERE w.lang = 'en' GROUP BY w.word, w.path, w.doc_id""",
+    "misspelt": lambda d: "SELECT DISTINCT w.word FROM words w LEFT ANTI JOIN dictionary x ON w.word = x.word WHERE w.lang = 'en'",
+    "corrections": lambda d: S.nearest(d, "misspelt", "dictionary"),
+    "lexicon": lambda d: "SELECT lang, word, count(DISTINCT doc_id) AS freq FROM words WHERE lang <> 'en' GROUP BY lang, word HAVING count(DISTINCT doc_id) >= 2",
+    "foreign_words": lambda d: f"""SELECT word, lang, suggestion, score, {S.ladder_level('score')} AS level FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, freq DESC, lang) AS rn FROM (
+        SELECT word, lang, correction AS suggestion, freq, {S.ladder_score('dist')} AS score FROM ({S.nearest(d, 'misspelt', 'lexicon', 'lang')}) n) s) t WHERE rn = 1""",
+    "issues": lambda d: f"""SELECT word, suggested_correction, dist AS levenshtein_distance, CASE WHEN suggested_correction IS NOT NULL THEN CAST({S.hamming(d, 'word', 'suggested_correction')} AS BIGINT) END AS hamming_distance,
+        CASE WHEN {S.swapped_once(d, 'word', 'suggested_correction')} THEN 1 ELSE dist END AS damerau_levenshtein_distance, {S.confidence(d, 'word', 'suggested_correction', 'edge')} AS confidence,
+        {S.ocr_pattern(d, 'word', 'suggested_correction')} AS ocr_error_pattern, edge AS boundary_error_pattern, dated OR paged OR state OR country OR other AS is_abbreviation, NOT dated AND NOT paged AND state AS is_state_code,
+        NOT dated AND NOT paged AND country AS is_country_code, paged AND NOT dated AS is_page_number, dated AS is_date_number, NOT dated AND NOT paged AND other AS is_other_abbreviation, fragment AS is_ocr_fragment,
+        CASE WHEN NOT fragment THEN lang END AS detected_language, NOT fragment AND lang IS NOT NULL AS is_foreign_word, CASE WHEN NOT fragment THEN suggestion END AS foreign_language_suggestion, CASE WHEN NOT fragment THEN level END AS foreign_language_confidence,
+        CASE WHEN NOT fragment THEN lang || '-' || suggestion END AS foreign_word_translation
+        FROM (SELECT m.word, c.correction AS suggested_correction, c.dist, CASE WHEN c.correction IS NOT NULL THEN {S.boundary(d, 'm.word', 'c.correction')} END AS edge, {S.date_or_number(d, 'm.word')} AS dated, {S.page_or_roman(d, 'm.word')} AS paged,
+        m.word IN ({N.quoted(S.STATE_CODES)}) AS state, m.word IN ({N.quoted(S.COUNTRY_CODES)}) AS country, m.word IN ({N.quoted(S.ABBREVIATIONS)}) AS other, {S.fragment('m.word')} AS fragment, f.lang, f.suggestion, f.level
+        FROM misspelt m LEFT JOIN corrections c ON m.word = c.word LEFT JOIN foreign_words f ON m.word = f.word) t""",
+    "spelling": lambda d: """SELECT w.file_path, w.doc_id, w.occurrences, i.* FROM (SELECT word, path AS file_path, doc_id, count(*) AS occurrences FROM words WHERE lang = 'en' GROUP BY word, path, doc_id) w JOIN issues i ON w.word = i.word""",
+    "errors": lambda d: "SELECT * FROM spelling WHERE NOT is_abbreviation AND NOT is_ocr_fragment",
+    "applied": lambda d: f"""SELECT file_path, count(*) AS n, CAST(sum(CASE WHEN kind = 'spelling' THEN 1 ELSE 0 END) AS BIGINT) AS spelling, CAST(sum(CASE WHEN kind = 'translation' THEN 1 ELSE 0 END) AS BIGINT) AS translation, {d.sorted_list("word || '=' || replacement")} AS changes FROM (
+        SELECT file_path, word, CASE WHEN foreign_language_confidence = 'HIGH' THEN 'translation' ELSE 'spelling' END AS kind, CASE WHEN foreign_language_confidence = 'HIGH' THEN foreign_word_translation ELSE suggested_correction END AS replacement
+        FROM spelling WHERE (confidence = 'HIGH' AND suggested_correction IS NOT NULL AND NOT is_abbreviation AND NOT is_ocr_fragment) OR foreign_language_confidence = 'HIGH') t GROUP BY file_path""",
+    "quality": lambda d: """SELECT c.path, c.file_name, c.size_bytes, coalesce(e.unique_errors, 0) AS unique_errors, coalesce(e.total_errors, 0) AS total_errors, round(coalesce(e.total_errors, 0) / nullif(c.size_bytes / CAST(500 AS DOUBLE), 0) * 100, 2) AS error_rate_percent,
+        coalesce(e.high, 0) AS high_confidence_errors, coalesce(e.medium, 0) AS medium_confidence_errors, coalesce(e.low, 0) AS low_confidence_errors, coalesce(e.ocr, 0) AS ocr_pattern_errors, coalesce(e.edge, 0) AS boundary_errors, coalesce(a.abbreviations, 0) AS abbreviation_count,
+        coalesce(a.fragments, 0) AS fragment_count, coalesce(a.foreigners, 0) AS foreign_word_count, coalesce(a.sure, 0) AS high_confidence_foreign, e.edits AS avg_edit_distance, e.swaps AS avg_damerau_distance,
+        greatest(0, 100 - coalesce(round(coalesce(e.total_errors, 0) / nullif(c.size_bytes / CAST(500 AS DOUBLE), 0) * 100, 2), 100)) AS quality_score FROM catalog c
+        LEFT JOIN (SELECT file_path, count(*) AS unique_errors, CAST(sum(occurrences) AS BIGINT) AS total_errors, CAST(sum(CASE WHEN confidence = 'HIGH' THEN occurrences ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN confidence = 'MEDIUM' THEN occurrences ELSE 0 END) AS BIGINT) AS medium,
+        CAST(sum(CASE WHEN confidence = 'LOW' THEN occurrences ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN ocr_error_pattern IS NOT NULL THEN occurrences ELSE 0 END) AS BIGINT) AS ocr, CAST(sum(CASE WHEN boundary_error_pattern IS NOT NULL THEN occurrences ELSE 0 END) AS BIGINT) AS edge,
+        round(sum(levenshtein_distance * occurrences) / CAST(sum(CASE WHEN levenshtein_distance IS NOT NULL THEN occurrences END) AS DOUBLE), 2) AS edits, round(sum(damerau_levenshtein_distance * occurrences) / CAST(sum(CASE WHEN levenshtein_distance IS NOT NULL THEN occurrences END) AS DOUBLE), 2) AS swaps FROM errors GROUP BY file_path) e ON c.path = e.file_path
+        LEFT JOIN (SELECT file_path, CAST(sum(CASE WHEN is_abbreviation THEN occurrences ELSE 0 END) AS BIGINT) AS abbreviations, CAST(sum(CASE WHEN is_ocr_fragment THEN occurrences ELSE 0 END) AS BIGINT) AS fragments,
+        CAST(sum(CASE WHEN is_foreign_word THEN occurrences ELSE 0 END) AS BIGINT) AS foreigners, CAST(sum(CASE WHEN foreign_language_confidence = 'HIGH' THEN occurrences ELSE 0 END) AS BIGINT) AS sure FROM spelling GROUP BY file_path) a ON c.path = a.file_path""",
     "tdm": lambda d: """SELECT n.doc_id, n.term, count(*) AS tf FROM nouns n
         JOIN (SELECT term FROM nouns GROUP BY term HAVING count(DISTINCT doc_id) >= 2 AND length(term) > 2 AND count(DISTINCT doc_id) <= (SELECT CAST(floor(0.8 * count(*)) AS BIGINT) FROM documents)) v ON n.term = v.term
         GROUP BY n.doc_id, n.term""",
@@ -46,8 +79,8 @@ BASES = {
     "canonical": lambda d: """SELECT DISTINCT m.file_path, coalesce(a.canonical_name, m.name_string) AS canonical_name FROM mentions m
         LEFT JOIN (SELECT lower(alias_name) AS k, min(canonical_name) AS canonical_name FROM aliases GROUP BY lower(alias_name)) a ON lower(m.name_string) = a.k
         LEFT ANTI JOIN exclusions e ON m.name_string = e.entity_name""",
-    "cooccurrence": lambda d: """SELECT a.canonical_name AS person_1, b.canonical_name AS person_2, count(DISTINCT a.file_path) AS shared
-        FROM canonical a JOIN canonical b ON a.file_path = b.file_path AND a.canonical_name < b.canonical_name GROUP BY 1, 2 HAVING count(DISTINCT a.file_path) >= 2""",
+    "cooccurrence": lambda d: """SELECT a.canonical_name AS person_1, b.canonical_name AS person_2, count(*) AS shared
+        FROM canonical a JOIN canonical b ON a.file_path = b.file_path AND a.canonical_name < b.canonical_name GROUP BY 1, 2 HAVING count(*) >= 2""",
     "persons": lambda d: f"SELECT c_custkey AS id, {_person('c_name')} AS name, 'person' AS kind FROM customer",
     "variants": lambda d: """SELECT id, CASE k WHEN 0 THEN name WHEN 1 THEN 'Dr. ' || name WHEN 2 THEN name || '''s' WHEN 3 THEN substr(name, 1, 1) || '. ' || substr(name, 5) WHEN 4 THEN name || ' Sent CC' WHEN 5 THEN substr(name, 1, 1) || '. Q. ' || substr(name, 5)
         WHEN 6 THEN replace(name, 'e', 'rn') ELSE upper(name) || ' Esq.' END AS variant FROM persons CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS f(k)) g""",
@@ -60,14 +93,35 @@ BASES = {
     "sides": lambda d: "SELECT u, v, weight FROM edges UNION ALL SELECT v, u, weight FROM edges",
     "queue": lambda d: """SELECT a.name AS v1, b.name AS v2, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist, round(1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE), 6) AS similarity
         FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 5""",
-    "features": lambda d: "SELECT doc_id_1 * 100000 + doc_id_2 AS feature, 1.0 - cosine_similarity AS persistence FROM pairs WHERE cosine_similarity >= 0.3",
+    "features": lambda d: "SELECT doc_id_1 * 10000000 + doc_id_2 AS feature, 1.0 - cosine_similarity AS persistence FROM pairs",
     "members": lambda d: "SELECT CAST(vec_id AS BIGINT) AS node, CAST(label AS BIGINT) AS community FROM embeddings",
-    "links": lambda d: "SELECT doc_id_1 AS u, doc_id_2 AS v, cosine_similarity AS w FROM pairs WHERE cosine_similarity >= 0.3",
+    "links": lambda d: "SELECT doc_id_1 AS u, doc_id_2 AS v, cosine_similarity AS w FROM pairs",
 }
 
 
-def with_bases(d, body: str) -> str:
-    """``body`` with the tables it names defined before it, each after those it builds on."""
+def _names(text: str) -> list[str]:
+    return [name for name in BASES if re.search(rf"\b(FROM|JOIN)\s+{name}\b", text)]
+
+
+def named(body: str, names) -> list[str]:
+    """Those of ``names`` that ``body`` reads, itself or by other derived tables that are not of them."""
+    from quarrystone.functions.dialect import Spark
+
+    seen: set[str] = set()
+
+    def visit(text: str) -> None:
+        for name in _names(text):
+            if name not in seen:
+                seen.add(name)
+                if name not in names:
+                    visit(BASES[name](Spark()))
+
+    visit(body)
+    return [n for n in BASES if n in seen and n in names]
+
+
+def with_bases(d, body: str, stored=()) -> str:
+    """``body`` with the tables it names defined before it, each after those it builds on, but for ``stored`` ones."""
     if type(d).__name__ == "Check":
         fix = lambda s: s.replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
     else:
@@ -75,8 +129,8 @@ def with_bases(d, body: str) -> str:
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in BASES:
-            if name not in order and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+        for name in _names(text):
+            if name not in order and name not in stored:
                 visit(BASES[name](d))
                 if name not in order:
                     order.append(name)

@@ -14,20 +14,15 @@ from quarrystone.operators import centrality, cycles, thresholds, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import shared_folder
 from quarrystone.operators.upsert import upsert
-from quarrystone.plans.bases import with_bases
-from quarrystone.sources.tables import register
+from quarrystone.plans.derived import derived_sql
 
 
-def _sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(with_bases(Spark(), body))
+_sql = derived_sql
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs, written once: every operator below reads them more than once."""
-    path = f"{shared_folder(spark)}/links-{abs(hash((sf_dir, id(spark))))}"
-    _sql(spark, sf_dir, "SELECT * FROM links").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Similar pairs (u, v, w), of the stored table: every operator below reads them more than once."""
+    return _sql(spark, sf_dir, "SELECT * FROM links")
 
 
 def s9_upsert(spark, sf_dir):
@@ -57,7 +52,7 @@ def g8_h0_persistence(spark, sf_dir):
 def g10_betti_curve(spark, sf_dir):
     links = _links(spark, sf_dir)
     vertices = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    return topology.betti_curve(links, vertices, [round(0.3 + 0.05 * i, 2) for i in range(14)])
+    return topology.betti_curve(links, vertices, [round(0.1 + 0.05 * i, 2) for i in range(18)])
 
 
 def g15_connected_components(spark, sf_dir):
@@ -89,16 +84,17 @@ def x5_phonetic_codes(spark, sf_dir):
 
 
 def e5_phonetic_candidates(spark, sf_dir):
-    """(v1, v2, score): pairs of different normalised names with a token code in common, in either coding, and a likeness of at least 0.5.
+    """(v1, v2, score): pairs of different normalised names with a token's code in common, in either coding, and their likeness.
 
-    Names are distinct before they are paired, and a pair is met once by the hash of its ends, however many codes it shares."""
+    Names are distinct before they are paired, and a pair is scored once, however many codes it shares."""
     d = Spark()
     rows = _sql(spark, sf_dir, f"SELECT DISTINCT {names.normalised(d, 'name')} AS plain FROM persons").withColumn("c", codes("plain"))
-    coded = rows.select("plain", F.col("c.first").alias("first"), F.explode(F.array_distinct(F.array(F.array_join("c.first", " "), F.array_join("c.second", " ")))).alias("code")).where("code <> ''")
+    token = F.explode(F.array_distinct(F.concat("c.first", "c.second"))).alias("code")
+    coded = rows.select("plain", F.array_join("c.first", " ").alias("first"), token).where("code <> ''")
     a, b = coded.alias("a"), coded.alias("b")
-    pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.plain") < F.col("b.plain")))
-    scored = pairs.select(F.col("a.plain").alias("v1"), F.col("b.plain").alias("v2"), likeness(F.col("a.first"), F.col("b.first")).alias("score"))
-    return scored.where("score >= 0.5").dropDuplicates(["v1", "v2"])
+    met = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.plain") < F.col("b.plain")))
+    pairs = met.select(F.col("a.plain").alias("v1"), F.col("b.plain").alias("v2"), F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct()
+    return pairs.select("v1", "v2", likeness(F.split("x", " "), F.split("y", " ")).alias("score"))
 
 
 def x32_openers(spark, sf_dir):
@@ -106,12 +102,12 @@ def x32_openers(spark, sf_dir):
 
 
 def g9_h1_persistence(spark, sf_dir):
-    return cycles.h1_persistence(_links(spark, sf_dir).where("w >= 0.5"), shared_folder(spark))
+    return cycles.h1_persistence(_links(spark, sf_dir), shared_folder(spark))
 
 
 def g13_threshold_vote(spark, sf_dir):
     vertices = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    return thresholds.candidates(_links(spark, sf_dir), vertices, shared_folder(spark), n=20)
+    return thresholds.candidates(_links(spark, sf_dir), vertices, shared_folder(spark))
 
 
 def g18_eigenvector(spark, sf_dir):
@@ -125,5 +121,5 @@ SQL = {
     "x3_hamming_columns": "SELECT v1, v2, CAST(len(list_filter(generate_series(1, least(length(v1), length(v2))), lambda i: substr(v1, i, 1) <> substr(v2, i, 1))) + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
     "g15_connected_components": "WITH RECURSIVE e AS (SELECT u, v FROM links UNION SELECT v, u FROM links), r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u) SELECT node, min(reached) AS component FROM r GROUP BY node",
     "g18_clustering": "SELECT k.u AS node, round(CASE WHEN k.n > 1 THEN 2.0 * coalesce(t.n, 0) / CAST(k.n * (k.n - 1) AS DOUBLE) ELSE 0 END, 6) AS clustering FROM (SELECT u, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u) k LEFT JOIN (SELECT node, count(*) AS n FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM links x JOIN links y ON x.v = y.u JOIN links z ON z.u = x.u AND z.v = y.v) c GROUP BY node) t ON k.u = t.node",
-    "g10_betti_curve": "WITH RECURSIVE grid AS (SELECT round(0.3 + i * CAST(0.05 AS DOUBLE), 2) AS threshold FROM (SELECT unnest(generate_series(0, 13)) AS i) g), e AS (SELECT threshold, u, v FROM links JOIN grid ON w >= threshold UNION SELECT threshold, v, u FROM links JOIN grid ON w >= threshold), n AS (SELECT threshold, doc_id AS node FROM documents, grid), r AS (SELECT threshold, node, node AS reached FROM n UNION SELECT r.threshold, r.node, e.v FROM r JOIN e ON r.reached = e.u AND r.threshold = e.threshold), c AS (SELECT threshold, count(DISTINCT m) AS b FROM (SELECT threshold, node, min(reached) AS m FROM r GROUP BY threshold, node) x GROUP BY threshold), k AS (SELECT grid.threshold, count(w) AS n FROM grid LEFT JOIN links ON w >= grid.threshold GROUP BY grid.threshold) SELECT k.threshold, c.b AS betti_0, k.n - (SELECT count(*) FROM documents) + c.b AS betti_1, k.n AS num_edges FROM k JOIN c ON k.threshold = c.threshold",
+    "g10_betti_curve": "WITH RECURSIVE grid AS (SELECT round(0.1 + i * CAST(0.05 AS DOUBLE), 2) AS threshold FROM (SELECT unnest(generate_series(0, 17)) AS i) g), e AS (SELECT threshold, u, v FROM links JOIN grid ON w >= threshold UNION SELECT threshold, v, u FROM links JOIN grid ON w >= threshold), n AS (SELECT threshold, doc_id AS node FROM documents, grid), r AS (SELECT threshold, node, node AS reached FROM n UNION SELECT r.threshold, r.node, e.v FROM r JOIN e ON r.reached = e.u AND r.threshold = e.threshold), c AS (SELECT threshold, count(DISTINCT m) AS b FROM (SELECT threshold, node, min(reached) AS m FROM r GROUP BY threshold, node) x GROUP BY threshold), k AS (SELECT grid.threshold, count(w) AS n FROM grid LEFT JOIN links ON w >= grid.threshold GROUP BY grid.threshold) SELECT k.threshold, c.b AS betti_0, k.n - (SELECT count(*) FROM documents) + c.b AS betti_1, k.n AS num_edges FROM k JOIN c ON k.threshold = c.threshold",
 }

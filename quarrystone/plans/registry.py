@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.functions.dialect import Check, Spark
 from quarrystone.plans import graphs, resolution
-from quarrystone.plans.bases import with_bases
 from quarrystone.plans import statements
-from quarrystone.sources.tables import register
+from quarrystone.plans.bases import with_bases
+from quarrystone.plans.derived import derived_sql
 
 STATEMENTS = statements.STATEMENTS | resolution.STATEMENTS
 
 
 def statement(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir)
-    d = Spark()
-    return spark.sql(with_bases(d, STATEMENTS[name](d)))
+    return derived_sql(spark, sf_dir, STATEMENTS[name](Spark()))
 
 
 def queries() -> dict:
@@ -36,7 +34,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Similar pairs (u, v, w) and the documents they join (node, path)."""
-    register(spark, sf_dir)
-    d = Spark()
-    edges = spark.sql(with_bases(d, "SELECT u, v, w FROM links"))
-    return edges, spark.sql(with_bases(d, "SELECT doc_id AS node, path FROM docs"))
+    return derived_sql(spark, sf_dir, "SELECT u, v, w FROM links"), derived_sql(spark, sf_dir, "SELECT doc_id AS node, path FROM docs")

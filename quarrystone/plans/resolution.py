@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from quarrystone.functions import names as N
 from quarrystone.functions import spelling as S
+from quarrystone.plans.statements import _corrected, _summary
 
-GRID = "SELECT i AS step, round(0.3 + i * CAST(0.05 AS DOUBLE), 2) AS threshold"
+GRID = "SELECT i AS step, round(0.1 + i * CAST(0.05 AS DOUBLE), 2) AS threshold"
 CORRECTIONS = "VALUES ('map', 'Land A', 'Land Alpha'), ('map', 'Land B', 'Land Beta'), ('drop', 'Land C', NULL), ('drop', 'Land D', NULL), ('place', 'Land E', 'One Land E Plaza')"
-REPLACED = [("teh", "the"), ("recieve", "receive"), ("the", "THE"), ("and", "AND")]
 # Five families of written dates; they overlap, and every occurrence of each is kept.
 DATE_FAMILIES = [
     (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?", "numeric with time"),
@@ -54,14 +54,7 @@ def _holistic(d) -> str:
 
 def _swept(d) -> str:
     """Links at each threshold of the grid, which is 14 rows; sizes are aggregated before they meet it."""
-    return f"(SELECT g.step, g.threshold, l.u, l.v, l.w FROM links l JOIN ({GRID} FROM (SELECT {d.each(d.seq(0, 13))} AS i) s) g ON l.w >= g.threshold)"
-
-
-def _corrected(d) -> str:
-    text = "text"
-    for wrong, right in REPLACED:
-        text = d.rx_rep(text, r"(?i)\b" + wrong + r"\b", right)
-    return text
+    return f"(SELECT g.step, g.threshold, l.u, l.v, l.w FROM links l JOIN ({GRID} FROM (SELECT {d.each(d.seq(0, 17))} AS i) s) g ON l.w >= g.threshold)"
 
 
 def _dated_notes(d) -> str:
@@ -88,7 +81,8 @@ STATEMENTS = {
     "x19_ocr_error_patterns": lambda d: f"SELECT * FROM (SELECT a, b, {S.ocr_pattern(d, 'a', 'b')} AS pattern FROM {_word_pairs()} w WHERE length(a) = length(b)) t WHERE pattern IS NOT NULL",
     "x20_boundary_errors": lambda d: f"SELECT * FROM (SELECT a, b, {S.boundary(d, 'a', 'b')} AS pattern FROM {_word_pairs()} w) t WHERE pattern IS NOT NULL",
     "x21_confidence_levels": lambda d: f"SELECT a, b, {S.confidence(d, 'a', 'b', 'edge')} AS confidence FROM (SELECT a, b, {S.boundary(d, 'a', 'b')} AS edge FROM {_word_pairs()} w) t",
-    "x22_abbreviations": lambda d: f"""SELECT w, dated, paged AND NOT dated AS page_number, NOT dated AND NOT paged AND w IN ({N.quoted(S.STATE_CODES)}) AS state_code, {S.fragment('w')} AS fragment
+    "x22_abbreviations": lambda d: f"""SELECT w, dated, paged AND NOT dated AS page_number, NOT dated AND NOT paged AND w IN ({N.quoted(S.STATE_CODES)}) AS state_code, NOT dated AND NOT paged AND w IN ({N.quoted(S.COUNTRY_CODES)}) AS country_code,
+        NOT dated AND NOT paged AND w IN ({N.quoted(S.ABBREVIATIONS)}) AS other, dated OR paged OR w IN ({N.quoted(S.STATE_CODES + S.COUNTRY_CODES + S.ABBREVIATIONS)}) AS abbreviation, {S.fragment('w')} AS fragment
         FROM (SELECT w, {S.date_or_number(d, 'w')} AS dated, {S.page_or_roman(d, 'w')} AS paged FROM (SELECT DISTINCT lower(w) AS w FROM (SELECT {d.each(d.rx_all('text', '[A-Za-z0-9]+'))} AS w FROM docs) t) u) v""",
     "x23_foreign_looking_words": lambda d: f"SELECT w, {S.looks_foreign(d, 'w')} AS foreign_looking FROM (SELECT DISTINCT word AS w FROM words) t",
     "x26_translations": lambda d: "SELECT s.word, t.en FROM (SELECT DISTINCT word FROM spelling) s LEFT JOIN (SELECT word, min(lang) || ':' || word AS en FROM words WHERE lang <> 'en' GROUP BY word) t ON s.word = t.word",
@@ -103,7 +97,7 @@ STATEMENTS = {
     "e9_network_jaccard": lambda d: f"SELECT v1, v2, round(jaccard, 6) AS jaccard FROM ({_network(d)}) n",
     "e10_anchored_candidates": lambda d: f"""SELECT name, canonical_name, CASE WHEN how = 1 THEN 'direct' ELSE 'fuzzy' END AS how, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY how, similarity DESC, canonical_name) AS rn FROM (
         SELECT v.name, a.canonical_name, 1 AS how, CAST(1 AS DOUBLE) AS similarity FROM (SELECT DISTINCT {N.without_artifacts(d, 'variant')} AS name FROM variants) v JOIN (SELECT DISTINCT canonical_name FROM aliases) a ON v.name = a.canonical_name
-        UNION ALL SELECT v.name, a.canonical_name, 2, {N.edit_similarity('lower(v.name)', 'lower(a.canonical_name)')} FROM (SELECT DISTINCT {N.without_artifacts(d, 'variant')} AS name FROM variants) v JOIN (SELECT DISTINCT canonical_name FROM aliases) a ON lower(left(v.name, 2)) = lower(left(a.canonical_name, 2))) c) t WHERE rn = 1 AND similarity >= 0.5""",
+        UNION ALL SELECT v.name, a.canonical_name, 2, {N.edit_similarity('lower(v.name)', 'lower(a.canonical_name)')} FROM (SELECT DISTINCT {N.without_artifacts(d, 'variant')} AS name FROM variants) v JOIN (SELECT DISTINCT canonical_name FROM aliases) a ON true) c) t WHERE rn = 1 AND similarity >= 0.5""",
     "e12_holistic_scores": lambda d: f"SELECT v1, v2, score, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ({_holistic(d)}) s",
     "e13_alternative_scores": lambda d: f"SELECT v1, v2, round(CAST(0.3 * edit + 0.15 * initials + 0.25 * least(shared / 10, 1) + 0.05 * CASE WHEN near THEN 1 ELSE 0 END + 0.05 * least(network, 1) AS DOUBLE) / CAST(0.8 AS DOUBLE), 5) AS score FROM {_candidates(d)} c",
     "e15_auto_exclusions": lambda d: f"SELECT entity_name, min(reason) AS reason FROM (SELECT s AS entity_name, {N.exclusion_reason(d, 's')} AS reason FROM noise UNION ALL SELECT entity_name, exclusion_reason FROM exclusions) t WHERE reason IS NOT NULL GROUP BY entity_name",
@@ -117,15 +111,15 @@ STATEMENTS = {
         LEFT JOIN (SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS n FROM (SELECT DISTINCT doc_id, term FROM nouns) a JOIN (SELECT DISTINCT doc_id, term FROM nouns) b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2) i ON p.doc_id_1 = i.d1 AND p.doc_id_2 = i.d2
         LEFT JOIN (SELECT doc_id, count(DISTINCT term) AS n FROM nouns GROUP BY doc_id) x ON p.doc_id_1 = x.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT term) AS n FROM nouns GROUP BY doc_id) y ON p.doc_id_2 = y.doc_id""",
     "g13_gap_threshold": lambda d: "SELECT threshold, gap FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1",
-    "g14_snapped_threshold": lambda d: f"SELECT threshold FROM (SELECT g.threshold, abs(g.threshold - k.threshold) AS off FROM ({GRID} FROM (SELECT {d.each(d.seq(0, 13))} AS i) s) g CROSS JOIN (SELECT threshold FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1) k) z ORDER BY off, threshold LIMIT 1",
+    "g14_snapped_threshold": lambda d: f"SELECT threshold FROM (SELECT g.threshold, abs(g.threshold - k.threshold) AS off FROM ({GRID} FROM (SELECT {d.each(d.seq(0, 17))} AS i) s) g CROSS JOIN (SELECT threshold FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1) k) z ORDER BY off, threshold LIMIT 1",
     "g30_cited_graph": lambda d: "SELECT r.src, r.tgt, r.type, count(*) AS citations FROM relations r JOIN (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, o_orderpriority AS source FROM orders) s ON r.src = s.src GROUP BY r.src, r.tgt, r.type",
     "g32_citation_report": lambda d: "SELECT source, count(*) AS cited, count(DISTINCT src) AS entities FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, o_orderpriority AS source FROM orders) s JOIN (SELECT DISTINCT src AS e FROM relations) r ON s.src = r.e GROUP BY source ORDER BY 2 DESC, 1 LIMIT 10",
     "g33_edge_statistics": lambda d: "SELECT m.n AS edges, v.n AS vertices, round(CAST(2.0 AS DOUBLE) * m.n / nullif(CAST(v.n AS DOUBLE) * (v.n - 1), 0), 8) AS density, round(CAST(2.0 AS DOUBLE) * m.n / nullif(v.n, 0), 6) AS mean_degree FROM (SELECT count(*) AS n FROM links) m CROSS JOIN (SELECT count(*) AS n FROM (SELECT u FROM links UNION SELECT v FROM links) x) v",
     "g37_sources": lambda d: "SELECT DISTINCT o_orderpriority AS source, CAST(o_custkey AS BIGINT) AS entity FROM orders",
     # views, endpoints, maintenance
-    "v11_corpus_summary": lambda d: """SELECT * FROM (SELECT count(*) AS documents, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(text_length) AS BIGINT) AS chars FROM catalog) a CROSS JOIN (SELECT count(*) AS misspelt, count(DISTINCT word) AS distinct_misspelt, count(*) FILTER (WHERE confidence = 'HIGH') AS certain FROM spelling) b
-        CROSS JOIN (SELECT count(*) AS names, count(DISTINCT name_string) AS distinct_names FROM names) c CROSS JOIN (SELECT count(DISTINCT location_string) AS places FROM places) e CROSS JOIN (SELECT count(DISTINCT date_string) AS dates FROM dates) f CROSS JOIN (SELECT count(DISTINCT canonical_name) AS persons FROM canonical) g""",
-    "v12_corrected_text": lambda d: f"SELECT doc_id, md5({_corrected(d)}) AS digest, CAST(length({_corrected(d)}) AS BIGINT) AS n_chars FROM docs",
+    "v11_corpus_summary": lambda d: _summary(d),
+    "v12_corrected_text": lambda d: f"""SELECT path, doc_id, CAST(length(text) AS BIGINT) AS original_text_length, coalesce(n, 0) AS total_corrections, coalesce(spelling, 0) AS spelling_corrections, coalesce(translation, 0) AS translation_corrections, {d.join('changes', ',')} AS correction_details,
+        md5({_corrected(d)}) AS digest, CASE WHEN n > 0 THEN 'Corrections applied to corrected_text field' ELSE 'No high-confidence corrections needed' END AS correction_status FROM docs LEFT JOIN applied ON path = file_path""",
     "v14_mentions_by_entity": lambda d: "SELECT canonical_name AS entity, count(DISTINCT file_path) AS documents FROM canonical GROUP BY canonical_name",
     "r1_network_by_threshold": lambda d: f"SELECT threshold, u AS node, count(*) AS degree, round(max(w), 6) AS strongest FROM (SELECT threshold, u, w FROM {_swept(d)} a UNION ALL SELECT threshold, v, w FROM {_swept(d)} b) t GROUP BY threshold, u",
     "r2_threshold_list": lambda d: f"SELECT threshold, count(*) AS edges, count(DISTINCT u) AS sources, round(avg(w), 6) AS mean FROM {_swept(d)} s GROUP BY threshold",

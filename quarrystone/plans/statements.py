@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from quarrystone.functions import dates as D
+from quarrystone.functions import names as N
+from quarrystone.functions import spelling as S
+
 PERIODS = "VALUES (1, 'early', 1992, 1995), (2, 'middle', 1994, 1996), (3, 'late', 1996, 1999)"
 
 
-def _shortened(d) -> str:
-    """``word`` less none, one or two of its letters, a row each; words at most two edits apart have one of these in common."""
-    less = lambda w, i: f"left({w}, CAST(greatest({i} - 1, 0) AS INT)) || substr({w}, CAST({i} AS INT) + 1)"
-    two = less(f"({less('word', 'i')})", "j")
-    return d.each(d.distinct(f"flatten({d.apply(d.seq(0, 'length(word)'), 'i', d.apply(d.seq('i', 'length(word)'), 'j', two))})"))
+def _corrected(d) -> str:
+    """A document's text after its changes (word=replacement), one after the other in the order of words, in any case."""
+    change = d.any_case("acc", "split_part(s, '=', 1)", "split_part(s, '=', 2)")
+    return f"CASE WHEN changes IS NULL THEN text ELSE {d.fold('changes', 'text', 'acc', 's', change)} END"
+
+
+def _summary(d) -> str:
+    """The corpus in one row of twenty figures."""
+    return f"""SELECT * FROM (SELECT count(*) AS total_documents, count(*) FILTER (WHERE path LIKE '%_extracted.txt') AS documents_analyzed, round(sum(size_bytes) / CAST(1048576 AS DOUBLE), 2) AS total_size_mb FROM catalog) a
+        CROSS JOIN (SELECT count(DISTINCT name_string) AS unique_names, CAST(sum(occurrence_count) AS BIGINT) AS total_name_mentions FROM names) b CROSS JOIN (SELECT count(DISTINCT location_string) AS unique_locations, CAST(sum(occurrence_count) AS BIGINT) AS total_location_mentions FROM places) c
+        CROSS JOIN (SELECT count(DISTINCT date_string) AS unique_dates, min({d.to_ts('date_string')}) AS earliest_date, max({d.to_ts('date_string')}) AS latest_date FROM dates) e
+        CROSS JOIN (SELECT count(DISTINCT word) AS unique_spelling_errors, CAST(coalesce(sum(CASE WHEN confidence = 'HIGH' THEN occurrences END), 0) AS BIGINT) AS high_confidence_corrections FROM errors) f
+        CROSS JOIN (SELECT count(DISTINCT CASE WHEN NOT is_abbreviation THEN ocr_error_pattern END) AS distinct_ocr_patterns, count(DISTINCT CASE WHEN is_abbreviation THEN word END) AS unique_abbreviations, count(DISTINCT CASE WHEN is_ocr_fragment THEN word END) AS unique_fragments,
+        count(DISTINCT CASE WHEN is_foreign_word THEN word END) AS unique_foreign_words, count(DISTINCT CASE WHEN is_foreign_word THEN detected_language END) AS languages_detected, CAST(coalesce(sum(CASE WHEN is_foreign_word AND foreign_word_translation IS NOT NULL THEN occurrences END), 0) AS BIGINT) AS translated_words FROM spelling) g
+        CROSS JOIN (SELECT round(avg(quality_score), 1) AS avg_quality_score, count(*) FILTER (WHERE quality_score < 80) AS low_quality_document_count FROM quality) h"""
 
 
 STATEMENTS = {
@@ -20,7 +34,7 @@ STATEMENTS = {
     "s8_truncated_text": lambda d: "SELECT path, CAST(length(substr(text, 1, 2000000)) AS BIGINT) AS kept, md5(substr(text, 1, 2000000)) AS digest FROM docs",
     "s11_network_export_rows": lambda d: f"SELECT u AS node, CAST(count(*) AS BIGINT) AS degree, {d.listagg('CAST(v AS STRING)', ',', 'v')} AS neighbours FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u",
     "s13_top_bars": lambda d: "SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 100",
-    "s13_top_network": lambda d: """SELECT l.u, l.v, l.w FROM links l JOIN (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 50) t ON l.u = t.u ORDER BY l.w DESC, l.u, l.v LIMIT 200""",
+    "s13_top_network": lambda d: """SELECT l.u, l.v, l.w FROM links l JOIN (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 500) t ON l.u = t.u ORDER BY l.w DESC, l.u, l.v LIMIT 5000""",
     "s14_autocorrect_map": lambda d: "SELECT word, CAST(sum(occurrences) AS BIGINT) AS n FROM spelling WHERE confidence = 'HIGH' GROUP BY word ORDER BY 2 DESC, 1 LIMIT 30",
     "s15_manual_aliases": lambda d: "SELECT * FROM aliases WHERE disambiguation_method = 'manual'",
     # filters and projections
@@ -49,10 +63,10 @@ STATEMENTS = {
     "j10_dimension_joins": lambda d: "SELECT a.name AS source, b.name AS target, r.type, r.degree FROM relations r JOIN entities a ON r.src = a.entity_id JOIN entities b ON r.tgt = b.entity_id",
     "j11_lookup_join": lambda d: "SELECT m.file_path, e.entity_id FROM mentions m JOIN entities e ON m.name_string = e.name",
     "j12_shared_context_fuzzy": lambda d: """SELECT a.name AS v1, b.name AS v2, x.shared, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist FROM (SELECT p.src AS i, q.src AS j, count(*) AS shared FROM (SELECT DISTINCT src, tgt FROM relations) p JOIN (SELECT DISTINCT src, tgt FROM relations) q ON p.tgt = q.tgt AND p.src < q.src GROUP BY 1, 2) x
-        JOIN persons a ON a.id = x.i JOIN persons b ON b.id = x.j WHERE levenshtein(a.name, b.name) <= 3""",
+        JOIN persons a ON a.id = x.i JOIN persons b ON b.id = x.j WHERE levenshtein(a.name, b.name) <= 5""",
     "j13_nearest_canonical": lambda d: """SELECT name, canonical_name, similarity FROM (SELECT p.name, a.canonical_name, round(1 - levenshtein(lower(p.name), lower(a.canonical_name)) / CAST(greatest(length(p.name), length(a.canonical_name)) AS DOUBLE), 6) AS similarity,
         row_number() OVER (PARTITION BY p.name ORDER BY round(1 - levenshtein(lower(p.name), lower(a.canonical_name)) / CAST(greatest(length(p.name), length(a.canonical_name)) AS DOUBLE), 6) DESC, a.canonical_name) AS rn
-        FROM (SELECT DISTINCT name FROM persons) p JOIN (SELECT DISTINCT canonical_name FROM aliases) a ON substr(p.name, 1, 1) = substr(a.canonical_name, 1, 1)) t WHERE rn = 1""",
+        FROM (SELECT DISTINCT name FROM persons) p CROSS JOIN (SELECT DISTINCT canonical_name FROM aliases) a) t WHERE rn = 1""",
     "j14_initials_join": lambda d: f"SELECT i.alias_name AS initials, p.name FROM (SELECT DISTINCT alias_name FROM aliases WHERE {d.rx('alias_name', '^[A-Z][.] ')}) i JOIN (SELECT DISTINCT name FROM persons) p ON substr(i.alias_name, 1, 1) = substr(p.name, 1, 1) AND {d.at(d.split('i.alias_name', ' '), 2)} = {d.at(d.split('p.name', ' '), 2)}",
     "j16_interval_overlap": lambda d: f"""SELECT q.v1, q.v2, a.lo <= b.hi + 1826 AND b.lo <= a.hi + 1826 AS overlap FROM queue q
         JOIN (SELECT name, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM persons JOIN orders ON id = o_custkey GROUP BY name) a ON q.v1 = a.name
@@ -72,12 +86,12 @@ STATEMENTS = {
     "a10_bool_or": lambda d: "SELECT word, bool_or(is_abbreviation) AS any_abbreviation FROM spelling GROUP BY word",
     "a11_having": lambda d: "SELECT word, count(*) AS n FROM spelling GROUP BY word HAVING count(*) >= 2",
     "a12_aggregate_over_distinct": lambda d: "SELECT confidence, count(*) AS pairs FROM (SELECT DISTINCT confidence, word FROM spelling) t GROUP BY confidence",
-    "a13_dashboard": lambda d: "SELECT * FROM (SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents) a CROSS JOIN (SELECT count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders) b CROSS JOIN (SELECT count(DISTINCT word) AS misspelt FROM spelling) c CROSS JOIN (SELECT count(DISTINCT name_string) AS names FROM names) e",
+    "a13_dashboard": lambda d: _summary(d),
     "a14_most_common": lambda d: "SELECT word, count(*) AS n FROM words GROUP BY word",
     "a15_first_date_and_count": lambda d: f"SELECT file_path, date_string, min({d.to_ts('date_string')}) AS date_value, CAST(sum(occurrence_count) AS BIGINT) AS n FROM dates GROUP BY file_path, date_string",
     "a16_distribution": lambda d: "SELECT round(avg(persistence), 6) AS mean, round(median(persistence), 6) AS median, round(stddev_pop(persistence), 6) AS std, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY persistence), 6) AS p90, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY persistence) - percentile_cont(0.25) WITHIN GROUP (ORDER BY persistence), 6) AS iqr FROM features",
-    "a17_entropy": lambda d: "SELECT round(sum(-p * ln(p)), 6) AS entropy, round(sum(-p * ln(p)) / max(ln(n)), 6) AS normalised FROM (SELECT persistence / sum(persistence) OVER () AS p, CAST(count(*) OVER () AS DOUBLE) AS n FROM features WHERE persistence > 0) t",
-    "a18_zipf_fit": lambda d: "SELECT round(avg(abs(n - f1 / rk) / (f1 / rk)), 6) AS deviation FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(rk AS DOUBLE) AS rk, CAST(max(n) OVER () AS DOUBLE) AS f1 FROM (SELECT n, row_number() OVER (ORDER BY n DESC, word) AS rk FROM (SELECT word, count(*) AS n FROM words GROUP BY word) a) b WHERE rk <= 100) c",
+    "a17_entropy": lambda d: "SELECT round(sum(-p * ln(p)), 6) AS entropy, round(sum(-p * ln(p)) / max(ln(n)), 6) AS normalised FROM (SELECT persistence / total AS p, n FROM features CROSS JOIN (SELECT sum(persistence) AS total, CAST(count(*) AS DOUBLE) AS n FROM features WHERE persistence > 0) c WHERE persistence > 0) t",
+    "a18_zipf_fit": lambda d: "SELECT round(avg(abs(n - f1 / rk) / (f1 / rk)), 6) AS deviation FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(row_number() OVER (ORDER BY n DESC, word) AS DOUBLE) AS rk, CAST(max(n) OVER () AS DOUBLE) AS f1 FROM (SELECT word, count(*) AS n FROM words GROUP BY word ORDER BY 2 DESC, 1 LIMIT 100) a) b",
     "a19_error_tfidf": lambda d: "SELECT word, round(tf * ln(n / df), 6) AS score FROM (SELECT word, CAST(sum(occurrences) AS DOUBLE) AS tf, CAST(count(DISTINCT file_path) AS DOUBLE) AS df FROM spelling GROUP BY word) s CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents) c WHERE df > 1 ORDER BY score DESC, word LIMIT 100",
     "a20_size_histogram": lambda d: "SELECT CASE WHEN text_length < 1000 THEN 'small' WHEN text_length < 5000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n FROM catalog GROUP BY 1",
     # windows
@@ -99,25 +113,25 @@ STATEMENTS = {
     "x1_levenshtein": lambda d: "SELECT v1, v2, CAST(levenshtein(v1, v2) AS BIGINT) AS dist FROM queue",
     "x3_extended_hamming": lambda d: f"SELECT v1, v2, CAST({d.size(d.keep(d.seq(1, 'least(length(v1), length(v2))'), 'i', 'substr(v1, CAST(i AS INT), 1) <> substr(v2, CAST(i AS INT), 1)'))} + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
     "x4_edit_similarity": lambda d: "SELECT v1, v2, similarity FROM queue",
-    "x13_canonical_names": lambda d: "SELECT file_path, canonical_name FROM canonical",
-    "x14_text_corrections": lambda d: "SELECT doc_id, md5(replace(replace(text, 'the', 'THE'), 'of', 'OF')) AS digest FROM docs",
-    "x15_clean_name": lambda d: f"SELECT c_name, trim({d.rx_rep(d.rx_rep('c_name', '[^A-Za-z .-]', ' '), ' +', ' ')}) AS plain FROM customer",
-    "x16_valid_names": lambda d: f"SELECT DISTINCT name_string FROM names WHERE length(name_string) BETWEEN 3 AND 50 AND NOT {d.rx('name_string', '[0-9]')} AND lower(name_string) NOT IN ('this', 'that', 'with', 'from')",
-    "x17_valid_locations": lambda d: f"SELECT DISTINCT location_string FROM places WHERE length(location_string) > 2 AND {d.rx('location_string', '^[A-Za-z ]+$')}",
-    "x24_foreign_words": lambda d: "SELECT word, lang FROM (SELECT s.word, f.lang, row_number() OVER (PARTITION BY s.word ORDER BY f.n DESC, f.lang) AS rn FROM (SELECT DISTINCT word FROM spelling) s JOIN (SELECT word, lang, count(*) AS n FROM words WHERE lang <> 'en' GROUP BY word, lang) f ON s.word = f.word) t WHERE rn = 1",
-    "x25_foreign_confidence": lambda d: "SELECT word, CASE WHEN n >= 10 THEN 'HIGH' WHEN n >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT word, count(*) AS n FROM words WHERE lang <> 'en' GROUP BY word) t",
-    "x27_spell_corrections": lambda d: f"""SELECT word, correction FROM (SELECT word, correction, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, correction), freq DESC, correction) AS rn FROM (SELECT DISTINCT a.word, b.word AS correction, b.freq FROM
-        (SELECT word, {_shortened(d)} AS k FROM (SELECT DISTINCT word FROM spelling WHERE length(word) <= (SELECT max(length(word)) + 2 FROM dictionary)) z) a
-        JOIN (SELECT word, freq, {_shortened(d)} AS k FROM dictionary) b ON a.k = b.k WHERE levenshtein(a.word, b.word) <= 2) s) t WHERE rn = 1""",
+    "x13_canonical_names": lambda d: f"""SELECT v.variant, coalesce(a.canonical_name, b.canonical_name, v.plain) AS canonical_name FROM (SELECT variant, {N.without_suffix(d, 'variant')} AS plain FROM (SELECT DISTINCT variant FROM variants) x) v
+        LEFT JOIN (SELECT lower(alias_name) AS k, min(canonical_name) AS canonical_name FROM aliases GROUP BY 1) a ON lower(v.plain) = a.k LEFT JOIN (SELECT lower(canonical_name) AS k, min(canonical_name) AS canonical_name FROM aliases GROUP BY 1) b ON lower(v.plain) = b.k""",
+    "x14_text_corrections": lambda d: f"SELECT doc_id, md5({_corrected(d)}) AS digest FROM docs LEFT JOIN applied ON path = file_path",
+    "x15_clean_name": lambda d: f"SELECT s, {N.clean_name(d, 's')} AS as_name, {N.clean_place(d, 's')} AS as_place FROM (SELECT s FROM noise UNION ALL SELECT '  ' || c_name || ' (' || c_mktsegment || '),  x ' FROM customer) t",
+    "x16_valid_names": lambda d: f"SELECT s, {N.valid_name(d, 's')} AS valid FROM (SELECT s FROM noise UNION ALL SELECT variant FROM variants UNION ALL SELECT name_string FROM names) t",
+    "x17_valid_locations": lambda d: f"SELECT s, {N.valid_place(d, 's')} AS valid FROM (SELECT s FROM noise UNION ALL SELECT trim(substr(line, 9)) FROM lines UNION ALL SELECT n_name FROM nation) t",
+    "x24_foreign_words": lambda d: "SELECT word, lang, suggestion, CAST(score AS BIGINT) AS score FROM foreign_words",
+    "x25_foreign_confidence": lambda d: "SELECT word, level FROM foreign_words",
+    "x27_spell_corrections": lambda d: "SELECT word, correction, dist FROM corrections",
     "x28_tokens": lambda d: "SELECT doc_id, count(*) AS tokens, count(DISTINCT word) AS distinct_tokens FROM words GROUP BY doc_id",
-    "x30_subfolder_key": lambda d: f"SELECT path, {d.rx_get('path', '^(VOL[0-9]+/IMAGES/[0-9]+)')} AS subfolder FROM docs",
+    "x30_subfolder_key": lambda d: f"SELECT path, coalesce(nullif({d.rx_get('path', '^(VOL[0-9]+/IMAGES/[0-9]+)')}, ''), {d.rx_get('path', '([^/]+)/[^/]*$')}) AS subfolder FROM (SELECT path FROM docs UNION ALL SELECT 'OTHER/' || path FROM docs UNION ALL SELECT 'loose/' || file_name FROM catalog) t",
     "x31_file_ids": lambda d: f"SELECT path, CAST({d.rx_get('path', 'DOC([0-9]+)_')} AS BIGINT) AS id, lpad(CAST(CAST(floor((CAST({d.rx_get('path', 'DOC([0-9]+)_')} AS BIGINT) - 1) / 100.0) AS BIGINT) + 1 AS STRING), 5, '0') AS chunk FROM docs",
     "x33_labels": lambda d: f"SELECT doc_id, {d.listagg('upper(substr(term, 1, 1)) || substr(term, 2)', ' / ', 'tf DESC, term')} AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rn FROM tdm) t WHERE rn <= 3 GROUP BY doc_id",
     "x34_full_text_search": lambda d: "SELECT doc_id, CAST(sum(n) AS BIGINT) AS score FROM (SELECT doc_id, word, count(*) AS n FROM words WHERE word IN ('the', 'of', 'and') GROUP BY doc_id, word) t GROUP BY doc_id HAVING count(*) = 3 ORDER BY 2 DESC, 1 LIMIT 10",
     # dates and maths
     "d1_found_dates": lambda d: f"SELECT o_orderkey, {d.each(d.rx_all('note', '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}'))} AS date_string FROM (SELECT o_orderkey, 'on ' || {d.date_text('o_orderdate')} || ' and ' || {d.date_text('o_orderdate')} || '.' AS note FROM orders) t",
-    "d2_repaired_years": lambda d: "SELECT CAST(y AS BIGINT) AS y, CAST(CASE WHEN y BETWEEN 1990 AND 2025 THEN y WHEN y < 10 THEN 2000 + y WHEN y BETWEEN 200 AND 209 THEN 2000 + y - 200 WHEN y BETWEEN 3000 AND 3999 THEN 2000 + y % 1000 % 26 END AS BIGINT) AS repaired FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders UNION ALL SELECT DISTINCT p_size + 170 FROM part UNION ALL SELECT DISTINCT p_size + 3000 FROM part) t",
-    "d3_pdf_dates": lambda d: f"SELECT o_orderkey, {d.make_date('substr(s, 3, 4)', 'substr(s, 7, 2)', 'substr(s, 9, 2)')} AS day FROM (SELECT o_orderkey, 'D:' || CAST(year(o_orderdate) AS STRING) || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '120000Z' AS s FROM orders) t",
+    "d2_repaired_years": lambda d: f"SELECT CAST(y AS BIGINT) AS y, CAST({D.repaired_year('y')} AS BIGINT) AS repaired FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders UNION SELECT p_size + 170 FROM part UNION SELECT p_size * 7 FROM part UNION SELECT p_size + 3000 FROM part UNION SELECT 2000 + p_size * 19 FROM part UNION SELECT CAST(1000 + p_partkey * 5 AS INT) FROM part WHERE p_partkey < 1790 UNION SELECT 12345 UNION SELECT 7005) t",
+    "d3_pdf_dates": lambda d: f"""SELECT o_orderkey, CAST({D.pdf_seconds(d, 's')} AS BIGINT) AS seconds FROM (SELECT o_orderkey, CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN 'D:' || day || '154523-05''00''' WHEN 1 THEN 'D:' || day || '010203Z' WHEN 2 THEN day || '2359+0530' WHEN 3 THEN ' D:' || day || ' ' WHEN 4 THEN 'D:' || substr(day, 1, 6)
+        WHEN 5 THEN 'D:' || substr(day, 1, 4) WHEN 6 THEN 'D:' || day || '235959+05:30' ELSE 'D:' || substr(day, 1, 6) || '99' END AS s FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS STRING) || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS day FROM orders) o) t""",
     "d4_date_statistics": lambda d: f"SELECT o_custkey, CAST(min({d.days('o_orderdate')}) AS BIGINT) AS first_day, CAST(max({d.days('o_orderdate')}) - min({d.days('o_orderdate')}) AS BIGINT) AS span, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY o_custkey",
     "d5_gap_in_years": lambda d: f"SELECT a.o_custkey AS a, round(greatest(a.lo - b.hi, b.lo - a.hi, 0) / CAST(365.25 AS DOUBLE), 6) AS gap FROM (SELECT o_custkey, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM orders GROUP BY o_custkey) a JOIN (SELECT o_custkey, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM orders GROUP BY o_custkey) b ON a.o_custkey + 1 = b.o_custkey",
     "m1_rounding": lambda d: "SELECT o_orderkey, round(ln(o_totalprice), 6) AS l, abs(round(o_totalprice - 100000, 2)) AS a FROM orders",
@@ -127,7 +141,7 @@ STATEMENTS = {
     "n2_counts_by_community": lambda d: "SELECT l.u, m.community, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members m ON l.v = m.node GROUP BY 1, 2",
     # entity resolution
     "e1_extracted_names": lambda d: "SELECT * FROM names",
-    "e2_extracted_locations": lambda d: "SELECT file_path, location_string, CAST(sum(occurrence_count) AS BIGINT) AS occurrence_count FROM places GROUP BY 1, 2",
+    "e2_extracted_locations": lambda d: "SELECT file_path, location_string, occurrence_count FROM places",
     "e4_name_frequencies": lambda d: "SELECT name_string, count(DISTINCT file_path) AS documents, count(*) AS frequency FROM mentions GROUP BY name_string",
     "e9_network_overlap": lambda d: """SELECT q.v1, q.v2, count(*) AS shared FROM queue q JOIN (SELECT DISTINCT person_1 AS a, person_2 AS b FROM cooccurrence UNION SELECT person_2, person_1 FROM cooccurrence) x ON q.v1 = x.a JOIN (SELECT DISTINCT person_1 AS a, person_2 AS b FROM cooccurrence UNION SELECT person_2, person_1 FROM cooccurrence) y ON q.v2 = y.a AND x.b = y.b GROUP BY 1, 2""",
     "e11_queue_merge": lambda d: "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, greatest(coalesce(a.similarity, 0), coalesce(b.similarity, 0)) AS similarity FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * 0.9 AS similarity FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",
@@ -138,17 +152,18 @@ STATEMENTS = {
     "g1_terms": lambda d: "SELECT doc_id, term FROM nouns UNION ALL SELECT doc_id, term FROM verbs",
     "g2_term_document_matrix": lambda d: "SELECT doc_id, term, tf FROM tdm",
     "g3_loaded_matrix": lambda d: "SELECT doc_id, count(*) AS terms FROM loaded GROUP BY doc_id",
-    "g4_term_cooccurrence": lambda d: "SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM (SELECT t.* FROM tdm t JOIN (SELECT term FROM tdm GROUP BY term ORDER BY count(*) DESC, term LIMIT 40) k ON t.term = k.term) a JOIN (SELECT t.* FROM tdm t JOIN (SELECT term FROM tdm GROUP BY term ORDER BY count(*) DESC, term LIMIT 40) k ON t.term = k.term) b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2",
+    "g4_term_cooccurrence": lambda d: "SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM tdm a JOIN tdm b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2",
     "g5_tfidf": lambda d: "SELECT doc_id, term, round(w, 6) AS w FROM tfidf",
     "g6_similar_pairs": lambda d: "SELECT * FROM pairs",
     "g11_significant_features": lambda d: "SELECT feature, persistence >= p90 AS top, persistence >= q3 + 1.5 * (q3 - q1) AS outlier FROM features CROSS JOIN (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY persistence) AS p90, percentile_cont(0.75) WITHIN GROUP (ORDER BY persistence) AS q3, percentile_cont(0.25) WITHIN GROUP (ORDER BY persistence) AS q1 FROM features) s",
-    "g12_persistent_features": lambda d: "SELECT feature, persistence, CAST(row_number() OVER (ORDER BY persistence DESC, feature) AS BIGINT) AS rank FROM features ORDER BY persistence DESC, feature LIMIT 20",
+    "g12_persistent_features": lambda d: "SELECT feature, persistence, CAST(row_number() OVER (ORDER BY persistence DESC, feature) AS BIGINT) AS rank FROM (SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 20) t",
     "g16_degree_centrality": lambda d: "SELECT n.entity_id, coalesce(x.degree, 0) AS degree, round(coalesce(x.degree, 0) / CAST(c.n - 1 AS DOUBLE), 6) AS centrality FROM entities n LEFT JOIN (SELECT u, count(*) AS degree FROM sides GROUP BY u) x ON n.entity_id = x.u CROSS JOIN (SELECT count(*) AS n FROM entities) c",
     "g20_modularity": lambda d: "SELECT round(sum(coalesce(inside, 0) / m - (k / (2 * m)) * (k / (2 * m))), 6) AS modularity FROM (SELECT a.community, sum(CASE WHEN a.community = b.community THEN l.w ELSE 0 END) / 2 AS inside, sum(l.w) AS k FROM (SELECT u, v, w FROM links UNION ALL SELECT v, u, w FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community) c CROSS JOIN (SELECT sum(w) AS m FROM links l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node) t",
     "g21_community_edges": lambda d: "SELECT a.community, count(*) FILTER (WHERE a.community = b.community) AS internal_ends, count(*) FILTER (WHERE a.community <> b.community) AS external FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community",
     "g22_community_terms": lambda d: "SELECT community, term, n FROM (SELECT m.community, t.term, CAST(sum(t.tf) AS BIGINT) AS n, row_number() OVER (PARTITION BY m.community ORDER BY sum(t.tf) DESC, t.term) AS rn FROM tdm t JOIN members m ON t.doc_id = m.node GROUP BY m.community, t.term) x WHERE rn <= 10",
     "g23_bridge_types": lambda d: "SELECT u, count(DISTINCT community) AS communities, CASE count(DISTINCT community) WHEN 1 THEN 'peripheral' WHEN 2 THEN 'inter-cluster' ELSE 'hub' END AS kind FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members m ON l.v = m.node GROUP BY u",
-    "g24_threshold_sweep": lambda d: f"SELECT threshold, count(*) AS edges FROM pairs JOIN (SELECT round(0.2 + i * CAST(0.05 AS DOUBLE), 6) AS threshold FROM (SELECT {d.each(d.seq(0, 15))} AS i) g) t ON cosine_similarity >= threshold GROUP BY threshold",
+    "g24_threshold_sweep": lambda d: f"""SELECT t.threshold, CAST(sum(coalesce(n, 0)) OVER (ORDER BY t.i DESC) AS BIGINT) AS edges FROM (SELECT i, round(0.2 + i * CAST(0.05 AS DOUBLE), 6) AS threshold FROM (SELECT {d.each(d.seq(0, 15))} AS i) g) t
+        LEFT JOIN (SELECT step, count(*) AS n FROM (SELECT {d.size(d.keep(d.seq(0, 15), 'i', 'cosine_similarity >= round(0.2 + i * CAST(0.05 AS DOUBLE), 6)'))} - 1 AS step FROM pairs) p GROUP BY step) c ON t.i = c.step""",
     "g25_entity_graph": lambda d: f"SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS weight, {d.listagg('type', ',', distinct=True)} AS types FROM relations GROUP BY 1, 2",
     "g26_bipartite_projection": lambda d: "SELECT a.u AS p1, b.u AS p2, count(*) AS companies FROM edges a JOIN edges b ON a.v = b.v AND a.u < b.u GROUP BY 1, 2",
     "g27_two_hop_expansion": lambda d: "SELECT entity, min(hops) AS degree FROM (SELECT v AS entity, 1 AS hops FROM sides WHERE u = 1 UNION ALL SELECT b.v, 2 FROM sides a JOIN sides b ON a.v = b.u WHERE a.u = 1 AND b.v <> 1) t GROUP BY entity",
@@ -159,20 +174,29 @@ STATEMENTS = {
     "g34_network_statistics": lambda d: "SELECT 'entity' AS what, kind AS name, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT 'relation', type, count(*) FROM relations GROUP BY type UNION ALL SELECT 'degree', CAST(degree AS STRING), count(*) FROM relations GROUP BY degree",
     "g35_leaderboard": lambda d: "SELECT u, count(*) AS degree FROM sides GROUP BY u ORDER BY 2 DESC, 1 LIMIT 10",
     # views, endpoints, checks
-    "v1_document_quality": lambda d: "SELECT c.path, coalesce(e.errors, 0) AS errors, round(coalesce(e.errors, 0) / nullif(c.size_bytes / CAST(500 AS DOUBLE), 0) * 100, 2) AS error_rate, greatest(0, 100 - coalesce(round(coalesce(e.errors, 0) / nullif(c.size_bytes / CAST(500 AS DOUBLE), 0) * 100, 2), 100)) AS quality_score FROM catalog c LEFT JOIN (SELECT file_path, count(*) FILTER (WHERE NOT is_abbreviation AND NOT is_ocr_fragment) AS errors FROM spelling GROUP BY file_path) e ON c.path = e.file_path",
-    "v2_high_priority_corrections": lambda d: "SELECT word, count(*) AS n, count(DISTINCT file_path) AS documents FROM spelling WHERE confidence = 'HIGH' GROUP BY word HAVING count(*) >= 2",
+    "v1_document_quality": lambda d: "SELECT * FROM quality",
+    "v2_high_priority_corrections": lambda d: """SELECT word, suggested_correction, count(*) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(levenshtein_distance) AS min_distance, max(levenshtein_distance) AS max_distance,
+        round(sum(damerau_levenshtein_distance * occurrences) / CAST(sum(occurrences) AS DOUBLE), 2) AS avg_damerau_distance, min(ocr_error_pattern) AS common_ocr_pattern FROM errors
+        WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction HAVING sum(occurrences) >= 2""",
     "v3_document_entities": lambda d: f"""SELECT c.path, coalesce(n.n, 0) AS n_names, n.names, coalesce(v.n, 0) AS n_verbs FROM catalog c
         LEFT JOIN (SELECT file_path, count(*) AS n, {d.listagg('name_string', ', ', distinct=True)} AS names FROM names GROUP BY file_path) n ON c.path = n.file_path
         LEFT JOIN (SELECT path, count(DISTINCT term) AS n FROM verbs GROUP BY path) v ON c.path = v.path""",
     "v4_person_cooccurrence": lambda d: "SELECT * FROM cooccurrence",
-    "v5_ocr_pattern_summary": lambda d: "SELECT confidence, count(*) AS n, count(DISTINCT word) AS words, count(DISTINCT file_path) AS documents FROM spelling WHERE is_ocr_fragment GROUP BY confidence",
-    "v6_document_timeline": lambda d: f"SELECT file_path, date_string, {d.to_ts('date_string')} AS date_value, CASE WHEN year({d.to_ts('date_string')}) < 1995 THEN 'early' ELSE 'late' END AS quality FROM dates",
-    "v7_complex_documents": lambda d: "SELECT c.path, coalesce(e.n, 0) + 5 * coalesce(n.n, 0) AS score FROM catalog c LEFT JOIN (SELECT file_path, count(*) AS n FROM spelling GROUP BY file_path) e ON c.path = e.file_path LEFT JOIN (SELECT file_path, count(*) AS n FROM names GROUP BY file_path) n ON c.path = n.file_path",
-    "v8_location_summary": lambda d: "SELECT location_string, count(DISTINCT file_path) AS documents, CAST(sum(occurrence_count) AS BIGINT) AS mentions FROM places GROUP BY location_string HAVING count(*) >= 2",
-    "v9_spelling_variants": lambda d: f"SELECT stem, count(*) AS variants, {d.listagg('word', ', ', 'n DESC, word')} AS words FROM (SELECT substr(word, 1, 5) AS stem, word, count(*) AS n FROM spelling GROUP BY 1, 2) t GROUP BY stem HAVING count(*) >= 2",
-    "v10_foreign_words": lambda d: "SELECT w.word, count(DISTINCT w.lang) AS langs FROM words w JOIN (SELECT DISTINCT word FROM spelling) s ON w.word = s.word WHERE w.lang <> 'en' GROUP BY w.word",
+    "v5_ocr_pattern_summary": lambda d: f"""SELECT b.ocr_error_pattern, a.unique_words_affected, b.total_occurrences, b.documents_affected, a.example_corrections, b.avg_errors_per_doc FROM (SELECT ocr_error_pattern, count(*) AS unique_words_affected, {d.listagg("word || ' > ' || suggested_correction", ', ')} AS example_corrections FROM issues
+        WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern) a JOIN (SELECT ocr_error_pattern, CAST(sum(occurrences) AS BIGINT) AS total_occurrences, count(DISTINCT s.file_path) AS documents_affected, round(sum(occurrences * c.n) / CAST(sum(occurrences) AS DOUBLE), 0) AS avg_errors_per_doc
+        FROM spelling s JOIN (SELECT file_path, CAST(sum(occurrences) AS BIGINT) AS n FROM spelling GROUP BY file_path) c ON s.file_path = c.file_path WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern) b ON a.ocr_error_pattern = b.ocr_error_pattern""",
+    "v6_document_timeline": lambda d: f"""SELECT date_value, date_string, c.file_name, c.path, date_quality FROM (SELECT file_path, date_string, {d.to_ts('date_string')} AS date_value, CASE WHEN {d.to_ts('date_string')} IS NOT NULL THEN 'Parsed' ELSE 'Unparsed' END AS date_quality FROM dates) t JOIN catalog c ON t.file_path = c.path WHERE date_value IS NOT NULL""",
+    "v7_complex_documents": lambda d: """SELECT c.path, c.file_name, c.size_bytes, round(c.size_bytes / CAST(1048576 AS DOUBLE), 2) AS size_mb, coalesce(e.words, 0) AS unique_errors, coalesce(n.n, 0) AS unique_names, coalesce(l.n, 0) AS unique_locations, coalesce(t.n, 0) AS unique_dates,
+        CAST(coalesce(e.total, 0) + 5 * coalesce(n.total, 0) + 2 * coalesce(l.n, 0) AS BIGINT) AS complexity_score FROM catalog c LEFT JOIN (SELECT file_path, count(*) AS words, sum(occurrences) AS total FROM spelling GROUP BY file_path) e ON c.path = e.file_path
+        LEFT JOIN (SELECT file_path, count(*) AS n, sum(occurrence_count) AS total FROM names GROUP BY file_path) n ON c.path = n.file_path LEFT JOIN (SELECT file_path, count(*) AS n FROM places GROUP BY file_path) l ON c.path = l.file_path
+        LEFT JOIN (SELECT file_path, count(*) AS n FROM dates GROUP BY file_path) t ON c.path = t.file_path""",
+    "v8_location_summary": lambda d: f"SELECT location_string, count(*) AS document_count, CAST(sum(occurrence_count) AS BIGINT) AS mention_count, {d.listagg('file_name', ', ')} AS mentioned_in_documents FROM places JOIN catalog ON file_path = path GROUP BY location_string HAVING count(*) >= 2",
+    "v9_spelling_variants": lambda d: f"""SELECT suggested_correction AS canonical_word, {d.listagg('word', ', ', 'n DESC, word')} AS variant_spellings, count(*) AS variant_count, CAST(sum(n) AS BIGINT) AS total_occurrences, CAST(sum(documents) AS BIGINT) AS total_document_spread
+        FROM (SELECT word, suggested_correction, CAST(sum(occurrences) AS BIGINT) AS n, count(*) AS documents FROM errors WHERE suggested_correction IS NOT NULL GROUP BY word, suggested_correction) t GROUP BY suggested_correction HAVING count(*) >= 2""",
+    "v10_foreign_words": lambda d: """SELECT word, detected_language, foreign_language_suggestion, foreign_language_confidence, foreign_word_translation, count(*) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count FROM spelling
+        WHERE is_foreign_word AND detected_language IS NOT NULL GROUP BY word, detected_language, foreign_language_suggestion, foreign_language_confidence, foreign_word_translation""",
     "v13_entity_mentions": lambda d: "SELECT file_path, canonical_name FROM canonical UNION ALL SELECT file_path, location_string FROM places",
-    "v15_poor_documents": lambda d: "SELECT c.path, round(e.n / greatest(c.text_length / CAST(5 AS DOUBLE), 1) * 100, 4) AS rate FROM catalog c JOIN (SELECT file_path, count(DISTINCT word) AS n FROM spelling WHERE NOT is_abbreviation GROUP BY file_path) e ON c.path = e.file_path WHERE e.n / greatest(c.text_length / CAST(5 AS DOUBLE), 1) * 100 > 5",
+    "v15_poor_documents": lambda d: """SELECT c.path, round(e.n / greatest(c.text_length / CAST(5 AS DOUBLE), 1) * 100, 4) AS rate FROM catalog c JOIN (SELECT file_path, count(DISTINCT word) AS n FROM spelling WHERE NOT is_abbreviation GROUP BY file_path) e ON c.path = e.file_path WHERE e.n / greatest(c.text_length / CAST(5 AS DOUBLE), 1) * 100 > 10""",
     "r4_documents_by_period": lambda d: f"SELECT p.id, o_custkey, count(*) AS n FROM orders JOIN ({PERIODS}) AS p(id, label, lo, hi) ON year(o_orderdate) BETWEEN p.lo AND p.hi GROUP BY 1, 2",
     "r5_relation_priority": lambda d: "SELECT src, tgt, type FROM (SELECT src, tgt, type, row_number() OVER (PARTITION BY src, tgt ORDER BY CASE type WHEN 'founder' THEN 4 WHEN 'executive' THEN 9 WHEN 'associate' THEN 90 ELSE 50 END, type) AS rn FROM (SELECT DISTINCT src, tgt, type FROM relations) r) t WHERE rn = 1",
     "r6_mentions_index": lambda d: f"SELECT name_string, {d.listagg('file_path', ',', distinct=True)} AS files FROM mentions GROUP BY name_string",

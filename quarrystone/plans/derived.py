@@ -17,6 +17,11 @@ from quarrystone.sources.tables import fingerprint, register
 
 #: Derived tables that cost more to make than to read.
 STORED = tuple("catalog tokens nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges queue".split())
+#: Queries whose result is a derived table: they make it anew.
+OWN = {
+    "e1_extracted_names": ("names",), "e2_extracted_locations": ("places",), "g2_term_document_matrix": ("tdm",), "g5_tfidf": ("tfidf",), "g6_similar_pairs": ("pairs",), "v1_document_quality": ("quality",),
+    "v4_person_cooccurrence": ("cooccurrence",), "x24_foreign_words": ("foreign_words",), "x27_spell_corrections": ("corrections",), "x4_edit_similarity": ("queue",), "g25_entity_graph": ("relations",), "o4_heaviest_pairs": ("pairs",),
+}
 _made: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
@@ -31,13 +36,15 @@ def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name:
     made[name].createOrReplaceTempView(name)
 
 
-def derived_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    """``body`` over the raw and derived tables of a folder."""
+def derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, ...] = ()) -> DataFrame:
+    """``body`` over the raw and derived tables of a folder; ``fresh`` ones are worked out by the query itself, as by those
+    whose result is such a table."""
     register(spark, sf_dir)
     key = hashlib.md5(f"{sf_dir} {fingerprint(spark, sf_dir)}".encode()).hexdigest()[:16]
     app = spark.sparkContext.applicationId
     made = _made.setdefault((app, key), {})
     folder = passing(spark, f"{shared_folder(spark)}/derived-{app}/{key}")
-    for name in named(body, STORED):
+    stored = tuple(n for n in STORED if n not in fresh)
+    for name in named(body, stored):
         _ensure(spark, folder, made, name)
-    return spark.sql(with_bases(Spark(), body, STORED))
+    return spark.sql(with_bases(Spark(), body, stored))

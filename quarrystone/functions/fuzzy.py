@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,9 +25,42 @@ def osa_distance(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, a row each, padded; and their lengths."""
+    n = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), int(n.max(initial=0))), -1, np.int32)
+    out[np.arange(out.shape[1])[None] < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out, n
+
+
+def osa_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """``osa_distance`` of each pair: one table for all pairs, filled cell by cell across the batch."""
+    x, n = _codes(a)
+    y, m = _codes(b)
+    rows = [np.tile(np.arange(y.shape[1] + 1), (len(a), 1))]
+    out = np.where(n == 0, m, 0)
+    for i in range(1, x.shape[1] + 1):
+        row = np.empty_like(rows[-1])
+        row[:, 0] = i
+        for j in range(1, y.shape[1] + 1):
+            best = np.minimum(np.minimum(rows[-1][:, j], row[:, j - 1]) + 1, rows[-1][:, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+            if i > 1 and j > 1:
+                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swapped, np.minimum(best, rows[-2][:, j - 2] + 1), best)
+            row[:, j] = best
+        rows = [rows[-1], row]
+        out = np.where(n == i, np.take_along_axis(row, m[:, None], axis=1)[:, 0], out)
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+    out = pd.Series([None] * len(a), dtype="Int64")
+    known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    for low in range(0, len(known), 4096):
+        pick = known[low : low + 4096]
+        out.iloc[pick] = osa_distances(a.iloc[pick].tolist(), b.iloc[pick].tolist())
+    return out
 
 
 _POSITIONS = T.ArrayType(

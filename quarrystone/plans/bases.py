@@ -94,7 +94,8 @@ BASES = {
     "queue": lambda d: """SELECT a.name AS v1, b.name AS v2, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist, round(1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE), 6) AS similarity
         FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 5""",
     "features": lambda d: "SELECT doc_id_1 * 10000000 + doc_id_2 AS feature, 1.0 - cosine_similarity AS persistence FROM pairs",
-    "members": lambda d: "SELECT CAST(vec_id AS BIGINT) AS node, CAST(label AS BIGINT) AS community FROM embeddings",
+    "members": lambda d: """SELECT doc_id AS node, coalesce(c.community, doc_id) AS community FROM docs LEFT JOIN (WITH RECURSIVE strong AS (SELECT u, v FROM links WHERE w >= 0.5 UNION SELECT v, u FROM links WHERE w >= 0.5),
+        way AS (SELECT u AS node, u AS reached FROM strong UNION SELECT way.node, strong.v FROM way JOIN strong ON way.reached = strong.u) SELECT node, min(reached) AS community FROM way GROUP BY node) c ON doc_id = c.node""",
     "links": lambda d: "SELECT doc_id_1 AS u, doc_id_2 AS v, cosine_similarity AS w FROM pairs",
 }
 

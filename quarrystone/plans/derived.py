@@ -9,14 +9,16 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrystone.functions.dialect import Spark
+from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import passing, shared_folder
 from quarrystone.plans.bases import BASES, named, with_bases
 from quarrystone.sources.tables import fingerprint, register
 
 #: Derived tables that cost more to make than to read.
-STORED = tuple("catalog tokens nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges queue".split())
+STORED = tuple("catalog tokens nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges queue members".split())
 #: Queries whose result is a derived table: they make it anew.
 OWN = {
     "e1_extracted_names": ("names",), "e2_extracted_locations": ("places",), "g2_term_document_matrix": ("tdm",), "g5_tfidf": ("tfidf",), "g6_similar_pairs": ("pairs",), "v1_document_quality": ("quality",),
@@ -25,13 +27,26 @@ OWN = {
 _made: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    """(node, community): documents by the component of links of 0.5 and more; a document without one is alone."""
+    links = spark.sql("SELECT doc_id_1 AS u, doc_id_2 AS v FROM pairs WHERE cosine_similarity >= 0.5")
+    found = connected_components(links, folder)
+    docs = spark.table("documents").select(F.col("doc_id").alias("node"))
+    return docs.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
+
+
+#: Derived tables made by an operator; their statement serves the checking engine.
+MADE = {"members": _members}
+
+
 def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name: str) -> None:
     if name not in made:
         text = BASES[name](Spark())
         for other in named(text, STORED):
             _ensure(spark, folder, made, other)
         path = f"{folder}/{name}-{uuid.uuid4().hex}"
-        spark.sql(with_bases(Spark(), text, STORED)).write.parquet(path)
+        rows = MADE[name](spark, folder) if name in MADE else spark.sql(with_bases(Spark(), text, STORED))
+        rows.write.parquet(path)
         made[name] = spark.read.parquet(path)
     made[name].createOrReplaceTempView(name)
 

@@ -10,7 +10,7 @@ from quarrystone.functions import names
 from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
 from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes, likeness
-from quarrystone.operators import centrality, cycles, thresholds, topology
+from quarrystone.operators import centrality, communities, cycles, thresholds, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import shared_folder
 from quarrystone.operators.upsert import upsert
@@ -76,6 +76,10 @@ def g19_label_propagation(spark, sf_dir):
     return centrality.label_propagation(_links(spark, sf_dir))
 
 
+def g19_louvain(spark, sf_dir):
+    return communities.louvain(_links(spark, sf_dir), shared_folder(spark))
+
+
 def x5_phonetic_codes(spark, sf_dir):
     """(variant, first, second): codes of each form of a name, joined by a space."""
     d = Spark()
@@ -114,7 +118,7 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, e5_phonetic_candidates, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, e5_phonetic_candidates, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain)}
 
 SQL = {
     "s9_upsert": "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, round(greatest(a.similarity, b.similarity), 6) AS similarity, least(a.dist, b.dist) AS dist FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * CAST(0.9 AS DOUBLE) AS similarity, dist + 1 AS dist FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",

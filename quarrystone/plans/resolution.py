@@ -107,9 +107,9 @@ STATEMENTS = {
     "e19_normalisation_rules": lambda d: "SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.pattern, a.pattern) AS pattern, coalesce(b.active, a.active) AS active FROM (SELECT * FROM (VALUES ('title', 'dr', true), ('title', 'mr', true), ('artifact_suffix', 'sent', true)) AS x(kind, pattern, active)) a FULL OUTER JOIN (SELECT * FROM (VALUES ('title', 'mr', false), ('ocr_pattern', 'rn', true)) AS y(kind, pattern, active)) b ON a.kind = b.kind AND a.pattern = b.pattern",
     # networks
     "g4_documents_sharing_terms": lambda d: "SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS shared FROM tdm a JOIN tdm b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 20",
-    "g7_name_weighted_similarity": lambda d: """SELECT p.doc_id_1, p.doc_id_2, round(CAST(0.7 AS DOUBLE) * p.cosine_similarity + CAST(0.3 AS DOUBLE) * coalesce(i.n / CAST(x.n + y.n - i.n AS DOUBLE), 0), 9) AS similarity FROM pairs p
-        LEFT JOIN (SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS n FROM (SELECT DISTINCT doc_id, term FROM nouns) a JOIN (SELECT DISTINCT doc_id, term FROM nouns) b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2) i ON p.doc_id_1 = i.d1 AND p.doc_id_2 = i.d2
-        LEFT JOIN (SELECT doc_id, count(DISTINCT term) AS n FROM nouns GROUP BY doc_id) x ON p.doc_id_1 = x.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT term) AS n FROM nouns GROUP BY doc_id) y ON p.doc_id_2 = y.doc_id""",
+    "g7_name_weighted_similarity": lambda d: """SELECT p.doc_id_1, p.doc_id_2, round(CAST(0.7 AS DOUBLE) * p.cosine_similarity + CAST(0.3 AS DOUBLE) * coalesce(i.n / CAST(x.n + y.n - i.n AS DOUBLE), 0), 9) AS similarity FROM pairs p JOIN docs g ON p.doc_id_1 = g.doc_id JOIN docs h ON p.doc_id_2 = h.doc_id
+        LEFT JOIN (SELECT a.file_path AS d1, b.file_path AS d2, count(*) AS n FROM names a JOIN names b ON a.name_string = b.name_string AND a.file_path < b.file_path GROUP BY 1, 2) i ON least(g.path, h.path) = i.d1 AND greatest(g.path, h.path) = i.d2
+        LEFT JOIN (SELECT file_path, count(*) AS n FROM names GROUP BY file_path) x ON g.path = x.file_path LEFT JOIN (SELECT file_path, count(*) AS n FROM names GROUP BY file_path) y ON h.path = y.file_path""",
     "g13_gap_threshold": lambda d: "SELECT threshold, gap FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1",
     "g14_snapped_threshold": lambda d: f"SELECT threshold FROM (SELECT g.threshold, abs(g.threshold - k.threshold) AS off FROM ({GRID} FROM (SELECT {d.each(d.seq(0, 17))} AS i) s) g CROSS JOIN (SELECT threshold FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1) k) z ORDER BY off, threshold LIMIT 1",
     "g30_cited_graph": lambda d: "SELECT r.src, r.tgt, r.type, count(*) AS citations FROM relations r JOIN (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, o_orderpriority AS source FROM orders) s ON r.src = s.src GROUP BY r.src, r.tgt, r.type",

@@ -151,7 +151,7 @@ STATEMENTS = {
     # matrices and graphs
     "g1_terms": lambda d: "SELECT doc_id, term FROM nouns UNION ALL SELECT doc_id, term FROM verbs",
     "g2_term_document_matrix": lambda d: "SELECT doc_id, term, tf FROM tdm",
-    "g3_loaded_matrix": lambda d: "SELECT doc_id, count(*) AS terms FROM loaded GROUP BY doc_id",
+    "g3_loaded_matrix": lambda d: "SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences, max(tf) AS most FROM loaded GROUP BY doc_id",
     "g4_term_cooccurrence": lambda d: "SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM tdm a JOIN tdm b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2",
     "g5_tfidf": lambda d: "SELECT doc_id, term, round(w, 6) AS w FROM tfidf",
     "g6_similar_pairs": lambda d: "SELECT * FROM pairs",
@@ -159,9 +159,11 @@ STATEMENTS = {
     "g12_persistent_features": lambda d: "SELECT feature, persistence, CAST(row_number() OVER (ORDER BY persistence DESC, feature) AS BIGINT) AS rank FROM (SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 20) t",
     "g16_degree_centrality": lambda d: "SELECT n.entity_id, coalesce(x.degree, 0) AS degree, round(coalesce(x.degree, 0) / CAST(c.n - 1 AS DOUBLE), 6) AS centrality FROM entities n LEFT JOIN (SELECT u, count(*) AS degree FROM sides GROUP BY u) x ON n.entity_id = x.u CROSS JOIN (SELECT count(*) AS n FROM entities) c",
     "g20_modularity": lambda d: "SELECT round(sum(coalesce(inside, 0) / m - (k / (2 * m)) * (k / (2 * m))), 6) AS modularity FROM (SELECT a.community, sum(CASE WHEN a.community = b.community THEN l.w ELSE 0 END) / 2 AS inside, sum(l.w) AS k FROM (SELECT u, v, w FROM links UNION ALL SELECT v, u, w FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community) c CROSS JOIN (SELECT sum(w) AS m FROM links l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node) t",
-    "g21_community_edges": lambda d: "SELECT a.community, count(*) FILTER (WHERE a.community = b.community) AS internal_ends, count(*) FILTER (WHERE a.community <> b.community) AS external FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community",
+    "g21_community_edges": lambda d: """SELECT s.community, s.nodes, coalesce(e.internal, 0) AS internal, coalesce(e.external, 0) AS external, round(CASE WHEN s.nodes > 1 THEN coalesce(e.internal, 0) / (s.nodes * (s.nodes - 1) / CAST(2 AS DOUBLE)) ELSE 0 END, 6) AS density FROM (SELECT community, count(*) AS nodes FROM members GROUP BY community) s
+        LEFT JOIN (SELECT a.community, count(*) FILTER (WHERE a.community = b.community AND l.u < l.v) AS internal, count(*) FILTER (WHERE a.community <> b.community) AS external FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community) e ON s.community = e.community""",
     "g22_community_terms": lambda d: "SELECT community, term, n FROM (SELECT m.community, t.term, CAST(sum(t.tf) AS BIGINT) AS n, row_number() OVER (PARTITION BY m.community ORDER BY sum(t.tf) DESC, t.term) AS rn FROM tdm t JOIN members m ON t.doc_id = m.node GROUP BY m.community, t.term) x WHERE rn <= 10",
-    "g23_bridge_types": lambda d: "SELECT u, count(DISTINCT community) AS communities, CASE count(DISTINCT community) WHEN 1 THEN 'peripheral' WHEN 2 THEN 'inter-cluster' ELSE 'hub' END AS kind FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members m ON l.v = m.node GROUP BY u",
+    "g23_bridge_types": lambda d: """SELECT m.node, coalesce(x.communities, 0) AS communities, CASE coalesce(x.communities, 0) WHEN 0 THEN 'isolated' WHEN 1 THEN 'peripheral' WHEN 2 THEN 'inter-cluster' ELSE 'hub' END AS kind FROM members m
+        LEFT JOIN (SELECT u, count(DISTINCT community) AS communities FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members m ON l.v = m.node GROUP BY u) x ON m.node = x.u""",
     "g24_threshold_sweep": lambda d: f"""SELECT t.threshold, CAST(sum(coalesce(n, 0)) OVER (ORDER BY t.i DESC) AS BIGINT) AS edges FROM (SELECT i, round(0.2 + i * CAST(0.05 AS DOUBLE), 6) AS threshold FROM (SELECT {d.each(d.seq(0, 15))} AS i) g) t
         LEFT JOIN (SELECT step, count(*) AS n FROM (SELECT {d.size(d.keep(d.seq(0, 15), 'i', 'cosine_similarity >= round(0.2 + i * CAST(0.05 AS DOUBLE), 6)'))} - 1 AS step FROM pairs) p GROUP BY step) c ON t.i = c.step""",
     "g25_entity_graph": lambda d: f"SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS weight, {d.listagg('type', ',', distinct=True)} AS types FROM relations GROUP BY 1, 2",
@@ -172,7 +174,8 @@ STATEMENTS = {
     "g31_invalid_relations": lambda d: "SELECT r.src, r.tgt FROM relations r LEFT ANTI JOIN entities e ON r.src = e.entity_id",
     "g33_density": lambda d: "SELECT round(2.0 * e.n / CAST(v.n * (v.n - 1) AS DOUBLE), 8) AS density FROM (SELECT count(*) AS n FROM edges) e CROSS JOIN (SELECT count(*) AS n FROM entities) v",
     "g34_network_statistics": lambda d: "SELECT 'entity' AS what, kind AS name, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT 'relation', type, count(*) FROM relations GROUP BY type UNION ALL SELECT 'degree', CAST(degree AS STRING), count(*) FROM relations GROUP BY degree",
-    "g35_leaderboard": lambda d: "SELECT u, count(*) AS degree FROM sides GROUP BY u ORDER BY 2 DESC, 1 LIMIT 10",
+    "g35_leaderboard": lambda d: """SELECT metric, rank, node, value FROM (SELECT metric, node, value, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, node) AS BIGINT) AS rank FROM (SELECT 'degree' AS metric, u AS node, CAST(count(*) AS BIGINT) AS value FROM sides GROUP BY u
+        UNION ALL SELECT 'weight', u, CAST(sum(weight) AS BIGINT) FROM sides GROUP BY u UNION ALL SELECT 'strongest', u, CAST(max(weight) AS BIGINT) FROM sides GROUP BY u) m) t WHERE rank <= 10""",
     # views, endpoints, checks
     "v1_document_quality": lambda d: "SELECT * FROM quality",
     "v2_high_priority_corrections": lambda d: """SELECT word, suggested_correction, count(*) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(levenshtein_distance) AS min_distance, max(levenshtein_distance) AS max_distance,

@@ -1,7 +1,7 @@
 import pytest
 
-from quarrystone.functions.fuzzy import extended_hamming, osa, osa_distance, token_positions
-from quarrystone.operators import centrality, topology
+from quarrystone.functions.fuzzy import extended_hamming, osa, osa_distance, osa_distances, token_positions
+from quarrystone.operators import centrality, communities, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import shared_folder
 from quarrystone.operators.upsert import upsert
@@ -9,7 +9,15 @@ from quarrystone.operators.upsert import upsert
 
 @pytest.mark.parametrize("a,b,n", [("teh", "the", 1), ("recieve", "receive", 1), ("ca", "abc", 3), ("kitten", "sitting", 3), ("", "abc", 3)])
 def test_osa(a, b, n):
-    assert osa_distance(a, b) == n
+    assert osa_distance(a, b) == n == osa_distances([a, "x"], [b, "xyz"])[0]
+
+
+def test_osa_of_a_batch():
+    import random
+
+    r = random.Random(3)
+    a, b = (["".join(r.choice("abé") for _ in range(r.randint(0, 7))) for _ in range(300)] for _ in range(2))
+    assert osa_distances(a, b).tolist() == [osa_distance(x, y) for x, y in zip(a, b)] and osa_distances([], []).tolist() == []
 
 
 def test_fuzzy_columns(spark):
@@ -73,3 +81,78 @@ def test_stream_and_files(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     write_stream(document_stream(spark, str(tmp_path / "docs"), docs.schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 4, 2), (2, None, 0)]
+
+
+def test_forest_in_many_tasks(spark):
+    """Against Kruskal over all edges; each level but the last has more tasks than one."""
+    import random
+
+    r = random.Random(6)
+    rows = [(a, b, round(r.random(), 3)) for a in range(60) for b in range(a) if r.random() < 0.3] + [(None, 1, 0.5), (2, 2, 0.9)]
+    forest = topology.spanning_forest(edges(spark, rows).repartition(20), fan_in=4)
+    assert forest.rdd.getNumPartitions() == 1
+    plan = forest._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(5)" in plan and "RoundRobinPartitioning(2)" in plan and plan.count("Coalesce") == 0
+    parent, want = list(range(60)), 0.0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, w in sorted((e for e in rows if e[0] is not None and e[0] != e[1]), key=lambda e: -e[2]):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want += w
+    got = forest.collect()
+    assert sum(e.w for e in got) == pytest.approx(want) and len(got) == 59
+
+
+def test_two_lazy_graph_queries(spark):
+    """Both are made before either is run, and the first still finds its table afterwards."""
+    import os
+
+    from quarrystone.plans import graphs
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    first, second = graphs.QUERIES["g18_clustering"](spark, sf), graphs.QUERIES["g8_h0_persistence"](spark, sf)
+    assert second.count() > 0 and first.count() > 0 and second.count() > 0
+
+
+def test_louvain(spark):
+    cliques = [(10 * c + i, 10 * c + j, 1.0) for c in range(4) for i in range(6) for j in range(i)]
+    rows = cliques + [(0, 10, 1.0), (11, 20, 1.0), (21, 30, 0.5), (5, 5, 1.0), (None, 3, 1.0), (1, 2, None)]
+    shared = shared_folder(spark)
+    found = {r.node: r.community for r in communities.louvain(edges(spark, rows), shared).collect()}
+    assert len(found) == 24 and all(len({found[10 * c + i] for i in range(6)}) == 1 for c in range(4)) and len(set(found.values())) == 4
+    assert communities.louvain(edges(spark, []), shared).count() == 0
+    plain = [e for e in rows if e[0] is not None and e[2] is not None]
+    m2, k = 2 * sum(w for *_, w in plain), dict.fromkeys(found, 0.0)
+    for u, v, w in plain:
+        k[u] += w
+        k[v] += w
+    want = sum(2 * w for u, v, w in plain if found[u] == found[v]) / m2 - sum(sum(k[n] for n in k if found[n] == c) ** 2 for c in set(found.values())) / m2**2
+    of = spark.createDataFrame(list(found.items()), "node long, community long")
+    assert communities.modularity(edges(spark, plain), of) == pytest.approx(want)
+    halves = edges(spark, [(1, 2, 1.0), (3, 4, 1.0)])
+    assert communities.modularity(halves, spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, community long")) == pytest.approx(0.5)
+    assert communities.modularity(edges(spark, []), of) is None
+
+
+def test_ranks_converge_or_are_null(spark):
+    shared_folder(spark)
+    rows = edges(spark, [(1, 2, 1.0), (2, 3, 2.0), (3, 4, 1.0), (2, 4, 1.0)])
+    a = {}
+    for u, v, w in [(1, 2, 1.0), (2, 3, 2.0), (3, 4, 1.0), (2, 4, 1.0)]:
+        a[u, v] = a[v, u] = w
+    out = {u: sum(w for (x, _), w in a.items() if x == u) for u in (1, 2, 3, 4)}
+    rank = dict.fromkeys(out, 0.25)
+    for _ in range(200):
+        rank = {v: 0.15 / 4 + 0.85 * sum(rank[u] * w / out[u] for (u, x), w in a.items() if x == v) for v in rank}
+    got = {r.node: r["rank"] for r in centrality.pagerank(rows, tolerance=1e-9).collect()}
+    assert got == pytest.approx(rank, abs=1e-6)
+    assert {r["rank"] for r in centrality.pagerank(rows, rounds=5, tolerance=0.0).collect()} == {None}
+    assert {r.score for r in centrality.eigenvector(rows, rounds=4).collect()} == {None}
+    assert centrality.pagerank(edges(spark, [])).count() == 0 == centrality.eigenvector(edges(spark, [])).count()

@@ -19,7 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
             spark.conf.set("quarrystone.shared.dir", found)
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return own_folder(spark, found)
+
+
+_own: dict[tuple[str, str], str] = {}
+
+
+def own_folder(spark: SparkSession, base: str) -> str:
+    """The application's own folder in ``base``, deleted with all it holds when the application ends."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _own:
+        _own[key] = passing(spark, f"{base.rstrip('/')}/quarrystone-{key[0]}")
+    return _own[key]
 
 
 def passing(spark: SparkSession, path: str) -> str:

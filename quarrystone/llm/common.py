@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,25 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.operators.scratch import shared_folder
+
 #: What the contracts call white space, as a Java/Python character class.
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The application's folder in the one all executors share (``spark.checkpoint.dir``); it goes when the application ends.
 
     Only a local master may go without the setting; then one temporary folder is made and set for the session.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = spark.conf.get("quarrystone.shared.dir", None)
-    if not made:
-        made = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
-        spark.conf.set("quarrystone.shared.dir", made)
-    return made
+    return shared_folder(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

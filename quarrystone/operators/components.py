@@ -40,8 +40,7 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node's smaller neighbours, and itself, go to the least of them."""
     met = _meet(edges, _least(edges), "u", total)
-    others = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(met.where("v = m").select("u", "v")).distinct()
+    return met.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, folder: str, a: str = "u", b: str = "v") -> DataFrame:
@@ -54,7 +53,7 @@ def connected_components(edges: DataFrame, folder: str, a: str = "u", b: str = "
     edges = _kept(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), folder)
     before, total = None, edges.count()
     while True:
-        edges = _kept(_small_star(_kept(_large_star(edges, total), folder), total), folder)
+        edges = _kept(_small_star(_large_star(edges, total), total), folder)
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("bit_xor(xxhash64(v, u))").alias("y")).first()
         if row == before or not row["n"]:
             break

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.llm.bloom import marked_possible
 from quarrystone.llm.common import SPACE, stored, table
 
 CELLS = 16384
@@ -71,9 +72,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return per.select("source", "source_size", "lowest", target.alias("target"))
 
 
+def _cell(key: Column, lowest: Column) -> Column:
+    return F.least(F.floor((F.lit(1.0) - F.exp(-key * lowest)) * F.lit(CELLS)), F.lit(CELLS - 1)).cast("int")
+
+
 def _with_cell(rows: DataFrame) -> DataFrame:
-    spread = F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.col("lowest"))) * F.lit(CELLS))
-    return rows.withColumn("cell", F.least(spread, F.lit(CELLS - 1)).cast("int"))
+    return rows.withColumn("cell", _cell(F.col("key"), F.col("lowest")))
 
 
 def source_cuts(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -135,16 +139,32 @@ def label_quality(labels: DataFrame) -> DataFrame:
     return best.select("id", F.when(F.col("q") >= 1, 2.0).when(F.col("q") <= 0, 0.5).otherwise(1.0).alias("quality"))
 
 
+def _with_quality(rows: DataFrame, quality: DataFrame | None, cuts: DataFrame) -> DataFrame:
+    """``rows`` (id, source, ...) with a quality that decides like their own. Only rows that a filter of the rated ids may hold,
+    and that the lowest and the highest quality there is would put on different sides of their source's cut (or near it),
+    shuffle to meet their own; the others pass straight through."""
+    if quality is None:
+        return rows.withColumn("quality", F.lit(1.0))
+    low, high = quality.agg(F.min(F.when(F.col("quality") > 0, F.col("quality"))), F.max(F.when(F.col("quality") > 0, F.col("quality")))).first()
+    least, most = min(1.0, float(low or 1.0)), max(1.0, float(high or 1.0))
+    at = cuts.select(F.col("source").alias("_source"), "lowest", "cut_cell")
+    asking = marked_possible(rows, "id", quality).join(at, rows["source"].eqNullSafe(at["_source"]))
+    first, last = (_cell(key(F.col("id"), F.lit(q)), F.col("lowest")) for q in (most, least))
+    sure = F.col("cut_cell").isNull() | (last < F.col("cut_cell")) | (first > F.col("cut_cell"))
+    asking = asking.withColumn("_x_again", F.col("_x_again") & ~sure)
+    own = asking.where("_x_again").select(rows.columns).join(quality, "id", "left")
+    own = own.withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0))
+    return asking.where("not _x_again").select(rows.columns).withColumn("quality", F.lit(1.0)).unionByName(own)
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, with all columns. What it takes of a row in
     part comes as a row of its own with the text's first words, joined by one space. Rows meet the cut of their source and,
     if given, their quality."""
+    quality = None if quality is None else stored(quality, "mix-quality")
     cuts = source_cuts(stored(sized(docs, quality, id, source, text), "mix-sizes"))
     rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.struct("*").alias("_x_row"))
-    if quality is None:
-        rows = rows.withColumn("quality", F.lit(1.0))
-    else:
-        rows = rows.join(quality, "id", "left").withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0))
+    rows = _with_quality(rows, quality, cuts)
     held = F.col("_x_row").getField(text)
     taken = copies(rows.withColumn("key", key(F.col("id"), F.col("quality"))), cuts, word_count(held))
     taken = taken.withColumn("_x_n", F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0)).where("_x_n > 0")

@@ -107,6 +107,14 @@ def test_mixing(docs, empty, spark):
     mixed = mixing.mix(docs, quality)
     assert mixed.columns == docs.columns and mixed.count() > 0 and sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix(docs, quality).collect()))
     assert mixing.mix(empty).count() == 0
+    rated = spark.createDataFrame([(i, [0.5, 2.0, -1.0][i % 3]) for i in range(0, 120, 2)], "id long, quality double")
+    sizes = mixing.sized(docs, rated, "doc_id", "source", "text")
+    want, found = defaultdict(int), defaultdict(int)
+    for r in mixing.copies(sizes, mixing.source_cuts(sizes), F.col("size")).collect():
+        want[r.id] += r.copies * r.size + r.part
+    for r in mixing.mix(docs, rated).collect():
+        found[r.doc_id] += len(words(r.text))
+    assert {i: n for i, n in want.items() if n} == {i: n for i, n in found.items() if n}
     assert sum(len(words(r.text)) for r in mixing.mix(docs).collect()) == sum(taken.values())
     alike = spark.createDataFrame([(1, "a b c d e f g", "x"), (1, "h i j", "x"), (None, "k l", "x"), (None, "k l", "x"), (2, "m " * 40, "y")], "doc_id long, text string, source string")
     sizes = mixing.sized(alike, None, "doc_id", "source", "text")

@@ -46,7 +46,7 @@ from quarrystone.operators.components import connected_components
 
 _NULL_ID = np.iinfo(np.int64).max
 #: Shingles a task should hold at most, and pivots of a neighbourhood that is dealt out.
-CHUNK, PIVOTS = 100_000, 64
+CHUNK, PIVOTS = 200_000, 64
 #: Occurrences from which a task reports a shingle, and from which the tasks' reports make it hot; hot ones kept at most
 #: (others are dealt out like the rest: the figure is one of balance, not of results).
 SEEN, HOT, HOT_KEPT = 32, 2048, 1 << 18

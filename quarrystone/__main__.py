@@ -1,4 +1,4 @@
-"""Command line: list queries, run one, count or clear tables, export a graph, extract PDF texts."""
+"""Command line: list queries, run one, ask in SQL, count or clear tables, export a graph, extract PDF texts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quarrystone.plans import registry
+from quarrystone.plans.ask import COMMON, ask
 from quarrystone.sources import graph_files, pdf, store
 
 
@@ -19,6 +20,11 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("tables")
     run.add_argument("out")
     run.add_argument("--format", default="parquet", choices=["parquet", "json", "csv"])
+    asked = sub.add_parser("ask")
+    asked.add_argument("tables")
+    asked.add_argument("question", help="SQL, or one of: " + ", ".join(COMMON))
+    asked.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
+    asked.add_argument("--rows", type=int, default=100)
     sub.add_parser("counts").add_argument("folder")
     drop = sub.add_parser("drop")
     drop.add_argument("folder")
@@ -40,6 +46,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("quarrystone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "run":
         registry.queries()[args.query](spark, args.tables).write.mode("overwrite").format(args.format).save(args.out)
+    elif args.command == "ask":
+        ask(spark, args.tables, args.question, **dict(p.split("=", 1) for p in args.param)).show(args.rows, truncate=False)
     elif args.command == "counts":
         store.counts(spark, args.folder).show(1000, truncate=False)
     elif args.command == "drop":

@@ -19,6 +19,9 @@ class Spark:
     def rx_get(self, x, p, g=1):
         return f"regexp_extract({x}, {self.lit(p)}, {g})"
 
+    def group(self, g):
+        return f"${g}"
+
     def each(self, x):
         return f"explode({x})"
 
@@ -114,6 +117,9 @@ class Check(Spark):
     def rx_get(self, x, p, g=1):
         return f"regexp_extract({x}, '{p}', {g})"
 
+    def group(self, g):
+        return chr(92) + str(g)
+
     def each(self, x):
         return f"unnest({x})"
 

@@ -101,7 +101,7 @@ BASES = {
 
 
 def _names(text: str) -> list[str]:
-    return [name for name in BASES if re.search(rf"\b(FROM|JOIN)\s+{name}\b", text)]
+    return [name for name in BASES if re.search(rf"\b(?i:FROM|JOIN)\s+{name}\b", text)]
 
 
 def named(body: str, names) -> list[str]:

@@ -51,9 +51,9 @@ def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name:
     made[name].createOrReplaceTempView(name)
 
 
-def derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, ...] = ()) -> DataFrame:
+def derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, ...] = (), args: dict | None = None) -> DataFrame:
     """``body`` over the raw and derived tables of a folder; ``fresh`` ones are worked out by the query itself, as by those
-    whose result is such a table."""
+    whose result is such a table. ``args``: values of the statement's parameters."""
     register(spark, sf_dir)
     key = hashlib.md5(f"{sf_dir} {fingerprint(spark, sf_dir)}".encode()).hexdigest()[:16]
     app = spark.sparkContext.applicationId
@@ -62,4 +62,4 @@ def derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, .
     stored = tuple(n for n in STORED if n not in fresh)
     for name in named(body, stored):
         _ensure(spark, folder, made, name)
-    return spark.sql(with_bases(Spark(), body, stored))
+    return spark.sql(with_bases(Spark(), body, stored), args=args)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions.dialect import Spark
-from quarrystone.functions import names
+from quarrystone.functions.dialect import Check, Spark
+from quarrystone.functions import names, recognition
 from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
 from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes, likeness
@@ -63,6 +63,18 @@ def g17_path_metrics(spark, sf_dir):
     return centrality.path_metrics(_links(spark, sf_dir))
 
 
+def g33_path_statistics(spark, sf_dir):
+    return centrality.path_statistics(_links(spark, sf_dir))
+
+
+def g35_metric_leaderboards(spark, sf_dir):
+    """The ten documents that lead by each metric of the similarity graph."""
+    links = _links(spark, sf_dir)
+    degree = centrality.sides(links).groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    metrics = {"degree": degree, "betweenness": centrality.path_metrics(links), "pagerank": centrality.pagerank(links), "eigenvector": centrality.eigenvector(links)}
+    return centrality.leaderboards({k: rows.select(rows.columns[0], F.round(rows.columns[1], 6).alias("value")) for k, rows in metrics.items()})
+
+
 def g18_pagerank(spark, sf_dir):
     return centrality.pagerank(_links(spark, sf_dir))
 
@@ -80,6 +92,16 @@ def g19_louvain(spark, sf_dir):
     return communities.louvain(_links(spark, sf_dir), shared_folder(spark))
 
 
+def g19_greedy(spark, sf_dir):
+    return communities.greedy(_links(spark, sf_dir), shared_folder(spark))
+
+
+def e3_recognised_entities(spark, sf_dir):
+    """Persons and places of the captions by a recogniser of two patterns; any other is plugged in alike."""
+    found = recognition.patterns({"PERSON": r"PHOTOGRAPHER +([^\n]+)", "GPE": r"  Location +([^\n]+)"})
+    return recognition.entities(_sql(spark, sf_dir, "SELECT file_path, text FROM captions"), found)
+
+
 def x5_phonetic_codes(spark, sf_dir):
     """(variant, first, second): codes of each form of a name, joined by a space."""
     d = Spark()
@@ -118,9 +140,13 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, e5_phonetic_candidates, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, e5_phonetic_candidates, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities)}
 
+_CHECK = Check()
 SQL = {
+    "e3_recognised_entities": f"""SELECT file_path, kind, entity, count(*) AS occurrence_count FROM (SELECT file_path, 'name' AS kind, {names.clean_name(_CHECK, 'span')} AS entity FROM (SELECT file_path, {_CHECK.each(_CHECK.rx_groups('text', 'PHOTOGRAPHER +([^' + chr(92) + 'n]+)'))} AS span FROM captions) a
+        UNION ALL SELECT file_path, 'location', {names.clean_place(_CHECK, 'span')} FROM (SELECT file_path, {_CHECK.each(_CHECK.rx_groups('text', '  Location +([^' + chr(92) + 'n]+)'))} AS span FROM captions) b) t
+        WHERE entity <> '' AND CASE WHEN kind = 'name' THEN {names.valid_name(_CHECK, 'entity')} ELSE {names.valid_place(_CHECK, 'entity')} END GROUP BY file_path, kind, entity""",
     "s9_upsert": "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, round(greatest(a.similarity, b.similarity), 6) AS similarity, least(a.dist, b.dist) AS dist FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * CAST(0.9 AS DOUBLE) AS similarity, dist + 1 AS dist FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",
     "x3_hamming_columns": "SELECT v1, v2, CAST(len(list_filter(generate_series(1, least(length(v1), length(v2))), lambda i: substr(v1, i, 1) <> substr(v2, i, 1))) + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
     "g15_connected_components": "WITH RECURSIVE e AS (SELECT u, v FROM links UNION SELECT v, u FROM links), r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u) SELECT node, min(reached) AS component FROM r GROUP BY node",

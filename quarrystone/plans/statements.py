@@ -5,10 +5,17 @@ from __future__ import annotations
 from quarrystone.functions import dates as D
 from quarrystone.functions import names as N
 from quarrystone.functions import spelling as S
+from quarrystone.functions.mime import DEFAULT, ending, endings
 
 PERIODS = "VALUES (1, 'early', 1992, 1995), (2, 'middle', 1994, 1996), (3, 'late', 1996, 1999)"
 
 
+#: Quartiles and the ninetieth percentile of persistence; and the widest gap between persistences, with the one above it.
+QUARTILES = "SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY persistence) AS p90, percentile_cont(0.75) WITHIN GROUP (ORDER BY persistence) AS q3, percentile_cont(0.25) WITHIN GROUP (ORDER BY persistence) AS q1 FROM features"
+WIDEST = "SELECT gap, gap_threshold FROM (SELECT p AS gap_threshold, round(p - lead(p) OVER (ORDER BY p DESC), 6) AS gap FROM (SELECT DISTINCT round(persistence, 6) AS p FROM features) f) t WHERE gap IS NOT NULL ORDER BY gap DESC, gap_threshold DESC LIMIT 1"
+NEIGHBOURS = "SELECT node, count(*) AS k FROM (SELECT u AS node FROM links UNION ALL SELECT v FROM links) h GROUP BY node"
+
+
 def _corrected(d) -> str:
     """A document's text after its changes (word=replacement), one after the other in the order of words, in any case."""
     change = d.any_case("acc", "split_part(s, '=', 1)", "split_part(s, '=', 2)")
@@ -28,14 +35,20 @@ def _summary(d) -> str:
 
 STATEMENTS = {
     # sources and sinks
-    "s2_mime_types": lambda d: """SELECT file_name, CASE lower(substring_index_ext) WHEN 'txt' THEN 'text/plain' WHEN 'pdf' THEN 'application/pdf' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime
-        FROM (SELECT file_name, %s AS substring_index_ext FROM catalog UNION ALL SELECT url, %s FROM pages) t""" % (d.rx_get("file_name", "[.]([A-Za-z0-9]+)$"), d.rx_get("coalesce(url, '')", "[.]([A-Za-z0-9]+)$")),
+    "s2_mime_types": lambda d: f"""SELECT t.file_name, coalesce(m.kind, '{DEFAULT}') AS mime FROM (SELECT file_name, {ending(d, 'file_name')} AS ending FROM (SELECT file_name FROM catalog UNION ALL SELECT url FROM pages
+        UNION ALL SELECT replace(file_name, '.txt', s) FROM catalog CROSS JOIN (SELECT * FROM (VALUES ('.PDF'), ('.tar.gz'), ('.csv.bz2'), ('.svgz'), ('.unknown'), ('.gz')) AS v(s)) k) n) t LEFT JOIN ({endings()}) m ON t.ending = m.ending""",
     "s7_text_statistics": lambda d: f"SELECT path, CAST(length(text) AS BIGINT) AS text_length, CAST({d.size(d.rx_all('text', '[^ \\t\\n\\r\\x0B\\f]+'))} AS BIGINT) AS word_count FROM docs",
     "s8_truncated_text": lambda d: "SELECT path, CAST(length(substr(text, 1, 2000000)) AS BIGINT) AS kept, md5(substr(text, 1, 2000000)) AS digest FROM docs",
     "s11_network_export_rows": lambda d: f"SELECT u AS node, CAST(count(*) AS BIGINT) AS degree, {d.listagg('CAST(v AS STRING)', ',', 'v')} AS neighbours FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u",
     "s13_top_bars": lambda d: "SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 100",
     "s13_top_network": lambda d: """SELECT l.u, l.v, l.w FROM links l JOIN (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 500) t ON l.u = t.u ORDER BY l.w DESC, l.u, l.v LIMIT 5000""",
-    "s14_autocorrect_map": lambda d: "SELECT word, CAST(sum(occurrences) AS BIGINT) AS n FROM spelling WHERE confidence = 'HIGH' GROUP BY word ORDER BY 2 DESC, 1 LIMIT 30",
+    "s14_autocorrect_map": lambda d: "SELECT word, suggested_correction, CAST(sum(occurrences) AS BIGINT) AS n, levenshtein_distance FROM errors WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction, levenshtein_distance ORDER BY 3 DESC, 1 LIMIT 30",
+    "s14_report_sections": lambda d: """SELECT section, name, n FROM (SELECT 'distance' AS section, CAST(levenshtein_distance AS STRING) AS name, CAST(sum(occurrences) AS BIGINT) AS n FROM errors WHERE levenshtein_distance IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'confidence', confidence, CAST(sum(occurrences) AS BIGINT) FROM errors GROUP BY confidence UNION ALL SELECT 'pattern', ocr_error_pattern, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern
+        UNION ALL SELECT 'boundary', boundary_error_pattern, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE boundary_error_pattern IS NOT NULL GROUP BY boundary_error_pattern
+        UNION ALL SELECT 'language', detected_language, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE detected_language IS NOT NULL GROUP BY detected_language
+        UNION ALL SELECT 'kind', CASE WHEN is_ocr_fragment THEN 'fragment' WHEN is_abbreviation THEN 'abbreviation' ELSE 'error' END, CAST(sum(occurrences) AS BIGINT) FROM spelling GROUP BY 2) t""",
+    "s14_consistency": lambda d: "SELECT suggested_correction, count(DISTINCT word) AS variants, CAST(sum(occurrences) AS BIGINT) AS n FROM errors WHERE suggested_correction IS NOT NULL GROUP BY suggested_correction HAVING count(DISTINCT word) > 1",
     "s15_manual_aliases": lambda d: "SELECT * FROM aliases WHERE disambiguation_method = 'manual'",
     # filters and projections
     "f1_suffix_filter": lambda d: "SELECT path FROM docs WHERE endswith(path, '00_extracted.txt')" if type(d).__name__ == "Spark" else "SELECT path FROM docs WHERE ends_with(path, '00_extracted.txt')",
@@ -92,7 +105,8 @@ STATEMENTS = {
     "a16_distribution": lambda d: "SELECT round(avg(persistence), 6) AS mean, round(median(persistence), 6) AS median, round(stddev_pop(persistence), 6) AS std, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY persistence), 6) AS p90, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY persistence) - percentile_cont(0.25) WITHIN GROUP (ORDER BY persistence), 6) AS iqr FROM features",
     "a17_entropy": lambda d: "SELECT round(sum(-p * ln(p)), 6) AS entropy, round(sum(-p * ln(p)) / max(ln(n)), 6) AS normalised FROM (SELECT persistence / total AS p, n FROM features CROSS JOIN (SELECT sum(persistence) AS total, CAST(count(*) AS DOUBLE) AS n FROM features WHERE persistence > 0) c WHERE persistence > 0) t",
     "a18_zipf_fit": lambda d: "SELECT round(avg(abs(n - f1 / rk) / (f1 / rk)), 6) AS deviation FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(row_number() OVER (ORDER BY n DESC, word) AS DOUBLE) AS rk, CAST(max(n) OVER () AS DOUBLE) AS f1 FROM (SELECT word, count(*) AS n FROM words GROUP BY word ORDER BY 2 DESC, 1 LIMIT 100) a) b",
-    "a19_error_tfidf": lambda d: "SELECT word, round(tf * ln(n / df), 6) AS score FROM (SELECT word, CAST(sum(occurrences) AS DOUBLE) AS tf, CAST(count(DISTINCT file_path) AS DOUBLE) AS df FROM spelling GROUP BY word) s CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents) c WHERE df > 1 ORDER BY score DESC, word LIMIT 100",
+    "a19_error_tfidf": lambda d: "SELECT word, round(tf * ln(n / df), 6) AS score FROM (SELECT word, CAST(sum(occurrences) AS DOUBLE) AS tf, CAST(count(DISTINCT file_path) AS DOUBLE) AS df FROM spelling WHERE NOT is_abbreviation GROUP BY word) s CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents) c WHERE df > 1 ORDER BY score DESC, word LIMIT 100",
+    "a19_rare_terms": lambda d: "SELECT word, count(DISTINCT file_path) AS doc_freq FROM spelling WHERE NOT is_abbreviation GROUP BY word HAVING count(DISTINCT file_path) < 10 ORDER BY 2, 1 LIMIT 50",
     "a20_size_histogram": lambda d: "SELECT CASE WHEN text_length < 1000 THEN 'small' WHEN text_length < 5000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n FROM catalog GROUP BY 1",
     # windows
     "w1_occurrence_number": lambda d: "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) AS n FROM events",
@@ -155,9 +169,16 @@ STATEMENTS = {
     "g4_term_cooccurrence": lambda d: "SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM tdm a JOIN tdm b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2",
     "g5_tfidf": lambda d: "SELECT doc_id, term, round(w, 6) AS w FROM tfidf",
     "g6_similar_pairs": lambda d: "SELECT * FROM pairs",
-    "g11_significant_features": lambda d: "SELECT feature, persistence >= p90 AS top, persistence >= q3 + 1.5 * (q3 - q1) AS outlier FROM features CROSS JOIN (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY persistence) AS p90, percentile_cont(0.75) WITHIN GROUP (ORDER BY persistence) AS q3, percentile_cont(0.25) WITHIN GROUP (ORDER BY persistence) AS q1 FROM features) s",
+    "g11_significant_features": lambda d: f"""SELECT feature, persistence, concat_ws(',', CASE WHEN persistence >= p90 THEN 'above_90th_percentile' END, CASE WHEN persistence >= q3 + 1.5 * (q3 - q1) THEN 'iqr_outlier' END, CASE WHEN round(persistence, 6) >= gap_threshold THEN 'above_gap' END) AS reasons
+        FROM features CROSS JOIN ({QUARTILES}) s LEFT JOIN ({WIDEST}) w ON true WHERE persistence >= p90 OR persistence >= q3 + 1.5 * (q3 - q1) OR round(persistence, 6) >= gap_threshold""",
+    "g11_persistence_statistics": lambda d: f"""SELECT n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, low, high, round(p90, 6) AS p90, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 + 1.5 * (q3 - q1), 6) AS outlier_threshold, gap, gap_threshold, above, round(entropy, 5) AS entropy,
+        round(CASE WHEN positive > 1 THEN entropy / ln(CAST(positive AS DOUBLE)) ELSE 0 END, 5) AS normalized_entropy FROM (SELECT count(*) AS n, avg(persistence) AS mean, stddev_pop(persistence) AS deviation, round(min(persistence), 6) AS low, round(max(persistence), 6) AS high FROM features) b CROSS JOIN ({QUARTILES}) s
+        CROSS JOIN (SELECT count(*) AS positive, -sum(persistence / total * ln(persistence / total)) AS entropy FROM features CROSS JOIN (SELECT sum(persistence) AS total FROM features) t WHERE persistence > 0) e
+        LEFT JOIN (SELECT gap, gap_threshold, count(*) AS above FROM features JOIN ({WIDEST}) w ON round(persistence, 6) >= gap_threshold GROUP BY gap, gap_threshold) g ON true""",
     "g12_persistent_features": lambda d: "SELECT feature, persistence, CAST(row_number() OVER (ORDER BY persistence DESC, feature) AS BIGINT) AS rank FROM (SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 20) t",
     "g16_degree_centrality": lambda d: "SELECT n.entity_id, coalesce(x.degree, 0) AS degree, round(coalesce(x.degree, 0) / CAST(c.n - 1 AS DOUBLE), 6) AS centrality FROM entities n LEFT JOIN (SELECT u, count(*) AS degree FROM sides GROUP BY u) x ON n.entity_id = x.u CROSS JOIN (SELECT count(*) AS n FROM entities) c",
+    "g16_component_degree": lambda d: """SELECT m.node, m.community AS component, coalesce(x.degree, 0) AS degree, round(CASE WHEN s.n > 1 THEN coalesce(x.degree, 0) / CAST(s.n - 1 AS DOUBLE) ELSE 0 END, 6) AS centrality FROM members m JOIN (SELECT community, count(*) AS n FROM members GROUP BY community) s ON m.community = s.community
+        LEFT JOIN (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM links WHERE w >= 0.5 UNION ALL SELECT v FROM links WHERE w >= 0.5) e GROUP BY node) x ON m.node = x.node""",
     "g20_modularity": lambda d: "SELECT round(sum(coalesce(inside, 0) / m - (k / (2 * m)) * (k / (2 * m))), 6) AS modularity FROM (SELECT a.community, sum(CASE WHEN a.community = b.community THEN l.w ELSE 0 END) / 2 AS inside, sum(l.w) AS k FROM (SELECT u, v, w FROM links UNION ALL SELECT v, u, w FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community) c CROSS JOIN (SELECT sum(w) AS m FROM links l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node) t",
     "g21_community_edges": lambda d: """SELECT s.community, s.nodes, coalesce(e.internal, 0) AS internal, coalesce(e.external, 0) AS external, round(CASE WHEN s.nodes > 1 THEN coalesce(e.internal, 0) / (s.nodes * (s.nodes - 1) / CAST(2 AS DOUBLE)) ELSE 0 END, 6) AS density FROM (SELECT community, count(*) AS nodes FROM members GROUP BY community) s
         LEFT JOIN (SELECT a.community, count(*) FILTER (WHERE a.community = b.community AND l.u < l.v) AS internal, count(*) FILTER (WHERE a.community <> b.community) AS external FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members a ON l.u = a.node JOIN members b ON l.v = b.node GROUP BY a.community) e ON s.community = e.community""",
@@ -173,6 +194,10 @@ STATEMENTS = {
     "g29_entity_mentions": lambda d: "SELECT e.entity_id, m.file_path FROM entities e JOIN mentions m ON e.name = m.name_string",
     "g31_invalid_relations": lambda d: "SELECT r.src, r.tgt FROM relations r LEFT ANTI JOIN entities e ON r.src = e.entity_id",
     "g33_density": lambda d: "SELECT round(2.0 * e.n / CAST(v.n * (v.n - 1) AS DOUBLE), 8) AS density FROM (SELECT count(*) AS n FROM edges) e CROSS JOIN (SELECT count(*) AS n FROM entities) v",
+    "g33_structural_holes": lambda d: f"""SELECT k.node, k.k AS degree, round(x.constraint_sum / (k.k * k.k), 6) AS constraint_score, round(k.k - x.ties / CAST(k.k AS DOUBLE), 6) AS effective_size FROM ({NEIGHBOURS}) k
+        JOIN (SELECT e.i, sum((1 + coalesce(c.s, 0)) * (1 + coalesce(c.s, 0))) AS constraint_sum, sum(coalesce(c.n, 0)) AS ties FROM (SELECT u AS i, v AS j FROM links UNION ALL SELECT v, u FROM links) e
+        LEFT JOIN (SELECT t.i, t.j, count(*) AS n, sum(1 / CAST(k.k AS DOUBLE)) AS s FROM (SELECT CASE o WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN a WHEN 3 THEN c WHEN 4 THEN b ELSE c END AS i, CASE o WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN c WHEN 3 THEN a WHEN 4 THEN c ELSE b END AS j, CASE WHEN o < 2 THEN c WHEN o < 4 THEN b ELSE a END AS q
+        FROM (SELECT x.u AS a, x.v AS b, y.v AS c FROM links x JOIN links y ON x.v = y.u JOIN links z ON z.u = x.u AND z.v = y.v) r CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) AS f(o)) g) t JOIN ({NEIGHBOURS}) k ON t.q = k.node GROUP BY t.i, t.j) c ON e.i = c.i AND e.j = c.j GROUP BY e.i) x ON k.node = x.i""",
     "g34_network_statistics": lambda d: "SELECT 'entity' AS what, kind AS name, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT 'relation', type, count(*) FROM relations GROUP BY type UNION ALL SELECT 'degree', CAST(degree AS STRING), count(*) FROM relations GROUP BY degree",
     "g35_leaderboard": lambda d: """SELECT metric, rank, node, value FROM (SELECT metric, node, value, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, node) AS BIGINT) AS rank FROM (SELECT 'degree' AS metric, u AS node, CAST(count(*) AS BIGINT) AS value FROM sides GROUP BY u
         UNION ALL SELECT 'weight', u, CAST(sum(weight) AS BIGINT) FROM sides GROUP BY u UNION ALL SELECT 'strongest', u, CAST(max(weight) AS BIGINT) FROM sides GROUP BY u) m) t WHERE rank <= 10""",

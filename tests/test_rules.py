@@ -1,7 +1,10 @@
 """Rules for names and words against values worked out by hand."""
 
+import mimetypes
+
 import pytest
 
+from quarrystone.functions import mime
 from quarrystone.functions import names as N
 from quarrystone.functions import spelling as S
 from quarrystone.functions.dialect import Spark
@@ -120,3 +123,11 @@ def test_without_suffix(spark, x, plain):
 def test_ladder(spark):
     got = [both(spark, lambda d: f"{S.ladder_score('n')} || ' ' || {S.ladder_level(S.ladder_score('n'))}", n=n) for n in (0, 1, 2, 3, 4)]
     assert got == ["100 HIGH", "40 MEDIUM", "30 LOW", "20 LOW", None]
+
+
+def test_mime_types(spark):
+    names = ["a.txt", "a.PDF", "b.tar.gz", "c.csv.bz2", "d.svgz", "e.tgz", "f.gz", "g", "", ".txt", "dir.html/file", "x/y.json", "z.nothing", "two.dots.html"]
+    spark.createDataFrame([(n,) for n in [*names, None]], "n string").createOrReplaceTempView("mime_names")
+    found = spark.sql(f"SELECT n, coalesce(kind, '{mime.DEFAULT}') AS kind FROM (SELECT n, {mime.ending(Spark(), 'n')} AS ending FROM mime_names) t LEFT JOIN ({mime.endings()}) m USING (ending)")
+    known = mimetypes.MimeTypes(filenames=())
+    assert {r.n: r.kind for r in found.collect()} == {n: known.guess_type(n)[0] or mime.DEFAULT for n in names} | {None: mime.DEFAULT}

@@ -47,6 +47,7 @@ SEEN, HOT, HOT_KEPT = 512, 50_000, 1 << 18
 def _suffix_ranks(rank: np.ndarray, at: np.ndarray, stop: np.ndarray, spot: np.ndarray) -> np.ndarray:
     """Ranks of the seed sequences that begin at places ``at`` (and end before ``stop``), by prefix doubling; ``spot``: where
     in ``at`` a place is, or -1."""
+    rank = np.unique(rank, return_inverse=True)[1]  # below len(at), as the pairs below need
     distinct, step = 0, 1
     while True:
         after = at + step

@@ -228,6 +228,28 @@ def test_greedy_factors_take_the_longest_source():
     assert got[:3] == [(2, 0, 53, 1), (3, 0, 55, 2), (3, 7, 52, 1)] and [g[:3] for g in got[3:]] == [(3, 10, 50)]  # one seed: either source
 
 
+def test_factors_cover_all_that_earlier_documents_hold():
+    """Few repeated seeds among many that stand once, in runs of any length."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = rng.integers(1, 60, 30)
+        seeds = rng.integers(0, 1 << 40, int(n.sum())).astype(np.uint64)
+        for _ in range(12):
+            a, b, k = rng.integers(0, len(seeds) - 8), rng.integers(0, len(seeds) - 8), rng.integers(1, 8)
+            seeds[b : b + k] = seeds[a : a + k]
+        docs = np.sort(rng.integers(0, 20, 30))
+        block = substring_dedup.Block(docs, np.arange(30), np.zeros(30, np.int64), n, seeds)
+        f, found = block.factors(1), set()
+        for row, start, length in zip(f["row"], f["start"], f["length"]):
+            assert length >= 1
+            found |= {(int(row), int(start + x)) for x in range(length)}
+        first: dict = {}
+        places = [(r, x, seeds[int(n[:r].sum()) + x]) for r in range(30) for x in range(n[r])]
+        for r, _, seed in places:
+            first[seed] = min(first.get(seed, 99), docs[r])
+        assert found == {(r, x) for r, x, seed in places if first[seed] < docs[r]}
+
+
 @pytest.mark.parametrize("k,num,den,chunk", [(4, 85, 100, 10**6), (5, 80, 100, 2000)])
 def test_ngram_join(docs, empty, k, num, den, chunk):
     sets = {}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import ann, archives, exact_dedup, html_text, langid, mixing, ngram_join, packing, substring_dedup, token_files
+from quarrystone.llm import (
+    ann, archives, clustering, exact_dedup, html_text, langid, mixing, ngram_join, packing, substring_dedup, token_files, toxicity, whitening,
+)
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +19,9 @@ QUERIES = {
         substring_dedup.op8_substring_dedup,
         ngram_join.op9_ngram_jaccard_join,
         langid.op10_language_id,
+        whitening.op11_embedding_whitening,
+        clustering.op12_centroid_clustering,
+        toxicity.op13_toxicity,
     )
 }
 
@@ -26,4 +31,5 @@ ORACLE_SQL = {
     "op5_source_mixing": mixing.OP5_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
+    "op12_centroid_clustering": clustering.OP12_SQL,
 }

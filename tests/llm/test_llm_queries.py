@@ -139,3 +139,31 @@ def test_pipeline_run(spark, checker):
     for r in pieces:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 2048
+
+
+def test_whitening_query(spark, checker):
+    x = np.array([r[0] for r in checker.sql("select embedding from embeddings order by vec_id").fetchall()], float)
+    ids = [r[0] for r in checker.sql("select vec_id from embeddings order by vec_id").fetchall()]
+    x = np.floor(1024 * x).astype(np.int64) + 100000
+    n, s = len(x), x.sum(axis=0)
+    y = x - s / n
+    e, w = np.linalg.eigh(y.T @ y / n)
+    white = y @ w[:, ::-1][:, :8] / np.sqrt(e[::-1][:8])
+    deviation = ((n * x - s) ** 2).sum(axis=1)
+    place = {i: k for k, i in enumerate(ids)}
+    found = registry.QUERIES["op11_embedding_whitening"](spark, SF).collect()
+    got = np.zeros((n, 8))
+    for r in found:
+        got[place[r.vec_id], r.component - 1] = r.whitened
+        assert r.n == n and r.deviation == deviation[place[r.vec_id]] and r.identity_error < 1e-9
+        assert r.explained == pytest.approx(e[::-1][r.component - 1] / e.sum(), rel=1e-9)
+    assert len(found) == 8 * n and np.allclose(got * np.sign((got * white).sum(axis=0)), white, atol=1e-7)
+
+
+def test_toxicity_query(spark, checker):
+    toxic = dict(checker.sql("select doc_id, toxic from labels").fetchall())
+    found = registry.QUERIES["op13_toxicity"](spark, SF).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in checker.sql("select doc_id from documents").fetchall())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in found)
+    told = [r.predicted == toxic[r.doc_id] for r in found if r.doc_id in toxic]
+    assert sum(told) >= 0.95 * len(told)

@@ -94,11 +94,14 @@ class Spark:
     def sorted_list(self, x):
         return f"sort_array(collect_list({x}))"
 
+    def distinct_list(self, x):
+        return f"sort_array(collect_set({x}))"
+
     def strings(self):
         return "CAST(array() AS ARRAY<STRING>)"
 
     def any_case(self, x, word, to):
-        return f"regexp_replace({x}, '(?i)' || {word}, {to})"
+        return f"regexp_replace({x}, '(?i)\\\\b\\\\Q' || {word} || '\\\\E\\\\b', replace(replace({to}, '{chr(92)*2}', '{chr(92)*4}'), '$', '{chr(92)*2}$'))"
 
 
 class Check(Spark):
@@ -192,8 +195,11 @@ class Check(Spark):
     def sorted_list(self, x):
         return f"list_sort(list({x}))"
 
+    def distinct_list(self, x):
+        return f"list_sort(list(DISTINCT {x}))"
+
     def strings(self):
         return "[]::VARCHAR[]"
 
     def any_case(self, x, word, to):
-        return f"regexp_replace({x}, '(?i)' || {word}, {to}, 'g')"
+        return f"regexp_replace({x}, '(?i){chr(92)}b{chr(92)}Q' || {word} || '{chr(92)}E{chr(92)}b', replace({to}, '{chr(92)}', '{chr(92)*2}'), 'g')"

@@ -33,8 +33,18 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edits between the strings of each pair."""
+    return _distances(a, b, False)
+
+
 def osa_distances(a: list[str], b: list[str]) -> np.ndarray:
-    """``osa_distance`` of each pair: one table for all pairs, filled cell by cell across the batch."""
+    """``osa_distance`` of each pair."""
+    return _distances(a, b, True)
+
+
+def _distances(a: list[str], b: list[str], swaps: bool) -> np.ndarray:
+    """One table for all pairs, filled cell by cell across the batch."""
     x, n = _codes(a)
     y, m = _codes(b)
     rows = [np.tile(np.arange(y.shape[1] + 1), (len(a), 1))]
@@ -44,7 +54,7 @@ def osa_distances(a: list[str], b: list[str]) -> np.ndarray:
         row[:, 0] = i
         for j in range(1, y.shape[1] + 1):
             best = np.minimum(np.minimum(rows[-1][:, j], row[:, j - 1]) + 1, rows[-1][:, j - 1] + (x[:, i - 1] != y[:, j - 1]))
-            if i > 1 and j > 1:
+            if swaps and i > 1 and j > 1:
                 swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
                 best = np.where(swapped, np.minimum(best, rows[-2][:, j - 2] + 1), best)
             row[:, j] = best

@@ -40,6 +40,7 @@ STOP_WORDS = (
 ).split()
 # Fixed values.
 PLACE_STOP_WORDS = ["Esq", "LLC", "P.C.", "Inc", "Corp", "Ltd", "INTL", "iPhone", "Assistant United States", "Conn", "Conn."]
+ORGANISATION = r"(?i)(LLC|Inc|Corp|Company|Firm|Partners|LLP|P\.?C\.?|Foundation|Trust)"
 PLACE_CODES = "NY US UK CA FL TX DC".split()
 #: A word with a letter beyond A-Z, a digit or a low line; blanked before names are sought, so that bounds of words are plain.
 MIXED_WORD = r"[\p{L}\p{N}_]*([\p{N}_]|[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}])[\p{L}\p{N}_]*"

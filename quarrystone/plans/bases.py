@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from quarrystone.functions import names as N
 from quarrystone.functions import spelling as S
+from quarrystone.functions.phonetic import double_metaphone
 
 
 def _person(name: str) -> str:
@@ -14,6 +16,35 @@ def _person(name: str) -> str:
     return f"(upper(substr({t}, 5, 1)) || substr({t}, 6, 2) || ' ' || upper(substr({t}, 8, 1)) || substr({t}, 9, 1) || 'son')"
 
 
+#: Letters of which the engine's person names are made, and the ending of their last names.
+LETTERS, LAST = "abcdefghij", "son"
+
+
+@cache
+def _codes_of_tokens() -> str:
+    """Rows (token, code, other code) of every token that a person's name may have: the check's engine has no such function."""
+    pairs = [a + b for a in LETTERS for b in LETTERS]
+    tokens = [*LETTERS, *(p + LAST for p in pairs), *(p + c for p in pairs for c in LETTERS)]
+    return ", ".join(f"('{t}', '{a}', '{b if b != a else ''}')" for t in tokens for a, b in [double_metaphone(t)])
+
+
+def _phones(d) -> str:
+    """Each name with the codes of its sound. Spark's are made by an operator; this statement serves the checking engine."""
+    return f"""SELECT f.name, f.plain, coalesce(string_agg(c.a, ' ' ORDER BY f.i) FILTER (WHERE c.a <> ''), '') AS sound, coalesce(string_agg(c.b, ' ' ORDER BY f.i) FILTER (WHERE c.b <> ''), '') AS other
+        FROM (SELECT name, plain, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS i FROM forms) f JOIN (VALUES {_codes_of_tokens()}) AS c(token, a, b) ON f.token = c.token GROUP BY f.name, f.plain"""
+
+
+def _initialled(d) -> str:
+    """Names of two tokens or more: their number, last one, the first letters of the others, and whether the first is a letter."""
+    first = d.apply(d.seq(1, d.size("toks") + " - 1"), "i", f"substr({d.at('toks', 'i')}, 1, 1)")
+    return f"SELECT name, {d.size('toks')} AS count, {d.at('toks', d.size('toks'))} AS last, {d.join(first, ' ')} AS initials, length({d.at('toks', 1)}) = 1 AS initialled FROM (SELECT * FROM forms WHERE {d.size('toks')} >= 2) t"
+
+
+def _met() -> str:
+    """The organisations of the letters that name each person."""
+    return "SELECT DISTINCT w.name, o.org FROM written w JOIN organisations o ON w.letter = o.letter"
+
+
 BASES = {
     "docs": lambda d: f"""SELECT doc_id, coalesce(text, '') AS text, lang, source,
         'VOL' || substr(source, 4) || '/IMAGES/' || CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS STRING) || '/DOC' || lpad(CAST(doc_id AS STRING), 8, '0') || '_extracted.txt' AS path
@@ -91,8 +122,32 @@ BASES = {
         CASE WHEN l_quantity >= 50 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "edges": lambda d: "SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS weight FROM relations GROUP BY 1, 2",
     "sides": lambda d: "SELECT u, v, weight FROM edges UNION ALL SELECT v, u, weight FROM edges",
-    "queue": lambda d: """SELECT a.name AS v1, b.name AS v2, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist, round(1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE), 6) AS similarity
-        FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 5""",
+    # names as letters have them, and the pairs that may be one person: by sound, by initials and by the organisations met
+    "written": lambda d: f"""SELECT letter, file_path, day, CASE WHEN letter % 5 = 0 THEN substr(p, 1, 1) || '. ' || substr(p, 5) ELSE p END AS name FROM (SELECT o_orderkey AS letter, {d.days('o_orderdate')} AS day,
+        'W' || CAST(CAST(floor({d.days('o_orderdate')} / 7.0) AS BIGINT) AS STRING) || '-' || substr(o_orderpriority, 1, 1) AS file_path, {_person('c_name')} AS p FROM orders JOIN customer ON o_custkey = c_custkey) t""",
+    "forms": lambda d: f"SELECT name, n, first_day, last_day, files, toks, {d.join('toks', ' ')} AS plain FROM (SELECT name, count(*) AS n, min(day) AS first_day, max(day) AS last_day, {d.distinct_list('file_path')} AS files, {N.normalised_tokens(d, 'name')} AS toks FROM written GROUP BY name) t",
+    "organisations": lambda d: f"SELECT letter, org FROM (SELECT l_orderkey AS letter, 'Company ' || CAST(min(l_partkey) AS STRING) AS org FROM lineitem GROUP BY l_orderkey) t WHERE length(org) > 3 AND {d.rx('org', N.ORGANISATION)}",
+    "phones": _phones,
+    "by_sound": lambda d: f"""SELECT v1, v2, CASE WHEN sizes = 0 THEN CAST(0 AS DOUBLE) WHEN one = two THEN CAST(1 AS DOUBLE) ELSE {d.size(d.keep(d.seq(1, f"least({d.size('a')}, {d.size('b')})"), 'i', f"{d.at('a', 'i')} = {d.at('b', 'i')}"))} / CAST(greatest({d.size('a')}, {d.size('b')}) AS DOUBLE) END AS score
+        FROM (SELECT v1, v2, one, two, least(length(one), length(two)) AS sizes, {d.split('one', ' ')} AS a, {d.split('two', ' ')} AS b FROM (SELECT DISTINCT x.name AS v1, y.name AS v2, x.sound AS one, y.sound AS two FROM (SELECT name, plain, sound, sound AS code FROM phones WHERE sound <> '' UNION SELECT name, plain, sound, other FROM phones WHERE other <> '') x
+        JOIN (SELECT name, plain, sound, sound AS code FROM phones WHERE sound <> '' UNION SELECT name, plain, sound, other FROM phones WHERE other <> '') y ON x.code = y.code AND x.name < y.name WHERE x.plain <> y.plain) p) q""",
+    "by_initials": lambda d: f"SELECT x.name AS v1, y.name AS v2, CAST(0.9 AS DOUBLE) AS score FROM ({_initialled(d)}) x JOIN ({_initialled(d)}) y ON x.count = y.count AND x.last = y.last AND x.initials = y.initials WHERE x.initialled AND NOT y.initialled",
+    "by_organisation": lambda d: f"""SELECT v1, v2, shared / CAST(m.n + o.n - shared AS DOUBLE) AS score FROM (SELECT x.name AS v1, y.name AS v2, count(*) AS shared FROM ({_met()}) x JOIN ({_met()}) y ON x.org = y.org AND x.name < y.name GROUP BY x.name, y.name) p
+        JOIN (SELECT name, count(*) AS n FROM ({_met()}) z GROUP BY name) m ON v1 = m.name JOIN (SELECT name, count(*) AS n FROM ({_met()}) z GROUP BY name) o ON v2 = o.name
+        JOIN forms f ON v1 = f.name JOIN forms g ON v2 = g.name WHERE levenshtein(f.plain, g.plain) <= 5""",
+    "known_names": lambda d: "SELECT k, min(canonical_name) AS canonical_name FROM (SELECT lower(alias_name) AS k, canonical_name FROM aliases UNION ALL SELECT lower(canonical_name), canonical_name FROM aliases) t GROUP BY k",
+    "all_names": lambda d: f"SELECT name, lower({N.without_artifacts(d, 'name')}) AS k, {N.normalised(d, N.without_artifacts(d, 'name'))} AS plain FROM (SELECT name FROM forms UNION SELECT variant FROM variants) t",
+    "canonical_names": lambda d: f"SELECT canonical_name, {N.normalised(d, 'canonical_name')} AS plain FROM (SELECT DISTINCT canonical_name FROM aliases) t",
+    # the known name of each, or else the nearest; an operator's work, the statement compares all with all for the check
+    "anchors": lambda d: f"""SELECT n.name, coalesce(k.canonical_name, m.canonical_name) AS canonical_name, CASE WHEN k.k IS NOT NULL THEN 'direct' ELSE 'fuzzy' END AS how, CASE WHEN k.k IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE m.s END AS confidence FROM all_names n LEFT JOIN known_names k ON n.k = k.k
+        LEFT JOIN (SELECT plain, canonical_name, s FROM (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY s DESC, canonical_name) AS rn FROM (SELECT p.plain, c.canonical_name, {N.edit_similarity('p.plain', 'c.plain')} AS s FROM (SELECT DISTINCT plain FROM all_names) p CROSS JOIN canonical_names c) a) b WHERE rn = 1) m ON n.plain = m.plain""",
+    "queue": lambda d: f"""SELECT v1, v2, trim(CASE WHEN phonetic IS NULL THEN '' ELSE 'phonetic ' END || CASE WHEN initials IS NULL THEN '' ELSE 'initials ' END || CASE WHEN context IS NULL THEN '' ELSE 'context' END) AS methods, phonetic, initials, context, shared, score, 'LOW' AS level,
+        CAST(levenshtein(v1, v2) AS BIGINT) AS dist, round({N.edit_similarity('v1', 'v2')}, 6) AS similarity FROM (
+        SELECT CASE WHEN ahead THEN c1 ELSE c2 END AS v1, CASE WHEN ahead THEN v2 ELSE v1 END AS v2, max(phonetic) AS phonetic, max(initials) AS initials, max(context) AS context, max(shared) AS shared, max(round(score * confidence, 6)) AS score FROM (
+        SELECT c.v1, c.v2, c.score, CASE WHEN method = 1 THEN score END AS phonetic, CASE WHEN method = 2 THEN score END AS initials, CASE WHEN method = 3 THEN round(score, 6) END AS context, a.canonical_name AS c1, b.canonical_name AS c2,
+        CASE WHEN a.how = 'direct' THEN b.how <> 'direct' OR a.canonical_name < b.canonical_name ELSE b.how <> 'direct' AND a.confidence >= b.confidence END AS ahead, greatest(a.confidence, b.confidence) AS confidence, CAST({d.size(d.inter('f.files', 'g.files'))} AS BIGINT) AS shared
+        FROM (SELECT 1 AS method, v1, v2, score FROM by_sound UNION ALL SELECT 2, v1, v2, score FROM by_initials UNION ALL SELECT 3, v1, v2, score FROM by_organisation) c
+        JOIN anchors a ON c.v1 = a.name JOIN anchors b ON c.v2 = b.name JOIN forms f ON c.v1 = f.name JOIN forms g ON c.v2 = g.name) s GROUP BY 1, 2) q""",
     "features": lambda d: "SELECT doc_id_1 * 10000000 + doc_id_2 AS feature, 1.0 - cosine_similarity AS persistence FROM pairs",
     "members": lambda d: """SELECT doc_id AS node, coalesce(c.community, doc_id) AS community FROM docs LEFT JOIN (WITH RECURSIVE strong AS (SELECT u, v FROM links WHERE w >= 0.5 UNION SELECT v, u FROM links WHERE w >= 0.5),
         way AS (SELECT u AS node, u AS reached FROM strong UNION SELECT way.node, strong.v FROM way JOIN strong ON way.reached = strong.u) SELECT node, min(reached) AS community FROM way GROUP BY node) c ON doc_id = c.node""",

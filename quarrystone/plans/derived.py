@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.dialect import Spark
+from quarrystone.functions.phonetic import composite_codes
 from quarrystone.operators.components import connected_components
+from quarrystone.operators.nearest import nearest
 from quarrystone.operators.scratch import passing, shared_folder
 from quarrystone.plans.bases import BASES, named, with_bases
 from quarrystone.sources.tables import fingerprint, register
 
 #: Derived tables that cost more to make than to read.
-STORED = tuple("catalog tokens nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges queue members".split())
+STORED = tuple("catalog tokens nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
 #: Queries whose result is a derived table: they make it anew.
 OWN = {
     "e1_extracted_names": ("names",), "e2_extracted_locations": ("places",), "g2_term_document_matrix": ("tdm",), "g5_tfidf": ("tfidf",), "g6_similar_pairs": ("pairs",), "v1_document_quality": ("quality",),
-    "v4_person_cooccurrence": ("cooccurrence",), "x24_foreign_words": ("foreign_words",), "x27_spell_corrections": ("corrections",), "x4_edit_similarity": ("queue",), "g25_entity_graph": ("relations",), "o4_heaviest_pairs": ("pairs",),
+    "v4_person_cooccurrence": ("cooccurrence",), "x24_foreign_words": ("foreign_words",), "x27_spell_corrections": ("corrections",), "e11_queue_merge": ("queue",), "e5_phonetic_candidates": ("by_sound",), "e7_context_candidates": ("by_organisation",), "g25_entity_graph": ("relations",), "o4_heaviest_pairs": ("pairs",),
 }
 _made: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
@@ -35,8 +37,24 @@ def _members(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
+def _phones(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(with_bases(Spark(), "SELECT name, plain FROM forms", STORED)).withColumn("c", composite_codes("plain")).select("name", "plain", "c.sound", "c.other")
+
+
+def _anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """Each name with its canonical one: the known one, or else the nearest of all by the normalised form."""
+    known = "SELECT n.name, n.plain, k.canonical_name FROM all_names n LEFT JOIN known_names k ON n.k = k.k"
+    names = spark.sql(with_bases(Spark(), known, STORED))
+    names.write.parquet(f"{folder}/names-to-anchor-{(part := uuid.uuid4().hex)}")
+    names = spark.read.parquet(f"{folder}/names-to-anchor-{part}")
+    targets = spark.sql(with_bases(Spark(), "SELECT canonical_name, plain FROM canonical_names", STORED))
+    far = names.where("canonical_name IS NULL").drop("canonical_name")
+    found = far.join(nearest(far, targets, "plain", "canonical_name"), "plain", "left").select("name", "canonical_name", F.lit("fuzzy").alias("how"), F.col("likeness").alias("confidence"))
+    return names.where("canonical_name IS NOT NULL").select("name", "canonical_name", F.lit("direct").alias("how"), F.lit(1.0).alias("confidence")).unionByName(found)
+
+
 #: Derived tables made by an operator; their statement serves the checking engine.
-MADE = {"members": _members}
+MADE = {"members": _members, "phones": _phones, "anchors": _anchors}
 
 
 def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name: str) -> None:

@@ -9,7 +9,7 @@ from quarrystone.functions.dialect import Check, Spark
 from quarrystone.functions import names, recognition
 from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
 from quarrystone.functions.openers import opener
-from quarrystone.functions.phonetic import codes, likeness
+from quarrystone.functions.phonetic import codes
 from quarrystone.operators import centrality, communities, cycles, thresholds, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import shared_folder
@@ -109,20 +109,6 @@ def x5_phonetic_codes(spark, sf_dir):
     return rows.withColumn("c", codes("plain")).select("variant", F.array_join("c.first", " ").alias("first"), F.array_join("c.second", " ").alias("second"))
 
 
-def e5_phonetic_candidates(spark, sf_dir):
-    """(v1, v2, score): pairs of different normalised names with a token's code in common, in either coding, and their likeness.
-
-    Names are distinct before they are paired, and a pair is scored once, however many codes it shares."""
-    d = Spark()
-    rows = _sql(spark, sf_dir, f"SELECT DISTINCT {names.normalised(d, 'name')} AS plain FROM persons").withColumn("c", codes("plain"))
-    token = F.explode(F.array_distinct(F.concat("c.first", "c.second"))).alias("code")
-    coded = rows.select("plain", F.array_join("c.first", " ").alias("first"), token).where("code <> ''")
-    a, b = coded.alias("a"), coded.alias("b")
-    met = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.plain") < F.col("b.plain")))
-    pairs = met.select(F.col("a.plain").alias("v1"), F.col("b.plain").alias("v2"), F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct()
-    return pairs.select("v1", "v2", likeness(F.split("x", " "), F.split("y", " ")).alias("score"))
-
-
 def x32_openers(spark, sf_dir):
     return _sql(spark, sf_dir, "SELECT doc_id, text FROM docs").select("doc_id", opener(F.trim("text")).alias("opener"))
 
@@ -140,7 +126,7 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, e5_phonetic_candidates, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities)}
 
 _CHECK = Check()
 SQL = {

@@ -26,17 +26,14 @@ def _forms(d) -> str:
 
 
 def _candidates(d) -> str:
-    """The queue with every signal: edits, initials, shared contexts, times and networks."""
+    """The queue with every signal: edits, sounds, initials, shared folders, times and networks."""
     a, b = N.normalised(d, "q.v1"), N.normalised(d, "q.v2")
-    return f"""(SELECT q.v1, q.v2, {N.edit_similarity(a, b)} AS edit, CASE WHEN {N.initials_match(d, N.normalised_tokens(d, 'q.v1'), N.normalised_tokens(d, 'q.v2'))} THEN CAST(0.9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS initials,
-        CAST(coalesce(s.shared, 0) AS DOUBLE) AS shared, coalesce(t.overlap, true) AS near, coalesce(n.jaccard, CAST(0 AS DOUBLE)) AS network FROM queue q
-        LEFT JOIN (SELECT x.name_string AS a, y.name_string AS b, count(*) AS shared FROM mentions x JOIN mentions y ON x.file_path = y.file_path AND x.name_string < y.name_string GROUP BY 1, 2) s ON q.v1 = s.a AND q.v2 = s.b
-        LEFT JOIN ({_windows(d)}) t ON q.v1 = t.v1 AND q.v2 = t.v2 LEFT JOIN ({_network(d)}) n ON q.v1 = n.v1 AND q.v2 = n.v2)"""
+    return f"""(SELECT q.v1, q.v2, q.score AS found, {N.edit_similarity(a, b)} AS edit, coalesce(q.phonetic, 0) AS phonetic, coalesce(q.initials, 0) AS initials, CAST(q.shared AS DOUBLE) AS shared, coalesce(t.overlap, true) AS near,
+        coalesce(n.jaccard, q.context, CAST(0 AS DOUBLE)) AS network FROM queue q LEFT JOIN ({_windows(d)}) t ON q.v1 = t.v1 AND q.v2 = t.v2 LEFT JOIN ({_network(d)}) n ON q.v1 = n.v1 AND q.v2 = n.v2)"""
 
 
 def _windows(d) -> str:
-    spans = f"(SELECT name, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM persons JOIN orders ON id = o_custkey GROUP BY name)"
-    return f"SELECT q.v1, q.v2, a.lo <= b.hi + 1826 AND b.lo <= a.hi + 1826 AS overlap FROM queue q JOIN {spans} a ON q.v1 = a.name JOIN {spans} b ON q.v2 = b.name"
+    return "SELECT q.v1, q.v2, a.first_day <= b.last_day + 1826 AND b.first_day <= a.last_day + 1826 AS overlap FROM queue q JOIN forms a ON q.v1 = a.name JOIN forms b ON q.v2 = b.name"
 
 
 def _network(d) -> str:
@@ -47,9 +44,9 @@ def _network(d) -> str:
 
 
 def _holistic(d) -> str:
-    terms = ["0.25 * edit", "CASE WHEN initials > 0 THEN 0.15 * initials ELSE 0 END", "0.2 * least(shared / 10, 1)", "0.1 * CASE WHEN near THEN 1.0 ELSE 0.3 END", "CASE WHEN network > 0 THEN 0.1 * least(network, 1) ELSE 0 END"]
-    weights = "0.55 + CASE WHEN initials > 0 THEN 0.15 ELSE 0 END + CASE WHEN network > 0 THEN 0.1 ELSE 0 END"
-    return f"SELECT v1, v2, round(CAST(({' + '.join(terms)}) AS DOUBLE) / CAST(({weights}) AS DOUBLE), 5) AS score FROM {_candidates(d)} c"
+    terms = ["0.25 * edit", "0.2 * phonetic", "0.15 * initials", "0.2 * least(shared / 10, 1)", "0.1 * CASE WHEN near THEN 1.0 ELSE 0.3 END", "0.1 * least(network, 1)"]
+    weights = "0.55 + CASE WHEN phonetic > 0 THEN 0.2 ELSE 0 END + CASE WHEN initials > 0 THEN 0.15 ELSE 0 END + CASE WHEN network > 0 THEN 0.1 ELSE 0 END"
+    return f"SELECT v1, v2, found, round(CAST(({' + '.join(terms)}) AS DOUBLE) / CAST(({weights}) AS DOUBLE), 5) AS score FROM {_candidates(d)} c"
 
 
 def _swept(d) -> str:
@@ -89,19 +86,18 @@ STATEMENTS = {
     # dates
     "d1_date_families": lambda d: " UNION ALL ".join(f"SELECT o_orderkey, '{family}' AS family, {d.each(d.rx_all('note', pattern))} AS date_string FROM {_dated_notes(d)} n" for pattern, family in DATE_FAMILIES),
     # resolution
-    "e6_initials_candidates": lambda d: f"""SELECT DISTINCT a.variant AS v1, b.variant AS v2, CAST(0.9 AS DOUBLE) AS score FROM (SELECT variant, {d.at('toks', 1)} AS f, {d.at('toks', d.size('toks'))} AS l FROM {_forms(d)} x WHERE {d.size('toks')} = 2) a
-        JOIN (SELECT variant, {d.at('toks', 1)} AS f, {d.at('toks', d.size('toks'))} AS l FROM {_forms(d)} y WHERE {d.size('toks')} = 2) b ON a.l = b.l AND a.f = substr(b.f, 1, 1) AND length(b.f) > 1""",
-    "e7_context_candidates": lambda d: """SELECT p.name AS v1, q.name AS v2, round(x.shared / CAST(m.n + n.n - x.shared AS DOUBLE), 6) AS jaccard FROM (SELECT a.src AS i, b.src AS j, count(*) AS shared FROM (SELECT DISTINCT src, tgt FROM relations) a JOIN (SELECT DISTINCT src, tgt FROM relations) b ON a.tgt = b.tgt AND a.src < b.src GROUP BY 1, 2) x
-        JOIN persons p ON p.id = x.i JOIN persons q ON q.id = x.j JOIN (SELECT src, count(DISTINCT tgt) AS n FROM relations GROUP BY src) m ON m.src = x.i JOIN (SELECT src, count(DISTINCT tgt) AS n FROM relations GROUP BY src) n ON n.src = x.j WHERE p.name <> q.name AND levenshtein(p.name, q.name) <= 5""",
+    "e5_phonetic_candidates": lambda d: "SELECT v1, v2, round(score, 6) AS score FROM by_sound",
+    "e6_initials_candidates": lambda d: "SELECT v1, v2, score FROM by_initials",
+    "e7_context_candidates": lambda d: "SELECT v1, v2, round(score, 6) AS jaccard FROM by_organisation",
     "e8_temporal_windows": lambda d: _windows(d),
     "e9_network_jaccard": lambda d: f"SELECT v1, v2, round(jaccard, 6) AS jaccard FROM ({_network(d)}) n",
-    "e10_anchored_candidates": lambda d: f"""SELECT name, canonical_name, CASE WHEN how = 1 THEN 'direct' ELSE 'fuzzy' END AS how, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY how, similarity DESC, canonical_name) AS rn FROM (
-        SELECT v.name, a.canonical_name, 1 AS how, CAST(1 AS DOUBLE) AS similarity FROM (SELECT DISTINCT {N.without_artifacts(d, 'variant')} AS name FROM variants) v JOIN (SELECT DISTINCT canonical_name FROM aliases) a ON v.name = a.canonical_name
-        UNION ALL SELECT v.name, a.canonical_name, 2, {N.edit_similarity('lower(v.name)', 'lower(a.canonical_name)')} FROM (SELECT DISTINCT {N.without_artifacts(d, 'variant')} AS name FROM variants) v JOIN (SELECT DISTINCT canonical_name FROM aliases) a ON true) c) t WHERE rn = 1 AND similarity >= 0.5""",
+    "e10_anchored_candidates": lambda d: "SELECT name, canonical_name, how, round(confidence, 6) AS similarity FROM anchors",
     "e12_holistic_scores": lambda d: f"SELECT v1, v2, score, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ({_holistic(d)}) s",
-    "e13_alternative_scores": lambda d: f"SELECT v1, v2, round(CAST(0.3 * edit + 0.15 * initials + 0.25 * least(shared / 10, 1) + 0.05 * CASE WHEN near THEN 1 ELSE 0 END + 0.05 * least(network, 1) AS DOUBLE) / CAST(0.8 AS DOUBLE), 5) AS score FROM {_candidates(d)} c",
+    "e13_alternative_scores": lambda d: f"SELECT v1, v2, round(CAST(0.3 * edit + 0.2 * phonetic + 0.15 * initials + 0.25 * least(shared / 10, 1) + 0.05 * CASE WHEN near THEN 1 ELSE 0 END + 0.05 * least(network, 1) AS DOUBLE), 5) AS score FROM {_candidates(d)} c",
     "e15_auto_exclusions": lambda d: f"SELECT entity_name, min(reason) AS reason FROM (SELECT s AS entity_name, {N.exclusion_reason(d, 's')} AS reason FROM noise UNION ALL SELECT entity_name, exclusion_reason FROM exclusions) t WHERE reason IS NOT NULL GROUP BY entity_name",
-    "e17_queue_statistics": lambda d: f"SELECT level, count(*) AS n, round(avg(score), 5) AS mean FROM (SELECT score, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ({_holistic(d)}) s) t GROUP BY level",
+    "e16_alias_merge": lambda d: f"""SELECT v1 AS canonical_name, v2 AS alias_name, max(score) AS confidence_score, 'auto' AS disambiguation_method, 'merged' AS status FROM ({_holistic(d)}) s WHERE score >= 0.85 AND v1 <> v2 GROUP BY v1, v2
+        UNION ALL SELECT a.canonical_name, a.alias_name, a.confidence_score, a.disambiguation_method, 'approved' FROM aliases a LEFT ANTI JOIN (SELECT v1, v2 FROM ({_holistic(d)}) s WHERE score >= 0.85) m ON a.canonical_name = m.v1 AND a.alias_name = m.v2""",
+    "e17_queue_statistics": lambda d: f"SELECT level, methods, count(*) AS n, round(avg(score), 5) AS mean, round(min(score), 5) AS least, round(max(score), 5) AS most FROM (SELECT s.score, q.methods, CASE WHEN s.score >= 0.85 THEN 'HIGH' WHEN s.score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ({_holistic(d)}) s JOIN queue q ON s.v1 = q.v1 AND s.v2 = q.v2) t GROUP BY level, methods",
     "e18_integrity_checks": lambda d: """SELECT 'alias without canonical' AS rule, count(*) AS broken FROM aliases WHERE canonical_name IS NULL UNION ALL SELECT 'excluded yet canonical', count(*) FROM canonical c LEFT SEMI JOIN exclusions e ON c.canonical_name = e.entity_name
         UNION ALL SELECT 'relation without source', count(*) FROM relations r LEFT ANTI JOIN entities e ON r.src = e.entity_id UNION ALL SELECT 'relation without target', count(*) FROM relations r LEFT ANTI JOIN entities e ON r.tgt = e.entity_id""",
     "e19_normalisation_rules": lambda d: "SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.pattern, a.pattern) AS pattern, coalesce(b.active, a.active) AS active FROM (SELECT * FROM (VALUES ('title', 'dr', true), ('title', 'mr', true), ('artifact_suffix', 'sent', true)) AS x(kind, pattern, active)) a FULL OUTER JOIN (SELECT * FROM (VALUES ('title', 'mr', false), ('ocr_pattern', 'rn', true)) AS y(kind, pattern, active)) b ON a.kind = b.kind AND a.pattern = b.pattern",

@@ -77,13 +77,9 @@ STATEMENTS = {
     "j11_lookup_join": lambda d: "SELECT m.file_path, e.entity_id FROM mentions m JOIN entities e ON m.name_string = e.name",
     "j12_shared_context_fuzzy": lambda d: """SELECT a.name AS v1, b.name AS v2, x.shared, CAST(levenshtein(a.name, b.name) AS BIGINT) AS dist FROM (SELECT p.src AS i, q.src AS j, count(*) AS shared FROM (SELECT DISTINCT src, tgt FROM relations) p JOIN (SELECT DISTINCT src, tgt FROM relations) q ON p.tgt = q.tgt AND p.src < q.src GROUP BY 1, 2) x
         JOIN persons a ON a.id = x.i JOIN persons b ON b.id = x.j WHERE levenshtein(a.name, b.name) <= 5""",
-    "j13_nearest_canonical": lambda d: """SELECT name, canonical_name, similarity FROM (SELECT p.name, a.canonical_name, round(1 - levenshtein(lower(p.name), lower(a.canonical_name)) / CAST(greatest(length(p.name), length(a.canonical_name)) AS DOUBLE), 6) AS similarity,
-        row_number() OVER (PARTITION BY p.name ORDER BY round(1 - levenshtein(lower(p.name), lower(a.canonical_name)) / CAST(greatest(length(p.name), length(a.canonical_name)) AS DOUBLE), 6) DESC, a.canonical_name) AS rn
-        FROM (SELECT DISTINCT name FROM persons) p CROSS JOIN (SELECT DISTINCT canonical_name FROM aliases) a) t WHERE rn = 1""",
-    "j14_initials_join": lambda d: f"SELECT i.alias_name AS initials, p.name FROM (SELECT DISTINCT alias_name FROM aliases WHERE {d.rx('alias_name', '^[A-Z][.] ')}) i JOIN (SELECT DISTINCT name FROM persons) p ON substr(i.alias_name, 1, 1) = substr(p.name, 1, 1) AND {d.at(d.split('i.alias_name', ' '), 2)} = {d.at(d.split('p.name', ' '), 2)}",
+    "j13_nearest_canonical": lambda d: "SELECT DISTINCT p.name, a.canonical_name, a.how, round(a.confidence, 6) AS similarity FROM (SELECT DISTINCT name FROM persons) p JOIN anchors a ON p.name = a.name",
     "j16_interval_overlap": lambda d: f"""SELECT q.v1, q.v2, a.lo <= b.hi + 1826 AND b.lo <= a.hi + 1826 AS overlap FROM queue q
-        JOIN (SELECT name, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM persons JOIN orders ON id = o_custkey GROUP BY name) a ON q.v1 = a.name
-        JOIN (SELECT name, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM persons JOIN orders ON id = o_custkey GROUP BY name) b ON q.v2 = b.name""",
+        JOIN (SELECT name, first_day AS lo, last_day AS hi FROM forms) a ON q.v1 = a.name JOIN (SELECT name, first_day AS lo, last_day AS hi FROM forms) b ON q.v2 = b.name""",
     "j17_period_join": lambda d: f"SELECT p.id, p.label, count(*) AS orders FROM orders JOIN ({PERIODS}) AS p(id, label, lo, hi) ON year(o_orderdate) BETWEEN p.lo AND p.hi GROUP BY p.id, p.label",
     "j18_one_row_cross": lambda d: "SELECT doc_id, round(n_chars / m, 6) AS share FROM documents CROSS JOIN (SELECT CAST(max(n_chars) AS DOUBLE) AS m FROM documents) t",
     # aggregates
@@ -150,7 +146,7 @@ STATEMENTS = {
     "d5_gap_in_years": lambda d: f"SELECT a.o_custkey AS a, round(greatest(a.lo - b.hi, b.lo - a.hi, 0) / CAST(365.25 AS DOUBLE), 6) AS gap FROM (SELECT o_custkey, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM orders GROUP BY o_custkey) a JOIN (SELECT o_custkey, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM orders GROUP BY o_custkey) b ON a.o_custkey + 1 = b.o_custkey",
     "m1_rounding": lambda d: "SELECT o_orderkey, round(ln(o_totalprice), 6) AS l, abs(round(o_totalprice - 100000, 2)) AS a FROM orders",
     "m2_threshold_grid": lambda d: f"SELECT round(0.2 + i * CAST(0.05 AS DOUBLE), 6) AS threshold FROM (SELECT {d.each(d.seq(0, 15))} AS i) t",
-    "m3_holistic_score": lambda d: "SELECT v1, v2, round((0.25 * similarity + CASE WHEN p > 0 THEN 0.2 * p ELSE 0 END + 0.1 * 0.3) / (0.25 + CASE WHEN p > 0 THEN 0.2 ELSE 0 END + 0.1), 5) AS score FROM (SELECT v1, v2, similarity, CASE WHEN substr(v1, 1, 4) = substr(v2, 1, 4) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS p FROM queue) t",
+    "m3_holistic_score": lambda d: "SELECT v1, v2, round(CAST((0.25 * similarity + 0.2 * coalesce(phonetic, 0) + 0.15 * coalesce(initials, 0) + 0.2 * least(shared / CAST(10 AS DOUBLE), 1) + 0.1 * coalesce(context, 0)) AS DOUBLE) / CAST((0.25 + CASE WHEN phonetic > 0 THEN 0.2 ELSE 0 END + CASE WHEN initials > 0 THEN 0.15 ELSE 0 END + 0.2 + CASE WHEN context > 0 THEN 0.1 ELSE 0 END) AS DOUBLE), 5) AS score FROM queue",
     "n1_json_fields": lambda d: f"SELECT event_id, {d.json('props', 'k')} AS k FROM events",
     "n2_counts_by_community": lambda d: "SELECT l.u, m.community, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members m ON l.v = m.node GROUP BY 1, 2",
     # entity resolution
@@ -158,9 +154,8 @@ STATEMENTS = {
     "e2_extracted_locations": lambda d: "SELECT file_path, location_string, occurrence_count FROM places",
     "e4_name_frequencies": lambda d: "SELECT name_string, count(DISTINCT file_path) AS documents, count(*) AS frequency FROM mentions GROUP BY name_string",
     "e9_network_overlap": lambda d: """SELECT q.v1, q.v2, count(*) AS shared FROM queue q JOIN (SELECT DISTINCT person_1 AS a, person_2 AS b FROM cooccurrence UNION SELECT person_2, person_1 FROM cooccurrence) x ON q.v1 = x.a JOIN (SELECT DISTINCT person_1 AS a, person_2 AS b FROM cooccurrence UNION SELECT person_2, person_1 FROM cooccurrence) y ON q.v2 = y.a AND x.b = y.b GROUP BY 1, 2""",
-    "e11_queue_merge": lambda d: "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, greatest(coalesce(a.similarity, 0), coalesce(b.similarity, 0)) AS similarity FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * 0.9 AS similarity FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",
-    "e14_frequency_priority": lambda d: "SELECT q.v1, q.v2, round(q.similarity * CASE WHEN greatest(coalesce(a.n, 0), coalesce(b.n, 0)) >= 100 THEN 3 WHEN greatest(coalesce(a.n, 0), coalesce(b.n, 0)) >= 10 THEN 2 ELSE 1 END, 6) AS priority FROM queue q LEFT JOIN (SELECT name_string, count(*) AS n FROM mentions GROUP BY 1) a ON q.v1 = a.name_string LEFT JOIN (SELECT name_string, count(*) AS n FROM mentions GROUP BY 1) b ON q.v2 = b.name_string",
-    "e16_alias_merge": lambda d: "SELECT v1 AS canonical_name, v2 AS alias_name FROM queue WHERE similarity >= 0.85 UNION SELECT canonical_name, alias_name FROM aliases",
+    "e11_queue_merge": lambda d: "SELECT v1, v2, methods, phonetic, initials, context, shared, score, level FROM queue",
+    "e14_frequency_priority": lambda d: "SELECT q.v1, q.v2, round(q.score * CASE WHEN greatest(coalesce(a.n, 0), coalesce(b.n, 0)) >= 100 THEN 3 WHEN greatest(coalesce(a.n, 0), coalesce(b.n, 0)) >= 10 THEN 2 ELSE 1 END, 6) AS priority FROM queue q LEFT JOIN forms a ON q.v1 = a.name LEFT JOIN forms b ON q.v2 = b.name",
     "e20_alias_table": lambda d: "SELECT canonical_name, alias_name FROM aliases UNION SELECT canonical_name, canonical_name FROM aliases",
     # matrices and graphs
     "g1_terms": lambda d: "SELECT doc_id, term FROM nouns UNION ALL SELECT doc_id, term FROM verbs",

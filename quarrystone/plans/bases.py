@@ -112,6 +112,8 @@ BASES = {
         LEFT ANTI JOIN exclusions e ON m.name_string = e.entity_name""",
     "cooccurrence": lambda d: """SELECT a.canonical_name AS person_1, b.canonical_name AS person_2, count(*) AS shared
         FROM canonical a JOIN canonical b ON a.file_path = b.file_path AND a.canonical_name < b.canonical_name GROUP BY 1, 2 HAVING count(*) >= 2""",
+    # whom each person shares folders with
+    "circles": lambda d: f"SELECT name, {d.distinct_list('other')} AS near FROM (SELECT person_1 AS name, person_2 AS other FROM cooccurrence UNION ALL SELECT person_2, person_1 FROM cooccurrence) t GROUP BY name",
     "persons": lambda d: f"SELECT c_custkey AS id, {_person('c_name')} AS name, 'person' AS kind FROM customer",
     "variants": lambda d: """SELECT id, CASE k WHEN 0 THEN name WHEN 1 THEN 'Dr. ' || name WHEN 2 THEN name || '''s' WHEN 3 THEN substr(name, 1, 1) || '. ' || substr(name, 5) WHEN 4 THEN name || ' Sent CC' WHEN 5 THEN substr(name, 1, 1) || '. Q. ' || substr(name, 5)
         WHEN 6 THEN replace(name, 'e', 'rn') ELSE upper(name) || ' Esq.' END AS variant FROM persons CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS f(k)) g""",

@@ -37,10 +37,8 @@ def _windows(d) -> str:
 
 
 def _network(d) -> str:
-    near = "(SELECT person_1 AS a, person_2 AS b FROM cooccurrence UNION SELECT person_2, person_1 FROM cooccurrence)"
-    size = f"(SELECT a, count(*) AS n FROM {near} z GROUP BY a)"
-    return f"""SELECT i.v1, i.v2, i.n / CAST(x.n + y.n - i.n AS DOUBLE) AS jaccard FROM (SELECT q.v1, q.v2, count(*) AS n FROM queue q JOIN {near} x ON q.v1 = x.a JOIN {near} y ON q.v2 = y.a AND x.b = y.b GROUP BY 1, 2) i
-        JOIN {size} x ON i.v1 = x.a JOIN {size} y ON i.v2 = y.a"""
+    common = d.size(d.inter("x.near", "y.near"))
+    return f"SELECT v1, v2, common / CAST(one + two - common AS DOUBLE) AS jaccard FROM (SELECT q.v1, q.v2, {common} AS common, {d.size('x.near')} AS one, {d.size('y.near')} AS two FROM queue q JOIN circles x ON q.v1 = x.name JOIN circles y ON q.v2 = y.name) c WHERE common > 0"
 
 
 def _holistic(d) -> str:

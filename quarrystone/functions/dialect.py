@@ -52,6 +52,9 @@ class Spark:
     def days(self, x):
         return f"datediff({x}, DATE '1970-01-01')"
 
+    def within(self, a, b, k):
+        return f"levenshtein({a}, {b}, {k}) >= 0"
+
     def seq(self, a, b):
         return f"sequence({a}, {b})"
 
@@ -153,6 +156,9 @@ class Check(Spark):
     def days(self, x):
         return f"date_diff('day', DATE '1970-01-01', CAST({x} AS DATE))"
 
+    def within(self, a, b, k):
+        return f"levenshtein({a}, {b}) <= {k}"
+
     def seq(self, a, b):
         return f"generate_series({a}, {b})"
 

@@ -102,19 +102,29 @@ def ladder_level(score: str) -> str:
     return f"CASE WHEN {score} = 100 THEN 'HIGH' WHEN {score} >= 40 THEN 'MEDIUM' WHEN {score} IS NOT NULL THEN 'LOW' END"
 
 
-def shortened(d, word: str) -> str:
-    """``word`` less none, one or two of its letters, an array; words at most two edits apart have one of these in common."""
-    less = lambda w, i: f"left({w}, CAST(greatest({i} - 1, 0) AS INT)) || substr({w}, CAST({i} AS INT) + 1)"
-    two = less(f"({less(word, 'i')})", "j")
-    return d.distinct(f"flatten({d.apply(d.seq(0, f'length({word})'), 'i', d.apply(d.seq('i', f'length({word})'), 'j', two))})")
+def _pieces(d, lexicon: str, carry: str) -> str:
+    """Each word of the lexicon cut into three pieces of nearly one length; of a word two edits away one stays whole."""
+    cut = "CAST(floor({} * size / CAST(3 AS DOUBLE)) AS INT)"
+    low, high = cut.format("(s - 1)"), cut.format("s")
+    return f"SELECT word, freq, {carry}size, s, substr(word, {low} + 1, {high} - {low}) AS piece FROM (SELECT word, freq, {carry}CAST(length(word) AS INT) AS size, {d.each(d.seq(1, 3))} AS s FROM {lexicon}) w"
+
+
+def _probes(d, words: str) -> str:
+    """Each word with what a piece of a word at most two edits away may be in it: of piece s of a word ``o`` letters longer, the
+    substrings shifted by at most s - 1 places from the left and 3 - s from the right."""
+    cut = "CAST(floor({} * size / CAST(3 AS DOUBLE)) AS INT)"
+    low, high = cut.format("(s - 1)"), cut.format("s")
+    lengths = f"SELECT word, n, n + o AS size, o FROM (SELECT word, CAST(length(word) AS INT) AS n, {d.each(d.seq(-2, 2))} AS o FROM {words}) a WHERE n + o >= 2"
+    pieces = f"SELECT word, n, size, s, greatest(1 - s, s - 3 - o) AS least_shift, least(s - 1, 3 - s - o) AS most_shift FROM (SELECT word, n, size, o, {d.each(d.seq(1, 3))} AS s FROM ({lengths}) b) c"
+    shifts = f"SELECT word, n, size, s, {low} + 1 AS low, {high} - {low} AS k, {d.each(d.seq('least_shift', 'most_shift'))} AS shift FROM ({pieces}) e WHERE least_shift <= most_shift"
+    return f"SELECT DISTINCT word, size, s, substr(word, CAST(low + shift AS INT), CAST(k AS INT)) AS piece FROM ({shifts}) f WHERE low + shift >= 1 AND low + shift + k - 1 <= n"
 
 
 def nearest(d, words: str, lexicon: str, keep: str = "") -> str:
     """(word, {keep}correction, dist, freq): for each of ``words`` the words of ``lexicon`` (word, freq{, keep}) at most two
-    edits away, the nearest first, then the most frequent; ``keep``: a column by which each word has one of its own."""
-    extra = f"b.{keep} AS {keep}, " if keep else ""
-    carry = f"{keep}, " if keep else ""
+    edits away, the nearest first, then the most frequent; ``keep``: a column by which each word has one of its own. Words of
+    one letter are no entries of the lexicon."""
+    carry, extra = (f"{keep}, ", f"b.{keep} AS {keep}, ") if keep else ("", "")
     return f"""SELECT word, {carry}correction, dist, freq FROM (SELECT *, row_number() OVER (PARTITION BY {carry}word ORDER BY dist, freq DESC, correction) AS rn FROM (
-        SELECT DISTINCT a.word, {extra}b.word AS correction, b.freq, CAST(levenshtein(a.word, b.word) AS BIGINT) AS dist FROM
-        (SELECT word, {d.each(shortened(d, 'word'))} AS k FROM (SELECT word FROM {words} WHERE length(word) <= (SELECT max(length(word)) + 2 FROM {lexicon})) z) a
-        JOIN (SELECT word, freq, {carry}{d.each(shortened(d, 'word'))} AS k FROM {lexicon}) b ON a.k = b.k WHERE levenshtein(a.word, b.word) <= 2) s) t WHERE rn = 1"""
+        SELECT word, {carry}correction, freq, CAST(levenshtein(word, correction) AS BIGINT) AS dist FROM (SELECT DISTINCT a.word, {extra}b.word AS correction, b.freq FROM ({_probes(d, words)}) a JOIN ({_pieces(d, lexicon, carry)}) b
+        ON a.piece = b.piece AND a.size = b.size AND a.s = b.s WHERE {d.within('a.word', 'b.word', 2)}) r) s) t WHERE rn = 1"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Text below so many bytes a core is dealt out to all cores after the scan: one row group, however large its texts, is one task.
+SMALL = 64 << 20
 _read: dict[tuple, dict[str, DataFrame]] = {}
 
 
@@ -20,11 +22,19 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return " ".join(found)
 
 
+def _bytes(spark: SparkSession, where: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Each table of the folder as a view; plans made from it keep the folder they were made for. Schemas are read once for
     the files as they are."""
     key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir))
     if key not in _read:
         _read[key] = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+        cores = spark.sparkContext.defaultParallelism
+        if _bytes(spark, f"{sf_dir}/documents.parquet") < SMALL * cores:
+            _read[key]["documents"] = _read[key]["documents"].repartition(cores)
     for name, held in _read[key].items():
         held.createOrReplaceTempView(name)

@@ -118,11 +118,12 @@ def swapped_once(d, a: str, b: str) -> str:
 
 def valid_name(d, x: str, stop_words=STOP_WORDS) -> str:
     """Whether a candidate may be a name: not an initial, a code, a number (but for numbered Jane Does) or a stop word, and
-    not begun by one. Colons at the end, then apostrophes and s, are left out of account."""
-    c = d.rx_rep(d.rx_rep(x, ":+$", ""), r"[\x27s]+$", "")
-    first = d.rx_get(f"lower({c})", r"^(\S*)")
-    return f"""(length({x}) > 1 AND NOT (length({c}) <= 2 AND contains({c}, '.')) AND NOT (length({c}) = 2 AND {d.rx(c, '^([A-Z]{2}|[0-9]{2})$')})
-        AND NOT ({d.rx(c, '[0-9]')} AND left({c}, 8) <> 'Jane Doe') AND NOT {d.rx(c, r"[^a-zA-Z0-9\s.\x27-]")} AND {first} NOT IN ({quoted(stop_words)}))"""
+    not begun by one. Colons at the end, then apostrophes and s, are left out of account: patterns let them follow, so that
+    nothing is cut off first."""
+    end = r"[\x27s]*:*$"
+    first = f"lower(CASE WHEN contains({x}, ' ') THEN {d.rx_get(x, '^([^ ]*)')} ELSE {d.rx_get(x, '^(.*?)' + end)} END)"
+    return f"""(length({x}) > 1 AND NOT {d.rx(x, r"[^a-zA-Z0-9\s.\x27:-]|:[^:]")} AND NOT {d.rx(x, r'^(.?[.]|[.][^\x27s]|[A-Z]{2}|[0-9]{2})' + end)}
+        AND NOT ({d.rx(x, '[0-9]')} AND left({x}, 8) <> 'Jane Doe') AND {first} NOT IN ({quoted(stop_words)}))"""
 
 
 def found_names(d, x: str) -> str:

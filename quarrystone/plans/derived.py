@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.dialect import Spark
 from quarrystone.functions.phonetic import composite_codes
 from quarrystone.operators.components import connected_components
+from quarrystone.operators.cosine import similar_pairs
 from quarrystone.operators.nearest import nearest
 from quarrystone.operators.scratch import passing, shared_folder
 from quarrystone.plans.bases import BASES, named, with_bases
@@ -53,8 +54,14 @@ def _anchors(spark: SparkSession, folder: str) -> DataFrame:
     return names.where("canonical_name IS NOT NULL").select("name", "canonical_name", F.lit("direct").alias("how"), F.lit(1.0).alias("confidence")).unionByName(found)
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.sql(with_bases(Spark(), "SELECT doc_id AS id, term, w FROM tfidf", STORED))
+    found = similar_pairs(rows, spark.table("documents").count(), 0.1)
+    return found.select(F.col("u").alias("doc_id_1"), F.col("v").alias("doc_id_2"), F.col("w").alias("cosine_similarity"))
+
+
 #: Derived tables made by an operator; their statement serves the checking engine.
-MADE = {"members": _members, "phones": _phones, "anchors": _anchors}
+MADE = {"members": _members, "phones": _phones, "anchors": _anchors, "pairs": _pairs}
 
 
 def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name: str) -> None:
@@ -77,7 +84,12 @@ def derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, .
     app = spark.sparkContext.applicationId
     made = _made.setdefault((app, key), {})
     folder = passing(spark, f"{shared_folder(spark)}/derived-{app}/{key}")
-    stored = tuple(n for n in STORED if n not in fresh)
+    stored = tuple(n for n in STORED if n not in fresh or n in MADE)
     for name in named(body, stored):
-        _ensure(spark, folder, made, name)
+        if name in fresh:
+            for other in named(BASES[name](Spark()), STORED):
+                _ensure(spark, folder, made, other)
+            MADE[name](spark, folder).createOrReplaceTempView(name)
+        else:
+            _ensure(spark, folder, made, name)
     return spark.sql(with_bases(Spark(), body, stored), args=args)

@@ -60,7 +60,8 @@ def g15_connected_components(spark, sf_dir):
 
 
 def g17_path_metrics(spark, sf_dir):
-    return centrality.path_metrics(_links(spark, sf_dir))
+    """Betweenness by similarities as lengths, and closeness by steps, each within its component."""
+    return centrality.weighted_path_metrics(_links(spark, sf_dir))
 
 
 def g33_path_statistics(spark, sf_dir):
@@ -80,7 +81,11 @@ def g18_pagerank(spark, sf_dir):
 
 
 def g18_clustering(spark, sf_dir):
-    found = centrality.clustering(_links(spark, sf_dir))
+    """Clustering of documents by weights, as shares of the greatest in their component."""
+    links = _links(spark, sf_dir)
+    part = connected_components(links, shared_folder(spark))
+    most = links.join(part, links["u"] == part["node"]).groupBy("component").agg(F.max("w").alias("most"))
+    found = centrality.clustering(links, part.join(most, "component").select("node", "most"))
     return found.select("node", F.round("clustering", 6).alias("clustering"))
 
 
@@ -136,6 +141,8 @@ SQL = {
     "s9_upsert": "SELECT coalesce(a.v1, b.v1) AS v1, coalesce(a.v2, b.v2) AS v2, round(greatest(a.similarity, b.similarity), 6) AS similarity, least(a.dist, b.dist) AS dist FROM (SELECT * FROM queue WHERE dist <= 3) a FULL OUTER JOIN (SELECT v1, v2, similarity * CAST(0.9 AS DOUBLE) AS similarity, dist + 1 AS dist FROM queue WHERE dist >= 2) b ON a.v1 = b.v1 AND a.v2 = b.v2",
     "x3_hamming_columns": "SELECT v1, v2, CAST(len(list_filter(generate_series(1, least(length(v1), length(v2))), lambda i: substr(v1, i, 1) <> substr(v2, i, 1))) + abs(length(v1) - length(v2)) AS BIGINT) AS dist FROM queue",
     "g15_connected_components": "WITH RECURSIVE e AS (SELECT u, v FROM links UNION SELECT v, u FROM links), r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u) SELECT node, min(reached) AS component FROM r GROUP BY node",
-    "g18_clustering": "SELECT k.u AS node, round(CASE WHEN k.n > 1 THEN 2.0 * coalesce(t.n, 0) / CAST(k.n * (k.n - 1) AS DOUBLE) ELSE 0 END, 6) AS clustering FROM (SELECT u, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u) k LEFT JOIN (SELECT node, count(*) AS n FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM links x JOIN links y ON x.v = y.u JOIN links z ON z.u = x.u AND z.v = y.v) c GROUP BY node) t ON k.u = t.node",
+    "g18_clustering": """WITH RECURSIVE e AS (SELECT u, v FROM links UNION SELECT v, u FROM links), r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u), part AS (SELECT node, min(reached) AS component FROM r GROUP BY node),
+        most AS (SELECT component, max(w) AS most FROM links JOIN part ON u = node GROUP BY component), corners AS (SELECT unnest([x.u, x.v, y.v]) AS node, cbrt(x.w * y.w * z.w) AS m FROM links x JOIN links y ON x.v = y.u JOIN links z ON z.u = x.u AND z.v = y.v)
+        SELECT k.u AS node, round(CASE WHEN k.n > 1 THEN 2.0 * coalesce(t.m, 0) / most.most / CAST(k.n * (k.n - 1) AS DOUBLE) ELSE 0 END, 6) AS clustering FROM (SELECT u, count(*) AS n FROM e GROUP BY u) k JOIN part ON k.u = part.node JOIN most ON part.component = most.component LEFT JOIN (SELECT node, sum(m) AS m FROM corners GROUP BY node) t ON k.u = t.node""",
     "g10_betti_curve": "WITH RECURSIVE grid AS (SELECT round(0.1 + i * CAST(0.05 AS DOUBLE), 2) AS threshold FROM (SELECT unnest(generate_series(0, 17)) AS i) g), e AS (SELECT threshold, u, v FROM links JOIN grid ON w >= threshold UNION SELECT threshold, v, u FROM links JOIN grid ON w >= threshold), n AS (SELECT threshold, doc_id AS node FROM documents, grid), r AS (SELECT threshold, node, node AS reached FROM n UNION SELECT r.threshold, r.node, e.v FROM r JOIN e ON r.reached = e.u AND r.threshold = e.threshold), c AS (SELECT threshold, count(DISTINCT m) AS b FROM (SELECT threshold, node, min(reached) AS m FROM r GROUP BY threshold, node) x GROUP BY threshold), k AS (SELECT grid.threshold, count(w) AS n FROM grid LEFT JOIN links ON w >= grid.threshold GROUP BY grid.threshold) SELECT k.threshold, c.b AS betti_0, k.n - (SELECT count(*) FROM documents) + c.b AS betti_1, k.n AS num_edges FROM k JOIN c ON k.threshold = c.threshold",
 }

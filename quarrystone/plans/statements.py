@@ -41,7 +41,8 @@ STATEMENTS = {
     "s8_truncated_text": lambda d: "SELECT path, CAST(length(substr(text, 1, 2000000)) AS BIGINT) AS kept, md5(substr(text, 1, 2000000)) AS digest FROM docs",
     "s11_network_export_rows": lambda d: f"SELECT u AS node, CAST(count(*) AS BIGINT) AS degree, {d.listagg('CAST(v AS STRING)', ',', 'v')} AS neighbours FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u",
     "s13_top_bars": lambda d: "SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 100",
-    "s13_top_network": lambda d: """SELECT l.u, l.v, l.w FROM links l JOIN (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 500) t ON l.u = t.u ORDER BY l.w DESC, l.u, l.v LIMIT 5000""",
+    "s13_top_network": lambda d: """WITH top AS (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 500)
+        SELECT l.u, l.v, l.w FROM links l JOIN top a ON l.u = a.u JOIN top b ON l.v = b.u ORDER BY l.w DESC, l.u, l.v LIMIT 5000""",
     "s14_autocorrect_map": lambda d: "SELECT word, suggested_correction, CAST(sum(occurrences) AS BIGINT) AS n, levenshtein_distance FROM errors WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction, levenshtein_distance ORDER BY 3 DESC, 1 LIMIT 30",
     "s14_report_sections": lambda d: """SELECT section, name, n FROM (SELECT 'distance' AS section, CAST(levenshtein_distance AS STRING) AS name, CAST(sum(occurrences) AS BIGINT) AS n FROM errors WHERE levenshtein_distance IS NOT NULL GROUP BY 2
         UNION ALL SELECT 'confidence', confidence, CAST(sum(occurrences) AS BIGINT) FROM errors GROUP BY confidence UNION ALL SELECT 'pattern', ocr_error_pattern, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern

@@ -136,6 +136,14 @@ def found_names(d, x: str) -> str:
     ])
 
 
+def joint_parts(d, x: str) -> str:
+    """The names in a joint name, an array: 'A and B C' is A C and B C, 'A B & C D' is A B and C D; any other name is itself."""
+    joint = r"^(.*\S)\s+(?:and|And|AND|&)\s+(\S+\s+.*\S|\S+\s+\S)$"
+    left, right = d.rx_get(x, joint, 1), d.rx_get(x, joint, 2)
+    whole = f"CASE WHEN {d.rx(left, '[ ]')} THEN {left} ELSE {left} || ' ' || {d.rx_get(right, r'(\S+)$')} END"
+    return f"CASE WHEN {d.rx(x, joint)} THEN {d.array([whole, right])} ELSE {d.array([x])} END"
+
+
 def valid_place(d, x: str) -> str:
     """Whether a place may be one: no suffix or code word, no number but a postal code or an ordinal, two letters only of a
     known code, and a letter or space first."""

@@ -60,8 +60,9 @@ BASES = {
     "names": lambda d: f"""SELECT file_path, name_string, max(n) AS occurrence_count FROM (
         SELECT DISTINCT file_path, name_string, CAST(1 AS BIGINT) AS n FROM (SELECT path AS file_path, {d.each(N.found_names(d, 'plain'))} AS name_string FROM (SELECT path, {d.rx_rep('text', N.MIXED_WORD, '#')} AS plain FROM docs) p) f
         UNION ALL SELECT file_path, trim(substr(line, 13)), count(*) FROM lines WHERE upper(left(line, 12)) = 'PHOTOGRAPHER' GROUP BY 1, 2) c WHERE {N.valid_name(d, 'name_string')} GROUP BY file_path, name_string""",
-    "mentions": lambda d: f"""SELECT DISTINCT 'W' || CAST(CAST(floor({d.days('o_orderdate')} / 7.0) AS BIGINT) AS STRING) || '-' || substr(o_orderpriority, 1, 1) AS file_path, {_person('c_name')} AS name_string
-        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    # every eleventh letter is a couple's
+    "mentions": lambda d: f"""SELECT DISTINCT file_path, CASE WHEN couple THEN substr(p, 1, 3) || ' and ' || upper(substr(p, 3, 1)) || substr(p, 2, 1) || lower(substr(p, 1, 1)) || ' ' || substr(p, 5) ELSE p END AS name_string FROM (
+        SELECT 'W' || CAST(CAST(floor({d.days('o_orderdate')} / 7.0) AS BIGINT) AS STRING) || '-' || substr(o_orderpriority, 1, 1) AS file_path, o_orderkey % 11 = 0 AS couple, {_person('c_name')} AS p FROM orders JOIN customer ON o_custkey = c_custkey) t""",
     "places": lambda d: f"""SELECT file_path, location_string, count(*) AS occurrence_count FROM (SELECT file_path, trim(substr(line, 9)) AS location_string FROM lines WHERE upper(left(line, 8)) = 'LOCATION') l
         WHERE location_string <> '-' AND {N.valid_place(d, 'location_string')} GROUP BY file_path, location_string""",
     "dates": lambda d: f"""SELECT path AS file_path, {d.date_text('o_orderdate')} AS date_string, count(*) AS occurrence_count FROM orders JOIN docs ON doc_id = o_custkey % 200 GROUP BY 1, 2""",
@@ -107,9 +108,8 @@ BASES = {
     "aliases": lambda d: f"""SELECT DISTINCT {_person('c_name')} AS canonical_name, upper({_person('c_name')}) AS alias_name, CAST(1.0 AS DOUBLE) AS confidence_score, 'manual' AS disambiguation_method FROM customer WHERE c_acctbal > 6000
         UNION ALL SELECT DISTINCT {_person('c_name')}, substr({_person('c_name')}, 1, 1) || '. ' || substr({_person('c_name')}, 5), CAST(0.9 AS DOUBLE), 'auto' FROM customer WHERE c_acctbal < 1000""",
     "exclusions": lambda d: f"SELECT DISTINCT {_person('c_name')} AS entity_name, 'not_a_person' AS exclusion_reason FROM customer WHERE c_acctbal BETWEEN 3000 AND 3500",
-    "canonical": lambda d: """SELECT DISTINCT m.file_path, coalesce(a.canonical_name, m.name_string) AS canonical_name FROM mentions m
-        LEFT JOIN (SELECT lower(alias_name) AS k, min(canonical_name) AS canonical_name FROM aliases GROUP BY lower(alias_name)) a ON lower(m.name_string) = a.k
-        LEFT ANTI JOIN exclusions e ON m.name_string = e.entity_name""",
+    "canonical": lambda d: f"""SELECT c.file_path, c.canonical_name FROM (SELECT DISTINCT m.file_path, coalesce(a.canonical_name, m.name_string) AS canonical_name, a.canonical_name IS NOT NULL AS known FROM (SELECT file_path, {d.each(N.joint_parts(d, 'name_string'))} AS name_string FROM mentions) m
+        LEFT JOIN known_names a ON lower(m.name_string) = a.k) c LEFT ANTI JOIN exclusions e ON c.canonical_name = e.entity_name WHERE c.known OR contains(c.canonical_name, ' ')""",
     "cooccurrence": lambda d: """SELECT a.canonical_name AS person_1, b.canonical_name AS person_2, count(*) AS shared
         FROM canonical a JOIN canonical b ON a.file_path = b.file_path AND a.canonical_name < b.canonical_name GROUP BY 1, 2 HAVING count(*) >= 2""",
     # whom each person shares folders with

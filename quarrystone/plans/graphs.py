@@ -64,6 +64,14 @@ def g17_path_metrics(spark, sf_dir):
     return centrality.weighted_path_metrics(_links(spark, sf_dir))
 
 
+def g23_bridges(spark, sf_dir):
+    """The twenty documents of greatest betweenness, above 0, among links of 0.5 and more, with the communities around them."""
+    strong = _links(spark, sf_dir).where("w >= 0.5")
+    members = _sql(spark, sf_dir, "SELECT node, community FROM members")
+    top = centrality.weighted_path_metrics(strong).where("betweenness > 0").orderBy(F.desc("betweenness"), "node").limit(20).select("node", "betweenness")
+    return centrality.bridges(strong, members, top)
+
+
 def g33_path_statistics(spark, sf_dir):
     return centrality.path_statistics(_links(spark, sf_dir))
 
@@ -131,7 +139,7 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities)}
 
 _CHECK = Check()
 SQL = {

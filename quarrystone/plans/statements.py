@@ -41,8 +41,8 @@ STATEMENTS = {
     "s8_truncated_text": lambda d: "SELECT path, CAST(length(substr(text, 1, 2000000)) AS BIGINT) AS kept, md5(substr(text, 1, 2000000)) AS digest FROM docs",
     "s11_network_export_rows": lambda d: f"SELECT u AS node, CAST(count(*) AS BIGINT) AS degree, {d.listagg('CAST(v AS STRING)', ',', 'v')} AS neighbours FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) b GROUP BY u",
     "s13_top_bars": lambda d: "SELECT feature, persistence FROM features ORDER BY persistence DESC, feature LIMIT 100",
-    "s13_top_network": lambda d: """WITH top AS (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 500)
-        SELECT l.u, l.v, l.w FROM links l JOIN top a ON l.u = a.u JOIN top b ON l.v = b.u ORDER BY l.w DESC, l.u, l.v LIMIT 5000""",
+    "s13_top_network": lambda d: """SELECT * FROM (WITH top AS (SELECT u FROM (SELECT u FROM links UNION ALL SELECT v FROM links) x GROUP BY u ORDER BY count(*) DESC, u LIMIT 500)
+        SELECT l.u, l.v, l.w FROM links l JOIN top a ON l.u = a.u JOIN top b ON l.v = b.u ORDER BY l.w DESC, l.u, l.v LIMIT 5000) t""",
     "s14_autocorrect_map": lambda d: "SELECT word, suggested_correction, CAST(sum(occurrences) AS BIGINT) AS n, levenshtein_distance FROM errors WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction, levenshtein_distance ORDER BY 3 DESC, 1 LIMIT 30",
     "s14_report_sections": lambda d: """SELECT section, name, n FROM (SELECT 'distance' AS section, CAST(levenshtein_distance AS STRING) AS name, CAST(sum(occurrences) AS BIGINT) AS n FROM errors WHERE levenshtein_distance IS NOT NULL GROUP BY 2
         UNION ALL SELECT 'confidence', confidence, CAST(sum(occurrences) AS BIGINT) FROM errors GROUP BY confidence UNION ALL SELECT 'pattern', ocr_error_pattern, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern
@@ -202,9 +202,11 @@ STATEMENTS = {
     "v2_high_priority_corrections": lambda d: """SELECT word, suggested_correction, count(*) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(levenshtein_distance) AS min_distance, max(levenshtein_distance) AS max_distance,
         round(sum(damerau_levenshtein_distance * occurrences) / CAST(sum(occurrences) AS DOUBLE), 2) AS avg_damerau_distance, min(ocr_error_pattern) AS common_ocr_pattern FROM errors
         WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction HAVING sum(occurrences) >= 2""",
-    "v3_document_entities": lambda d: f"""SELECT c.path, coalesce(n.n, 0) AS n_names, n.names, coalesce(v.n, 0) AS n_verbs FROM catalog c
-        LEFT JOIN (SELECT file_path, count(*) AS n, {d.listagg('name_string', ', ', distinct=True)} AS names FROM names GROUP BY file_path) n ON c.path = n.file_path
-        LEFT JOIN (SELECT path, count(DISTINCT term) AS n FROM verbs GROUP BY path) v ON c.path = v.path""",
+    "v3_document_entities": lambda d: f"""SELECT c.path, c.file_name, coalesce(t.unique_dates, 0) AS unique_dates, coalesce(t.total_date_mentions, 0) AS total_date_mentions, t.earliest_date, t.latest_date, coalesce(n.unique_names, 0) AS unique_names,
+        coalesce(n.total_name_mentions, 0) AS total_name_mentions, n.all_names, coalesce(l.unique_locations, 0) AS unique_locations, coalesce(l.total_location_mentions, 0) AS total_location_mentions, l.all_locations FROM catalog c
+        LEFT JOIN (SELECT file_path, count(DISTINCT date_string) AS unique_dates, count(*) AS total_date_mentions, CAST(min({d.to_ts('date_string')}) AS DATE) AS earliest_date, CAST(max({d.to_ts('date_string')}) AS DATE) AS latest_date FROM dates GROUP BY file_path) t ON c.path = t.file_path
+        LEFT JOIN (SELECT file_path, count(*) AS unique_names, CAST(sum(occurrence_count) AS BIGINT) AS total_name_mentions, {d.listagg('name_string', ', ')} AS all_names FROM names GROUP BY file_path) n ON c.path = n.file_path
+        LEFT JOIN (SELECT file_path, count(*) AS unique_locations, CAST(sum(occurrence_count) AS BIGINT) AS total_location_mentions, {d.listagg('location_string', ', ')} AS all_locations FROM places GROUP BY file_path) l ON c.path = l.file_path""",
     "v4_person_cooccurrence": lambda d: "SELECT * FROM cooccurrence",
     "v5_ocr_pattern_summary": lambda d: f"""SELECT b.ocr_error_pattern, a.unique_words_affected, b.total_occurrences, b.documents_affected, a.example_corrections, b.avg_errors_per_doc FROM (SELECT ocr_error_pattern, count(*) AS unique_words_affected, {d.listagg("word || ' > ' || suggested_correction", ', ')} AS example_corrections FROM issues
         WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern) a JOIN (SELECT ocr_error_pattern, CAST(sum(occurrences) AS BIGINT) AS total_occurrences, count(DISTINCT s.file_path) AS documents_affected, round(sum(occurrences * c.n) / CAST(sum(occurrences) AS DOUBLE), 0) AS avg_errors_per_doc

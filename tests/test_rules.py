@@ -131,3 +131,13 @@ def test_mime_types(spark):
     found = spark.sql(f"SELECT n, coalesce(kind, '{mime.DEFAULT}') AS kind FROM (SELECT n, {mime.ending(Spark(), 'n')} AS ending FROM mime_names) t LEFT JOIN ({mime.endings()}) m USING (ending)")
     known = mimetypes.MimeTypes(filenames=())
     assert {r.n: r.kind for r in found.collect()} == {n: known.guess_type(n)[0] or mime.DEFAULT for n in names} | {None: mime.DEFAULT}
+
+
+@pytest.mark.parametrize("x,parts", [("Ann and Bob Lee", ["Ann Lee", "Bob Lee"]), ("Ann Poe & Bob Lee", ["Ann Poe", "Bob Lee"]), ("Ann and Bob van Lee", ["Ann Lee", "Bob van Lee"]), ("Ann and Bob", ["Ann and Bob"]), ("Andy Lee", ["Andy Lee"]), ("Ann & B C", ["Ann C", "B C"]), ("and Bob Lee", ["and Bob Lee"]), ("", [""])])
+def test_joint_names(spark, x, parts):
+    assert both(spark, lambda d: N.joint_parts(d, "x"), x=x) == parts
+
+
+@pytest.mark.parametrize("text,word,to,out", [("a cat, A man", "a", "the", "the cat, the man"), ("cost", "cost", "$5\\1", "$5\\1"), ("x.y xzy", "x.y", "q", "q xzy"), ("ab", "a", "z", "ab")])
+def test_corrections_are_whole_words(spark, text, word, to, out):
+    assert both(spark, lambda d: d.any_case("t", "w", "r"), t=text, w=word, r=to) == out

@@ -10,17 +10,28 @@ _SYLLABLES = "an be ci de er fo ga hi in jo ka le mi no os pra qua re so ti un v
 _MENU = "home about contact news login register search help shop archive next previous subscribe english more top start".split()
 #: Class and id names by what they hold.
 _NAMES = {
-    "main": "content post entry article story text body main post-content entry-content article-body page-content story-body content-main single markdown",
-    "nav": "menu navbar navigation topnav main-menu breadcrumb breadcrumbs nav-links tabs toc pagination",
-    "header": "header site-header masthead topbar banner-top branding logo page-header",
-    "footer": "footer site-footer bottom copyright colophon page-footer legal",
-    "side": "sidebar side widget related related-posts recommended trending popular aside right-rail tags more-stories",
+    "main": "content post entry article story text body main post-content entry-content article-body page-content story-body content-main single markdown articlebody",
+    "nav": "menu navbar nav navigation topnav main-menu breadcrumb breadcrumbs nav-links tabs toc pagination",
+    "header": "header site-header masthead topbar banner-top branding logo page-header banner",
+    "footer": "footer site-footer bottom copyright colophon page-footer legal contentinfo",
+    "side": "sidebar side widget related related-posts recommended trending popular aside right-rail tags more-stories complementary",
     "ad": "ad ads advert advertisement sponsored promo banner promotion ad-slot sponsor",
     "notice": "cookie cookie-notice consent notice alert gdpr cookie-banner newsletter popup modal overlay paywall subscribe disclaimer warning message",
     "form": "search login-form signup contact-form subscribe-form form search-box",
     "comments": "comments comment-list comment reply replies discussion responses disqus user-comment reader-comments",
     "share": "share social social-share share-buttons follow byline-tools toolbar meta-tools",
 }
+#: Of elements round the whole page, its upper part or its article.
+_WRAPPERS = "wrap wrapper container page site row col column inner outer layout app root grid main-wrapper content-wrapper site-content page-wrap main content body".split()
+#: Every word of a name or tag that the labeller knows by itself; all others are one.
+KNOWN = sorted({w for names in (*_NAMES.values(), " ".join(_WRAPPERS)) for n in names.split() for w in n.split("-")} | {"hidden"})
+#: Frequent words of four languages, as a general sample of running text.
+_COMMON = (
+    "the of and to in is was for with on that it as at by from this be are have not had which their they one were all there been more "
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass "
+    "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont "
+    "el y los del las por con para su al lo como más pero sus fue este ha si porque esta son entre cuando"
+).split()
 _PHRASES = {
     "footer": ["© {w} {w}", "&copy; 2021 {w} {w}. All rights reserved.", "Privacy policy", "Terms of {w}", "{s}", "&copy; {w}.example.com &middot; {s}"],
     "notice": ["We use cookies to {w} {w} {w}.", "Accept all cookies", "Sign up for our newsletter {w}!", "Please enable {w} {w}.", "{s}", "This site uses {w}. {s}"],
@@ -37,8 +48,11 @@ class Page:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.main: list[str] = []
+        self.common = self.r.choice([0.0, 0.3, 0.6])
 
     def word(self) -> str:
+        if self.r.random() < self.common:
+            return self.r.choice(_COMMON)
         return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 5)))
 
     def sentence(self, low: int = 2, high: int = 18) -> str:
@@ -56,7 +70,24 @@ class Page:
     def attributes(self, kind: str, chance: float = 1.0) -> str:
         if self.r.random() > chance:
             return ""
-        return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(_NAMES[kind].split())}"'
+        name = self.r.choice(_NAMES[kind].split())
+        if self.r.random() < 0.25:  # a name that tells nothing
+            name = self.unknown()
+        elif self.r.random() < 0.15:
+            name += " " + self.unknown()
+        return f' {self.r.choice(["class", "class", "id"])}="{name}"'
+
+    def unknown(self) -> str:
+        return self.r.choice(["c-", "css-", "x", "b_", ""]) + "".join(self.r.choice("abcdefghikmnoprstuvwz0123456789") for _ in range(self.r.randint(2, 7)))
+
+    def wrapped(self, html: str, most: int) -> str:
+        """``html`` in up to ``most`` elements that hold no text of their own."""
+        for _ in range(self.r.randint(0, most)):
+            name = self.r.choice(_WRAPPERS) if self.r.random() < 0.6 else self.unknown()
+            attributes = "" if self.r.random() < 0.2 else f' {self.r.choice(["class", "class", "id"])}="{name}"'
+            tag = self.r.choice(["div", "div", "div", "div", "section", "main"])
+            html = f"<{tag}{attributes}>{html}</{tag}>"
+        return html
 
     def links(self, low: int, high: int) -> str:
         each = [f'<a href="/{i}">{self.r.choice(_MENU).title() if self.r.random() < 0.4 else self.word()}</a>' for i in range(self.r.randint(low, high))]
@@ -150,7 +181,16 @@ class Page:
         r.shuffle(low)
         if r.random() < 0.85:
             low.append(self.boiler("footer"))
-        html = f"<!DOCTYPE html><html><head><title>x</title><script>var t='</p>';</script></head><body>{''.join(top)}{''.join(middle)}{''.join(low)}</body></html>"
+        if r.random() < 0.3:
+            top = [self.wrapped(x, 2) for x in top]
+        if r.random() < 0.4:
+            middle = [self.wrapped("".join(middle), 2)]
+        page = "".join(top) + "".join(middle) + "".join(low)
+        if r.random() < 0.3:  # all but what comes first and last
+            page = "".join(top[:1]) + self.wrapped("".join(top[1:]) + "".join(middle) + "".join(low[:-1]), 3) + "".join(low[-1:])
+        if r.random() < 0.6:
+            page = self.wrapped(page, 4)
+        html = f"<!DOCTYPE html><html><head><title>x</title><script>var t='</p>';</script></head><body>{page}</body></html>"
         blocks = leaf_blocks(html)
         main = {" ".join(t.split()) for t in self.main}
         return html, blocks, [b[1] in main for b in blocks]

@@ -1,13 +1,13 @@
 """HTML extraction by a recurrent block labeller.
 
-A page is its sequence of leaf blocks. Each block is two vectors, one of hashed tag-path parts (tags and the words of
-their class, id and role) and one of hashed words, with a few plain measures. A bidirectional LSTM in numpy reads the
+A page is its sequence of leaf blocks. Each block is two vectors, one of tag-path parts (tags and the known words of
+their class, id and role; all unknown ones are one) and one of hashed words, with a few plain measures. A bidirectional LSTM in numpy reads the
 whole sequence, so that every block is classified knowing all the others; blocks labelled as article are joined.
 
 The labeller is trained here, on pages made by a grammar of common layouts whose labels are known: articles in various
 containers, among navigation, headers, footers, sidebars, notices, adverts, forms and reader comments. It sees no row of
-the corpus; training takes ten to thirty seconds on one core of the driver, once a session and with the same result in
-every one, and its arrays travel with the tasks.
+the corpus; one task trains it, in about a minute on one core, once a session and with the same result in every one, and its
+arrays travel with the tasks that read pages.
 
 Edge cases: null, empty and text-free pages have the text ''; unclosed and stray tags, see ``html_blocks``; a page of any
 length is one sequence, none of its blocks is cut, and is read in time linear in its length; equal rows have equal texts;
@@ -17,33 +17,45 @@ ones named text or n_chars, which the result's replace.
 
 from __future__ import annotations
 
-import zlib
+import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import pieces, small_batches, table
-from quarrystone.llm.html_blocks import leaf_blocks
+from quarrystone.llm.common import binary_array, pieces, small_batches, table
+from quarrystone.llm.html_blocks import BLOCK_TAGS, Path, leaf_blocks
+from quarrystone.llm.html_grammar import KNOWN, labelled_pages
 from quarrystone.llm.words import U, Words
 
-PATH, WORDS, PLAIN, HIDDEN = 96, 48, 6, 24
+#: Places of a path's parts: one for all unknown names, one for all unknown tags, and one for each known one.
+_PLACES = {x: i + 2 for i, x in enumerate([*sorted(BLOCK_TAGS), *("." + n for n in KNOWN)])}
+PATH, WORDS, PLAIN, HIDDEN = len(_PLACES) + 2, 48, 6, 24
 INPUT = PATH + WORDS + PLAIN
 #: Probability from which a block is article. Text that is dropped is lost, so doubtful blocks stay: on held-out pages of the
 #: grammar 99.5 % of blocks are right at 0.5 and at this figure, which keeps 99.7 % of article blocks instead of 99.5 %.
 LEAST = 0.25
-_parts: dict[tuple, list[int]] = {}
 
 
-def _path_places(element: tuple[str, ...]) -> list[int]:
-    got = _parts.get(element)
-    if got is None:
-        if len(_parts) > 50_000:
-            _parts.clear()
-        tag, *names = element
-        got = _parts[element] = [zlib.crc32(x.encode()) % PATH for x in (tag, *("." + n for n in names))]
-    return got
+def _marks(path: Path) -> tuple[int, int]:
+    """Places of the path's last element, and of all of them, as bits of a number; kept on the path, made from the outside in."""
+    chain, at = [], path
+    while at is not None and at.marks is None:
+        chain.append(at)
+        at = at.outer
+    for at in reversed(chain):
+        own = 0
+        for x in (at.element[0], *("." + n for n in at.element[1:])):
+            own |= 1 << _PLACES.get(x, 0 if x[0] == "." else 1)
+        at.marks = (own, own | (at.outer.marks[1] if at.outer else 0))
+    return path.marks
+
+
+def _bits(numbers: list[int]) -> np.ndarray:
+    size = -(-PATH // 8)
+    held = np.frombuffer(b"".join(n.to_bytes(size, "little") for n in numbers), np.uint8).reshape(-1, size)
+    return np.unpackbits(held, axis=1, count=PATH, bitorder="little").astype(np.float32)
 
 
 def features(pages: list[list[tuple]]) -> np.ndarray:
@@ -52,14 +64,14 @@ def features(pages: list[list[tuple]]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
         return x
-    rows, places, values = [], [], []
-    for i, (path, _, _) in enumerate(blocks):
-        for depth, element in enumerate(reversed(path)):
-            got = _path_places(element)
-            rows += [i] * len(got)
-            places += got
-            values += [1.0 if depth < 2 else 0.7] * len(got)
-    np.maximum.at(x, (rows, places), np.array(values, np.float32))
+    near, all_ = [], []
+    for path, _, _ in blocks:
+        own, whole = _marks(path) if path else (0, 0)
+        near.append(own | (path.outer.marks[0] if path and path.outer else 0))
+        all_.append(whole)
+    for low in range(0, len(blocks), 4096):
+        high = low + 4096
+        x[low:high, :PATH] = np.maximum(_bits(near[low:high]), np.float32(0.7) * _bits(all_[low:high]))
     w = Words(pa.array([b[1] for b in blocks], pa.large_string()), lower=True)
     row = w.row_of_words()
     counts = np.bincount(row * WORDS + (w.hashes() % U(WORDS)).astype(np.int64), minlength=len(blocks) * WORDS).reshape(-1, WORDS)
@@ -148,7 +160,7 @@ def _back(p: dict, g: dict, d: str, x: np.ndarray, kept: list, dh_out: np.ndarra
         dc = np.where(live, dc2 * f, dc2)
 
 
-def train(pages: list[tuple[list[tuple], list[bool]]], epochs: int = 12, batch: int = 48, seed: int = 4) -> dict:
+def train(pages: list[tuple[list[tuple], list[bool]]], epochs: int = 10, batch: int = 48, seed: int = 4) -> dict:
     """The labeller's arrays, from (blocks, labels) of pages, by Adam on cross-entropy."""
     rng = np.random.default_rng(seed)
     p: dict[str, np.ndarray] = {"o": rng.normal(0, 0.2, (2 * HIDDEN, 1)), "ob": np.zeros(1)}
@@ -189,15 +201,31 @@ def train(pages: list[tuple[list[tuple], list[bool]]], epochs: int = 12, batch:
     return p
 
 
+PAGES = 5000
 _model: dict | None = None
 
 
 def model() -> dict:
     global _model
     if _model is None:
-        from quarrystone.llm.html_grammar import labelled_pages
+        _model = train(labelled_pages(PAGES))
+    return _model
+
+
+def trained(spark: SparkSession) -> dict:
+    """The labeller, trained by one task and kept for the session."""
+    global _model
+    if _model is None:
+
+        def run(batches):
+            for _ in batches:
+                held = io.BytesIO()
+                np.savez(held, **model())
+                yield pa.RecordBatch.from_arrays([binary_array([held.getvalue()])], names=["arrays"])
 
-        _model = train(labelled_pages(5000))
+        found = spark.range(1, numPartitions=1).mapInArrow(run, "arrays binary").first()["arrays"]
+        with np.load(io.BytesIO(found)) as held:
+            _model = {k: held[k] for k in held.files}
     return _model
 
 
@@ -213,7 +241,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
     """The ``keep`` columns (all but ``html`` if None) with text and n_chars."""
     keep = [c for c in (pages.columns if keep is None else keep) if c != html and c.lower() not in ("text", "n_chars")]
     small_batches(pages.sparkSession)
-    held = p or model()
+    held = p or trained(pages.sparkSession)
     body = "html"
     while body.lower() in {c.lower() for c in keep}:
         body = "_" + body

@@ -335,7 +335,7 @@ def test_zip64_directory(tmp_path, monkeypatch):
 
 def test_blocks():
     got = leaf_blocks("<body>a &amp;\n b<p>c<p class='x y'>d <a href=1>e</a><br>f</div><ul><li>g<li>h</ul><script>no</script><!-- no --><td title='>'>i")
-    assert [t for _, t, _ in got] == ["a & b", "c", "d e f", "g", "h", "i"] and got[2][0][-1] == ("p", "x", "y")
+    assert [t for _, t, _ in got] == ["a & b", "c", "d e f", "g", "h", "i"] and list(got[2][0])[-1] == ("p", "x", "y")
     assert leaf_blocks(None) == [] == leaf_blocks("<p> <br>") and leaf_blocks("1 < 2")[0][1] == "1 < 2"
 
 
@@ -351,6 +351,8 @@ def test_blocks():
     ("<p a='1>2' b = \"it's\" c=d'e>x</p f='>'>y<!-->z<!-- no --!>w", ["x", "yzw"]),
     ("<p>a<b title='never closed>b</b><p>c", ["ab", "c"]),
     ("<style>no</style foo>a</ b>c<br", ["ac"]),
+    ('<p>a</p><script src="a.js"/>var x = 1;</script><p>b</p><style media=x/>p{color:red}</style>', ["a", "b"]),
+    ("a<svg><title/><style/>x<div>b<script/>c</script>d", ["a x", "b d"]),
 ])
 def test_blocks_after_unclosed_elements(html, texts):
     assert [t for _, t, _ in leaf_blocks(html)] == texts
@@ -366,6 +368,34 @@ def test_pages_full_of_quotes_take_linear_time(part):
     assert time.process_time() - began < 20
 
 
+@pytest.mark.parametrize("part", ["<div>x", "<div>x</p>", "<p>x", "<ul><li>x"])
+def test_deeply_nested_pages_take_linear_time(part):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    tracemalloc.start()
+    blocks = leaf_blocks(part * 20_000)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    html_text.features([blocks])
+    assert time.process_time() - began < 20 and held < 60_000_000
+
+
+_PARAGRAPHS = ["The city council met on Tuesday to discuss the new budget and its effects on schools.", "Several residents spoke about the proposed changes, saying that more time was needed.", "A final vote is expected next month, officials said."]
+
+
+@pytest.mark.parametrize("wrap", ["%s", "<div id=wrap>%s</div>", "<div id=page><div class=row>%s</div></div>", "<div class=container>%s</div>", "<div id=wrap><div class=c-19>%s</div></div>"])
+def test_articles_in_layouts_of_others(wrap):
+    p, pages = html_text.model(), []
+    for tag in ("<article>%s</article>", "<main>%s</main>", "<section>%s</section>", "<div class=post>%s</div>", "<div class=c-7f3a>%s</div>", "<div>%s</div>", "<div id=content>%s</div>", "<div class='entry-content'>%s</div>"):
+        for nav in ("%s", "<div class='hdr'>%s</div>"):
+            body = nav % "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>" + tag % ("<h1>City council debates budget</h1>" + "".join(f"<p>{t}</p>" for t in _PARAGRAPHS))
+            pages.append("<html><head><title>x</title></head><body>" + wrap % (body + "<footer>&copy; 2020 Example. All rights reserved.</footer>") + "</body></html>")
+    want = "\n\n".join(["City council debates budget", *_PARAGRAPHS])
+    assert [t == want for t in html_text.main_texts(pages, p)].count(False) == 0
+
+
 def test_pages_of_the_small_table(spark):
     """The small table's pages mark their articles, so labels and text can be had without the network."""
     import os

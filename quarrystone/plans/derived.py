@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,16 @@ def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name:
     made[name].createOrReplaceTempView(name)
 
 
+_making = RLock()
+
+
 def derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, ...] = (), args: dict | None = None) -> DataFrame:
+    """``body`` over the tables of a folder, see ``_derived_sql``; one thread at a time makes tables and binds their names."""
+    with _making:
+        return _derived_sql(spark, sf_dir, body, fresh, args)
+
+
+def _derived_sql(spark: SparkSession, sf_dir: str, body: str, fresh: tuple[str, ...], args: dict | None) -> DataFrame:
     """``body`` over the raw and derived tables of a folder; ``fresh`` ones are worked out by the query itself, as by those
     whose result is such a table. ``args``: values of the statement's parameters."""
     register(spark, sf_dir)

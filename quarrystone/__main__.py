@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quarrystone.plans import registry
-from quarrystone.plans.ask import COMMON, ask
+from quarrystone.plans.ask import COMMON, ask, search
 from quarrystone.sources import graph_files, pdf, store
 
 
@@ -25,6 +25,10 @@ def main(argv: list[str] | None = None) -> None:
     asked.add_argument("question", help="SQL, or one of: " + ", ".join(COMMON))
     asked.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     asked.add_argument("--rows", type=int, default=100)
+    sought = sub.add_parser("search")
+    sought.add_argument("tables")
+    sought.add_argument("words")
+    sought.add_argument("--rows", type=int, default=10)
     sub.add_parser("counts").add_argument("folder")
     drop = sub.add_parser("drop")
     drop.add_argument("folder")
@@ -48,6 +52,8 @@ def main(argv: list[str] | None = None) -> None:
         registry.queries()[args.query](spark, args.tables).write.mode("overwrite").format(args.format).save(args.out)
     elif args.command == "ask":
         ask(spark, args.tables, args.question, **dict(p.split("=", 1) for p in args.param)).show(args.rows, truncate=False)
+    elif args.command == "search":
+        search(spark, args.tables, args.words, args.rows).show(args.rows, truncate=False)
     elif args.command == "counts":
         store.counts(spark, args.folder).show(1000, truncate=False)
     elif args.command == "drop":

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystone.functions.dialect import Spark
+from quarrystone.functions.search import ranked
 from quarrystone.plans.derived import derived_sql
 
 #: Named questions with their parameters. The rank of a search is the matches by one plus the logarithm of the text's words.
@@ -22,3 +24,8 @@ def ask(spark: SparkSession, folder: str, text: str, **params) -> DataFrame:
     """The rows that ``text`` asks for: a name of ``COMMON`` or a statement over any tables, with ``:name`` parameters, which are
     bound as values and never become part of the statement."""
     return derived_sql(spark, folder, COMMON.get(text, text), args=params or None)
+
+
+def search(spark: SparkSession, folder: str, words: str, k: int = 10) -> DataFrame:
+    """(path, hits, score): the ``k`` documents that rank highest of those that hold every word of ``words``, in any form."""
+    return derived_sql(spark, folder, f"SELECT c.path, r.hits, r.score FROM ({ranked(Spark(), words)}) r JOIN catalog c ON r.doc_id = c.doc_id ORDER BY r.score DESC, c.path LIMIT {int(k)}")

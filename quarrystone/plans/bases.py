@@ -8,6 +8,7 @@ from functools import cache
 from quarrystone.functions import names as N
 from quarrystone.functions import spelling as S
 from quarrystone.functions.phonetic import double_metaphone
+from quarrystone.functions.search import stem
 
 
 def _person(name: str) -> str:
@@ -52,6 +53,8 @@ BASES = {
     "catalog": lambda d: f"""SELECT doc_id, path, {d.rx_get('path', '([^/]+)$')} AS file_name, 'text/plain' AS file_type, CAST({d.bytes('text')} AS BIGINT) AS size_bytes, CAST(length(text) AS BIGINT) AS text_length FROM docs""",
     "tokens": lambda d: f"""SELECT doc_id, path, lang, w AS word FROM (SELECT doc_id, path, lang, {d.each(d.rx_all('text', '[\\p{L}\\p{N}_]+'))} AS w FROM docs) t WHERE {d.rx('w', '^[a-zA-Z]+$')}""",
     "words": lambda d: "SELECT doc_id, path, lang, lower(word) AS word FROM tokens WHERE length(word) > 1",
+    "postings": lambda d: f"""SELECT t.term, t.doc_id, t.tf, n.length FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, {stem(d, 'word')} AS term FROM words) s GROUP BY term, doc_id) t
+        JOIN (SELECT doc_id, count(*) AS length FROM words GROUP BY doc_id) n ON t.doc_id = n.doc_id""",
     "nouns": lambda d: f"SELECT doc_id, path, lower(word) AS term FROM tokens WHERE {d.rx('word', '^[A-Z][a-z]+$')}",
     "verbs": lambda d: f"SELECT doc_id, path, lower(word) AS term FROM tokens WHERE {d.rx('lower(word)', '^[a-z]+(ed|ing|s|es)$')}",
     "captions": lambda d: f"""SELECT path AS file_path, 'PHOTOGRAPHER ' || {_person('c_name')} || chr(10) || repeat('  Location ' || place || chr(10), CAST(1 + c_custkey % 3 AS INT)) || 'LOCATION -' AS text

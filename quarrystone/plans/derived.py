@@ -22,7 +22,7 @@ from quarrystone.plans.bases import BASES, named, with_bases
 from quarrystone.sources.tables import fingerprint, register
 
 #: Derived tables that cost more to make than to read.
-STORED = tuple("catalog tokens nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
+STORED = tuple("catalog tokens postings nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
 #: Queries whose result is a derived table: they make it anew.
 OWN = {
     "e1_extracted_names": ("names",), "e2_extracted_locations": ("places",), "g2_term_document_matrix": ("tdm",), "g5_tfidf": ("tfidf",), "g6_similar_pairs": ("pairs",), "v1_document_quality": ("quality",),
@@ -61,8 +61,13 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("u").alias("doc_id_1"), F.col("v").alias("doc_id_2"), F.col("w").alias("cosine_similarity"))
 
 
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The index in ranges of terms, sorted: files and row groups tell which terms they hold."""
+    return spark.sql(with_bases(Spark(), BASES["postings"](Spark()), STORED)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 #: Derived tables made by an operator; their statement serves the checking engine.
-MADE = {"members": _members, "phones": _phones, "anchors": _anchors, "pairs": _pairs}
+MADE = {"members": _members, "phones": _phones, "anchors": _anchors, "pairs": _pairs, "postings": _postings}
 
 
 def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name: str) -> None:

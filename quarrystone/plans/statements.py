@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarrystone.functions import dates as D
 from quarrystone.functions import names as N
 from quarrystone.functions import spelling as S
+from quarrystone.functions.search import ranked
 from quarrystone.functions.mime import DEFAULT, ending, endings
 
 PERIODS = "VALUES (1, 'early', 1992, 1995), (2, 'middle', 1994, 1996), (3, 'late', 1996, 1999)"
@@ -137,6 +138,7 @@ STATEMENTS = {
     "x30_subfolder_key": lambda d: f"SELECT path, coalesce(nullif({d.rx_get('path', '^(VOL[0-9]+/IMAGES/[0-9]+)')}, ''), {d.rx_get('path', '([^/]+)/[^/]*$')}) AS subfolder FROM (SELECT path FROM docs UNION ALL SELECT 'OTHER/' || path FROM docs UNION ALL SELECT 'loose/' || file_name FROM catalog) t",
     "x31_file_ids": lambda d: f"SELECT path, CAST({d.rx_get('path', 'DOC([0-9]+)_')} AS BIGINT) AS id, lpad(CAST(CAST(floor((CAST({d.rx_get('path', 'DOC([0-9]+)_')} AS BIGINT) - 1) / 100.0) AS BIGINT) + 1 AS STRING), 5, '0') AS chunk FROM docs",
     "x33_labels": lambda d: f"SELECT doc_id, {d.listagg('upper(substr(term, 1, 1)) || substr(term, 2)', ' / ', 'tf DESC, term')} AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rn FROM tdm) t WHERE rn <= 3 GROUP BY doc_id",
+    "x34_ranked_search": lambda d: ranked(d, "the anon entions"),
     "x34_full_text_search": lambda d: "SELECT doc_id, CAST(sum(n) AS BIGINT) AS score FROM (SELECT doc_id, word, count(*) AS n FROM words WHERE word IN ('the', 'of', 'and') GROUP BY doc_id, word) t GROUP BY doc_id HAVING count(*) = 3 ORDER BY 2 DESC, 1 LIMIT 10",
     # dates and maths
     "d1_found_dates": lambda d: f"SELECT o_orderkey, {d.each(d.rx_all('note', '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}'))} AS date_string FROM (SELECT o_orderkey, 'on ' || {d.date_text('o_orderdate')} || ' and ' || {d.date_text('o_orderdate')} || '.' AS note FROM orders) t",

@@ -16,7 +16,7 @@ DATE_FAMILIES = [
     (r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{1,2}, [0-9]{4}", "month day year"),
     (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}", "iso"),
 ]
-DESCRIPTIONS = [("document_quality", "errors and scores of each document"), ("document_entities", "names and verbs of each document"), ("person_cooccurrence", "persons who share documents"), ("location_summary", "places by documents")]
+DESCRIPTIONS = [("document_quality", "errors and scores of each document", "quality"), ("document_entities", "names, places and dates of each document", "catalog"), ("person_cooccurrence", "persons who share documents", "cooccurrence"), ("location_summary", "places by documents", "(SELECT location_string FROM places GROUP BY location_string HAVING count(*) >= 2) t")]
 
 
 def _forms(d) -> str:
@@ -98,7 +98,8 @@ STATEMENTS = {
     "e17_queue_statistics": lambda d: f"SELECT level, methods, count(*) AS n, round(avg(score), 5) AS mean, round(min(score), 5) AS least, round(max(score), 5) AS most FROM (SELECT s.score, q.methods, CASE WHEN s.score >= 0.85 THEN 'HIGH' WHEN s.score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ({_holistic(d)}) s JOIN queue q ON s.v1 = q.v1 AND s.v2 = q.v2) t GROUP BY level, methods",
     "e18_integrity_checks": lambda d: """SELECT 'alias without canonical' AS rule, count(*) AS broken FROM aliases WHERE canonical_name IS NULL UNION ALL SELECT 'excluded yet canonical', count(*) FROM canonical c LEFT SEMI JOIN exclusions e ON c.canonical_name = e.entity_name
         UNION ALL SELECT 'relation without source', count(*) FROM relations r LEFT ANTI JOIN entities e ON r.src = e.entity_id UNION ALL SELECT 'relation without target', count(*) FROM relations r LEFT ANTI JOIN entities e ON r.tgt = e.entity_id""",
-    "e19_normalisation_rules": lambda d: "SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.pattern, a.pattern) AS pattern, coalesce(b.active, a.active) AS active FROM (SELECT * FROM (VALUES ('title', 'dr', true), ('title', 'mr', true), ('artifact_suffix', 'sent', true)) AS x(kind, pattern, active)) a FULL OUTER JOIN (SELECT * FROM (VALUES ('title', 'mr', false), ('ocr_pattern', 'rn', true)) AS y(kind, pattern, active)) b ON a.kind = b.kind AND a.pattern = b.pattern",
+    "e19_normalisation_rules": lambda d: """SELECT r.kind, r.pattern, r.active, count(v.name) AS names FROM (SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.pattern, a.pattern) AS pattern, coalesce(b.active, a.active) AS active FROM (SELECT * FROM (VALUES ('title', 'dr', true), ('title', 'mr', true), ('artifact_suffix', 'sent', true)) AS x(kind, pattern, active)) a FULL OUTER JOIN (SELECT * FROM (VALUES ('title', 'mr', false), ('ocr_pattern', 'rn', true)) AS y(kind, pattern, active)) b ON a.kind = b.kind AND a.pattern = b.pattern) r
+        LEFT JOIN (SELECT DISTINCT lower(variant) AS name FROM variants) v ON contains(v.name, r.pattern) GROUP BY r.kind, r.pattern, r.active""",
     # networks
     "g4_documents_sharing_terms": lambda d: "SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS shared FROM tdm a JOIN tdm b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 20",
     "g7_name_weighted_similarity": lambda d: """SELECT p.doc_id_1, p.doc_id_2, round(CAST(0.7 AS DOUBLE) * p.cosine_similarity + CAST(0.3 AS DOUBLE) * coalesce(i.n / CAST(x.n + y.n - i.n AS DOUBLE), 0), 9) AS similarity FROM pairs p JOIN docs g ON p.doc_id_1 = g.doc_id JOIN docs h ON p.doc_id_2 = h.doc_id
@@ -118,5 +119,5 @@ STATEMENTS = {
     "r1_network_by_threshold": lambda d: f"SELECT threshold, u AS node, count(*) AS degree, round(max(w), 6) AS strongest FROM (SELECT threshold, u, w FROM {_swept(d)} a UNION ALL SELECT threshold, v, w FROM {_swept(d)} b) t GROUP BY threshold, u",
     "r2_threshold_list": lambda d: f"SELECT threshold, count(*) AS edges, count(DISTINCT u) AS sources, round(avg(w), 6) AS mean FROM {_swept(d)} s GROUP BY threshold",
     "r3_document_neighbours": lambda d: "SELECT u AS doc_id, v AS neighbour, w FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY w DESC, v) AS rn FROM (SELECT u, v, w FROM links UNION ALL SELECT v, u, w FROM links) b) t WHERE rn <= 10",
-    "c6_view_list": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DESCRIPTIONS) + ") AS v(view_name, description)",
+    "c6_view_list": lambda d: " UNION ALL ".join(f"SELECT '{name}' AS view_name, '{text}' AS description, count(*) AS n_rows FROM {rows}" for name, text, rows in DESCRIPTIONS),
 }

@@ -148,7 +148,8 @@ STATEMENTS = {
     "d4_date_statistics": lambda d: f"SELECT o_custkey, CAST(min({d.days('o_orderdate')}) AS BIGINT) AS first_day, CAST(max({d.days('o_orderdate')}) - min({d.days('o_orderdate')}) AS BIGINT) AS span, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY o_custkey",
     "d5_gap_in_years": lambda d: f"SELECT a.o_custkey AS a, round(greatest(a.lo - b.hi, b.lo - a.hi, 0) / CAST(365.25 AS DOUBLE), 6) AS gap FROM (SELECT o_custkey, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM orders GROUP BY o_custkey) a JOIN (SELECT o_custkey, min({d.days('o_orderdate')}) AS lo, max({d.days('o_orderdate')}) AS hi FROM orders GROUP BY o_custkey) b ON a.o_custkey + 1 = b.o_custkey",
     "m1_rounding": lambda d: "SELECT o_orderkey, round(ln(o_totalprice), 6) AS l, abs(round(o_totalprice - 100000, 2)) AS a FROM orders",
-    "m2_threshold_grid": lambda d: f"SELECT round(0.2 + i * CAST(0.05 AS DOUBLE), 6) AS threshold FROM (SELECT {d.each(d.seq(0, 15))} AS i) t",
+    "m2_threshold_grid": lambda d: f"""SELECT t.threshold, CAST(sum(coalesce(n, 0)) OVER (ORDER BY t.i DESC) AS BIGINT) AS linked_documents FROM (SELECT i, round(0.2 + i * CAST(0.05 AS DOUBLE), 6) AS threshold FROM (SELECT {d.each(d.seq(0, 15))} AS i) g) t
+        LEFT JOIN (SELECT step, count(*) AS n FROM (SELECT {d.size(d.keep(d.seq(0, 15), 'i', 'most >= round(0.2 + i * CAST(0.05 AS DOUBLE), 6)'))} - 1 AS step FROM (SELECT node, max(w) AS most FROM (SELECT u AS node, w FROM links UNION ALL SELECT v, w FROM links) b GROUP BY node) m) s GROUP BY step) c ON t.i = c.step""",
     "m3_holistic_score": lambda d: "SELECT v1, v2, round(CAST((0.25 * similarity + 0.2 * coalesce(phonetic, 0) + 0.15 * coalesce(initials, 0) + 0.2 * least(shared / CAST(10 AS DOUBLE), 1) + 0.1 * coalesce(context, 0)) AS DOUBLE) / CAST((0.25 + CASE WHEN phonetic > 0 THEN 0.2 ELSE 0 END + CASE WHEN initials > 0 THEN 0.15 ELSE 0 END + 0.2 + CASE WHEN context > 0 THEN 0.1 ELSE 0 END) AS DOUBLE), 5) AS score FROM queue",
     "n1_json_fields": lambda d: f"SELECT event_id, {d.json('props', 'k')} AS k FROM events",
     "n2_counts_by_community": lambda d: "SELECT l.u, m.community, count(*) AS n FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l JOIN members m ON l.v = m.node GROUP BY 1, 2",

@@ -127,6 +127,14 @@ BASES = {
         CASE WHEN l_quantity >= 50 THEN 1 ELSE 2 END AS degree FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "edges": lambda d: "SELECT least(src, tgt) AS u, greatest(src, tgt) AS v, count(*) AS weight FROM relations GROUP BY 1, 2",
     "sides": lambda d: "SELECT u, v, weight FROM edges UNION ALL SELECT v, u, weight FROM edges",
+    # what letters say of persons and companies, with the folder that each letter is kept in; partial orders tell no folder
+    "claims": lambda d: f"""SELECT o_orderkey * 100000 + l_linenumber * 10000 + CAST(round(l_discount * 100) AS BIGINT) * 10 + CASE WHEN l_returnflag = 'R' THEN 2 WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS nr, {_person('c_name')} AS source_entity, 'Company ' || CAST(l_suppkey AS STRING) AS target_entity,
+        CASE WHEN l_returnflag = 'R' THEN 'associate' WHEN l_linestatus = 'O' THEN 'founder' ELSE 'executive' END AS type, round(l_discount * 10 + CAST(0.1 AS DOUBLE), 2) AS confidence, o_orderstatus AS notes,
+        CASE WHEN o_orderstatus <> 'P' THEN 'W' || CAST(CAST(floor({d.days('o_orderdate')} / 7.0) AS BIGINT) AS STRING) || '-' || substr(o_orderpriority, 1, 1) END AS citation,
+        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'court_document' WHEN '2' THEN 'newspaper' WHEN '3' THEN 'book' WHEN '4' THEN 'deposition' ELSE 'government_record' END AS source_type, 'p. ' || CAST(l_linenumber AS STRING) AS page
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey""",
+    "described": lambda d: f"""SELECT CAST(c_custkey AS BIGINT) AS nr, {_person('c_name')} AS name, 'person' AS type, CASE WHEN c_acctbal < 0 THEN '' ELSE 'Works in ' || lower(c_mktsegment) END AS description, 'Register of nation ' || CAST(c_nationkey AS STRING) AS citation FROM customer WHERE c_custkey % 3 > 0
+        UNION ALL SELECT CAST(1000000000 + s_suppkey AS BIGINT), 'Company ' || CAST(s_suppkey AS STRING), 'company', 'Supplier of nation ' || CAST(s_nationkey AS STRING), CASE WHEN s_acctbal > 0 THEN 'Register of nation ' || CAST(s_nationkey AS STRING) END FROM supplier WHERE s_suppkey % 2 = 0""",
     # names as letters have them, and the pairs that may be one person: by sound, by initials and by the organisations met
     "written": lambda d: f"""SELECT letter, file_path, day, CASE WHEN letter % 5 = 0 THEN substr(p, 1, 1) || '. ' || substr(p, 5) ELSE p END AS name FROM (SELECT o_orderkey AS letter, {d.days('o_orderdate')} AS day,
         'W' || CAST(CAST(floor({d.days('o_orderdate')} / 7.0) AS BIGINT) AS STRING) || '-' || substr(o_orderpriority, 1, 1) AS file_path, {_person('c_name')} AS p FROM orders JOIN customer ON o_custkey = c_custkey) t""",

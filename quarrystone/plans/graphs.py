@@ -10,7 +10,7 @@ from quarrystone.functions import names, recognition
 from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
 from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes
-from quarrystone.operators import centrality, communities, cycles, thresholds, topology
+from quarrystone.operators import centrality, citations, communities, cycles, thresholds, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import shared_folder
 from quarrystone.operators.upsert import upsert
@@ -109,6 +109,39 @@ def g19_greedy(spark, sf_dir):
     return communities.greedy(_links(spark, sf_dir), shared_folder(spark))
 
 
+def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations with their sources, as ``citations`` takes them."""
+
+    def sources(cited: str, kind: str, title: str, page: str) -> str:
+        fields = f"'source_type', {kind}, 'citation', {cited}, 'title', {title}, 'url', CAST(NULL AS STRING), 'page', {page}, 'quote', CAST(NULL AS STRING)"
+        return f"CASE WHEN {cited} IS NOT NULL THEN array(named_struct({fields})) END AS sources"
+
+    entities = _sql(spark, sf_dir, f"SELECT nr, name, type, description, {sources('citation', repr('government_record'), 'citation', 'CAST(NULL AS STRING)')} FROM described")
+    relations = _sql(spark, sf_dir, f"SELECT nr, source_entity, target_entity, type, confidence, notes, {sources('citation', 'source_type', repr('Folder ') + ' || citation', 'page')} FROM claims")
+    return entities, relations
+
+
+def g30_cited_graph(spark, sf_dir):
+    """The relations of the loaded graph with the types of both ends and the number of their sources and pages."""
+    made = citations.load(*_cited(spark, sf_dir), on_invalid="leave")
+    counts = made["relation_sources"].groupBy(*citations.RELATION).agg(F.count(F.lit(1)).alias("n_sources"), F.min("page").alias("first_page"))
+    ends = made["entities"].select("name", F.col("type").alias("kind"), (F.col("description") == citations.PENDING).alias("pending"))
+    a, b = (ends.select(F.col("name").alias(end), F.col("kind").alias(f"{end}_type"), F.col("pending").alias(f"{end}_pending")) for end in ("source_entity", "target_entity"))
+    return made["relations"].join(counts, citations.RELATION).join(a, "source_entity").join(b, "target_entity")
+
+
+def g30_cited_sources(spark, sf_dir):
+    return citations.load(*_cited(spark, sf_dir), on_invalid="leave")["sources"].select("citation", "source_type", "title")
+
+
+def g31_invalid_relations(spark, sf_dir):
+    return citations.problems(*_cited(spark, sf_dir))
+
+
+def g32_citation_report(spark, sf_dir):
+    return citations.report(citations.load(*_cited(spark, sf_dir), on_invalid="take"))
+
+
 def e3_recognised_entities(spark, sf_dir):
     """Persons and places of the captions by a recogniser of two patterns; any other is plugged in alike."""
     found = recognition.patterns({"PERSON": r"PHOTOGRAPHER +([^\n]+)", "GPE": r"  Location +([^\n]+)"})
@@ -139,10 +172,26 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities, g30_cited_graph, g30_cited_sources, g31_invalid_relations, g32_citation_report)}
 
 _CHECK = Check()
+_SOUND_CLAIMS = "(SELECT * FROM claims WHERE citation IS NOT NULL AND confidence BETWEEN 0 AND 1)"
+_SOUND_ENTITIES = "(SELECT * FROM described WHERE description <> '' AND citation IS NOT NULL)"
+_COMPANY_TYPES = ", ".join(f"'{t}'" for t in citations.COMPANY_TYPES)
 SQL = {
+    "g30_cited_graph": f"""WITH RECURSIVE sound AS {_SOUND_CLAIMS}, ends AS (SELECT name, arg_max(type, nr) AS kind, false AS pending FROM {_SOUND_ENTITIES} e GROUP BY name
+        UNION ALL SELECT name, arg_min(kind, nr * 2 + side), true FROM (SELECT source_entity AS name, nr, 0 AS side, 'person' AS kind FROM sound UNION ALL SELECT target_entity, nr, 1, CASE WHEN type IN ({_COMPANY_TYPES}) THEN 'company' ELSE 'person' END FROM sound) h
+        WHERE name NOT IN (SELECT name FROM {_SOUND_ENTITIES} e) GROUP BY name)
+        SELECT r.source_entity, r.target_entity, r.type, r.confidence, r.notes, l.n_sources, l.first_page, a.kind AS source_entity_type, a.pending AS source_entity_pending, b.kind AS target_entity_type, b.pending AS target_entity_pending
+        FROM (SELECT source_entity, target_entity, type, arg_max(confidence, nr) AS confidence, arg_max(notes, nr) AS notes FROM sound GROUP BY 1, 2, 3) r
+        JOIN (SELECT source_entity, target_entity, type, count(*) AS n_sources, min(page) AS first_page FROM (SELECT source_entity, target_entity, type, citation, arg_min(page, nr) AS page FROM sound GROUP BY 1, 2, 3, 4) s GROUP BY 1, 2, 3) l
+        ON r.source_entity = l.source_entity AND r.target_entity = l.target_entity AND r.type = l.type JOIN ends a ON r.source_entity = a.name JOIN ends b ON r.target_entity = b.name""",
+    "g30_cited_sources": f"SELECT citation, min(source_type) AS source_type, min(title) AS title FROM (SELECT citation, source_type, 'Folder ' || citation AS title FROM {_SOUND_CLAIMS} c UNION SELECT citation, 'government_record', citation FROM {_SOUND_ENTITIES} e) s GROUP BY citation",
+    "g31_invalid_relations": """SELECT 'entity' AS kind, nr, name AS subject, 'no description' AS problem FROM described WHERE description = '' UNION ALL SELECT 'entity', nr, name, 'no description sources' FROM described WHERE citation IS NULL
+        UNION ALL SELECT 'relation', nr, source_entity || ' -> ' || target_entity, 'no sources' FROM claims WHERE citation IS NULL UNION ALL SELECT 'relation', nr, source_entity || ' -> ' || target_entity, 'invalid confidence score' FROM claims WHERE confidence > 1""",
+    "g32_citation_report": """WITH RECURSIVE cited AS (SELECT source_entity || ' --[' || type || ']--> ' || target_entity AS name, source_entity, target_entity, type, count(DISTINCT citation) AS n FROM claims GROUP BY source_entity, target_entity, type)
+        SELECT 'source type' AS section, source_type AS name, count(DISTINCT citation) AS n FROM (SELECT source_type, citation FROM claims UNION ALL SELECT 'government_record', citation FROM described) s WHERE citation IS NOT NULL GROUP BY source_type
+        UNION ALL SELECT 'most cited', name, n FROM (SELECT * FROM cited ORDER BY n DESC, source_entity, target_entity, type LIMIT 10) t UNION ALL SELECT 'without source', '', count(*) FROM cited WHERE n = 0""",
     "e3_recognised_entities": f"""SELECT file_path, kind, entity, count(*) AS occurrence_count FROM (SELECT file_path, 'name' AS kind, {names.clean_name(_CHECK, 'span')} AS entity FROM (SELECT file_path, {_CHECK.each(_CHECK.rx_groups('text', 'PHOTOGRAPHER +([^' + chr(92) + 'n]+)'))} AS span FROM captions) a
         UNION ALL SELECT file_path, 'location', {names.clean_place(_CHECK, 'span')} FROM (SELECT file_path, {_CHECK.each(_CHECK.rx_groups('text', '  Location +([^' + chr(92) + 'n]+)'))} AS span FROM captions) b) t
         WHERE entity <> '' AND CASE WHEN kind = 'name' THEN {names.valid_name(_CHECK, 'entity')} ELSE {names.valid_place(_CHECK, 'entity')} END GROUP BY file_path, kind, entity""",

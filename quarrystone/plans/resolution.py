@@ -107,8 +107,6 @@ STATEMENTS = {
         LEFT JOIN (SELECT file_path, count(*) AS n FROM names GROUP BY file_path) x ON g.path = x.file_path LEFT JOIN (SELECT file_path, count(*) AS n FROM names GROUP BY file_path) y ON h.path = y.file_path""",
     "g13_gap_threshold": lambda d: "SELECT threshold, gap FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1",
     "g14_snapped_threshold": lambda d: f"SELECT threshold FROM (SELECT g.threshold, abs(g.threshold - k.threshold) AS off FROM ({GRID} FROM (SELECT {d.each(d.seq(0, 17))} AS i) s) g CROSS JOIN (SELECT threshold FROM (SELECT w AS threshold, round(w - lead(w) OVER (ORDER BY w DESC), 6) AS gap FROM (SELECT DISTINCT w FROM links) l) t WHERE gap IS NOT NULL ORDER BY gap DESC, threshold DESC LIMIT 1) k) z ORDER BY off, threshold LIMIT 1",
-    "g30_cited_graph": lambda d: "SELECT r.src, r.tgt, r.type, count(*) AS citations FROM relations r JOIN (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, o_orderpriority AS source FROM orders) s ON r.src = s.src GROUP BY r.src, r.tgt, r.type",
-    "g32_citation_report": lambda d: "SELECT source, count(*) AS cited, count(DISTINCT src) AS entities FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, o_orderpriority AS source FROM orders) s JOIN (SELECT DISTINCT src AS e FROM relations) r ON s.src = r.e GROUP BY source ORDER BY 2 DESC, 1 LIMIT 10",
     "g33_edge_statistics": lambda d: "SELECT m.n AS edges, v.n AS vertices, round(CAST(2.0 AS DOUBLE) * m.n / nullif(CAST(v.n AS DOUBLE) * (v.n - 1), 0), 8) AS density, round(CAST(2.0 AS DOUBLE) * m.n / nullif(v.n, 0), 6) AS mean_degree FROM (SELECT count(*) AS n FROM links) m CROSS JOIN (SELECT count(*) AS n FROM (SELECT u FROM links UNION SELECT v FROM links) x) v",
     "g37_sources": lambda d: "SELECT DISTINCT o_orderpriority AS source, CAST(o_custkey AS BIGINT) AS entity FROM orders",
     # views, endpoints, maintenance

@@ -191,7 +191,6 @@ STATEMENTS = {
     "g27_two_hop_expansion": lambda d: "SELECT entity, min(hops) AS degree FROM (SELECT v AS entity, 1 AS hops FROM sides WHERE u = 1 UNION ALL SELECT b.v, 2 FROM sides a JOIN sides b ON a.v = b.u WHERE a.u = 1 AND b.v <> 1) t GROUP BY entity",
     "g28_seed_selection": lambda d: "SELECT m.name_string, count(*) AS n FROM mentions m LEFT SEMI JOIN entities e ON m.name_string = e.name GROUP BY m.name_string HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 100",
     "g29_entity_mentions": lambda d: "SELECT e.entity_id, m.file_path FROM entities e JOIN mentions m ON e.name = m.name_string",
-    "g31_invalid_relations": lambda d: "SELECT r.src, r.tgt FROM relations r LEFT ANTI JOIN entities e ON r.src = e.entity_id",
     "g33_density": lambda d: "SELECT round(2.0 * e.n / CAST(v.n * (v.n - 1) AS DOUBLE), 8) AS density FROM (SELECT count(*) AS n FROM edges) e CROSS JOIN (SELECT count(*) AS n FROM entities) v",
     "g33_structural_holes": lambda d: f"""SELECT k.node, k.k AS degree, round(x.constraint_sum / (k.k * k.k), 6) AS constraint_score, round(k.k - x.ties / CAST(k.k AS DOUBLE), 6) AS effective_size FROM ({NEIGHBOURS}) k
         JOIN (SELECT e.i, sum((1 + coalesce(c.s, 0)) * (1 + coalesce(c.s, 0))) AS constraint_sum, sum(coalesce(c.n, 0)) AS ties FROM (SELECT u AS i, v AS j FROM links UNION ALL SELECT v, u FROM links) e

@@ -1,4 +1,4 @@
-"""Command line: list queries, run one, ask in SQL, count or clear tables, export a graph, extract PDF texts."""
+"""Command line: list queries, run one, ask in SQL, count or clear tables, export a graph, write a script of corrections, extract PDF texts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from quarrystone.plans import registry
 from quarrystone.plans.ask import COMMON, ask, search
 from quarrystone.sources import graph_files, pdf, store
+from quarrystone.sources.reports import write_correction_script
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -38,6 +39,9 @@ def main(argv: list[str] | None = None) -> None:
     graph.add_argument("tables")
     graph.add_argument("out")
     graph.add_argument("--format", default="graphml", choices=["graphml", "gexf", "edges"])
+    script = sub.add_parser("corrections")
+    script.add_argument("tables")
+    script.add_argument("out", help="the script to write")
     texts = sub.add_parser("pdf")
     texts.add_argument("folder")
     texts.add_argument("out")
@@ -58,6 +62,8 @@ def main(argv: list[str] | None = None) -> None:
         store.counts(spark, args.folder).show(1000, truncate=False)
     elif args.command == "drop":
         print(store.drop(spark, args.folder, args.names, dry_run=not args.confirm))
+    elif args.command == "corrections":
+        print(write_correction_script(registry.queries()["s14_autocorrect_map"](spark, args.tables), args.out))
     elif args.command == "pdf":
         pdf.extract_texts(spark, args.folder, args.out, args.force, args.dry_run).select("path", "pages").show(1000, truncate=False)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -74,20 +75,26 @@ def osa(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 _POSITIONS = T.ArrayType(
-    T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])
+    T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("number", T.LongType())])
 )
 _WORD = re.compile(r"\b[a-zA-Z]+\b")
 
 
 @F.pandas_udf(_POSITIONS)
 def token_positions(text: pd.Series) -> pd.Series:
-    """Words of two letters or more with their places and up to 50 characters on either side, line ends as spaces."""
+    """Words of two letters or more with their places, up to 50 characters on either side, line ends as spaces, and the number of
+    that word's occurrence in the text, from 1."""
 
     def one(t: str | None) -> list:
         if t is None:
             return []
-        flat = t.replace("\n", " ")
-        return [{"word": m[0].lower(), "start": m.start(), "end": m.end(), "before": flat[max(0, m.start() - 50) : m.start()].strip(), "after": flat[m.end() : m.end() + 50].strip()} for m in _WORD.finditer(t) if m.end() - m.start() > 1]
+        flat, seen, out = t.replace("\n", " "), Counter(), []
+        for m in _WORD.finditer(t):
+            if m.end() - m.start() > 1:
+                word = m[0].lower()
+                seen[word] += 1
+                out.append({"word": word, "start": m.start(), "end": m.end(), "before": flat[max(0, m.start() - 50) : m.start()].strip(), "after": flat[m.end() : m.end() + 50].strip(), "number": seen[word]})
+        return out
 
     return text.map(one)
 

@@ -41,6 +41,19 @@ def _initialled(d) -> str:
     return f"SELECT name, {d.size('toks')} AS count, {d.at('toks', d.size('toks'))} AS last, {d.join(first, ' ')} AS initials, length({d.at('toks', 1)}) = 1 AS initialled FROM (SELECT * FROM forms WHERE {d.size('toks')} >= 2) t"
 
 
+def _located(d) -> str:
+    """Each place of a misspelt word with what is around it; an operator's work, the statement cuts texts into runs for the check."""
+    runs = d.rx_all("text", r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+")
+    around = "trim(replace(substr(text, greatest(s - 50, 0) + 1, least(s, 50)), chr(10), ' ')) AS context_before, trim(replace(substr(text, s + length(word) + 1, 50), chr(10), ' ')) AS context_after"
+    return f"""SELECT doc_id, file_path, word, row_number() OVER (PARTITION BY doc_id, word ORDER BY s) AS occurrence_number, s AS position_start, s + length(word) AS position_end, length(text) AS document_length, {PERCENT} AS position_percent, {around}
+        FROM (SELECT doc_id, path AS file_path, text, lower(run) AS word, CAST(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) - length(run) AS BIGINT) AS s
+        FROM (SELECT doc_id, path, text, unnest(runs) AS run, unnest(generate_series(1, len(runs))) AS i FROM (SELECT *, {runs} AS runs FROM docs WHERE lang = 'en') a) b) c WHERE word IN (SELECT word FROM misspelt) AND {d.rx('word', '^[a-z]+$')}"""
+
+
+#: Where a word starts in its document, in per cent with two decimals, halves up.
+PERCENT = "floor((s * 20000 + length(text)) / CAST(2 * length(text) AS DOUBLE)) / CAST(100 AS DOUBLE)"
+
+
 def _met() -> str:
     """The organisations of the letters that name each person."""
     return "SELECT DISTINCT w.name, o.org FROM written w JOIN organisations o ON w.letter = o.letter"
@@ -86,6 +99,9 @@ BASES = {
         FROM misspelt m LEFT JOIN corrections c ON m.word = c.word LEFT JOIN foreign_words f ON m.word = f.word) t""",
     "spelling": lambda d: """SELECT w.file_path, w.doc_id, w.occurrences, i.* FROM (SELECT word, path AS file_path, doc_id, count(*) AS occurrences FROM words WHERE lang = 'en' GROUP BY word, path, doc_id) w JOIN issues i ON w.word = i.word""",
     "errors": lambda d: "SELECT * FROM spelling WHERE NOT is_abbreviation AND NOT is_ocr_fragment",
+    "located": _located,
+    "sure_contexts": lambda d: """SELECT l.word, suggested_correction, substr(context_before || ' [' || l.word || '] ' || context_after, 1, 100) AS context, count(*) AS occurrence_count FROM located l JOIN issues i ON l.word = i.word
+        WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL AND NOT is_abbreviation AND NOT is_ocr_fragment GROUP BY 1, 2, 3""",
     "applied": lambda d: f"""SELECT file_path, count(*) AS n, CAST(sum(CASE WHEN kind = 'spelling' THEN 1 ELSE 0 END) AS BIGINT) AS spelling, CAST(sum(CASE WHEN kind = 'translation' THEN 1 ELSE 0 END) AS BIGINT) AS translation, {d.sorted_list("word || '=' || replacement")} AS changes FROM (
         SELECT file_path, word, CASE WHEN foreign_language_confidence = 'HIGH' THEN 'translation' ELSE 'spelling' END AS kind, CASE WHEN foreign_language_confidence = 'HIGH' THEN foreign_word_translation ELSE suggested_correction END AS replacement
         FROM spelling WHERE (confidence = 'HIGH' AND suggested_correction IS NOT NULL AND NOT is_abbreviation AND NOT is_ocr_fragment) OR foreign_language_confidence = 'HIGH') t GROUP BY file_path""",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.dialect import Spark
+from quarrystone.functions.fuzzy import token_positions
 from quarrystone.functions.phonetic import composite_codes
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.cosine import similar_pairs
@@ -22,7 +23,7 @@ from quarrystone.plans.bases import BASES, named, with_bases
 from quarrystone.sources.tables import fingerprint, register
 
 #: Derived tables that cost more to make than to read.
-STORED = tuple("catalog tokens postings nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
+STORED = tuple("catalog tokens postings nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling located quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
 #: Queries whose result is a derived table: they make it anew.
 OWN = {
     "e1_extracted_names": ("names",), "e2_extracted_locations": ("places",), "g2_term_document_matrix": ("tdm",), "g5_tfidf": ("tfidf",), "g6_similar_pairs": ("pairs",), "v1_document_quality": ("quality",),
@@ -55,6 +56,16 @@ def _anchors(spark: SparkSession, folder: str) -> DataFrame:
     return names.where("canonical_name IS NOT NULL").select("name", "canonical_name", F.lit("direct").alias("how"), F.lit(1.0).alias("confidence")).unionByName(found)
 
 
+def _located(spark: SparkSession, folder: str) -> DataFrame:
+    """The places of misspelt words; texts are cut in Python, and only the rows of those words go on."""
+    docs = spark.sql(with_bases(Spark(), "SELECT doc_id, path AS file_path, text FROM docs WHERE lang = 'en'", STORED))
+    each = docs.select("doc_id", "file_path", F.length("text").cast("long").alias("document_length"), F.explode(token_positions("text")).alias("t"))
+    rows = each.withColumn("word", F.col("t.word")).join(spark.table("misspelt"), "word", "left_semi")
+    percent = F.floor((F.col("t.start") * 20000 + F.col("document_length")) / (2 * F.col("document_length")).cast("double")) / F.lit(100.0)
+    places = [F.col("t.number").alias("occurrence_number"), F.col("t.start").alias("position_start"), F.col("t.end").alias("position_end")]
+    return rows.select("doc_id", "file_path", "word", *places, "document_length", percent.alias("position_percent"), F.col("t.before").alias("context_before"), F.col("t.after").alias("context_after"))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.sql(with_bases(Spark(), "SELECT doc_id AS id, term, w FROM tfidf", STORED))
     found = similar_pairs(rows, spark.table("documents").count(), 0.1)
@@ -67,7 +78,7 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Derived tables made by an operator; their statement serves the checking engine.
-MADE = {"members": _members, "phones": _phones, "anchors": _anchors, "pairs": _pairs, "postings": _postings}
+MADE = {"members": _members, "phones": _phones, "anchors": _anchors, "pairs": _pairs, "located": _located, "postings": _postings}
 
 
 def _ensure(spark: SparkSession, folder: str, made: dict[str, DataFrame], name: str) -> None:

@@ -17,6 +17,16 @@ WIDEST = "SELECT gap, gap_threshold FROM (SELECT p AS gap_threshold, round(p - l
 NEIGHBOURS = "SELECT node, count(*) AS k FROM (SELECT u AS node FROM links UNION ALL SELECT v FROM links) h GROUP BY node"
 
 
+def _total(condition: str) -> str:
+    return f"CAST(coalesce(sum(CASE WHEN {condition} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+
+
+def _quarters() -> str:
+    """How many of the places are in each quarter of their documents."""
+    bounds = {"beginning": "position_percent < 25", "early_middle": "position_percent >= 25 AND position_percent < 50", "late_middle": "position_percent >= 50 AND position_percent < 75", "at_end": "position_percent >= 75"}
+    return ", ".join(f"{_total(c)} AS {name}" for name, c in bounds.items())
+
+
 def _corrected(d) -> str:
     """A document's text after its changes (word=replacement), one after the other in the order of words, in any case."""
     change = d.any_case("acc", "split_part(s, '=', 1)", "split_part(s, '=', 2)")
@@ -49,6 +59,7 @@ STATEMENTS = {
         UNION ALL SELECT 'confidence', confidence, CAST(sum(occurrences) AS BIGINT) FROM errors GROUP BY confidence UNION ALL SELECT 'pattern', ocr_error_pattern, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE ocr_error_pattern IS NOT NULL GROUP BY ocr_error_pattern
         UNION ALL SELECT 'boundary', boundary_error_pattern, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE boundary_error_pattern IS NOT NULL GROUP BY boundary_error_pattern
         UNION ALL SELECT 'language', detected_language, CAST(sum(occurrences) AS BIGINT) FROM errors WHERE detected_language IS NOT NULL GROUP BY detected_language
+        UNION ALL SELECT 'position', CASE WHEN position_percent < 25 THEN 'beginning' WHEN position_percent < 50 THEN 'early middle' WHEN position_percent < 75 THEN 'late middle' ELSE 'end' END, count(*) FROM located l JOIN issues i ON l.word = i.word WHERE NOT is_abbreviation AND NOT is_ocr_fragment GROUP BY 2
         UNION ALL SELECT 'kind', CASE WHEN is_ocr_fragment THEN 'fragment' WHEN is_abbreviation THEN 'abbreviation' ELSE 'error' END, CAST(sum(occurrences) AS BIGINT) FROM spelling GROUP BY 2) t""",
     "s14_consistency": lambda d: "SELECT suggested_correction, count(DISTINCT word) AS variants, CAST(sum(occurrences) AS BIGINT) AS n FROM errors WHERE suggested_correction IS NOT NULL GROUP BY suggested_correction HAVING count(DISTINCT word) > 1",
     "s15_manual_aliases": lambda d: "SELECT * FROM aliases WHERE disambiguation_method = 'manual'",
@@ -105,6 +116,8 @@ STATEMENTS = {
     "a18_zipf_fit": lambda d: "SELECT round(avg(abs(n - f1 / rk) / (f1 / rk)), 6) AS deviation FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(row_number() OVER (ORDER BY n DESC, word) AS DOUBLE) AS rk, CAST(max(n) OVER () AS DOUBLE) AS f1 FROM (SELECT word, count(*) AS n FROM words GROUP BY word ORDER BY 2 DESC, 1 LIMIT 100) a) b",
     "a19_error_tfidf": lambda d: "SELECT word, round(tf * ln(n / df), 6) AS score FROM (SELECT word, CAST(sum(occurrences) AS DOUBLE) AS tf, CAST(count(DISTINCT file_path) AS DOUBLE) AS df FROM spelling WHERE NOT is_abbreviation GROUP BY word) s CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents) c WHERE df > 1 ORDER BY score DESC, word LIMIT 100",
     "a19_rare_terms": lambda d: "SELECT word, count(DISTINCT file_path) AS doc_freq FROM spelling WHERE NOT is_abbreviation GROUP BY word HAVING count(DISTINCT file_path) < 10 ORDER BY 2, 1 LIMIT 50",
+    "a20_error_positions": lambda d: f"""SELECT count(*) AS total_errors, round(avg(position_percent), 6) AS avg_position, {_quarters()}, {_total('document_length < 1000')} AS short_docs, {_total('document_length >= 1000 AND document_length < 5000')} AS medium_docs,
+        {_total('document_length >= 5000')} AS long_docs FROM located l JOIN issues i ON l.word = i.word WHERE NOT is_abbreviation AND NOT is_ocr_fragment""",
     "a20_size_histogram": lambda d: "SELECT CASE WHEN text_length < 1000 THEN 'small' WHEN text_length < 5000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n FROM catalog GROUP BY 1",
     # windows
     "w1_occurrence_number": lambda d: "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) AS n FROM events",
@@ -201,9 +214,11 @@ STATEMENTS = {
         UNION ALL SELECT 'weight', u, CAST(sum(weight) AS BIGINT) FROM sides GROUP BY u UNION ALL SELECT 'strongest', u, CAST(max(weight) AS BIGINT) FROM sides GROUP BY u) m) t WHERE rank <= 10""",
     # views, endpoints, checks
     "v1_document_quality": lambda d: "SELECT * FROM quality",
-    "v2_high_priority_corrections": lambda d: """SELECT word, suggested_correction, count(*) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(levenshtein_distance) AS min_distance, max(levenshtein_distance) AS max_distance,
+    "v2_high_priority_corrections": lambda d: f"""SELECT h.*, x.example_contexts FROM (SELECT word, suggested_correction, count(*) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(levenshtein_distance) AS min_distance, max(levenshtein_distance) AS max_distance,
         round(sum(damerau_levenshtein_distance * occurrences) / CAST(sum(occurrences) AS DOUBLE), 2) AS avg_damerau_distance, min(ocr_error_pattern) AS common_ocr_pattern FROM errors
-        WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction HAVING sum(occurrences) >= 2""",
+        WHERE confidence = 'HIGH' AND suggested_correction IS NOT NULL GROUP BY word, suggested_correction HAVING sum(occurrences) >= 2) h
+        JOIN (SELECT word, {d.listagg('context', ' | ')} AS example_contexts FROM (SELECT word, context, row_number() OVER (PARTITION BY word ORDER BY context) AS rn FROM sure_contexts) c WHERE rn <= 5 GROUP BY word) x ON h.word = x.word""",
+    "v2_correction_contexts": lambda d: "SELECT word, suggested_correction, context, occurrence_count FROM sure_contexts",
     "v3_document_entities": lambda d: f"""SELECT c.path, c.file_name, coalesce(t.unique_dates, 0) AS unique_dates, coalesce(t.total_date_mentions, 0) AS total_date_mentions, t.earliest_date, t.latest_date, coalesce(n.unique_names, 0) AS unique_names,
         coalesce(n.total_name_mentions, 0) AS total_name_mentions, n.all_names, coalesce(l.unique_locations, 0) AS unique_locations, coalesce(l.total_location_mentions, 0) AS total_location_mentions, l.all_locations FROM catalog c
         LEFT JOIN (SELECT file_path, count(DISTINCT date_string) AS unique_dates, count(*) AS total_date_mentions, CAST(min({d.to_ts('date_string')}) AS DATE) AS earliest_date, CAST(max({d.to_ts('date_string')}) AS DATE) AS latest_date FROM dates GROUP BY file_path) t ON c.path = t.file_path
@@ -225,6 +240,7 @@ STATEMENTS = {
         WHERE is_foreign_word AND detected_language IS NOT NULL GROUP BY word, detected_language, foreign_language_suggestion, foreign_language_confidence, foreign_word_translation""",
     "v13_entity_mentions": lambda d: "SELECT file_path, canonical_name FROM canonical UNION ALL SELECT file_path, location_string FROM places",
     "v15_poor_documents": lambda d: """SELECT c.path, round(e.n / greatest(c.text_length / CAST(5 AS DOUBLE), 1) * 100, 4) AS rate FROM catalog c JOIN (SELECT file_path, count(DISTINCT word) AS n FROM spelling WHERE NOT is_abbreviation GROUP BY file_path) e ON c.path = e.file_path WHERE e.n / greatest(c.text_length / CAST(5 AS DOUBLE), 1) * 100 > 10""",
+    "v15_positions_by_document": lambda d: f"SELECT file_path, count(*) AS n, {_quarters()}, min(position_percent) AS first_percent, max(position_percent) AS last_percent FROM located l JOIN issues i ON l.word = i.word WHERE NOT is_abbreviation AND NOT is_ocr_fragment GROUP BY file_path",
     "r4_documents_by_period": lambda d: f"SELECT p.id, o_custkey, count(*) AS n FROM orders JOIN ({PERIODS}) AS p(id, label, lo, hi) ON year(o_orderdate) BETWEEN p.lo AND p.hi GROUP BY 1, 2",
     "r5_relation_priority": lambda d: "SELECT src, tgt, type FROM (SELECT src, tgt, type, row_number() OVER (PARTITION BY src, tgt ORDER BY CASE type WHEN 'founder' THEN 4 WHEN 'executive' THEN 9 WHEN 'associate' THEN 90 ELSE 50 END, type) AS rn FROM (SELECT DISTINCT src, tgt, type FROM relations) r) t WHERE rn = 1",
     "r6_mentions_index": lambda d: f"SELECT name_string, {d.listagg('file_path', ',', distinct=True)} AS files FROM mentions GROUP BY name_string",

@@ -1,13 +1,15 @@
-"""Command line: list queries, run one, ask in SQL, count or clear tables, export a graph, write a script of corrections, extract PDF texts."""
+"""Command line: list queries, run one, ask in SQL, count or clear tables, export a graph, write a script of corrections or JSON files, extract PDF texts."""
 
 from __future__ import annotations
 
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quarrystone.plans import registry
 from quarrystone.plans.ask import COMMON, ask, search
+from quarrystone.plans.exports import export
 from quarrystone.sources import graph_files, pdf, store
 from quarrystone.sources.reports import write_correction_script
 
@@ -42,6 +44,9 @@ def main(argv: list[str] | None = None) -> None:
     script = sub.add_parser("corrections")
     script.add_argument("tables")
     script.add_argument("out", help="the script to write")
+    files = sub.add_parser("export")
+    files.add_argument("tables")
+    files.add_argument("out", help="the folder of JSON files and their manifest")
     texts = sub.add_parser("pdf")
     texts.add_argument("folder")
     texts.add_argument("out")
@@ -64,6 +69,8 @@ def main(argv: list[str] | None = None) -> None:
         print(store.drop(spark, args.folder, args.names, dry_run=not args.confirm))
     elif args.command == "corrections":
         print(write_correction_script(registry.queries()["s14_autocorrect_map"](spark, args.tables), args.out))
+    elif args.command == "export":
+        export(spark, args.tables, args.out).groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("n_rows"), F.sum("bytes").alias("bytes")).orderBy("kind").show(1000, truncate=False)
     elif args.command == "pdf":
         pdf.extract_texts(spark, args.folder, args.out, args.force, args.dry_run).select("path", "pages").show(1000, truncate=False)
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes
 from quarrystone.operators import centrality, citations, communities, cycles, thresholds, topology
 from quarrystone.operators.components import connected_components
-from quarrystone.operators.scratch import shared_folder
+from quarrystone.operators.scratch import passing, shared_folder
 from quarrystone.operators.upsert import upsert
 from quarrystone.plans.derived import derived_sql
+from quarrystone.plans.exports import CHUNK, export
+from quarrystone.plans.statements import PERIODS
 
 
 _sql = derived_sql
@@ -142,6 +146,13 @@ def g32_citation_report(spark, sf_dir):
     return citations.report(citations.load(*_cited(spark, sf_dir), on_invalid="take"))
 
 
+def s11_export_files(spark, sf_dir):
+    """The rows in each folder of an export, counted in its files."""
+    folder = passing(spark, f"{shared_folder(spark)}/export-{uuid.uuid4().hex}")
+    key = F.element_at(F.split("file", "/"), 2)
+    return export(spark, sf_dir, folder).groupBy("kind", key.alias("folder")).agg(F.sum("n_rows").alias("n_rows"))
+
+
 def e3_recognised_entities(spark, sf_dir):
     """Persons and places of the captions by a recogniser of two patterns; any other is plugged in alike."""
     found = recognition.patterns({"PERSON": r"PHOTOGRAPHER +([^\n]+)", "GPE": r"  Location +([^\n]+)"})
@@ -172,13 +183,19 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities, g30_cited_graph, g30_cited_sources, g31_invalid_relations, g32_citation_report)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities, g30_cited_graph, g30_cited_sources, g31_invalid_relations, g32_citation_report, s11_export_files)}
 
 _CHECK = Check()
 _SOUND_CLAIMS = "(SELECT * FROM claims WHERE citation IS NOT NULL AND confidence BETWEEN 0 AND 1)"
 _SOUND_ENTITIES = "(SELECT * FROM described WHERE description <> '' AND citation IS NOT NULL)"
 _COMPANY_TYPES = ", ".join(f"'{t}'" for t in citations.COMPANY_TYPES)
 SQL = {
+    "s11_export_files": f"""WITH RECURSIVE grid AS (SELECT k, CAST(k / 20.0 AS DECIMAL(3, 2)) AS t FROM (SELECT unnest(generate_series(2, 19)) AS k) g)
+        SELECT 'edges' AS kind, 'threshold=' || CAST(t AS STRING) AS folder, count(*) AS n_rows FROM links JOIN grid ON round(w * 20, 5) >= k GROUP BY t
+        UNION ALL SELECT 'nodes', 'threshold=' || CAST(t AS STRING), count(DISTINCT node) FROM (SELECT u AS node, w FROM links UNION ALL SELECT v, w FROM links) s JOIN grid ON round(w * 20, 5) >= k GROUP BY t
+        UNION ALL SELECT 'periods', 'period=' || label, count(DISTINCT file_path) FROM dates JOIN ({PERIODS}) AS p(id, label, lo, hi) ON CAST(right(date_string, 4) AS INT) BETWEEN lo AND hi GROUP BY label
+        UNION ALL SELECT 'periods', 'period=all', count(*) FROM documents UNION ALL SELECT 'documents', 'chunk=' || CAST(CAST(floor(doc_id / CAST({CHUNK} AS DOUBLE)) AS BIGINT) AS STRING), count(*) FROM documents GROUP BY 2
+        UNION ALL SELECT 'overlays', 'chunk=' || left(file_path, 4), count(*) FROM canonical GROUP BY 2 UNION ALL SELECT 'relations', 'type=' || type, count(*) FROM relations GROUP BY type""",
     "g30_cited_graph": f"""WITH RECURSIVE sound AS {_SOUND_CLAIMS}, ends AS (SELECT name, arg_max(type, nr) AS kind, false AS pending FROM {_SOUND_ENTITIES} e GROUP BY name
         UNION ALL SELECT name, arg_min(kind, nr * 2 + side), true FROM (SELECT source_entity AS name, nr, 0 AS side, 'person' AS kind FROM sound UNION ALL SELECT target_entity, nr, 1, CASE WHEN type IN ({_COMPANY_TYPES}) THEN 'company' ELSE 'person' END FROM sound) h
         WHERE name NOT IN (SELECT name FROM {_SOUND_ENTITIES} e) GROUP BY name)

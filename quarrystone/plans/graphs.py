@@ -12,7 +12,7 @@ from quarrystone.functions import names, recognition
 from quarrystone.functions.fuzzy import extended_hamming, osa, token_positions
 from quarrystone.functions.openers import opener
 from quarrystone.functions.phonetic import codes
-from quarrystone.operators import centrality, citations, communities, cycles, thresholds, topology
+from quarrystone.operators import centrality, citations, communities, cycles, labels, thresholds, topology
 from quarrystone.operators.components import connected_components
 from quarrystone.operators.scratch import passing, shared_folder
 from quarrystone.operators.upsert import upsert
@@ -146,6 +146,23 @@ def g32_citation_report(spark, sf_dir):
     return citations.report(citations.load(*_cited(spark, sf_dir), on_invalid="take"))
 
 
+#: Settings of the labels: what combinations of terms stand for, terms that say nothing, and the name that all share.
+LABEL_RULES = {"Plain English": [["the", "and"], ["the", "of"], ["the", "is"]], "German": [["der", "die"], ["die"]], "French": [["les", "des"], ["le", "la"]]}
+LABEL_SKIP = ("it", "in", "to", "page")
+LABEL_KNOWN = ("Is",)
+
+
+def g22_community_labels(spark, sf_dir):
+    """Communities with their label, dates, and the names and terms that they are told by, in one text each."""
+    members = _sql(spark, sf_dir, "SELECT node, community FROM members")
+    entities = _sql(spark, sf_dir, "SELECT c.doc_id AS node, n.name_string AS name, n.occurrence_count AS mentions FROM names n JOIN catalog c ON n.file_path = c.path")
+    terms = _sql(spark, sf_dir, "SELECT doc_id AS node, term, tf AS n FROM tdm")
+    dates = _sql(spark, sf_dir, f"SELECT c.doc_id AS node, CAST({Spark().to_ts('date_string')} AS DATE) AS day FROM dates t JOIN catalog c ON t.file_path = c.path")
+    found = labels.describe(members, entities, terms, dates, LABEL_RULES, set(LABEL_SKIP), set(LABEL_KNOWN))
+    told = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x[a], x[b].cast("string"))), ",")
+    return found.select("community", "size", told("top_entities", "name", "mentions").alias("names"), told("top_terms", "term", "n").alias("terms"), "start_date", "end_date", "label")
+
+
 def s11_export_files(spark, sf_dir):
     """The rows in each folder of an export, counted in its files."""
     folder = passing(spark, f"{shared_folder(spark)}/export-{uuid.uuid4().hex}")
@@ -183,13 +200,25 @@ def g18_eigenvector(spark, sf_dir):
     return centrality.eigenvector(_links(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities, g30_cited_graph, g30_cited_sources, g31_invalid_relations, g32_citation_report, s11_export_files)}
+QUERIES = {f.__name__: f for f in (x5_phonetic_codes, x32_openers, g9_h1_persistence, g13_threshold_vote, g18_eigenvector, s9_upsert, x2_osa_distance, x3_hamming_columns, x29_token_positions, g8_h0_persistence, g10_betti_curve, g15_connected_components, g17_path_metrics, g23_bridges, g18_pagerank, g18_clustering, g19_label_propagation, g19_louvain, g19_greedy, g33_path_statistics, g35_metric_leaderboards, e3_recognised_entities, g30_cited_graph, g30_cited_sources, g31_invalid_relations, g32_citation_report, g22_community_labels, s11_export_files)}
 
 _CHECK = Check()
 _SOUND_CLAIMS = "(SELECT * FROM claims WHERE citation IS NOT NULL AND confidence BETWEEN 0 AND 1)"
 _SOUND_ENTITIES = "(SELECT * FROM described WHERE description <> '' AND citation IS NOT NULL)"
 _COMPANY_TYPES = ", ".join(f"'{t}'" for t in citations.COMPANY_TYPES)
+_COMBOS = ", ".join(f"({i}, {j}, '{name}', [{', '.join(repr(t) for t in combo)}])" for i, (name, combos) in enumerate(LABEL_RULES.items()) for j, combo in enumerate(combos))
+_LISTED = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 SQL = {
+    "g22_community_labels": f"""WITH RECURSIVE nt AS (SELECT community, name, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, name) AS rn FROM (SELECT m.community, n.name_string AS name, CAST(sum(n.occurrence_count) AS BIGINT) AS n FROM names n JOIN catalog c ON n.file_path = c.path JOIN members m ON c.doc_id = m.node GROUP BY 1, 2) a),
+        tt AS (SELECT community, term, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, term) AS rn FROM (SELECT m.community, t.term, CAST(sum(t.tf) AS BIGINT) AS n FROM tdm t JOIN members m ON t.doc_id = m.node GROUP BY 1, 2) a),
+        ns AS (SELECT community, list(name ORDER BY rn) AS ns, string_agg(name || '=' || n, ',' ORDER BY rn) AS names FROM nt WHERE rn <= 10 GROUP BY community), ts AS (SELECT community, list(term ORDER BY rn) AS ts, string_agg(term || '=' || n, ',' ORDER BY rn) AS terms FROM tt WHERE rn <= 10 GROUP BY community),
+        ds AS (SELECT m.community, CAST(min(try_strptime(t.date_string, '%m/%d/%Y')) AS DATE) AS a, CAST(max(try_strptime(t.date_string, '%m/%d/%Y')) AS DATE) AS z FROM dates t JOIN catalog c ON t.file_path = c.path JOIN members m ON c.doc_id = m.node GROUP BY 1),
+        base AS (SELECT g.community, g.size, coalesce(ns, []) AS ns, coalesce(names, '') AS names, coalesce(ts, []) AS ts, coalesce(terms, '') AS terms, a, z, CASE WHEN ns IS NULL THEN [] WHEN list_contains({_LISTED(LABEL_KNOWN)}, ns[1]) THEN ns[2:2] ELSE ns[1:1] END AS lead
+        FROM (SELECT community, count(*) AS size FROM members GROUP BY 1) g LEFT JOIN ns ON g.community = ns.community LEFT JOIN ts ON g.community = ts.community LEFT JOIN ds ON g.community = ds.community),
+        hits AS (SELECT community, i, name, arg_min(combo, j) AS combo, max(3 - len(lead)) AS room FROM base JOIN (VALUES {_COMBOS}) AS r(i, j, name, combo) ON len(list_intersect(combo, ts)) = len(combo) GROUP BY community, i, name),
+        used AS (SELECT community, list(name ORDER BY i) AS rules, flatten(list(combo)) AS gone FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY i) AS k FROM hits) h WHERE k <= room GROUP BY community)
+        SELECT community, size, names, terms, a AS start_date, z AS end_date, CASE WHEN len(parts) = 0 THEN 'Community ' || community ELSE array_to_string(parts[1:3], ' / ') END AS label FROM (SELECT b.*, flatten([lead, coalesce(rules, []), list_transform(list_filter(ts[1:5], lambda t: NOT list_contains(list_concat(coalesce(gone, []), {_LISTED(LABEL_SKIP)}), t)),
+        lambda t: upper(substr(t, 1, 1)) || substr(t, 2)), CASE WHEN a IS NULL THEN [] ELSE [CAST(year(a) AS VARCHAR)] END]) AS parts FROM base b LEFT JOIN used u ON b.community = u.community) f""",
     "s11_export_files": f"""WITH RECURSIVE grid AS (SELECT k, CAST(k / 20.0 AS DECIMAL(3, 2)) AS t FROM (SELECT unnest(generate_series(2, 19)) AS k) g)
         SELECT 'edges' AS kind, 'threshold=' || CAST(t AS STRING) AS folder, count(*) AS n_rows FROM links JOIN grid ON round(w * 20, 5) >= k GROUP BY t
         UNION ALL SELECT 'nodes', 'threshold=' || CAST(t AS STRING), count(DISTINCT node) FROM (SELECT u AS node, w FROM links UNION ALL SELECT v, w FROM links) s JOIN grid ON round(w * 20, 5) >= k GROUP BY t

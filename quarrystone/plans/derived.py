@@ -23,7 +23,7 @@ from quarrystone.plans.bases import BASES, named, with_bases
 from quarrystone.sources.tables import fingerprint, register
 
 #: Derived tables that cost more to make than to read.
-STORED = tuple("catalog tokens postings nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling located quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
+STORED = tuple("claims described catalog tokens postings nouns verbs names captions places dates dictionary misspelt corrections foreign_words issues spelling located quality tdm tfidf pairs mentions canonical cooccurrence relations edges written forms phones by_sound by_initials by_organisation anchors queue members".split())
 #: Queries whose result is a derived table: they make it anew.
 OWN = {
     "e1_extracted_names": ("names",), "e2_extracted_locations": ("places",), "g2_term_document_matrix": ("tdm",), "g5_tfidf": ("tfidf",), "g6_similar_pairs": ("pairs",), "v1_document_quality": ("quality",),

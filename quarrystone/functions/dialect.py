@@ -104,7 +104,9 @@ class Spark:
         return "CAST(array() AS ARRAY<STRING>)"
 
     def any_case(self, x, word, to):
-        return f"regexp_replace({x}, '(?i)\\\\b\\\\Q' || {word} || '\\\\E\\\\b', replace(replace({to}, '{chr(92)*2}', '{chr(92)*4}'), '$', '{chr(92)*2}$'))"
+        """A word's places that no letter, digit or underscore of ASCII touches: the other engine's ``\\b``. Java's depends on its
+        version, and takes é for a letter of a word in some."""
+        return f"regexp_replace({x}, '(?i)(?<![0-9A-Za-z_])\\\\Q' || {word} || '\\\\E(?![0-9A-Za-z_])', replace(replace({to}, '{chr(92)*2}', '{chr(92)*4}'), '$', '{chr(92)*2}$'))"
 
 
 class Check(Spark):

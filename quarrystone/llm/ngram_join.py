@@ -9,6 +9,9 @@ required number of occurrences in the inverted lists of its shingles, without ev
    document stays in the race only if l(smallest partner) of them are in another text's list too. Its lists are ordered
    by length; without its l - 1 longest, linked documents still share one of the others, and these join the survivors
    into neighbourhoods (components). Documents that merely share a passage or common phrases drop out here.
+   In a large corpus chance phrases join ever more of the rest to one neighbourhood. One that is too large for a task is
+   split by the same rule over whole sets, in bands of like size: at least T shingles in other texts' lists of the band, and
+   without the T - 1 longest still a common one. What stays as large is copies for the most part.
 2. T-occurrence search in each neighbourhood, over whole sets. A document's lists are divided: the L longest, by the rule
    of DivideSkip, and the others. The short lists are merged by a heap of their heads; a document that fewer than T - L of
    them hold is never visited (the heap pops T - L - 1 lists and jumps all of them to the next head), and one that T - L
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ CHUNK, PIVOTS = 200_000, 64
 #: Occurrences from which a task reports a shingle, and from which the tasks' reports make it hot; hot ones kept at most
 #: (others are dealt out like the rest: the figure is one of balance, not of results).
 SEEN, HOT, HOT_KEPT = 32, 2048, 1 << 18
+#: Times that large neighbourhoods are split, and the share of a neighbourhood that may stay large for its split to count.
+SPLITS, STAYS = 4, 0.9
 
 
 def _least(n, num: int, den: int):
@@ -164,14 +169,31 @@ def send_prefixes(rows: DataFrame, blocks: int, k: int, num: int, den: int, hot:
     return rows.mapInArrow(run, BLOCKED)
 
 
-def repeated_prefixes(sent: DataFrame, blocks: int, hot: tuple) -> DataFrame:
-    """The shingles in two texts' lists or more go back to their documents with their list's length."""
+def send_sets(rows: DataFrame, blocks: int, k: int, hot: tuple) -> DataFrame:
+    """All shingles of rows (text, key, cell), (key, n, token, hits), to their list's block, a cell's lists being its own; hot
+    ones, with their hits, to their document's."""
 
     def run(batches):
-        got = _gathered(batches, 3)
+        for batch in pieces(batches, "text"):
+            sets, at = shingle_sets(Words(batch.column(0), lower=True), k)
+            size = np.diff(at)
+            key, cell = (np.repeat(batch.column(i).to_numpy(), size) for i in (1, 2))
+            hits, tokens = _hits(hot, sets), mix(sets ^ cell.astype(U))
+            block = np.where(hits > 0, _block_of(key, blocks), _block_of(tokens, blocks))
+            yield _blocked(block, key, np.repeat(size, size).astype(np.int32), tokens, np.minimum(hits, 2**31 - 1).astype(np.int32))
+
+    return rows.mapInArrow(run, BLOCKED)
+
+
+def repeated_prefixes(sent: DataFrame, blocks: int, hot: tuple | None) -> DataFrame:
+    """The shingles in two texts' lists or more go back to their documents with their list's length. Without ``hot``, the hits
+    of hot shingles were sent with them."""
+
+    def run(batches):
+        got = _gathered(batches, 3 if hot else 4)
         if got:
-            key, n, tokens = got
-            length = _hits(hot, tokens)
+            key, n, tokens = got[:3]
+            length = _hits(hot, tokens) if hot else got[3].astype(np.int64)
             order = np.lexsort((key, tokens))
             key, n, tokens, length = key[order], np.abs(n[order]), tokens[order], length[order]
             del got, order
@@ -189,8 +211,8 @@ def repeated_prefixes(sent: DataFrame, blocks: int, hot: tuple) -> DataFrame:
     return sent.repartition(blocks, "block").mapInArrow(run, BLOCKED)
 
 
-def short_lists(back: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
-    """(key, n, token): the short lists of the documents that may have a partner."""
+def short_lists(back: DataFrame, blocks: int, num: int, den: int, whole: bool = False) -> DataFrame:
+    """(key, n, token): the short lists of the documents that may have a partner, by prefixes or by ``whole`` sets."""
 
     def run(batches):
         got = _gathered(batches, 4)
@@ -204,7 +226,8 @@ def short_lists(back: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
             key, n, tokens = key[new], n[new], tokens[new]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             r = np.diff(np.append(first, len(key)))
-            keep = np.maximum(0, r - _extra(_least(n[first].astype(np.int64), num, den)) + 1)
+            least = _least(n[first].astype(np.int64), num, den)
+            keep = np.maximum(0, r - (least if whole else _extra(least)) + 1)
             short = np.arange(len(key)) - np.repeat(first, r) < np.repeat(keep, r)
             yield pa.RecordBatch.from_arrays([pa.array(key[short]), pa.array(n[short], pa.int64()), pa.array(tokens[short].astype(np.int64))], names=["key", "n", "token"])
             release()
@@ -378,17 +401,54 @@ class JaccardJoin:
     def neighbourhoods(self) -> DataFrame:
         """(key, hood, n): texts that may have partners, and their neighbourhood."""
         sent = send_prefixes(self.texts, self.blocks, self.k, self.num, self.den, self.hot)
-        lists = stored(short_lists(repeated_prefixes(sent, self.blocks, self.hot), self.blocks, self.num, self.den), "join-lists")
+        return self._joined(short_lists(repeated_prefixes(sent, self.blocks, self.hot), self.blocks, self.num, self.den))
+
+    def _joined(self, lists: DataFrame) -> DataFrame:
+        """(key, hood, n): documents that share one of the lists (key, n, token) are neighbours."""
+        lists = stored(lists, "join-lists")
         heads = lists.groupBy("token").agg(F.min("key").alias("head"), F.max("key").alias("tail")).where("tail > head")
         edges = lists.join(heads, "token").where("key > head").select("key", "head").distinct()
         found = connected_components(edges, shared_dir(self.spark), "key", "head")
         sizes = lists.groupBy("key").agg(F.max("n").alias("n"))
         return stored(found.select(F.col("node").alias("key"), F.col("component").alias("hood")).join(sizes, "key"), "join-hoods")
 
-    def _chunked(self, hoods: DataFrame) -> DataFrame:
+    def _split(self, large: DataFrame, bands: bool) -> DataFrame:
+        """(key, hood, n, was): large neighbourhoods split by whole sets. Documents that link are in the same part, or in the
+        same two; sizes that differ by less than the least share are in one band or in bands beside each other, and with
+        ``bands`` each document is in its own and the next."""
+        width = log(self.den / self.num) * 1.001 + 1e-12
+        band = F.floor(F.log("n") / F.lit(width)).cast("long")
+        each = F.explode(F.array(band, band + 1) if bands else F.array(F.lit(0).cast("long"))).alias("band")
+        dealt = large.select("key", "n", F.col("hood").alias("was"), each).withColumn("cell", F.xxhash64("was", "band")).withColumn("node", F.xxhash64("key", "cell"))
+        dealt = stored(dealt.join(self.classes.select("key", "raw"), "key"), "join-split")
+        blocks = max(8, int(dealt.agg(F.sum("n").alias("n")).first()["n"]) // (2 * self.chunk))
+        texts = only_possible(self.texts, "raw", dealt).groupBy("raw").agg(F.first("text").alias("text"))
+        rows = texts.join(dealt.select("raw", "node", "cell").hint("shuffle_hash"), "raw").select("text", "node", "cell")
+        back = repeated_prefixes(send_sets(rows, blocks, self.k, self.hot), blocks, None)
+        found = self._joined(short_lists(back, blocks, self.num, self.den, whole=True)).select(F.col("key").alias("node"), "hood")
+        return found.join(dealt.select("node", "key", "n", "was"), "node").select("key", "hood", "n", "was")
+
+    def _small_hoods(self) -> DataFrame:
+        """``neighbourhoods`` in chunks, large ones split as long as that makes them smaller."""
+        hoods = stored(self._chunked(self.neighbourhoods()), "join-chunks")
+        done, large = hoods.where("chunks = 1"), hoods.where("chunks > 1")
+        for i in range(SPLITS):
+            if large.isEmpty():
+                break
+            finer = stored(self._chunked(self._split(large, bands=i == 0), "was"), "join-finer")
+            left = finer.where("chunks > 1").groupBy(F.col("was").alias("hood")).agg(F.sum("n").alias("left"))
+            gain = large.groupBy("hood").agg(F.sum("n").alias("whole")).join(left, "hood", "left")
+            gain = F.broadcast(stored(gain.where(F.coalesce("left", F.lit(0)) < F.lit(STAYS) * F.col("whole")).select("hood"), "join-gain"))  # one row a large neighbourhood
+            done = done.unionByName(large.join(gain, "hood", "left_anti"))
+            finer = finer.join(gain.withColumnRenamed("hood", "was"), "was", "left_semi").drop("was")
+            done, large = done.unionByName(finer.where("chunks = 1")), finer.where("chunks > 1")
+        return stored(done.unionByName(large), "join-hoods-small")
+
+    def _chunked(self, hoods: DataFrame, *others: str) -> DataFrame:
         size = hoods.groupBy("hood").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("members"))
         chunks = F.ceil(F.col("_n") / F.lit(self.chunk)).cast("int")
         sized = meet(hoods, size.select("hood", "members", chunks.alias("chunks")), "hood", "members", hoods.count())
+        sized = sized.select("key", "n", "hood", "members", "chunks", *others)
         return sized.withColumn("mixed", F.xxhash64("key")).withColumn("chunk", F.pmod("mixed", "chunks").cast("int"))
 
     def _search(self, dealt: DataFrame, all_links: bool) -> DataFrame:
@@ -401,7 +461,7 @@ class JaccardJoin:
 
     def links(self, all_links: bool = False) -> DataFrame:
         """(u, v, shared): links between texts, by key; enough of them to connect what is connected, or all."""
-        hoods = stored(self._chunked(self.neighbourhoods()), "join-chunks")
+        hoods = self._small_hoods()
         every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
         pivot = (F.col("chunks") > 1) & (F.shiftrightunsigned("mixed", 1) % F.col("members") < PIVOTS)
         home = hoods.select("key", "n", "hood", "chunk")

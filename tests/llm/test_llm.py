@@ -282,6 +282,26 @@ def test_ngram_join(docs, empty, k, num, den, chunk):
     assert ngram_join.jaccard_components(empty, k=k, num=num, den=den).count() == 0
 
 
+def test_ngram_join_splits_large_neighbourhoods(spark, monkeypatch):
+    """Documents that only share common phrases are one neighbourhood by prefixes; no task meets them all in every chunk."""
+    rng = random.Random(5)
+    phrases = [[f"p{i}_{j}" for j in range(10)] for i in range(12)]
+    made = [[w for p in rng.sample(phrases, 2) for w in p] + [f"own{d}_{j}" for j in range(16)] for d in range(240)]
+    made += [row[:-1] + ["other"] for row in made[:40]]
+    df = spark.createDataFrame([(i, " ".join(row)) for i, row in enumerate(made)], "doc_id long, text string")
+    searched = []
+    search = ngram_join.JaccardJoin._search
+
+    def counted(self, dealt, all_links):
+        searched.append(dealt.count())
+        return search(self, dealt, all_links)
+
+    monkeypatch.setattr(ngram_join.JaccardJoin, "_search", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, k=1, num=85, den=100, chunk=400).collect()}
+    assert got == {i: i - 240 if i >= 240 else i for i in range(280)}
+    assert sum(searched) < 4 * len(made)
+
+
 def test_nearest(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(400, 16))

@@ -200,3 +200,21 @@ def test_corrections_by_brute_force(spark, tmp_path):
         if near[0] <= 2:
             wanted[w] = near[2]
     assert {r.word: r.correction for r in found} == wanted and {"reprsentation", "reprezentaton", "hxrxe", "zq"} <= set(wanted)
+
+
+@pytest.mark.parametrize("run", [lambda e, n: centrality.pagerank(e, rounds=n, tolerance=0.0), lambda e, n: centrality.eigenvector(e, rounds=n, tolerance=0.0), lambda e, n: centrality.label_propagation(e, rounds=n)])
+def test_rounds_do_not_shuffle_the_edges(spark, run):
+    rng = random.Random(8)
+    e = edges(spark, [(i, j, rng.random()) for i in range(200) for j in range(i + 1, 200)]).checkpoint()
+
+    def written(rounds):
+        sc = spark.sparkContext._jsc.sc()
+        total = []
+        for _ in range(2):
+            sc.listenerBus().waitUntilEmpty()
+            total.append(sum(sc.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(False).size())))
+            if len(total) == 1:
+                run(e, rounds).collect()
+        return total[1] - total[0]
+
+    assert written(20) < 2 * written(5)

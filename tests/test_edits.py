@@ -63,3 +63,13 @@ def _candidates() -> str:
 
     d = Spark()
     return f"SELECT a.word FROM ({_probes(d, 'syllable_words')}) a JOIN ({_pieces(d, 'syllables', '')}) b ON a.piece = b.piece AND a.size = b.size AND a.s = b.s"
+
+
+def test_deletions_are_not_sent_through_the_driver(spark, tmp_path):
+    """A stored lexicon's file is small next to its deletions, so Spark would broadcast them."""
+    spark.range(3000).selectExpr("lower(hex(id * 7919)) AS word", "id AS freq").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    found = nearest_words(words.select("word"), words, str(tmp_path))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -10,13 +10,13 @@ from quarrystone.functions.dialect import Check, Spark
 from quarrystone.plans import graphs, resolution
 from quarrystone.plans import statements
 from quarrystone.plans.bases import with_bases
-from quarrystone.plans.derived import OWN, derived_sql
+from quarrystone.plans.derived import OWN, REDUCED, derived_sql
 
 STATEMENTS = statements.STATEMENTS | resolution.STATEMENTS
 
 
 def statement(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived_sql(spark, sf_dir, STATEMENTS[name](Spark()), OWN.get(name, ()))
+    return derived_sql(spark, sf_dir, STATEMENTS[name](Spark()), OWN.get(name, ()), unstored=REDUCED.get(name, ()))
 
 
 def queries() -> dict:

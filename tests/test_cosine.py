@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 
+from quarrystone.operators import cosine
 from quarrystone.operators.cosine import similar_pairs
+from quarrystone.plans import derived
+from quarrystone.plans.registry import queries
 
 
 def _rows(seed, n, terms, hot):
@@ -40,3 +43,43 @@ def test_repeated_terms_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.5), (2, "a", 1.0), (3, "b", 1.0)], "id long, term string, w double")
     assert [tuple(r) for r in similar_pairs(df, 3, 0.9).collect()] == [(1, 2, 1.0)]
     assert similar_pairs(df.limit(0), 0, 0.1).collect() == []
+
+
+def test_blocks_meet_in_groups(spark):
+    """250 blocks go to 32 groups each, not to 250 blocks; few blocks stay groups of their own, for the sake of tasks."""
+    assert [cosine._groups(n) for n in (1, 5, 15, 25, 250)] == [1, 5, 15, 9, 32]
+    rows = _rows(4, 90, 60, 1)
+    df = spark.createDataFrame(rows, "id long, term string, w double").repartition(4)
+    want = sorted(tuple(r) for r in similar_pairs(df, 90, 0.3, block=1000).collect())
+    got = sorted(tuple(r) for r in similar_pairs(df, 90, 0.3, block=3).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=2e-6)
+    assert cosine._met(df, 90, 3).count().agg({"count": "sum"}).first()[0] <= 30 * cosine._groups(30) < 30 * 30
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_links_of_labels_are_counted_in_cells(spark, block):
+    """Ids that have a label twice count twice, those without none."""
+    df = spark.createDataFrame(_rows(5, 90, 60, 1), "id long, term string, w double")
+    labels = {i: (i % 4, 2 if i % 9 == 0 else 1) for i in range(200) if i % 7}
+    want = {}
+    for u, v, _ in similar_pairs(df, 90, 0.3, block=block).collect():
+        if u in labels and v in labels:
+            (a, m), (b, n) = labels[u], labels[v]
+            for label in {a, b}:
+                want.setdefault(label, [0, 0])[a != b] += m * n
+    given = spark.createDataFrame([(i, *x) for i, x in labels.items()], "id long, label long, times long")
+    assert {r[0]: [r[1], r[2]] for r in cosine.link_counts(df, 90, 0.3, given, block=block).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["g14_snapped_threshold", "g16_component_degree", "g21_community_edges"])
+def test_pairs_are_not_stored_for_a_summary(spark, name):
+    """What only counts or reduces pairs doesn't write them; once they are stored, the result is the same."""
+    derived._made.clear()
+    sf = "/root/testdata/sf0.001"
+    alone = sorted(map(tuple, queries()[name](spark, sf).collect()))
+    assert all("pairs" not in made for made in derived._made.values())
+    derived.derived_sql(spark, sf, "SELECT * FROM links")
+    assert alone == sorted(map(tuple, queries()[name](spark, sf).collect()))
+    derived._made.clear()
+    derived.derived_sql(spark, sf, "SELECT * FROM links")
+    assert alone == sorted(map(tuple, queries()[name](spark, sf).collect()))

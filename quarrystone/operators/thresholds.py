@@ -41,16 +41,17 @@ def modularity_by_step(edges: DataFrame, grid: list[float], rounds: int = 10) ->
 def silhouette_by_step(edges: DataFrame, grid: list[float], folder: str) -> DataFrame:
     """(step, silhouette): the mean similarity inside components less that between them; null unless there are both.
 
-    Components come from the spanning forest, which has those of the whole graph at every threshold."""
+    Components come from the spanning forest, which has those of the whole graph at every threshold. A vertex carries those of
+    all steps, so each edge meets its ends once and is a row for each step only where they have met."""
     root = connected_components(swept(spanning_forest(edges), grid), folder)
-    steps = F.array(*[F.lit(i) for i in range(len(grid))])
-    every = edges.select("u", "v", F.col("w").cast("double").alias("w"), F.explode(steps).alias("step"))
-    every = every.select("step", (F.col("u") * 64 + F.col("step")).alias("u"), (F.col("v") * 64 + F.col("step")).alias("v"), "w")
-    a = root.select(F.col("node").alias("u"), F.col("component").alias("ca"))
-    b = root.select(F.col("node").alias("v"), F.col("component").alias("cb"))
-    placed = every.join(a, "u", "left").join(b, "v", "left").withColumn("same", F.col("ca") == F.col("cb"))
+    vertex, at = F.shiftright("node", 6).alias("vertex"), F.struct(F.col("node").bitwiseAND(63).cast("int").alias("step"), "component")
+    held = root.select(vertex, at.alias("at")).groupBy("vertex").agg(F.map_from_entries(F.collect_list("at")).alias("c"))
+    a, b = (held.select(F.col("vertex").alias(end), F.col("c").alias(c)) for end, c in (("u", "ca"), ("v", "cb")))
+    placed = edges.select("u", "v", F.col("w").cast("double").alias("w")).join(a, "u", "left").join(b, "v", "left")
+    every = placed.select("w", "ca", "cb", F.explode(F.array(*[F.lit(i) for i in range(len(grid))])).alias("step"))
+    every = every.select("step", "w", (F.col("ca")[F.col("step")] == F.col("cb")[F.col("step")]).alias("same"))
     inside, between = F.avg(F.when(F.col("same"), F.col("w"))), F.avg(F.when(F.coalesce("same", F.lit(False)), None).otherwise(F.col("w")))
-    return placed.groupBy("step").agg((inside - between).alias("silhouette"))
+    return every.groupBy("step").agg((inside - between).alias("silhouette"))
 
 
 def components_by_step(edges: DataFrame, grid: list[float], vertices: int) -> DataFrame:
